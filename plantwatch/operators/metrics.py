@@ -274,3 +274,9 @@ def any_failure_report(
 def prevalence(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of positives, the baseline of a precision-recall curve."""
     return df.groupBy(*by).agg(F.avg(F.col(label).cast("double")).alias("prevalence"))
+
+
+def attach_predictions(df: DataFrame, predictions: DataFrame, key: str = "UDI") -> DataFrame:
+    """Rows with their predictions, matched by key and not by position."""
+    overlap = [c for c in predictions.columns if c != key and c in df.columns]
+    return df.join(predictions.drop(*overlap), key)
