@@ -28,9 +28,15 @@ def extract_json(text: Column) -> Column:
     return F.try_parse_json(json_span(text))
 
 
+def _json_value(value: Column) -> Column:
+    wrapped = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+
+
 def label_json(fields: Sequence[str]) -> Column:
-    """Compact JSON text of the named columns, in their order."""
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    """JSON text of the named columns in their order, with a blank after colons and commas."""
+    members = [F.concat(F.lit(f'"{name}": '), _json_value(F.col(name))) for name in fields]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
 
 
 def _member(value: Column, field: str) -> Column:

@@ -200,7 +200,7 @@ def alerts_with_context(
     def bucket(moment: Column) -> Column:
         return F.floor(moment / F.lit(width)).cast("long")
 
-    at = F.unix_micros("event_ts")
+    at = F.unix_micros(F.col("event_ts").cast("timestamp"))
     around = alerts.select(
         *keys,
         "alert_id",
@@ -212,7 +212,7 @@ def alerts_with_context(
     placed = readings.withColumn("_bucket", bucket(at)).withColumn(
         "_salt", F.pmod(F.xxhash64("reading_id"), F.lit(salts)).cast("int")
     )
-    offset = F.unix_micros("event_ts") - F.col("_at")
+    offset = at - F.col("_at")
     phase = F.when(offset < 0, "before").when(offset > 0, "after").otherwise("during")
     return (
         placed.join(around, [*keys, "_bucket", "_salt"])

@@ -1,0 +1,153 @@
+"""Scene matching, pixel statistics, labels and chat rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plantwatch.functions.numbers import report_round
+from plantwatch.operators import prep, scenes
+from plantwatch.registry.book import register, rounded
+
+R = rounded
+SYSTEM_TEXT = "You look at aerial pictures and answer with one JSON object."
+USER_TEXT = "The first picture is in colour, the second one is thermal. Return the JSON of this scene."
+
+
+def with_pixels(rows):
+    """Pixel arrays derived from the 64 numbers of a row."""
+    number = F.col("scene_no")
+    base = F.lit(20.0) + (number % 10) * 22
+    spread = F.lit(60) + (number % 3) * 70
+    tint = F.lit(1.0) - F.lit(0.05) * (number % 4 + number % 3)
+    gray = F.transform("px", lambda v: base + v.cast("double") * spread)
+    return rows.select(
+        "scene_no",
+        "category",
+        F.lpad(number.cast("string"), 5, "0").alias("stem"),
+        F.transform("px", lambda v: v.cast("double") * 1000 - (number % 6) * 80).alias("celsius"),
+        gray.alias("r"),
+        gray.alias("g"),
+    ).withColumn("b", F.transform("r", lambda v: v * tint))
+
+
+PIXELS = """
+, p AS (SELECT scene_no, category, CAST(unnest(px) AS DOUBLE) AS v FROM scenes),
+c AS (SELECT scene_no, category, v * 1000 - (scene_no % 6) * 80 AS celsius,
+    20e0 + (scene_no % 10) * 22 + v * (60 + (scene_no % 3) * 70) AS r,
+    (20e0 + (scene_no % 10) * 22 + v * (60 + (scene_no % 3) * 70)) * (1e0 - 0.05e0 * (scene_no % 4 + scene_no % 3)) AS b
+  FROM p),
+m AS (SELECT *, greatest(r, b) AS hi, least(r, b) AS lo, (r + r + b) / 3e0 AS gray FROM c),
+s AS (SELECT scene_no, category, max(celsius) AS max_c, count(*) FILTER (celsius > 100) * 100e0 / count(*) AS pct_hot,
+    count(*) FILTER (CASE WHEN hi = 0 THEN 0e0 ELSE (hi - lo) / greatest(hi, 1e-6) END < 0.18e0 AND hi / 255e0 > 0.55e0) * 1e0
+      / count(*) AS smoke_share, avg(gray) AS gray_mean, stddev_pop(gray) AS gray_std
+  FROM m GROUP BY scene_no, category),
+l AS (SELECT *, max_c > 60 AS fire_present, CASE WHEN max_c <= 60 THEN 'none' WHEN max_c <= 200 THEN 'low'
+    WHEN max_c <= 400 THEN 'medium' ELSE 'high' END AS thermal_hotspot_intensity,
+    CASE WHEN max_c <= 60 OR pct_hot = 0 THEN 'none' WHEN pct_hot <= 1 THEN 'small' WHEN pct_hot <= 5 THEN 'medium'
+      ELSE 'large' END AS fire_size, max_c > 60 AND smoke_share > 0.05e0 AS smoke_visible,
+    gray_mean < 30 OR gray_mean > 220 OR gray_std < 15 AS image_quality_limited,
+    replace(lower(category), ' ', '_') || '_' || lpad(CAST(scene_no AS STRING), 5, '0') AS scene_id FROM s),
+j AS (SELECT *, '{"fire_present": ' || CAST(fire_present AS STRING) || ', "thermal_hotspot_intensity": "' ||
+    thermal_hotspot_intensity || '", "fire_size": "' || fire_size || '", "smoke_visible": ' || CAST(smoke_visible AS STRING)
+    || ', "image_quality_limited": ' || CAST(image_quality_limited AS STRING) || '}' AS label_json FROM l)
+"""
+FIELD_LIST = ", ".join(scenes.LABEL_FIELDS)
+
+
+def six(df, *columns):
+    for c in columns:
+        df = df.withColumn(c, report_round(F.col(c), 6))
+    return df
+
+
+register("thermal_stats", ["scenes"], PIXELS + f"""
+SELECT scene_no, {R('max_c', 6)} AS max_c, {R('pct_hot', 6)} AS pct_hot FROM s
+""")(lambda s: six(scenes.thermal_stats(with_pixels(s)).select("scene_no", "max_c", "pct_hot"), "max_c", "pct_hot"))
+
+register("smoke_fraction", ["scenes"], PIXELS + f"SELECT scene_no, {R('smoke_share', 6)} AS smoke_share FROM s")(
+    lambda s: six(scenes.smoke_fraction(with_pixels(s)).select("scene_no", "smoke_share"), "smoke_share")
+)
+
+QUALITY = f"""SELECT scene_no, {R('gray_mean', 6)} AS gray_mean, {R('gray_std', 6)} AS gray_std,
+  image_quality_limited AS quality_limited FROM l"""
+register("quality_limited", ["scenes"], PIXELS + QUALITY)(
+    lambda s: six(
+        scenes.quality_limited(with_pixels(s)).select("scene_no", "gray_mean", "gray_std", "quality_limited"),
+        "gray_mean",
+        "gray_std",
+    )
+)
+
+register("build_labels", ["scenes"], PIXELS + f"SELECT scene_no, {FIELD_LIST} FROM l")(
+    lambda s: scenes.build_labels(with_pixels(s)).select("scene_no", *scenes.LABEL_FIELDS)
+)
+
+register("build_labels_arrow", ["scenes"], PIXELS + f"SELECT scene_no, {FIELD_LIST} FROM l")(
+    lambda s: scenes.build_labels(with_pixels(s), large_pictures=True).select("scene_no", *scenes.LABEL_FIELDS)
+)
+
+register("label_json", ["scenes"], PIXELS + "SELECT scene_id, category, label_json FROM j")(
+    lambda s: scenes.label_rows(scenes.build_labels(with_pixels(s)))
+)
+
+register("label_distribution", ["scenes"], PIXELS + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, CAST({f} AS STRING) AS value, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY {f}"
+    for f in scenes.LABEL_FIELDS
+))(lambda s: scenes.label_distribution(scenes.build_labels(with_pixels(s))))
+
+register("label_mismatch", ["scenes"], PIXELS + f"""
+SELECT scene_no, category, {R('max_c', 6)} AS max_c FROM l WHERE (category = 'Fire') <> fire_present
+""")(
+    lambda s: six(
+        scenes.label_mismatch(scenes.build_labels(with_pixels(s))).select("scene_no", "category", "max_c"), "max_c"
+    )
+)
+
+
+def _matched(rows):
+    stem = F.lpad(F.col("scene_no").cast("string"), 5, "0").alias("stem")
+
+    def listing(kind, step):
+        path = F.concat_ws("/", F.lit(kind), "category", stem).alias(f"{kind}_path")
+        return rows.filter(F.col("scene_no") % step != 0).select("category", stem, path)
+
+    return scenes.match_scenes(listing("rgb", 7), listing("thermal", 5), listing("tiff", 11))
+
+
+register("match_scenes", ["scenes"], """
+, k AS (SELECT scene_no, category, lpad(CAST(scene_no AS STRING), 5, '0') AS stem FROM scenes)
+SELECT category, stem, 'tiff/' || category || '/' || stem AS tiff_path, 'rgb/' || category || '/' || stem AS rgb_path,
+  'thermal/' || category || '/' || stem AS thermal_path FROM k
+WHERE scene_no % 7 <> 0 AND scene_no % 5 <> 0 AND scene_no % 11 <> 0
+""")(_matched)
+
+
+def _chat(rows):
+    labelled = scenes.label_rows(scenes.build_labels(with_pixels(rows)))
+    chat = scenes.build_chat_rows(labelled, SYSTEM_TEXT, USER_TEXT)
+    part = F.explode("messages").alias("m")
+    return chat.select("scene_id", part).select(
+        "scene_id",
+        F.col("m.role").alias("role"),
+        F.posexplode("m.content").alias("position", "c"),
+    ).select("scene_id", "role", "position", "c.type", "c.image", "c.text")
+
+
+register("build_chat_rows", ["scenes"], PIXELS + f"""
+SELECT scene_id, 'system' AS role, CAST(0 AS INT) AS position, 'text' AS type, CAST(NULL AS STRING) AS image,
+  '{SYSTEM_TEXT}' AS text FROM j
+UNION ALL SELECT scene_id, 'user', 0, 'image', scene_id || '_rgb.jpg', NULL FROM j
+UNION ALL SELECT scene_id, 'user', 1, 'image', scene_id || '_thermal.jpg', NULL FROM j
+UNION ALL SELECT scene_id, 'user', 2, 'text', NULL, '{USER_TEXT}' FROM j
+UNION ALL SELECT scene_id, 'assistant', 0, 'text', NULL, label_json FROM j
+""")(_chat)
+
+register("scene_split", ["scenes"], """
+, n AS (SELECT category, count(*) AS n FROM scenes GROUP BY category),
+t AS (SELECT category, n, CAST(round_even(n * 0.2e0, 0) AS BIGINT) AS t FROM n)
+SELECT category, 'test' AS split, t AS n FROM t UNION ALL SELECT category, 'train', n - t FROM t
+""")(
+    lambda s: prep.stratified_split(s.select("scene_no", "category"), "category", ["scene_no"])
+    .groupBy("category", "split")
+    .agg(F.count(F.lit(1)).alias("n"))
+)
