@@ -28,5 +28,5 @@ def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     but not certain, to be small: the planner then knows the size, and joins a larger result by
     shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    return local_table(df.sparkSession, rows, df.schema) if len(rows) <= max_rows else df
+    rows = df.limit(max_rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= max_rows else df

@@ -195,17 +195,13 @@ def _frames(
     features: Sequence[str],
     first: int,
     last: int,
-    size: int,
     rows_per_slice: int,
 ) -> DataFrame:
     padded = with_past_rows(slice_rows(df, order, rows_per_slice), keys, order, -first)
     span = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(first, last)
     row = F.array(*[F.col(c).cast("double") for c in features])
-    return (
-        padded.withColumn("frame", F.collect_list(row).over(span))
-        .filter(~F.col(CARRY) & (F.size("frame") == size))
-        .drop(SLICE, CARRY)
-    )
+    framed = padded.withColumn("frame", F.collect_list(row).over(span))
+    return framed.filter(~F.col(CARRY)).drop(SLICE, CARRY)
 
 
 def lag_windows(
@@ -218,7 +214,7 @@ def lag_windows(
 ) -> DataFrame:
     """Training frames: every row with the `size` rows before it as `frame`, an array of feature
     arrays. The first `size` rows of a key have no full past and are left out."""
-    return _frames(df, keys, order, features, -size, -1, size, rows_per_slice)
+    return _frames(df, keys, order, features, -size, -1, rows_per_slice).filter(F.size("frame") == size)
 
 
 def lag_windows_bucketed(
@@ -241,7 +237,19 @@ def trailing_frames(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Scoring frames: the last `size` rows up to and including the current one."""
-    return _frames(df, keys, order, features, 1 - size, 0, size, rows_per_slice)
+    return partial_frames(df, keys, order, features, size, rows_per_slice).filter(F.size("frame") == size)
+
+
+def partial_frames(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    features: Sequence[str],
+    size: int = 20,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """`trailing_frames` of every row, shorter at the start of a key."""
+    return _frames(df, keys, order, features, 1 - size, 0, rows_per_slice)
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

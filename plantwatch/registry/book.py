@@ -10,7 +10,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantwatch.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,7 +208,6 @@ def register(name: str, views: Sequence[str], sql: str | None = None):
             raise ValueError(f"registered twice: {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
             return build(*[view(spark, sf_dir, v) for v in views])
 
         QUERIES[name] = run
@@ -220,6 +218,18 @@ def register(name: str, views: Sequence[str], sql: str | None = None):
     return keep
 
 
+def register_source(name: str, views: Sequence[str], sql: str | None = None):
+    """Register a function of (spark, sf_dir); the views serve its check query."""
+
+    def keep(build: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = build
+        if sql is not None:
+            ORACLES[name] = with_views(views, sql)
+        return build
+
+    return keep
+
+
 def rounded(expression: str, digits: int) -> str:
     """SQL twin of `report_round`."""
     return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,9)), {digits}) AS DOUBLE)"
