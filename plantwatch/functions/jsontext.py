@@ -49,14 +49,10 @@ def has_field(value: Column, field: str) -> Column:
 
 def _comparable(value: Column) -> Column:
     """Text equal for equal JSON values: 1, 1.0 and true agree, "true" and true do not."""
-    kind = F.schema_of_variant(value)
     text = F.to_json(value)
-    number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "BOOLEAN", F.when(text == "true", "n:1.0").otherwise("n:0.0"))
-        .when(number.isNotNull() & (kind != "STRING"), F.concat(F.lit("n:"), (number + F.lit(0.0)).cast("string")))
-        .otherwise(F.concat(F.lit("j:"), text))
-    )
+    flag = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
+    # Only a bare number casts; a JSON string keeps its quotes.
+    return F.coalesce((flag.try_cast("double") + F.lit(0.0)).cast("string"), text)
 
 
 def same_field(left: Column, right: Column, field: str) -> Column:

@@ -16,7 +16,7 @@ from plantwatch.functions.rules import (
     range_deviation,
 )
 from plantwatch.local import local_table
-from plantwatch.operators.ordered import ROWS_PER_SLICE, last_n, running, with_position, with_previous
+from plantwatch.operators.ordered import ROWS_PER_SLICE, last_n, positions, previous, running, slice_rows
 
 # Rise of the score per reading that calls for action within days, or within hours.
 SLOW_RISE = 0.0005
@@ -79,6 +79,7 @@ def score_timeline(
     score: str = "anomaly_score",
     threshold: float = ALERT_SCORE,
     rows_per_slice: int = ROWS_PER_SLICE,
+    checkpoint: bool = False,
 ) -> DataFrame:
     """How the score of a key developed, one row per key.
 
@@ -86,13 +87,14 @@ def score_timeline(
     predecessor was below it (or missing). `rise_start` is the low point from which the score
     climbed without a break to the crossing, `rise_rows` the number of rows in between. `peak` is
     the first row with the highest score. Rows are given as structs of the order columns.
+    `checkpoint` stores the input first; use it when the input is more than a scan.
     """
     series = readings.select(*keys, *order, F.col(score).alias("_s")).filter(F.col("_s").isNotNull())
-    placed = with_position(series, keys, order, "_pos", rows_per_slice)
-    linked = with_previous(placed, keys, order, {"_prev": "_s"}, rows_per_slice)
+    placed = positions(slice_rows(series, order, rows_per_slice, checkpoint), keys, "_pos")
+    linked = previous(placed, keys, {"_prev": "_s"})
     row = F.struct("_pos", *order)
     turns = F.when(F.col("_prev").isNull() | (F.col("_s") <= F.col("_prev")), row)
-    climbed = running(linked, keys, order, {"_turn": ("max", turns)}, rows_per_slice=rows_per_slice)
+    climbed = running(linked, keys, {"_turn": ("max", turns)}).rows()
     crosses = (F.col("_s") >= threshold) & (F.col("_prev").isNull() | (F.col("_prev") < threshold))
     summary = climbed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("readings"),
@@ -237,15 +239,13 @@ def best_epoch(
     """
     series = log.select(run, epoch, F.col(metric).alias("_m"))
     seen = running(
-        series,
+        slice_rows(series, [epoch], rows_per_slice),
         [run],
-        [epoch],
         {"_n": ("sum", F.lit(1).cast("long")), "_best": ("max", F.col("_m"))},
         before=["_best"],
-        rows_per_slice=rows_per_slice,
     )
     gain = F.when(F.col("_m") > F.greatest(F.coalesce("_best", F.lit(0.0)), F.lit(0.0)), F.struct("_n", epoch, "_m"))
-    gained = running(seen, [run], [epoch], {"_gain": ("max", gain)}, rows_per_slice=rows_per_slice)
+    gained = running(seen, [run], {"_gain": ("max", gain)}).rows()
     idle = F.col("_n") - F.coalesce(F.col("_gain._n"), F.lit(0))
     ends = gained.groupBy(run).agg(
         F.min(F.when(idle >= patience, F.struct("_n", epoch, "_gain"))).alias("_stop"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.numbers import safe_ratio
 from plantwatch.functions.rules import FAILURE_PROBABILITY, anomaly_score, signal_tag
-from plantwatch.operators.ordered import ROWS_PER_SLICE, running
+from plantwatch.operators.ordered import ROWS_PER_SLICE, running, slice_rows
 
 F1_EPSILON = 1e-8
 WIDE = "decimal(38,0)"
@@ -46,15 +46,9 @@ def score_cumulative(
         .agg(F.sum(positive).alias("d_tp"), F.sum(1 - positive).alias("d_fp"))
         .withColumn("_falling", -F.col("score"))
     )
-    return running(
-        per_score,
-        list(by),
-        ["_falling"],
-        {"tp": ("sum", F.col("d_tp")), "fp": ("sum", F.col("d_fp"))},
-        whole=["tp", "fp"],
-        rows_per_slice=rows_per_slice,
-        checkpoint=True,
-    ).drop("_falling")
+    counts = {"tp": ("sum", F.col("d_tp")), "fp": ("sum", F.col("d_fp"))}
+    sliced = slice_rows(per_score, ["_falling"], rows_per_slice, checkpoint=True)
+    return running(sliced, list(by), counts, whole=["tp", "fp"]).rows().drop("_falling")
 
 
 def _with_origin(curve: DataFrame, by: Sequence[str], origin: Mapping[str, Column]) -> DataFrame:

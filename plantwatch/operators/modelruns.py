@@ -84,12 +84,14 @@ def field_confusion(
     def shown(value: Column) -> Column:
         return F.coalesce(field_text(value, field), F.lit("None"))
 
+    # Counted over all rows and filtered afterwards: a filter on the comparison would be pushed
+    # below the parsing, and every answer parsed once more.
     return (
-        scored.filter(F.col(field) == 0)
-        .groupBy(
+        scored.groupBy(
             *by,
             shown(F.try_parse_json(truth)).alias("true_value"),
             shown(F.col("pred")).alias("predicted_value"),
         )
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if(F.col(field) == 0).alias("n"))
+        .filter(F.col("n") > 0)
     )

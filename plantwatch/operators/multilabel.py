@@ -50,7 +50,8 @@ def fit_multilabel(
     A label without a case gets a model that always answers 0.
     """
     weights = {r["label"]: r["weight"] for r in positive_weights(frames, labels).collect()}
-    training = flattened(frames).select(VECTOR, *labels)
+    # Every fit passes over the rows many times; lost blocks are rebuilt from their lineage.
+    training = flattened(frames).select(VECTOR, *labels).persist()
     models = {}
     for label in labels:
         weighted = training.select(
@@ -62,4 +63,5 @@ def fit_multilabel(
             featuresCol=VECTOR, labelCol="label", weightCol="weight", family="binomial", maxIter=max_iter, regParam=reg
         )
         models[label] = estimator.fit(weighted)
+    training.unpersist()
     return MultiLabelModel(models)

@@ -15,6 +15,7 @@ as many tasks as it has slices.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from math import ceil, inf
 
 from pyspark.ml.feature import Bucketizer
@@ -44,12 +45,16 @@ def _axis(df: DataFrame, column: str) -> Column:
     raise TypeError(f"the first order column must be a number, a date or a timestamp: {column}")
 
 
+@dataclass(frozen=True)
 class Sliced:
-    """A DataFrame with its slice column; `single` says that one slice holds everything."""
+    """Rows with their slice number; `single` says that one slice holds everything."""
 
-    def __init__(self, df: DataFrame, single: bool):
-        self.df = df
-        self.single = single
+    df: DataFrame
+    order: tuple[str, ...]
+    single: bool
+
+    def rows(self) -> DataFrame:
+        return self.df.drop(SLICE)
 
 
 def slice_rows(
@@ -58,16 +63,16 @@ def slice_rows(
     """Add the slice number of every row.
 
     Counts the rows and, when they exceed one slice, takes quantiles of the first order column.
-    `checkpoint=True` stores the input first in that case; use it when the input is costly.
+    `checkpoint=True` stores the input first; use it when the input is more than a scan.
     """
+    if checkpoint:
+        df = cut_lineage(df)
     axis = _axis(df, order[0])
     narrow = df.select(axis.alias(AXIS))
+    whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(order), single=True)
     slices = min(MAX_SLICES, ceil(narrow.count() / rows_per_slice))
     if slices <= 1:
-        return Sliced(df.withColumn(SLICE, F.lit(0)), single=True)
-    if checkpoint:
-        df = cut_lineage(df)
-        narrow = df.select(axis.alias(AXIS))
+        return whole
     shares = [i / slices for i in range(1, slices)]
     found = (
         narrow.filter(~F.isnan(AXIS))
@@ -76,69 +81,68 @@ def slice_rows(
     )
     cuts = sorted({cut for cut in found or [] if abs(cut) != inf})
     if not cuts:
-        return Sliced(df.withColumn(SLICE, F.lit(0)), single=True)
+        return whole
     buckets = Bucketizer(splits=[-inf, *cuts, inf], inputCol=AXIS, outputCol=SLICE, handleInvalid="keep")
     sliced = buckets.transform(df.withColumn(AXIS, axis)).drop(AXIS)
     # NULL sorts first, NaN last; Bucketizer keeps NaN in a last bucket of its own.
     slice_no = F.when(axis.isNull(), -1).otherwise(F.col(SLICE).cast("int"))
-    return Sliced(sliced.withColumn(SLICE, slice_no), single=False)
+    return Sliced(sliced.withColumn(SLICE, slice_no), tuple(order), single=False)
 
 
 def running(
-    df: DataFrame,
+    sliced: Sliced,
     keys: Sequence[str],
-    order: Sequence[str],
     totals: Mapping[str, tuple[str, Column]],
     whole: Sequence[str] = (),
     before: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
-    checkpoint: bool = False,
-) -> DataFrame:
-    """Running totals per key in ascending `order`, which must identify a row within its key.
+) -> Sliced:
+    """Running totals per key in ascending order, which must identify a row within its key.
 
     `totals` maps an output name to ("sum" | "max" | "min", value). Names in `before` leave out the
     current row. For a name in `whole` a column `<name>_all` holds the total of the entire key.
     """
     functions = {"sum": F.sum, "max": F.max, "min": F.min}
-    valued = df.select("*", *[value.alias(f"_v_{name}") for name, (_, value) in totals.items()])
-    sliced = slice_rows(valued, order, rows_per_slice, checkpoint)
-    group = [*keys, SLICE]
-    ordered = Window.partitionBy(*group).orderBy(*order)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    group, order = [*keys, SLICE], sliced.order
+    kept = [*sliced.df.columns, *totals, *[f"{name}_all" for name in whole]]
+    out = sliced.df.select("*", *[value.alias(f"_v_{name}") for name, (_, value) in totals.items()])
 
     if sliced.single:
-        everything = Window.partitionBy(*group)
-        out = sliced.df
-        for name, (kind, _) in totals.items():
-            value = functions[kind](f"_v_{name}")
-            out = out.withColumn(name, value.over(earlier if name in before else upto))
-        for name in whole:
-            out = out.withColumn(f"{name}_all", functions[totals[name][0]](f"_v_{name}").over(everything))
-        return out.select(*df.columns, *totals, *[f"{name}_all" for name in whole])
-
-    # One row per (key, slice): at most MAX_SLICES rows for any key.
-    per_slice = sliced.df.groupBy(*group).agg(
-        *[functions[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in totals.items()]
-    )
-    past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    entire = Window.partitionBy(*keys)
-    carry = per_slice.select(
-        *group,
-        F.lit(True).alias(CARRY),
-        *[functions[kind](f"_t_{name}").over(past).alias(f"_v_{name}") for name, (kind, _) in totals.items()],
-        *[functions[totals[name][0]](f"_t_{name}").over(entire).alias(f"{name}_all") for name in whole],
-    )
-    out = sliced.df.withColumn(CARRY, F.lit(False)).unionByName(carry, allowMissingColumns=True)
-    ordered = Window.partitionBy(*group).orderBy(F.desc(CARRY), *order)
+        ordered = Window.partitionBy(*group).orderBy(*order)
+    else:
+        # One row per (key, slice): at most MAX_SLICES rows for any key.
+        per_slice = out.groupBy(*group).agg(
+            *[functions[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in totals.items()]
+        )
+        past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        entire = Window.partitionBy(*keys)
+        carry = per_slice.select(
+            *group,
+            F.lit(True).alias(CARRY),
+            *[functions[kind](f"_t_{name}").over(past).alias(f"_v_{name}") for name, (kind, _) in totals.items()],
+            *[functions[totals[name][0]](f"_t_{name}").over(entire).alias(f"{name}_all") for name in whole],
+        )
+        out = out.withColumn(CARRY, F.lit(False)).unionByName(carry, allowMissingColumns=True)
+        ordered = Window.partitionBy(*group).orderBy(F.desc(CARRY), *order)
+
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, _) in totals.items():
-        value = functions[kind](f"_v_{name}")
-        out = out.withColumn(name, value.over(earlier if name in before else upto))
+        out = out.withColumn(name, functions[kind](f"_v_{name}").over(earlier if name in before else upto))
     for name in whole:
-        out = out.withColumn(f"{name}_all", F.first(f"{name}_all", ignorenulls=True).over(upto))
-    return out.filter(~F.col(CARRY)).select(*df.columns, *totals, *[f"{name}_all" for name in whole])
+        if sliced.single:
+            total = functions[totals[name][0]](f"_v_{name}").over(Window.partitionBy(*group))
+        else:
+            total = F.first(f"{name}_all", ignorenulls=True).over(upto)
+        out = out.withColumn(f"{name}_all", total)
+    if not sliced.single:
+        out = out.filter(~F.col(CARRY))
+    return replace(sliced, df=out.select(*kept))
+
+
+def positions(sliced: Sliced, keys: Sequence[str], name: str = "position") -> Sliced:
+    """Dense 0-based position of every row within its key."""
+    counted = running(sliced, keys, {name: ("sum", F.lit(1).cast("long"))})
+    return replace(counted, df=counted.df.withColumn(name, F.col(name) - 1))
 
 
 def with_position(
@@ -147,20 +151,18 @@ def with_position(
     order: Sequence[str],
     name: str = "position",
     rows_per_slice: int = ROWS_PER_SLICE,
+    checkpoint: bool = False,
 ) -> DataFrame:
-    """Dense 0-based position of every row within its key."""
-    counted = running(
-        df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, rows_per_slice=rows_per_slice
-    )
-    return counted.withColumn(name, F.col(name) - 1)
+    """`positions` of a DataFrame; `order` must identify a row within its key."""
+    return positions(slice_rows(df, order, rows_per_slice, checkpoint), keys, name).rows()
 
 
-def with_past_rows(sliced: Sliced, keys: Sequence[str], order: Sequence[str], depth: int) -> DataFrame:
+def with_past_rows(sliced: Sliced, keys: Sequence[str], depth: int) -> DataFrame:
     """The sliced rows plus, marked in CARRY, copies of the `depth` rows in front of every slice."""
     rows = sliced.df.withColumn(CARRY, F.lit(False))
     if sliced.single or depth < 1:
         return rows
-    latest = Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(c) for c in order])
+    latest = Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(c) for c in sliced.order])
     tails = sliced.df.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= depth)
     # At most `depth` rows per (key, slice) are left, so a whole key fits one window here. A row
     # belongs in front of every slice that begins within the next `depth` of these rows.
@@ -173,19 +175,13 @@ def with_past_rows(sliced: Sliced, keys: Sequence[str], order: Sequence[str], de
     return rows.unionByName(copies.withColumn(CARRY, F.lit(True)))
 
 
-def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: Mapping[str, str],
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+def previous(sliced: Sliced, keys: Sequence[str], columns: Mapping[str, str]) -> Sliced:
     """Add, under a new name, the value a column had in the previous row of the key."""
-    padded = with_past_rows(slice_rows(df, order, rows_per_slice), keys, order, 1)
-    ordered = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    padded = with_past_rows(sliced, keys, 1)
+    ordered = Window.partitionBy(*keys, SLICE).orderBy(*sliced.order)
     for name, column in columns.items():
         padded = padded.withColumn(name, F.lag(column).over(ordered))
-    return padded.filter(~F.col(CARRY)).drop(SLICE, CARRY)
+    return replace(sliced, df=padded.filter(~F.col(CARRY)).drop(CARRY))
 
 
 def _frames(
@@ -197,7 +193,7 @@ def _frames(
     last: int,
     rows_per_slice: int,
 ) -> DataFrame:
-    padded = with_past_rows(slice_rows(df, order, rows_per_slice), keys, order, -first)
+    padded = with_past_rows(slice_rows(df, order, rows_per_slice), keys, -first)
     span = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(first, last)
     row = F.array(*[F.col(c).cast("double") for c in features])
     framed = padded.withColumn("frame", F.collect_list(row).over(span))

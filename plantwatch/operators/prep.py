@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.local import measured
-from plantwatch.operators.ordered import ROWS_PER_SLICE, running
+from plantwatch.operators.ordered import ROWS_PER_SLICE, running, slice_rows
 
 SCALE_EPSILON = 1e-8
 
@@ -122,15 +122,8 @@ def operating_point(
         .groupBy(F.col(score).cast("double").alias("_s"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(
-        counts,
-        [],
-        ["_s"],
-        {"_upto": ("sum", F.col("_n"))},
-        whole=["_upto"],
-        rows_per_slice=rows_per_slice,
-        checkpoint=True,
-    )
+    sliced = slice_rows(counts, ["_s"], rows_per_slice, checkpoint=True)
+    ranked = running(sliced, [], {"_upto": ("sum", F.col("_n"))}, whole=["_upto"]).rows()
     place = F.lit(1.0 - contamination) * (F.col("_upto_all") - 1)
     lower = F.floor(place)
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1

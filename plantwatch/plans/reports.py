@@ -137,7 +137,7 @@ def work_orders(
     )
     # Numbers run over all orders of the day, by position and not in one window.
     by_risk = ["_risk", "node_id", "node_name", "equipment_id"]
-    numbered = with_position(orders.withColumn("_risk", -F.col("avg_score")), [], by_risk, "_place")
+    numbered = with_position(orders.withColumn("_risk", -F.col("avg_score")), [], by_risk, "_place", checkpoint=True)
     issued = F.lit(day).cast("date")
     priority = (
         F.when(F.col("urgency") == "hours", "high").when(F.col("urgency") == "days", "medium").otherwise("low")
@@ -166,7 +166,9 @@ def cause_timeline(
     context: DataFrame, abrupt_rows: int = ABRUPT_ROWS, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """How the score developed around each alert, and whether the rise was abrupt."""
-    timeline = score_timeline(context, ["alert_id"], READING_ORDER, rows_per_slice=rows_per_slice)
+    timeline = score_timeline(
+        context, ["alert_id"], READING_ORDER, rows_per_slice=rows_per_slice, checkpoint=True
+    )
     return rise_kind(timeline, abrupt_rows)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +11,13 @@ from plantwatch.functions.numbers import report_round
 from plantwatch.functions.rules import PROBABILITIES
 from plantwatch.registry.book import READINGS, register, register_source, rounded, table
 from plantwatch.registry.fleet import ALERT_LIST
-from plantwatch.session import ensure_checkpoint_dir
+from plantwatch.session import shared_folder
 from plantwatch.streaming import live
 from plantwatch.streaming.alerts import alert_stream
 
 R = rounded
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, in storage that all executors see."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid4().hex}"
-
-
 def readings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = (
         spark.readStream.schema(table(spark, sf_dir, "events").schema)
@@ -48,14 +41,14 @@ SELECT {ALERT_LIST.replace(', resolved', '')}, reading_id FROM (SELECT *, alert_
 """)
 def _alerts(spark, sf_dir):
     stream = alert_stream(readings_stream(spark, sf_dir)).drop("alert_id", "event_ts", "resolved")
-    return drained(stream, work_folder(spark))
+    return drained(stream, shared_folder(spark, "stream"))
 
 
 @register_source("dedup_stream", ["readings"], "SELECT reading_id, equipment_id, node_id, anomaly_score FROM readings")
 def _dedup(spark, sf_dir):
     delivered = readings_stream(spark, sf_dir).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     once = live.dedup_stream(delivered).select("reading_id", "equipment_id", "node_id", "anomaly_score")
-    return drained(once, work_folder(spark))
+    return drained(once, shared_folder(spark, "stream"))
 
 
 HEALTH = f"""
@@ -79,7 +72,7 @@ def _process(spark, sf_dir):
 
     nominals = view(spark, sf_dir, "nominals")
     measured = view(spark, sf_dir, "process_measured").select("reading_id", "tag", "regime", "value")
-    folder = work_folder(spark)
+    folder = shared_folder(spark, "stream")
     measured.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(measured.schema).parquet(f"{folder}/in")
     joined = live.process_stream(stream, nominals).select("reading_id", "tag", "regime", "value", "deviation_pct")
@@ -101,7 +94,7 @@ SELECT reading_id, node_id, {R('CASE WHEN pos >= 20 THEN wear ELSE anomaly_score
   CAST(CASE WHEN pos >= 20 THEN wear >= 0.5 ELSE anomaly_score >= 0.5 END AS INT) AS predicted_failure FROM w
 """)
 def _scores(spark, sf_dir):
-    folder = work_folder(spark)
+    folder = shared_folder(spark, "stream")
     live.windowed_scores(
         readings_stream(spark, sf_dir),
         ["node_id"],
@@ -123,7 +116,7 @@ SELECT node_id, reading_id, anomaly_score, predicted_failure FROM (SELECT *, row
   ORDER BY event_ts DESC, reading_id DESC) AS rn FROM readings) WHERE rn = 1
 """)
 def _status(spark, sf_dir):
-    folder = work_folder(spark)
+    folder = shared_folder(spark, "stream")
     live.last_status(
         readings_stream(spark, sf_dir), f"{folder}/status", f"{folder}/checkpoint", available_now=True
     ).awaitTermination()
