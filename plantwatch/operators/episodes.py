@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.rules import (
@@ -16,7 +16,16 @@ from plantwatch.functions.rules import (
     range_deviation,
 )
 from plantwatch.local import local_table
-from plantwatch.operators.ordered import ROWS_PER_SLICE, last_n, positions, previous, running, slice_rows
+from plantwatch.operators.ordered import (
+    CARRY,
+    ROWS_PER_SLICE,
+    SLICE,
+    last_n,
+    running,
+    slice_rows,
+    stored,
+    with_past_rows,
+)
 
 # Rise of the score per reading that calls for action within days, or within hours.
 SLOW_RISE = 0.0005
@@ -90,29 +99,61 @@ def score_timeline(
     `checkpoint` stores the input first; use it when the input is more than a scan.
     """
     series = readings.select(*keys, *order, F.col(score).alias("_s")).filter(F.col("_s").isNotNull())
-    placed = positions(slice_rows(series, order, rows_per_slice, checkpoint), keys, "_pos")
-    linked = previous(placed, keys, {"_prev": "_s"})
-    row = F.struct("_pos", *order)
-    turns = F.when(F.col("_prev").isNull() | (F.col("_s") <= F.col("_prev")), row)
-    climbed = running(linked, keys, {"_turn": ("max", turns)}).rows()
+    padded = with_past_rows(slice_rows(series, order, rows_per_slice, checkpoint), keys, 1)
+    group = [*keys, SLICE]
+    ordered = Window.partitionBy(*group).orderBy(*order)
+    linked = (
+        padded.withColumn("_prev", F.lag("_s").over(ordered))
+        .withColumn("_at", F.sum((~F.col(CARRY)).cast("long")).over(ordered))
+        .filter(~F.col(CARRY))
+    )
+    turns = F.col("_prev").isNull() | (F.col("_s") <= F.col("_prev"))
     crosses = (F.col("_s") >= threshold) & (F.col("_prev").isNull() | (F.col("_prev") < threshold))
-    summary = climbed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("readings"),
-        F.min(F.struct("_pos", "_s")).alias("_base"),
-        F.min(F.when(crosses, F.struct("_pos", *order, "_turn"))).alias("_cross"),
-        F.max(F.struct("_s", (-F.col("_pos")).alias("_neg"), *order)).alias("_peak"),
+    row = F.struct("_at", *order)
+    climbed = linked.withColumn("_turn", F.max(F.when(turns, row)).over(ordered))
+    # What a slice knows by itself; `_at` counts from its first row. No further shuffle is needed
+    # here, and at most MAX_SLICES rows per key go on.
+    per_slice = climbed.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(F.struct("_at", "_s")).alias("_base"),
+        F.max(F.struct("_s", (-F.col("_at")).alias("_neg"), *order)).alias("_peak"),
+        F.min(F.when(crosses, F.struct("_at", *order, "_turn"))).alias("_cross"),
+        F.max("_turn").alias("_last_turn"),
+    )
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    past = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+
+    def shifted(struct: str) -> Column:
+        """The row struct with its place in the whole key."""
+        places = [(F.col(f"{struct}._at") + F.col("_start")).alias("_at"), *[F.col(f"{struct}.{c}").alias(c) for c in order]]
+        return F.when(F.col(struct).isNotNull(), F.struct(*places))
+
+    placed = (
+        per_slice.withColumn("_start", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+        .withColumn("_turned", F.last(shifted("_last_turn"), ignorenulls=True).over(past))
+        .withColumn("_own_turn", F.col("_cross._turn"))
+        .withColumn("_turn", F.coalesce(shifted("_own_turn"), F.col("_turned")))
+        .withColumn("_crossing", shifted("_cross"))
+    )
+    summary = placed.groupBy(*keys).agg(
+        F.sum("_n").alias("readings"),
+        F.min(F.struct(SLICE, "_base")).alias("_base"),
+        F.min(F.when(F.col("_crossing").isNotNull(), F.struct("_crossing", "_turn"))).alias("_rise"),
+        F.max(
+            F.struct("_peak._s", (F.col("_peak._neg") - F.col("_start")).alias("_neg"), *[f"_peak.{c}" for c in order])
+        ).alias("_peak"),
     )
 
     def place(struct: str) -> Column:
         return F.when(F.col(struct).isNotNull(), F.struct(*[F.col(f"{struct}.{c}").alias(c) for c in order]))
 
-    return summary.withColumn("_turn", F.col("_cross._turn")).select(
+    return summary.select(
         *keys,
         "readings",
-        F.col("_base._s").alias("base_score"),
-        place("_turn").alias("rise_start"),
-        place("_cross").alias("crossing"),
-        (F.col("_cross._pos") - F.col("_turn._pos")).alias("rise_rows"),
+        F.col("_base._base._s").alias("base_score"),
+        place("_rise._turn").alias("rise_start"),
+        place("_rise._crossing").alias("crossing"),
+        (F.col("_rise._crossing._at") - F.col("_rise._turn._at")).alias("rise_rows"),
         F.col("_peak._s").alias("peak_score"),
         place("_peak").alias("peak"),
     )
@@ -245,7 +286,7 @@ def best_epoch(
         before=["_best"],
     )
     gain = F.when(F.col("_m") > F.greatest(F.coalesce("_best", F.lit(0.0)), F.lit(0.0)), F.struct("_n", epoch, "_m"))
-    gained = running(seen, [run], {"_gain": ("max", gain)}).rows()
+    gained = running(stored(seen), [run], {"_gain": ("max", gain)}).rows()
     idle = F.col("_n") - F.coalesce(F.col("_gain._n"), F.lit(0))
     ends = gained.groupBy(run).agg(
         F.min(F.when(idle >= patience, F.struct("_n", epoch, "_gain"))).alias("_stop"),

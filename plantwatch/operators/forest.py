@@ -6,7 +6,7 @@ by the parameters and not by the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import ceil, log2
 
@@ -22,7 +22,7 @@ EULER_GAMMA = 0.5772156649015329
 # The trees draw their samples from a random part of this many rows.
 POOL_ROWS = 131_072
 
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, path double"
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -33,9 +33,10 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
 
 
 def grow_tree(values: np.ndarray, height: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (node, feature, threshold, left, right, path) of one random tree; node 0 is the root.
+    """Nodes (node, feature, threshold, left, path) of one random tree; node 0 is the root.
 
-    A leaf points to itself, so that a walk of fixed length ends there.
+    The right child follows the left one. A leaf points to itself and has no upper threshold, so
+    that a walk of fixed length ends there.
     """
     nodes: list[tuple] = [()]
     todo = [(0, np.arange(len(values)), 0)]
@@ -45,15 +46,15 @@ def grow_tree(values: np.ndarray, height: int, rng: np.random.Generator) -> list
         low, high = inside.min(axis=0), inside.max(axis=0)
         usable = np.flatnonzero(high > low)
         if depth >= height or len(rows) <= 1 or not len(usable):
-            nodes[node] = (node, 0, np.inf, node, node, depth + float(average_path(len(rows))))
+            nodes[node] = (node, 0, np.inf, node, depth + float(average_path(len(rows))))
             continue
         feature = int(rng.choice(usable))
         threshold = float(rng.uniform(low[feature], high[feature]))
         goes_left = inside[:, feature] <= threshold
-        left, right = len(nodes), len(nodes) + 1
+        left = len(nodes)
         nodes.extend([(), ()])
-        nodes[node] = (node, feature, threshold, left, right, 0.0)
-        todo += [(left, rows[goes_left], depth + 1), (right, rows[~goes_left], depth + 1)]
+        nodes[node] = (node, feature, threshold, left, 0.0)
+        todo += [(left, rows[goes_left], depth + 1), (left + 1, rows[~goes_left], depth + 1)]
     return nodes
 
 
@@ -67,7 +68,6 @@ class IsolationForestModel:
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
-    right: np.ndarray
     path: np.ndarray
     roots: np.ndarray
     height: int
@@ -76,28 +76,27 @@ class IsolationForestModel:
 
     def raw_scores(self, values: np.ndarray) -> np.ndarray:
         """2^(-mean path / normal path): near 1 for rows that are easy to isolate."""
-        values = (values - self.mean) / self.std
-        rows = np.arange(len(values))
+        scaled = ((values - self.mean) / self.std).ravel()
+        starts = np.arange(len(values)) * len(self.features)
         total = np.zeros(len(values))
         for root in self.roots:
             at = np.full(len(values), root)
             for _ in range(self.height):
-                goes_left = values[rows, self.feature[at]] <= self.threshold[at]
-                at = np.where(goes_left, self.left[at], self.right[at])
-            total += self.path[at]
+                value = scaled.take(starts + self.feature.take(at))
+                # The right child follows the left one; nothing exceeds the threshold of a leaf.
+                at = self.left.take(at) + (value > self.threshold.take(at))
+            total += self.path.take(at)
         return np.exp2(-total / (len(self.roots) * self.normal_path))
 
     def score_column(self, columns: Sequence[Column]) -> Column:
         """Raw score of a row from its feature columns; NULL where a feature is missing."""
-        # The closure ships the model once per task: a few megabytes, whatever the table size.
+        # The closure holds the model, a few megabytes whatever the table size; Spark broadcasts it.
         model = self
 
         @F.pandas_udf("double")
-        def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for batch in batches:
-                values = np.column_stack([c.to_numpy(dtype=float) for c in batch])
-                scores = model.raw_scores(values)
-                yield pd.Series(np.where(np.isnan(values).any(axis=1), np.nan, scores))
+        def score(*batch: pd.Series) -> pd.Series:
+            values = np.column_stack([c.to_numpy(dtype=float) for c in batch])
+            return pd.Series(np.where(np.isnan(values).any(axis=1), np.nan, model.raw_scores(values)))
 
         return F.nanvl(score(*[c.cast("double") for c in columns]), F.lit(None).cast("double"))
 
@@ -173,7 +172,7 @@ class IsolationForest:
             ordered = pdf.sort_values(["draw", *features])
             values = (ordered[features].to_numpy(dtype=float) - mean) / std
             nodes = grow_tree(values, height, np.random.default_rng([seed, tree]))
-            grown = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
+            grown = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "path"])
             grown.insert(0, "tree", tree)
             return grown
 
@@ -191,7 +190,6 @@ class IsolationForest:
             feature=grown["feature"].to_numpy(dtype=np.int64),
             threshold=grown["threshold"].to_numpy(dtype=float),
             left=grown["left"].to_numpy(dtype=np.int64) + offset,
-            right=grown["right"].to_numpy(dtype=np.int64) + offset,
             path=grown["path"].to_numpy(dtype=float),
             roots=roots,
             height=height,
@@ -224,12 +222,14 @@ def permutation_importance(
         rows.withColumn("_draw", F.xxhash64(*by, F.lit(seed + 1))), [], ["_draw", *by], "_place", rows_per_slice
     ).select("_place", *[F.col(c).alias(f"_other_{c}") for c in columns])
     paired = numbered.join(donors, "_place")
-    changes = []
-    scored = paired.withColumn("_base", score([F.col(c) for c in columns]))
-    for i, c in enumerate(columns):
-        shuffled = [F.col(f"_other_{n}") if n == c else F.col(n) for n in columns]
-        scored = scored.withColumn(f"_score_{i}", score(shuffled))
-        changes.append(F.avg(F.abs(F.col("_base") - F.col(f"_score_{i}"))).alias(c))
+    variants = [score([F.col(c) for c in columns]).alias("_base")]
+    for changed in columns:
+        given = [F.col(f"_other_{c}") if c == changed else F.col(c) for c in columns]
+        variants.append(score(given).alias(changed))
+    changes = [F.avg(F.abs(F.col("_base") - F.col(c))).alias(c) for c in columns]
     return (
-        scored.agg(*changes).unpivot([], columns, "feature", "importance").orderBy(F.desc("importance"), "feature")
+        paired.select(*variants)
+        .agg(*changes)
+        .unpivot([], columns, "feature", "importance")
+        .orderBy(F.desc("importance"), "feature")
     )

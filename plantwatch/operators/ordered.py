@@ -89,6 +89,11 @@ def slice_rows(
     return Sliced(sliced.withColumn(SLICE, slice_no), tuple(order), single=False)
 
 
+def stored(sliced: Sliced) -> Sliced:
+    """Store the rows between two passes, each of which reads its input twice."""
+    return sliced if sliced.single else replace(sliced, df=cut_lineage(sliced.df))
+
+
 def running(
     sliced: Sliced,
     keys: Sequence[str],
