@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FENCE = "`" * 3
+END_MARK = "plantwatch: end of answer"
 
 
 def json_span(text: Column) -> Column:
@@ -23,9 +24,13 @@ def json_span(text: Column) -> Column:
 def extract_json(text: Column) -> Column:
     """VARIANT of the JSON object in a model answer; NULL where there is none that parses.
 
-    An object that names a key twice does not parse.
+    The whole span must be one object. An object that names a key twice does not parse.
     """
-    return F.try_parse_json(json_span(text))
+    # The parser stops after a complete value and would overlook what follows. Inside an array the
+    # span must be exactly the first element, with the mark after it.
+    marked = F.try_parse_json(F.concat(F.lit("["), json_span(text), F.lit(f',"{END_MARK}"]')))
+    whole = F.try_variant_get(marked, "$[1]", "string") == END_MARK
+    return F.when(whole, F.try_variant_get(marked, "$[0]", "variant"))
 
 
 def _json_value(value: Column) -> Column:
