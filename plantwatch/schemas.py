@@ -4,21 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "TIMESTAMP": T.TimestampType(),
+}
+
+
+def _columns(text: str) -> T.StructType:
+    """Schema from "name TYPE, ..."; unlike the parser of Spark it needs no session."""
+    pairs = [column.strip().strip("`").rsplit(" ", 1) for column in text.split(",")]
+    return T.StructType([T.StructField(name.rstrip("`"), _TYPES[kind]) for name, kind in pairs])
+
+
 # What a gateway sends per reading. It carries no time; that comes from the landing path.
-READING_PAYLOAD = T.StructType.fromDDL(
+READING_PAYLOAD = _columns(
     """reading_id BIGINT, equipment_id STRING, node_id STRING, node_name STRING, equipment_type STRING,
     product_type STRING, air_temp_k DOUBLE, process_temp_k DOUBLE, rpm INT, torque_nm DOUBLE, tool_wear_min INT,
     anomaly_score DOUBLE, predicted_failure INT, machine_failure INT, twf INT, hdf INT, pwf INT, osf INT, rnf INT,
     prob_twf DOUBLE, prob_hdf DOUBLE, prob_pwf DOUBLE, prob_osf DOUBLE, prob_rnf DOUBLE"""
 )
 
-ALERT_PAYLOAD = T.StructType.fromDDL(
+ALERT_PAYLOAD = _columns(
     """equipment_id STRING, node_id STRING, node_name STRING, failure_mode STRING, probability DOUBLE,
     severity STRING, anomaly_score DOUBLE, air_temp_k DOUBLE, process_temp_k DOUBLE, rpm INT, torque_nm DOUBLE,
     tool_wear_min INT, resolved INT"""
 )
 
-PROCESS_PAYLOAD = T.StructType.fromDDL(
+PROCESS_PAYLOAD = _columns(
     """reading_id STRING, equipment_id STRING, tag STRING, variable STRING, variable_medicion STRING, value DOUBLE,
     unit STRING, regime STRING, nominal_value DOUBLE, deviation_pct DOUBLE, is_anomaly INT, desde STRING,
     hasta STRING, timestamp STRING"""
@@ -31,14 +46,14 @@ PAYLOADS = {
 }
 
 # Delimited tables, in the order of their columns.
-READING_TABLE = T.StructType.fromDDL(
+READING_TABLE = _columns(
     """reading_id BIGINT, equipment_id STRING, equipment_type STRING, timestamp TIMESTAMP, air_temp_k DOUBLE,
     process_temp_k DOUBLE, rpm INT, torque_nm DOUBLE, tool_wear_min INT, product_type STRING, anomaly_score DOUBLE,
     predicted_failure INT, machine_failure INT, twf INT, hdf INT, pwf INT, osf INT, rnf INT, prob_twf DOUBLE,
     prob_hdf DOUBLE, prob_pwf DOUBLE, prob_osf DOUBLE, prob_rnf DOUBLE"""
 )
 
-ALERT_TABLE = T.StructType.fromDDL(
+ALERT_TABLE = _columns(
     """alert_id STRING, equipment_id STRING, timestamp TIMESTAMP, failure_mode STRING, probability DOUBLE,
     severity STRING, anomaly_score DOUBLE, air_temp_k DOUBLE, process_temp_k DOUBLE, rpm INT, torque_nm DOUBLE,
     tool_wear_min INT, resolved INT, resolved_at TIMESTAMP"""
@@ -59,7 +74,7 @@ def lake_schema(table: str) -> T.StructType:
 
 
 # Machine table with its named header, and the predictions exported from it.
-AI4I = T.StructType.fromDDL(
+AI4I = _columns(
     """UDI BIGINT, `Product ID` STRING, Type STRING, `Air temperature [K]` DOUBLE, `Process temperature [K]` DOUBLE,
     `Rotational speed [rpm]` INT, `Torque [Nm]` DOUBLE, `Tool wear [min]` INT, `Machine failure` INT, TWF INT,
     HDF INT, PWF INT, OSF INT, RNF INT"""

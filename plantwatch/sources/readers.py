@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,14 @@ def with_landing_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({EVENT_TIME: landed, EQUIPMENT: F.coalesce(F.col(EQUIPMENT), folder)})
 
 
+def _malformed() -> Column:
+    # A malformed line is never the name of an equipment; the second column is there because Spark
+    # refuses to count on the corrupt-record column alone.
+    return F.col(CORRUPT).isNotNull() & ~F.col(CORRUPT).eqNullSafe(F.col(EQUIPMENT))
+
+
 def _clean(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return df.filter(~_malformed()).drop(CORRUPT)
 
 
 def read_landed(
@@ -56,11 +62,11 @@ def read_landed(
     """
     schema, options = _json_options(table)
     raw = spark.read.schema(schema).options(**options).json(path)
-    good = _clean(with_landing_columns(raw))
+    good = with_landing_columns(_clean(raw))
     if not quarantine:
         return good
-    bad = raw.select(F.col(CORRUPT).alias("line"), F.col("_metadata.file_path").alias("file"), EQUIPMENT)
-    return good, bad.filter(F.col("line").isNotNull()).drop(EQUIPMENT)
+    bad = raw.filter(_malformed()).select(F.col(CORRUPT).alias("line"), F.col("_metadata.file_path").alias("file"))
+    return good, bad
 
 
 def read_readings(
@@ -77,7 +83,7 @@ def stream_landed(
     reader = spark.readStream.schema(schema).options(**options)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _clean(with_landing_columns(reader.json(path)))
+    return with_landing_columns(_clean(reader.json(path)))
 
 
 def stream_readings(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
