@@ -72,12 +72,32 @@ def first_breach(
 
     Variables that leave in the same row are taken in the order of `ranges`.
     """
-    breaches = sensor_breaches(readings, [*keys, *order], ranges)
-    first = F.min(F.struct(*order, "ordinal", "variable", "value", "deviation_pct"))
+    found = []
+    for i, (name, (low, high)) in enumerate(ranges.items()):
+        value = F.col(name).cast("double")
+        found.append(
+            F.when(
+                (value < low) | (value > high),
+                F.struct(
+                    F.lit(i).alias("ordinal"),
+                    F.lit(name).alias("variable"),
+                    value.alias("value"),
+                    range_deviation(value, F.lit(low), F.lit(high)).alias("deviation_pct"),
+                ),
+            )
+        )
+    # A row counts with its first variable only, so nothing is multiplied by the number of sensors.
+    breaches = readings.select(*keys, *order, F.coalesce(*found).alias("_b")).filter(F.col("_b").isNotNull())
     return (
         breaches.groupBy(*keys)
-        .agg(first.alias("_first"))
-        .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in ("variable", *order, "value", "deviation_pct")])
+        .agg(F.min(F.struct(*order, "_b")).alias("_first"))
+        .select(
+            *keys,
+            F.col("_first._b.variable").alias("variable"),
+            *[F.col(f"_first.{c}").alias(c) for c in order],
+            F.col("_first._b.value").alias("value"),
+            F.col("_first._b.deviation_pct").alias("deviation_pct"),
+        )
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantwatch.functions.numbers import report_round
@@ -31,7 +31,7 @@ from plantwatch.operators.filters import (
     reading_columns,
     trend_columns,
 )
-from plantwatch.operators.ordered import last_n
+from plantwatch.operators.ordered import last_n, top_per_key
 
 NODE = ("node_id", "node_name", "equipment_id")
 
@@ -49,9 +49,8 @@ def top_k(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
 
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
-    """First k rows per key with their `rank`; Spark cuts to k per key before the shuffle."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k)
+    """First k rows per key with their `rank`."""
+    return top_per_key(df, keys, order, k)
 
 
 def rank_values(df: DataFrame, value: str, name: str) -> DataFrame:

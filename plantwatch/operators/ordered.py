@@ -27,7 +27,7 @@ from plantwatch.session import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 20_000
-GROUP_LIMIT = 1000
+SAMPLES_PER_SLICE = 100
 SALTS = 64
 
 SLICE, CARRY, AXIS = "_slice", "_carry", "_axis"
@@ -62,7 +62,8 @@ def slice_rows(
 ) -> Sliced:
     """Add the slice number of every row.
 
-    Counts the rows and, when they exceed one slice, takes quantiles of the first order column.
+    Counts the rows and, when they exceed one slice, takes quantiles of a sample of the first order
+    column.
     `checkpoint=True` stores the input first; use it when the input is more than a scan.
     """
     if checkpoint:
@@ -70,15 +71,16 @@ def slice_rows(
     axis = _axis(df, order[0])
     narrow = df.select(axis.alias(AXIS))
     whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(order), single=True)
-    slices = min(MAX_SLICES, ceil(narrow.count() / rows_per_slice))
+    rows = narrow.count()
+    slices = min(MAX_SLICES, ceil(rows / rows_per_slice))
     if slices <= 1:
         return whole
-    shares = [i / slices for i in range(1, slices)]
-    found = (
-        narrow.filter(~F.isnan(AXIS))
-        .agg(F.percentile_approx(AXIS, shares, max(10_000, 10 * slices)).alias("cuts"))
-        .first()["cuts"]
-    )
+    # Cut points only have to balance the slices, so a sample settles them. Which slice a row falls
+    # into follows from its value alone, and every row falls into one.
+    share = min(1.0, SAMPLES_PER_SLICE * slices / rows)
+    sample = narrow.filter(~F.isnan(AXIS)).sample(fraction=share, seed=1) if share < 1 else narrow.filter(~F.isnan(AXIS))
+    steps = [i / slices for i in range(1, slices)]
+    found = sample.agg(F.percentile_approx(AXIS, steps, max(10_000, 10 * slices)).alias("cuts")).first()["cuts"]
     cuts = sorted({cut for cut in found or [] if abs(cut) != inf})
     if not cuts:
         return whole
@@ -253,20 +255,22 @@ def partial_frames(
     return _frames(df, keys, order, features, 1 - size, 0, rows_per_slice)
 
 
-def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The last n rows per key, with `recency` 1 for the newest.
+def top_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str = "rank"
+) -> DataFrame:
+    """First k rows per key in the given order, numbered from 1; the order must be total.
 
-    Spark drops all but n rows per key before the shuffle for small n. For larger n a salted first
-    round does it, so that a hot key is not sorted in one task.
+    Spark cuts to k rows per key in every task before the shuffle. What the tasks keep of one key
+    goes to many tasks first, chosen by the task it comes from, and only k rows of each go on: the
+    final sort of a hot key does not grow with the table.
     """
-    newest_first = [F.desc(c) for c in order]
-    if n >= GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-        first_round = Window.partitionBy(*keys, "_salt").orderBy(*newest_first)
-        df = (
-            salted.withColumn("recency", F.row_number().over(first_round))
-            .filter(F.col("recency") <= n)
-            .drop("_salt", "recency")
-        )
-    latest = Window.partitionBy(*keys).orderBy(*newest_first)
-    return df.withColumn("recency", F.row_number().over(latest)).filter(F.col("recency") <= n)
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    for group in ([*keys, "_salt"], list(keys)):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        salted = salted.withColumn(name, place).filter(F.col(name) <= k)
+    return salted.drop("_salt")
+
+
+def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The last n rows per key, with `recency` 1 for the newest."""
+    return top_per_key(df, keys, [F.desc(c) for c in order], n, "recency")

@@ -23,8 +23,8 @@ def stratified_split(
     per hash band tell the band it falls in, and only the rows of that band are ranked.
     """
     draw = F.xxhash64(*by, F.lit(seed))
-    # 4096 bands of equal width in hash order; the shift keeps the sign and so the order.
-    band = F.shiftright(draw, 52)
+    # 65536 bands of equal width in hash order; the shift keeps the sign and so the order.
+    band = F.shiftright(draw, 48)
     ids = [F.col(c).alias(f"_id_{i}") for i, c in enumerate(by)]
     order = ["_draw", *[f"_id_{i}" for i in range(len(by))]]
     drawn = df.select(F.col(strata).alias("_stratum"), draw.alias("_draw"), band.alias("_band"), *ids)

@@ -41,13 +41,18 @@ from plantwatch.operators.ordered import ROWS_PER_SLICE, with_position
 READING_ORDER = ("event_ts", "reading_id")
 
 
+def _alerted(alert_rows: DataFrame) -> DataFrame:
+    # Each node once, before the shuffle of the join.
+    return open_alerts(alert_rows).select("node_id").distinct()
+
+
 def nodes_without_alerts(nodes: DataFrame, alert_rows: DataFrame) -> DataFrame:
     """Nodes that have no open alert."""
-    return nodes.join(open_alerts(alert_rows).select("node_id"), "node_id", "left_anti")
+    return nodes.join(_alerted(alert_rows), "node_id", "left_anti")
 
 
 def nodes_with_open_alerts(nodes: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    return nodes.join(open_alerts(alert_rows).select("node_id"), "node_id", "left_semi")
+    return nodes.join(_alerted(alert_rows), "node_id", "left_semi")
 
 
 def plant_status(diagnosed: DataFrame) -> DataFrame:
