@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from plantwatch.operators.ordered import (
     running,
     slice_rows,
     stored,
+    top_per_key,
     with_past_rows,
 )
 
@@ -70,35 +73,22 @@ def first_breach(
 ) -> DataFrame:
     """Per key the variable that left its range first, and the row where it did.
 
-    Variables that leave in the same row are taken in the order of `ranges`.
+    `order` must be total within a key. Variables that leave in the same row are taken in the order
+    of `ranges`.
     """
-    found = []
-    for i, (name, (low, high)) in enumerate(ranges.items()):
+    # Only the first row with a breach goes on; which variable it was is settled on that row.
+    first = top_per_key(readings.filter(any_breach(ranges)).select(*keys, *order, *ranges), keys, list(order), 1)
+    details = []
+    for name, (low, high) in ranges.items():
         value = F.col(name).cast("double")
-        found.append(
-            F.when(
-                (value < low) | (value > high),
-                F.struct(
-                    F.lit(i).alias("ordinal"),
-                    F.lit(name).alias("variable"),
-                    value.alias("value"),
-                    range_deviation(value, F.lit(low), F.lit(high)).alias("deviation_pct"),
-                ),
-            )
+        detail = F.struct(
+            F.lit(name).alias("variable"),
+            value.alias("value"),
+            range_deviation(value, F.lit(low), F.lit(high)).alias("deviation_pct"),
         )
-    # A row counts with its first variable only, so nothing is multiplied by the number of sensors.
-    breaches = readings.select(*keys, *order, F.coalesce(*found).alias("_b")).filter(F.col("_b").isNotNull())
-    return (
-        breaches.groupBy(*keys)
-        .agg(F.min(F.struct(*order, "_b")).alias("_first"))
-        .select(
-            *keys,
-            F.col("_first._b.variable").alias("variable"),
-            *[F.col(f"_first.{c}").alias(c) for c in order],
-            F.col("_first._b.value").alias("value"),
-            F.col("_first._b.deviation_pct").alias("deviation_pct"),
-        )
-    )
+        details.append(F.when((value < low) | (value > high), detail))
+    found = first.withColumn("_b", F.coalesce(*details))
+    return found.select(*keys, "_b.variable", *order, "_b.value", "_b.deviation_pct")
 
 
 def score_timeline(
@@ -209,6 +199,12 @@ def urgency(slope: Column, status: Column, slow: float = SLOW_RISE, steep: float
     )
 
 
+def any_breach(ranges: Mapping[str, tuple[float, float]] = SENSOR_RANGES) -> Column:
+    """True for rows with a sensor out of range; unknown values are not."""
+    outside = [(F.col(s) < lo) | (F.col(s) > hi) for s, (lo, hi) in ranges.items()]
+    return F.coalesce(reduce(or_, outside), F.lit(False))
+
+
 def breached_names(ranges: Mapping[str, tuple[float, float]] = SENSOR_RANGES) -> Column:
     """Sorted names of the sensors of a row that are out of range."""
     names = [

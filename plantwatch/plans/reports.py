@@ -21,6 +21,7 @@ from plantwatch.functions.rules import (
 from plantwatch.operators.episodes import (
     ABRUPT_ROWS,
     alerts_with_context,
+    any_breach,
     best_epoch,
     breached_names,
     co_moving,
@@ -202,7 +203,7 @@ def cause_verdict(alert_rows: DataFrame, context: DataFrame, osf_limit: float =
     """The modes whose signature the sensors show at the alert, against the reported mode."""
     signs = mode_signature(osf_limit)
     shown = F.array_compact(F.array(*[F.when(signs[m.lower()], F.lit(m)) for m in MODES if m != "RNF"]))
-    quiet = (F.size(breached_names()) == 0) & F.col("trigger").isNull()
+    quiet = ~any_breach() & F.col("trigger").isNull()
     verdict = (
         F.when(F.array_contains("shown_modes", F.col("failure_mode")), "signature confirmed")
         .when(F.size("shown_modes") > 0, "other mode")
