@@ -12,9 +12,10 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plantwatch.local import local_table
 from plantwatch.operators.ordered import ROWS_PER_SLICE, with_position
 from plantwatch.operators.prep import operating_point
 
@@ -108,6 +109,42 @@ class IsolationForestModel:
         )
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the nodes, the scaling and the settings as three small tables."""
+        tree = np.searchsorted(self.roots, np.arange(len(self.feature)), side="right") - 1
+        columns = (tree, self.feature, self.threshold, self.left, self.path)
+        nodes = list(zip(range(len(self.feature)), *[c.tolist() for c in columns]))
+        tables = {
+            "nodes": (nodes, "node long, tree long, feature long, threshold double, left long, path double"),
+            "scaling": (
+                [(i, f, float(m), float(s)) for i, (f, m, s) in enumerate(zip(self.features, self.mean, self.std))],
+                "place int, feature string, mean double, std double",
+            ),
+            "settings": ([(self.height, self.normal_path, self.cut)], "height int, normal_path double, cut double"),
+        }
+        for name, (rows, schema) in tables.items():
+            local_table(spark, rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IsolationForestModel:
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values("node")
+        scaling = spark.read.parquet(f"{path}/scaling").orderBy("place").collect()
+        settings = spark.read.parquet(f"{path}/settings").first()
+        return IsolationForestModel(
+            features=tuple(r["feature"] for r in scaling),
+            mean=np.array([r["mean"] for r in scaling]),
+            std=np.array([r["std"] for r in scaling]),
+            feature=nodes["feature"].to_numpy(),
+            threshold=nodes["threshold"].to_numpy(),
+            left=nodes["left"].to_numpy(),
+            path=nodes["path"].to_numpy(),
+            roots=np.flatnonzero(nodes["tree"].diff().to_numpy() != 0),
+            height=settings["height"],
+            normal_path=settings["normal_path"],
+            cut=settings["cut"],
+        )
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     n_trees: int = 200

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantwatch.functions.rules import FAILURE_PROBABILITY, anomaly_score, predicted_failure
+from plantwatch.local import local_table
 from plantwatch.operators.prep import positive_weights
 
 VECTOR = "_vector"
@@ -42,6 +43,19 @@ class MultiLabelModel:
         )
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write one model per label, and the order of the labels."""
+        order = local_table(spark, list(enumerate(self.models)), "place int, label string")
+        order.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        for label, model in self.models.items():
+            model.write().overwrite().save(f"{path}/label={label}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> MultiLabelModel:
+        labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("place").collect()]
+        return MultiLabelModel({x: LogisticRegressionModel.load(f"{path}/label={x}") for x in labels})
+
+
 def fit_multilabel(
     frames: DataFrame, labels: Sequence[str], max_iter: int = 50, reg: float = 1e-4
 ) -> MultiLabelModel:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantwatch.local import measured
+from plantwatch.local import local_table, measured
 from plantwatch.operators.ordered import ROWS_PER_SLICE, running, slice_rows
 
 SCALE_EPSILON = 1e-8
@@ -73,6 +73,17 @@ class ZScore:
         std = F.array(*[F.lit(s) for s in self.std])
         return F.transform(features, lambda x, i: (x - F.get(mean, i)) / F.get(std, i))
 
+    def save(self, spark: SparkSession, path: str, size: int) -> None:
+        """Write the scaling, with the frame length it was learnt on."""
+        rows = [(i, m, s, size) for i, (m, s) in enumerate(zip(self.mean, self.std))]
+        schema = "feature int, mean double, std double, size int"
+        local_table(spark, rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> tuple[ZScore, int]:
+        rows = spark.read.parquet(path).orderBy("feature").collect()
+        return ZScore(tuple(r["mean"] for r in rows), tuple(r["std"] for r in rows)), rows[0]["size"]
+
 
 def zscore_stats(rows: DataFrame, column: str) -> DataFrame:
     """(feature, mean, std) over feature arrays; std is that of the population plus a tiny constant."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from plantwatch.functions.numbers import report_round
 from plantwatch.functions.rules import SENSORS, health_status
 from plantwatch.operators import episodes, ordered, prep
-from plantwatch.operators.filters import feature_names, feature_vector
+from plantwatch.operators.filters import feature_names
+from plantwatch.plans.training import with_type_code
 from plantwatch.registry.book import register, rounded
 
 R = rounded
@@ -101,10 +102,6 @@ def _moments(column, position):
     FROM w, (SELECT {mean} AS m FROM w)"""
 
 
-def _typed(readings):
-    return feature_vector(readings).withColumn("type_code", F.get("features", F.lit(5))).drop("features")
-
-
 register(
     "zscore_stats",
     ["readings"],
@@ -113,7 +110,7 @@ register(
     lambda r: prep.zscore_stats(
         prep.frame_rows(
             ordered.lag_windows(
-                _typed(r), ["node_id"], ["event_ts", "reading_id"], feature_names(), 20, rows_per_slice=ROWS
+                with_type_code(r), ["node_id"], ["event_ts", "reading_id"], feature_names(), 20, rows_per_slice=ROWS
             )
         ),
         "features",

@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantwatch.functions.numbers import report_round
-from plantwatch.operators import forest, metrics, multilabel, ordered, prep
-from plantwatch.operators.filters import feature_names, normal_only
+from plantwatch.operators import forest, metrics
+from plantwatch.operators.filters import feature_names
+from plantwatch.plans import training
 from plantwatch.registry.book import register
-from plantwatch.registry.frames import LABELS, ORDER, ROWS, _typed
+from plantwatch.registry.frames import LABELS, ORDER, ROWS
 
 FOREST = forest.IsolationForest(n_trees=100, contamination=0.034)
 
 
-def _forest(readings):
-    typed = _typed(readings)
-    model = FOREST.fit(normal_only(typed), feature_names(), ["reading_id"], rows_per_slice=ROWS)
-    return typed, model
-
-
 def _forest_scores(readings):
-    typed, model = _forest(readings)
-    return model.score(typed.drop("predicted_failure")).select(
-        "reading_id", "machine_failure", "iforest_score", "predicted_failure"
-    )
+    model = training.fit_forest(readings, ["reading_id"], FOREST)
+    scored = training.score_forest(model, readings.drop("predicted_failure"))
+    return scored.select("reading_id", "machine_failure", "iforest_score", "predicted_failure")
 
 
 register("isolation_forest", ["readings"])(_forest_scores)
@@ -34,9 +28,9 @@ register("isolation_forest_report", ["readings"])(
 
 
 def _importance(readings):
-    typed, model = _forest(readings)
+    model = training.fit_forest(readings, ["reading_id"], FOREST)
     return forest.permutation_importance(
-        typed, model.score_column, feature_names(), ["reading_id"], rows_per_slice=ROWS
+        training.with_type_code(readings), model.score_column, feature_names(), ["reading_id"], rows_per_slice=ROWS
     ).withColumn("importance", report_round(F.col("importance"), 6))
 
 
@@ -44,13 +38,10 @@ register("permutation_importance", ["readings"])(_importance)
 
 
 def _multilabel(cases):
-    frames = ordered.lag_windows(_typed(cases), ["node_id"], ORDER, feature_names(), 20, rows_per_slice=ROWS)
-    split = prep.stratified_split(frames, "machine_failure", ["reading_id"])
-    train = split.filter(F.col("split") == "train")
-    scaling = prep.fit_zscore(train, len(feature_names()))
-    model = multilabel.fit_multilabel(prep.apply_zscore(train, scaling), LABELS, max_iter=10)
-    test = prep.apply_zscore(split.filter(F.col("split") == "test"), scaling)
-    return model.score(test.drop("anomaly_score", "predicted_failure", *[f"prob_{x}" for x in LABELS]))
+    plain = cases.drop("anomaly_score", "predicted_failure", *[f"prob_{x}" for x in LABELS])
+    frames = training.failure_frames(plain, ["node_id"], ORDER, ["reading_id"], rows_per_slice=ROWS)
+    models = training.fit_failure_models(frames, LABELS, max_iter=10)
+    return models.score(frames.filter(F.col("split") == "test"))
 
 
 register("multilabel", ["cases"])(
@@ -58,3 +49,5 @@ register("multilabel", ["cases"])(
         "reading_id", "machine_failure", *[f"prob_{x}" for x in LABELS], "anomaly_score", "predicted_failure"
     )
 )
+
+register("failure_report", ["cases"])(lambda c: training.failure_report(_multilabel(c), LABELS)["per_label"])

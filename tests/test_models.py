@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.operators import forest as f
 from plantwatch.operators import metrics, multilabel, ordered, prep
+from plantwatch.plans import training
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +99,57 @@ def test_multilabel(spark):
     c = metrics.score_cumulative(scored.select(F.col("prob_late").alias("score"), F.col("late").alias("label")))
     assert metrics.roc_auc(c).first().auc > 0.95
     assert scored.agg(F.max("prob_never")).first()[0] < 0.01
+
+
+def test_forest_survives_saving(spark, cloud, model, tmp_path):
+    model.save(spark, str(tmp_path / "forest"))
+    back = f.IsolationForestModel.load(spark, str(tmp_path / "forest"))
+    assert back.score(cloud).exceptAll(model.score(cloud)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def machine(spark):
+    """2000 readings of four nodes; the tool fails when it is worn."""
+    wear = "CAST(id * 13 % 254 AS INT)"
+    return spark.range(2000).selectExpr(
+        "id AS reading_id", "id AS event_ts", "concat('n', id % 4) AS node_id", "'M' AS product_type",
+        "300.0D + id % 5 AS air_temp_k", "310.0D AS process_temp_k", "CAST(1500 + id % 7 AS INT) AS rpm",
+        "40.0D + id % 9 AS torque_nm", f"{wear} AS tool_wear_min",
+        "CAST((id - 4) * 13 % 254 > 215 AS INT) AS twf", "CAST(id % 97 = 0 AS INT) AS rnf",
+    ).withColumn("machine_failure", F.greatest("twf", "rnf"))
+
+
+def test_failure_models_from_table_to_report(spark, machine, tmp_path):
+    labels = ["twf", "rnf"]
+    frames = training.failure_frames(machine, ["node_id"], ["event_ts"], ["reading_id"], size=5, rows_per_slice=300)
+    assert frames.count() == 2000 - 4 * 5
+    fitted = training.fit_failure_models(frames, labels, size=5, max_iter=20)
+    test = frames.filter("split = 'test'")
+    report = training.failure_report(fitted.score(test), labels)
+    per_label = {r["mode"]: r for r in report["per_label"].collect()}
+    assert per_label["twf"].auc > 0.95 and per_label["twf"].signal == "good"
+    assert report["any_failure"].first().auc > 0.8
+    assert report["auc_macro"].first().auc_macro is not None
+    fitted.save(spark, str(tmp_path / "m"))
+    back = training.FailureModels.load(spark, str(tmp_path / "m"))
+    assert back.size == 5 and back.scaling == fitted.scaling
+    prob = lambda m: m.score(test).select("reading_id", F.round("prob_twf", 9), F.round("prob_rnf", 9))
+    assert prob(back).exceptAll(prob(fitted)).count() == 0
+
+
+def test_forest_from_table_to_report(machine):
+    fitted = training.fit_forest(machine, ["reading_id"], f.IsolationForest(n_trees=20, contamination=0.05))
+    report = training.forest_report(training.score_forest(fitted, machine), ["twf", "rnf"])
+    counts = report["confusion"].first()
+    normals = counts.tn + counts.fp
+    assert counts.fp == pytest.approx(0.05 * normals, abs=2)
+    assert {r["mode"] for r in report["detection"].collect()} == {"twf", "rnf"}
+    assert 0 <= report["roc_auc"].first().auc <= 1 and report["average_precision"].first()[0] > 0
+
+
+def test_scene_rows(spark):
+    rows = [("Fire" if i % 2 else "No Fire", f"{i:05d}", [20.0 + 10 * i] * 4, *[[100.0, 180.0, 100.0, 180.0]] * 3) for i in range(20)]
+    scenes = spark.createDataFrame(rows, "category string, stem string, celsius array<double>, r array<double>, g array<double>, b array<double>")
+    chat = training.scene_rows(scenes, "s", "u")
+    assert {r.split: r["count"] for r in chat.groupBy("split").count().collect()} == {"test": 4, "train": 16}
+    assert chat.columns == ["scene_id", "split", "messages"]

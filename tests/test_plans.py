@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = [n for n in QUERIES if n not in {"multilabel", "isolation_forest", "isolation_forest_report", "permutation_importance"}]
+LAZY = [n for n in QUERIES if n not in {"multilabel", "failure_report", "isolation_forest", "isolation_forest_report", "permutation_importance"}]
 
 
 @pytest.mark.parametrize("name", LAZY)
