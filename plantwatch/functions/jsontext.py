@@ -7,18 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plantwatch.functions.texts import let, strip
+
 FENCE = "`" * 3
 END_MARK = "plantwatch: end of answer"
 
 
+def _before_last(text: Column, mark: str) -> Column:
+    """Text in front of the last mark; the whole text where there is none."""
+    kept = F.length(text) - F.length(F.substring_index(text, mark, -1)) - len(mark)
+    return F.when(F.contains(text, F.lit(mark)), F.left(text, kept)).otherwise(text)
+
+
+def _unfenced(body: Column) -> Column:
+    """Text without the line of an opening fence and without the closing fence and its tail."""
+    line_end = F.instr(body, "\n")
+    below = F.when(line_end > 0, F.substring(body, line_end + 1, F.length(body))).otherwise(body)
+    inner = let(below, lambda text: _before_last(text, FENCE))
+    return F.when(F.startswith(body, F.lit(FENCE)), inner).otherwise(body)
+
+
+def _braced(body: Column) -> Column:
+    tail = F.substring(body, F.instr(body, "{"), F.length(body))
+    span = let(tail, lambda text: F.left(text, F.length(text) - F.length(F.substring_index(text, "}", -1))))
+    return F.when(F.contains(body, F.lit("{")), F.nullif(span, F.lit("")))
+
+
 def json_span(text: Column) -> Column:
-    """Text from the first "{" to the last "}", after a surrounding code fence is taken off."""
-    body = F.regexp_replace(text, r"^\s+|\s+$", "")
-    unfenced = F.regexp_replace(body, r"^[^\n]*\n", "")
-    # A greedy match up to the last fence; without one the text stays whole.
-    unfenced = F.regexp_replace(unfenced, rf"(?s)^(.*){FENCE}.*$", "$1")
-    body = F.when(F.startswith(body, F.lit(FENCE)), unfenced).otherwise(body)
-    return F.regexp_substr(body, F.lit(r"(?s)\{.*\}"))
+    """Text from the first "{" to the last "}", after a surrounding code fence is taken off.
+
+    Plain searches only: the work is linear in the length of the text, whatever it holds.
+    """
+    return let(let(strip(text), _unfenced), _braced)
 
 
 def extract_json(text: Column) -> Column:
@@ -29,8 +49,12 @@ def extract_json(text: Column) -> Column:
     # The parser stops after a complete value and would overlook what follows. Inside an array the
     # span must be exactly the first element, with the mark after it.
     marked = F.try_parse_json(F.concat(F.lit("["), json_span(text), F.lit(f',"{END_MARK}"]')))
-    whole = F.try_variant_get(marked, "$[1]", "string") == END_MARK
-    return F.when(whole, F.try_variant_get(marked, "$[0]", "variant"))
+
+    def whole(value: Column) -> Column:
+        ends = F.try_variant_get(value, "$[1]", "string") == END_MARK
+        return F.when(ends, F.try_variant_get(value, "$[0]", "variant"))
+
+    return let(marked, whole)
 
 
 def _json_value(value: Column) -> Column:
@@ -54,16 +78,19 @@ def has_field(value: Column, field: str) -> Column:
 
 def _comparable(value: Column) -> Column:
     """Text equal for equal JSON values: 1, 1.0 and true agree, "true" and true do not."""
-    text = F.to_json(value)
-    flag = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
-    # Only a bare number casts; a JSON string keeps its quotes.
-    return F.coalesce((flag.try_cast("double") + F.lit(0.0)).cast("string"), text)
+
+    def canonical(text: Column) -> Column:
+        flag = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
+        # Only a bare number casts; a JSON string keeps its quotes.
+        return F.coalesce((flag.try_cast("double") + F.lit(0.0)).cast("string"), text)
+
+    return let(F.to_json(value), canonical)
 
 
 def same_field(left: Column, right: Column, field: str) -> Column:
     """1 where both hold the field with equal values, else 0."""
-    a, b = _member(left, field), _member(right, field)
-    return F.coalesce((_comparable(a) == _comparable(b)).cast("int"), F.lit(0))
+    same = _comparable(_member(left, field)) == _comparable(_member(right, field))
+    return F.coalesce(same.cast("int"), F.lit(0))
 
 
 def field_text(value: Column, field: str) -> Column:

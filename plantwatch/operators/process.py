@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.numbers import report_round
 from plantwatch.functions.rules import deviation_pct
+from plantwatch.functions.texts import strip, to_number
 
 NOMINAL_TEXTS = ("variable", "variable_medicion", "unit", "desde", "hasta")
 
@@ -29,21 +30,20 @@ def load_nominals(sheets: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
     A row needs a tag and a numeric nominal value; other texts are trimmed and may be empty.
     """
     rows = union_sheets({key: sheet.dropna(how="all") for key, sheet in sheets.items()})
-    nominal = F.trim(F.col("nominal_value").cast("string")).try_cast("double")
-    tag = F.trim(F.col("tag").cast("string"))
+    nominal = to_number(F.col("nominal_value").cast("string"))
+    tag = strip(F.col("tag").cast("string"))
     cleaned = rows.select(
         "equipment_id",
         "regime",
         tag.alias("tag"),
         *[
-            F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias(c)
+            F.coalesce(strip(F.col(c).cast("string")), F.lit("")).alias(c)
             for c in NOMINAL_TEXTS
             if c in rows.columns
         ],
         nominal.alias("nominal_value"),
     )
-    usable = F.col("nominal_value").isNotNull() & ~F.isnan("nominal_value")
-    return cleaned.filter(usable & ~F.col("tag").isin("", "nan"))
+    return cleaned.filter(F.col("nominal_value").isNotNull() & ~F.col("tag").isin("", "nan"))
 
 
 def attach_nominals(readings: DataFrame, nominals: DataFrame, value: str = "value") -> DataFrame:

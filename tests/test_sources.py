@@ -131,7 +131,7 @@ def test_nominals(spark):
     schema = "tag string, variable string, nominal_value string"
     sheets = {
         ("ug-1", "MT"): spark.createDataFrame(
-            [(" FT 1 ", " Water ", "10.5"), (None, "x", "1"), ("  ", "x", "1"), ("nan", "x", "1"), ("T2", None, "-3"), (None, None, None), ("T3", "x", "n/a"), ("T4", "x", None)],
+            [(" FT 1 ", " Water ", "10.5"), (None, "x", "1"), ("  ", "x", "1"), ("nan", "x", "1"), ("T2", None, "-3"), (None, None, None), ("T3", "x", "n/a"), ("T5", "x", "1d"), ("T6", "x", "NaN"), ("T4", "x", None)],
             schema,
         ),
         ("ug-2", "BL1"): spark.createDataFrame([("FT 1", "Steam", "1e2")], schema),

@@ -22,6 +22,12 @@ FENCE = "`" * 3
         ('{"a": 1', None),
         ("no object", None),
         ("} {", None),
+        ("}" + "{" * 200_000, None),
+        (" " * 200_000 + "x" + " " * 200_000 + '{"a": 1}', {"a": 1}),
+        (f"{FENCE} {{}}", None),
+        (f'{FENCE}\u2028{{"a": 1}}', None),
+        (f'{FENCE}json\n{{"a": 1}}', {"a": 1}),
+        ('\u00a0\n{"a": 1}\u3000', {"a": 1}),
         ("", None),
         (None, None),
         ('{"a": 1} and {"b": 2}', None),
