@@ -21,12 +21,20 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.S
     return spark.createDataFrame(pa.table(columns), schema)
 
 
+def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
+    """The rows of `df` on the driver, or None when there are more than `max_rows`.
+
+    Never more than `max_rows` + 1 rows reach the driver.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    return rows if rows.num_rows <= max_rows else None
+
+
 def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Run `df` when it is small and hold its rows; leave it as it is when it is not.
 
-    At most `max_rows` + 1 rows reach the driver. Use it for flat statistics whose size is expected,
-    but not certain, to be small: the planner then knows the size, and joins a larger result by
-    shuffle.
+    Use it for flat statistics whose size is expected, but not certain, to be small: the planner
+    then knows the size, and joins a larger result by shuffle.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= max_rows else df
+    rows = small_rows(df, max_rows)
+    return df if rows is None else df.sparkSession.createDataFrame(rows, df.schema)

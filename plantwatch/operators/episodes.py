@@ -109,7 +109,7 @@ def score_timeline(
     `checkpoint` stores the input first; use it when the input is more than a scan.
     """
     series = readings.select(*keys, *order, F.col(score).alias("_s")).filter(F.col("_s").isNotNull())
-    padded = with_past_rows(slice_rows(series, order, rows_per_slice, checkpoint), keys, 1)
+    padded = with_past_rows(slice_rows(series, keys, order, rows_per_slice, checkpoint), 1)
     group = [*keys, SLICE]
     ordered = Window.partitionBy(*group).orderBy(*order)
     linked = (
@@ -296,13 +296,12 @@ def best_epoch(
     """
     series = log.select(run, epoch, F.col(metric).alias("_m"))
     seen = running(
-        slice_rows(series, [epoch], rows_per_slice),
-        [run],
+        slice_rows(series, [run], [epoch], rows_per_slice),
         {"_n": ("sum", F.lit(1).cast("long")), "_best": ("max", F.col("_m"))},
         before=["_best"],
     )
     gain = F.when(F.col("_m") > F.greatest(F.coalesce("_best", F.lit(0.0)), F.lit(0.0)), F.struct("_n", epoch, "_m"))
-    gained = running(stored(seen), [run], {"_gain": ("max", gain)}).rows()
+    gained = running(stored(seen), {"_gain": ("max", gain)}).rows()
     idle = F.col("_n") - F.coalesce(F.col("_gain._n"), F.lit(0))
     ends = gained.groupBy(run).agg(
         F.min(F.when(idle >= patience, F.struct("_n", epoch, "_gain"))).alias("_stop"),

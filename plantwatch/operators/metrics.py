@@ -47,8 +47,8 @@ def score_cumulative(
         .withColumn("_falling", -F.col("score"))
     )
     counts = {"tp": ("sum", F.col("d_tp")), "fp": ("sum", F.col("d_fp"))}
-    sliced = slice_rows(per_score, ["_falling"], rows_per_slice, checkpoint=True)
-    return running(sliced, list(by), counts, whole=["tp", "fp"]).rows().drop("_falling")
+    sliced = slice_rows(per_score, by, ["_falling"], rows_per_slice, checkpoint=True)
+    return running(sliced, counts, whole=["tp", "fp"]).rows().drop("_falling")
 
 
 def _with_origin(curve: DataFrame, by: Sequence[str], origin: Mapping[str, Column]) -> DataFrame:

@@ -1,36 +1,43 @@
-"""Ordered work that never puts one key, or one global series, into one task.
+"""Ordered work that never puts a large key, or one global series, into one task.
 
-Rows are cut into *slices*: ranges of the first order column that hold about `rows_per_slice` rows
-each, over all keys together. A window then runs per (key, slice), and what a slice must know of
-its past arrives as a few *carry rows* placed in front of it:
+Keys that fit one task are left whole. A key with more than `rows_per_slice` rows is cut into
+*slices*: ranges of the first order column, about that many rows each. A window then runs per (key,
+slice), and what a slice must know of its past arrives as a few *carry rows* placed in front of it:
 
 * for running totals, one row with the total of the earlier slices;
 * for frames of the last n rows, the n rows that precede the slice.
 
 Slices depend on values only, so a recomputed task sees the same slices. The driver holds nothing
-but the cut points (at most MAX_SLICES numbers). A key that owns a third of the table is spread over
-as many tasks as it has slices.
+but the cut points (at most MAX_SLICES numbers, from a sample of fixed size) and a list of large
+keys of checked length. A key that owns a third of the table is spread over as many tasks as it has
+slices. Only rows that tie in the first order column cannot be told apart; order by a time or a
+number that varies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import ceil, inf
+from operator import and_
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantwatch.local import small_rows
 from plantwatch.session import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 20_000
-SAMPLES_PER_SLICE = 100
+MAX_SLICES = 100_000
+SAMPLES_PER_SLICE = 20
 SALTS = 64
 
-SLICE, CARRY, AXIS = "_slice", "_carry", "_axis"
+SLICE, CARRY, AXIS, SHARES = "_slice", "_carry", "_axis", "_shares"
 
 
 def _axis(df: DataFrame, column: str) -> Column:
@@ -47,9 +54,10 @@ def _axis(df: DataFrame, column: str) -> Column:
 
 @dataclass(frozen=True)
 class Sliced:
-    """Rows with their slice number; `single` says that one slice holds everything."""
+    """Rows with their slice number; `single` says that every key is one slice."""
 
     df: DataFrame
+    keys: tuple[str, ...]
     order: tuple[str, ...]
     single: bool
 
@@ -57,38 +65,75 @@ class Sliced:
         return self.df.drop(SLICE)
 
 
+def _large_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> tuple[DataFrame | None, int]:
+    """(large keys with the number of slices each needs, sum of those numbers)."""
+    needed = F.ceil(F.col("_n") / rows_per_slice).cast("int").alias(SHARES)
+    large = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > rows_per_slice)
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], needed)
+    )
+    rows = small_rows(large)
+    if rows is None:
+        return large, large.agg(F.sum(SHARES)).first()[0]
+    return df.sparkSession.createDataFrame(rows, large.schema), pc.sum(rows[SHARES]).as_py() or 0
+
+
+def _same_key(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+
+
 def slice_rows(
-    df: DataFrame, order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE, checkpoint: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_slice: int = ROWS_PER_SLICE,
+    checkpoint: bool = False,
 ) -> Sliced:
     """Add the slice number of every row.
 
-    Counts the rows and, when they exceed one slice, takes quantiles of a sample of the first order
-    column.
-    `checkpoint=True` stores the input first; use it when the input is more than a scan.
+    Counts the rows per key and, when a key exceeds one slice, takes quantiles of a sample of the
+    first order column of such keys. `checkpoint=True` stores the input first; use it when the input
+    is more than a scan.
     """
     if checkpoint:
         df = cut_lineage(df)
     axis = _axis(df, order[0])
-    narrow = df.select(axis.alias(AXIS))
-    whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(order), single=True)
-    rows = narrow.count()
-    slices = min(MAX_SLICES, ceil(rows / rows_per_slice))
+    narrow = df.select(*keys, axis.alias(AXIS))
+    whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(keys), tuple(order), single=True)
+    if keys:
+        large, slices = _large_keys(df, keys, rows_per_slice)
+        narrow = narrow.join(large, _same_key(keys))
+    else:
+        large, slices = None, ceil(df.count() / rows_per_slice)
     if slices <= 1:
         return whole
     # Cut points only have to balance the slices, so a sample settles them. Which slice a row falls
     # into follows from its value alone, and every row falls into one.
-    share = min(1.0, SAMPLES_PER_SLICE * slices / rows)
-    sample = narrow.filter(~F.isnan(AXIS)).sample(fraction=share, seed=1) if share < 1 else narrow.filter(~F.isnan(AXIS))
-    steps = [i / slices for i in range(1, slices)]
-    found = sample.agg(F.percentile_approx(AXIS, steps, max(10_000, 10 * slices)).alias("cuts")).first()["cuts"]
-    cuts = sorted({cut for cut in found or [] if abs(cut) != inf})
+    share = SAMPLES_PER_SLICE * min(slices, MAX_SLICES) / (slices * rows_per_slice)
+    known = narrow.filter(F.col(AXIS).isNotNull() & ~F.isnan(AXIS)).select(AXIS)
+    sample = known.sample(fraction=share, seed=1) if share < 0.5 else known
+    values = sample.toArrow()[AXIS].to_numpy()
+    if not len(values):
+        return whole
+    steps = np.linspace(0, 1, min(slices, MAX_SLICES) + 1)[1:-1]
+    cuts = sorted({float(cut) for cut in np.quantile(values, steps, method="lower") if abs(cut) != inf})
     if not cuts:
         return whole
+    # Bucketizer keeps NaN in a last bucket of its own.
     buckets = Bucketizer(splits=[-inf, *cuts, inf], inputCol=AXIS, outputCol=SLICE, handleInvalid="keep")
-    sliced = buckets.transform(df.withColumn(AXIS, axis)).drop(AXIS)
-    # NULL sorts first, NaN last; Bucketizer keeps NaN in a last bucket of its own.
-    slice_no = F.when(axis.isNull(), -1).otherwise(F.col(SLICE).cast("int"))
-    return Sliced(sliced.withColumn(SLICE, slice_no), tuple(order), single=False)
+    placed = buckets.transform(df.withColumn(AXIS, axis))
+    if keys:
+        placed = placed.join(large, _same_key(keys), "left")
+        shares = F.coalesce(SHARES, F.lit(1))
+    else:
+        shares = F.lit(slices)
+    # A key that needs fewer slices than there are buckets takes several buckets for each. NULL
+    # sorts first, so it gets the lowest number.
+    grouped = F.floor(F.col(SLICE) * shares / F.lit(len(cuts) + 1)).cast("int")
+    numbered = placed.withColumn(SLICE, F.when(axis.isNull(), -1).otherwise(grouped))
+    return Sliced(numbered.select(*df.columns, SLICE), tuple(keys), tuple(order), single=False)
 
 
 def stored(sliced: Sliced) -> Sliced:
@@ -98,7 +143,6 @@ def stored(sliced: Sliced) -> Sliced:
 
 def running(
     sliced: Sliced,
-    keys: Sequence[str],
     totals: Mapping[str, tuple[str, Column]],
     whole: Sequence[str] = (),
     before: Sequence[str] = (),
@@ -109,7 +153,8 @@ def running(
     current row. For a name in `whole` a column `<name>_all` holds the total of the entire key.
     """
     functions = {"sum": F.sum, "max": F.max, "min": F.min}
-    group, order = [*keys, SLICE], sliced.order
+    keys, order = list(sliced.keys), sliced.order
+    group = [*keys, SLICE]
     kept = [*sliced.df.columns, *totals, *[f"{name}_all" for name in whole]]
     out = sliced.df.select("*", *[value.alias(f"_v_{name}") for name, (_, value) in totals.items()])
 
@@ -146,9 +191,9 @@ def running(
     return replace(sliced, df=out.select(*kept))
 
 
-def positions(sliced: Sliced, keys: Sequence[str], name: str = "position") -> Sliced:
+def positions(sliced: Sliced, name: str = "position") -> Sliced:
     """Dense 0-based position of every row within its key."""
-    counted = running(sliced, keys, {name: ("sum", F.lit(1).cast("long"))})
+    counted = running(sliced, {name: ("sum", F.lit(1).cast("long"))})
     return replace(counted, df=counted.df.withColumn(name, F.col(name) - 1))
 
 
@@ -161,14 +206,15 @@ def with_position(
     checkpoint: bool = False,
 ) -> DataFrame:
     """`positions` of a DataFrame; `order` must identify a row within its key."""
-    return positions(slice_rows(df, order, rows_per_slice, checkpoint), keys, name).rows()
+    return positions(slice_rows(df, keys, order, rows_per_slice, checkpoint), name).rows()
 
 
-def with_past_rows(sliced: Sliced, keys: Sequence[str], depth: int) -> DataFrame:
+def with_past_rows(sliced: Sliced, depth: int) -> DataFrame:
     """The sliced rows plus, marked in CARRY, copies of the `depth` rows in front of every slice."""
     rows = sliced.df.withColumn(CARRY, F.lit(False))
     if sliced.single or depth < 1:
         return rows
+    keys = sliced.keys
     latest = Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(c) for c in sliced.order])
     tails = sliced.df.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= depth)
     # At most `depth` rows per (key, slice) are left, so a whole key fits one window here. A row
@@ -182,10 +228,10 @@ def with_past_rows(sliced: Sliced, keys: Sequence[str], depth: int) -> DataFrame
     return rows.unionByName(copies.withColumn(CARRY, F.lit(True)))
 
 
-def previous(sliced: Sliced, keys: Sequence[str], columns: Mapping[str, str]) -> Sliced:
+def previous(sliced: Sliced, columns: Mapping[str, str]) -> Sliced:
     """Add, under a new name, the value a column had in the previous row of the key."""
-    padded = with_past_rows(sliced, keys, 1)
-    ordered = Window.partitionBy(*keys, SLICE).orderBy(*sliced.order)
+    padded = with_past_rows(sliced, 1)
+    ordered = Window.partitionBy(*sliced.keys, SLICE).orderBy(*sliced.order)
     for name, column in columns.items():
         padded = padded.withColumn(name, F.lag(column).over(ordered))
     return replace(sliced, df=padded.filter(~F.col(CARRY)).drop(CARRY))
@@ -200,7 +246,7 @@ def _frames(
     last: int,
     rows_per_slice: int,
 ) -> DataFrame:
-    padded = with_past_rows(slice_rows(df, order, rows_per_slice), keys, -first)
+    padded = with_past_rows(slice_rows(df, keys, order, rows_per_slice), -first)
     span = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(first, last)
     row = F.array(*[F.col(c).cast("double") for c in features])
     framed = padded.withColumn("frame", F.collect_list(row).over(span))

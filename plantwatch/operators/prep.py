@@ -133,8 +133,8 @@ def operating_point(
         .groupBy(F.col(score).cast("double").alias("_s"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    sliced = slice_rows(counts, ["_s"], rows_per_slice, checkpoint=True)
-    ranked = running(sliced, [], {"_upto": ("sum", F.col("_n"))}, whole=["_upto"]).rows()
+    sliced = slice_rows(counts, [], ["_s"], rows_per_slice, checkpoint=True)
+    ranked = running(sliced, {"_upto": ("sum", F.col("_n"))}, whole=["_upto"]).rows()
     place = F.lit(1.0 - contamination) * (F.col("_upto_all") - 1)
     lower = F.floor(place)
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1

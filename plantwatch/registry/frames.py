@@ -14,7 +14,7 @@ from plantwatch.registry.book import register, rounded
 R = rounded
 LABELS = ("twf", "hdf", "pwf", "osf", "rnf")
 # Small slices, so that the test tables are cut into several.
-ROWS = 2000
+ROWS = 200
 
 
 def _outline(frames, size):

@@ -55,7 +55,7 @@ def test_frames_need_a_full_past(spark, n, frames):
 
 def test_running(series):
     values = {"s": ("sum", F.col("x")), "top": ("max", F.col("x")), "low": ("min", F.col("x"))}
-    got = o.running(o.slice_rows(series, ORDER, 91), ["k"], values, whole=["low"], before=["top"]).rows()
+    got = o.running(o.slice_rows(series, ["k"], ORDER, 91), values, whole=["low"], before=["top"]).rows()
     w = Window.partitionBy("k").orderBy(*ORDER)
     expected = (
         series.withColumn("s", F.sum("x").over(w))
@@ -68,7 +68,7 @@ def test_running(series):
 
 
 def test_previous(series):
-    got = o.previous(o.slice_rows(series, ORDER, 91), ["k"], {"before": "x"}).rows()
+    got = o.previous(o.slice_rows(series, ["k"], ORDER, 91), {"before": "x"}).rows()
     expected = series.withColumn("before", F.lag("x").over(Window.partitionBy("k").orderBy(*ORDER)))
     assert same(got, expected)
 
@@ -89,10 +89,33 @@ def test_last_n(series, n):
     assert same(o.last_n(series, ["k"], ORDER, n), expected)
 
 
-def test_no_task_holds_a_whole_key(series):
-    sliced = o.slice_rows(series, ORDER, 300).df
-    largest = sliced.groupBy("k", o.SLICE).count().agg(F.max("count")).first()[0]
-    assert largest <= 600
+def test_no_task_holds_a_large_key(series):
+    sizes = o.slice_rows(series, ["k"], ORDER, 300).df.groupBy("k", o.SLICE).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 600
+    slices = {r.k: r["count"] for r in sizes.groupBy("k").count().collect()}
+    # 4000 rows need 14 slices; keys below the limit stay whole.
+    assert 10 <= slices["hot"] <= 14
+    small = series.groupBy("k").count().filter("count <= 300").collect()
+    assert small and all(slices[r.k] == 1 for r in small)
+
+
+def test_small_keys_are_not_sliced(series):
+    sliced = o.slice_rows(series, ["k"], ORDER, 4000)
+    assert sliced.single and sliced.df.select(o.SLICE).distinct().count() == 1
+    assert not o.slice_rows(series, [], ORDER, 4000).single
+
+
+def test_many_large_keys(series, monkeypatch):
+    monkeypatch.setattr(o, "small_rows", lambda df: None)
+    got = o.with_position(series, ["k"], ORDER, rows_per_slice=50)
+    place = F.row_number().over(Window.partitionBy("k").orderBy(*ORDER)) - 1
+    assert same(got, series.withColumn("position", place.cast("long")))
+
+
+def test_order_without_variety_stays_whole(spark):
+    rows = spark.range(100).selectExpr("id", "0 AS t")
+    got = o.with_position(rows, [], ORDER, rows_per_slice=10)
+    assert got.filter("position <> id").count() == 0
 
 
 def test_timeline_across_slices(series):
