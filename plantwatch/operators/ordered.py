@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from plantwatch.local import small_rows
 from plantwatch.session import cut_lineage
 
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 100_000
 SAMPLES_PER_SLICE = 20
 SALTS = 64

@@ -128,9 +128,9 @@ SELECT event_id AS sample_id, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'tuned
 FROM events
 """
 
-# Training logs of many runs: one run per user, epochs in order of time.
+# Training logs of many runs: one run per user, steps in order of the event number.
 EPOCHS = """
-SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS epoch,
+SELECT user_id AS run_id, event_id AS epoch,
   CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000 AS f1_macro,
   CASE WHEN event_type = 'view' THEN NULL ELSE CAST(1 + (event_id * 31) % 997 AS DOUBLE) / 1000 END AS loss,
   CASE WHEN event_type = 'view' THEN CAST(1 + (event_id * 17) % 499 AS DOUBLE) / 1000 END AS eval_loss,

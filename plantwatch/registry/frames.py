@@ -262,18 +262,20 @@ register("sensor_correlations", ["stressed"], " UNION ALL ".join(
 )
 
 BEST = """
-, b AS (SELECT *, coalesce(max(f1_macro) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING
-    AND 1 PRECEDING), 0) AS best_before FROM epochs),
-i AS (SELECT *, max(CASE WHEN f1_macro > greatest(best_before, 0) THEN epoch ELSE 0 END) OVER (PARTITION BY run_id ORDER BY epoch)
-    AS last_gain FROM b),
-s AS (SELECT run_id, min(CASE WHEN epoch - last_gain >= 12 THEN epoch END) AS stop_epoch FROM i GROUP BY run_id),
-r AS (SELECT i.run_id, max(CASE WHEN stop_epoch IS NULL OR epoch <= stop_epoch THEN last_gain END) AS best_epoch,
-  max(stop_epoch) AS stop_epoch FROM i JOIN s USING (run_id) GROUP BY i.run_id)
+, n AS (SELECT *, row_number() OVER w AS pos, coalesce(max(f1_macro) OVER (PARTITION BY run_id ORDER BY epoch
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best_before FROM epochs
+  WINDOW w AS (PARTITION BY run_id ORDER BY epoch)),
+i AS (SELECT *, max(CASE WHEN f1_macro > greatest(best_before, 0) THEN pos ELSE 0 END) OVER (PARTITION BY run_id ORDER BY epoch)
+    AS last_gain FROM n),
+s AS (SELECT run_id, min(CASE WHEN pos - last_gain >= 12 THEN pos END) AS stop_pos FROM i GROUP BY run_id),
+g AS (SELECT i.run_id, max(CASE WHEN stop_pos IS NULL OR pos <= stop_pos THEN last_gain END) AS gain_pos,
+  max(stop_pos) AS stop_pos FROM i JOIN s USING (run_id) GROUP BY i.run_id),
+r AS (SELECT g.run_id, b.epoch AS best_epoch, b.f1_macro AS best_metric, e.epoch AS stop_epoch FROM g
+  LEFT JOIN n b ON b.run_id = g.run_id AND b.pos = g.gain_pos LEFT JOIN n e ON e.run_id = g.run_id AND e.pos = g.stop_pos)
 """
-register("best_epoch", ["epochs"], BEST + """
-SELECT r.run_id, nullif(best_epoch, 0) AS best_epoch, f1_macro AS best_metric, stop_epoch FROM r
-LEFT JOIN epochs e ON e.run_id = r.run_id AND e.epoch = r.best_epoch
-""")(lambda e: episodes.best_epoch(e, "f1_macro", patience=12, rows_per_slice=ROWS))
+register("best_epoch", ["epochs"], BEST + "SELECT * FROM r")(
+    lambda e: episodes.best_epoch(e, "f1_macro", patience=12, rows_per_slice=30)
+)
 
 register("run_extremes", ["epochs"], f"""
 SELECT run_id, min(grad_norm) FILTER (loss IS NOT NULL) AS min_grad_norm, max(grad_norm) FILTER (loss IS NOT NULL) AS max_grad_norm,

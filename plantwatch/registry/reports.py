@@ -218,7 +218,7 @@ register("training_report", ["epochs"], BEST + f"""
 , x AS (SELECT run_id, min(grad_norm) FILTER (loss IS NOT NULL) AS min_grad_norm, max(grad_norm) FILTER (loss IS NOT NULL) AS max_grad_norm,
   arg_min(eval_loss, epoch) FILTER (eval_loss IS NOT NULL) AS first_eval_loss,
   arg_max(eval_loss, epoch) FILTER (eval_loss IS NOT NULL) AS last_eval_loss FROM epochs GROUP BY run_id)
-SELECT r.run_id, nullif(best_epoch, 0) AS best_epoch, f1_macro AS best_metric, stop_epoch, min_grad_norm, max_grad_norm,
+SELECT r.run_id, best_epoch, best_metric, stop_epoch, min_grad_norm, max_grad_norm,
   first_eval_loss, last_eval_loss, {R('first_eval_loss / last_eval_loss', 6)} AS eval_loss_ratio
-FROM r JOIN x USING (run_id) LEFT JOIN epochs e ON e.run_id = r.run_id AND e.epoch = r.best_epoch
+FROM r JOIN x USING (run_id)
 """)(lambda e: six(reports.training_report(e), "eval_loss_ratio"))

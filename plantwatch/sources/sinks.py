@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,7 +53,7 @@ def register_views(spark: SparkSession, root: str) -> None:
 
 def create_tables(spark: SparkSession, root: str, database: str) -> None:
     """The same tables in the catalogue, for users of SQL."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{root}/_{database}'")
     for table in PAYLOADS:
         schema = lake_schema(table).add(EVENT_DAY, "date")
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -76,13 +78,12 @@ def write_chat_jsonl(df: DataFrame, path: str) -> None:
     writer.json(path)
 
 
-def write_run(results: DataFrame, summary: DataFrame, path: str) -> None:
-    """The rows of a scored run, its summary, and its accuracy per field, as three tables."""
+def write_run(results: DataFrame, summary: DataFrame, path: str, meta: Mapping[str, str] | None = None) -> None:
+    """The rows of a scored run, its summary with `meta` (backend, model, split and the like), and its
+    accuracy per field, as three tables."""
     fields = [c for c in summary.columns if c not in ("run", "n", "avg_latency_s", "overall")]
-    plain = results
-    if "pred" in results.columns:
-        plain = results.withColumn("pred", F.to_json("pred"))
+    plain = results.withColumn("pred", F.to_json("pred")) if "pred" in results.columns else results
     plain.write.mode("overwrite").json(f"{path}/results")
-    summary.write.mode("overwrite").json(f"{path}/meta")
-    table = summary.unpivot(["run"], fields, "field", "accuracy")
-    table.write.mode("overwrite").json(f"{path}/fields")
+    named = summary.withColumns({name: F.lit(value) for name, value in (meta or {}).items()})
+    named.write.mode("overwrite").json(f"{path}/meta")
+    summary.unpivot(["run"], fields, "field", "accuracy").write.mode("overwrite").json(f"{path}/fields")

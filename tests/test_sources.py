@@ -58,6 +58,10 @@ def test_lake_and_views(spark, landed, tmp_path):
     sinks.register_views(spark, str(lake))
     got = spark.sql("SELECT count(*) AS n, count(DISTINCT event_date) AS d FROM sensor_readings WHERE equipment_id = 'gw-1'")
     assert got.first()[:] == (4, 1)
+    sinks.create_tables(spark, str(lake), "plant")
+    assert spark.table("plant.sensor_readings").filter("equipment_id = 'gw 2'").count() == 2
+    assert spark.table("plant.alerts").count() == 0
+    spark.sql("DROP DATABASE plant CASCADE")
     plan = spark.table("sensor_readings").filter("equipment_id = 'gw-1'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(equipment_id" in plan
 
@@ -149,8 +153,9 @@ def test_run_files(spark, tmp_path):
 
     outputs = spark.createDataFrame([("s1", "a", '{"t": 1}', '{"t": 1}', 0.5)], "scene string, run string, raw string, truth string, latency_s double")
     scored = modelruns.score_fields(outputs, ["t"])
-    sinks.write_run(scored, modelruns.run_summary(scored, ["t"]), str(tmp_path / "run"))
-    assert spark.read.json(f"{tmp_path}/run/meta").first().overall == 1.0
+    sinks.write_run(scored, modelruns.run_summary(scored, ["t"]), str(tmp_path / "run"), {"model": "m1"})
+    meta = spark.read.json(f"{tmp_path}/run/meta").first()
+    assert (meta.overall, meta.model) == (1.0, "m1")
     assert {r.field: r.accuracy for r in spark.read.json(f"{tmp_path}/run/fields").collect()} == {"valid_json": 1.0, "fields_present": 1.0, "t": 1.0}
     assert spark.read.json(f"{tmp_path}/run/results").first().pred == '{"t":1}'
 

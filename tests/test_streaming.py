@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.rules import PROBABILITIES
 from plantwatch.operators import ordered
+from plantwatch.plans import live as live_plan
 from plantwatch.sources import readers, sinks
 from plantwatch.streaming import live
 from plantwatch.streaming.alerts import alert_stream
@@ -183,3 +184,35 @@ def test_landing_to_lake(spark, tmp_path):
     lake = run()
     assert sorted(r.reading_id for r in lake.collect()) == [0, 1, 2, 4]
     assert (tmp_path / "lake" / "equipment_id=gw-1" / "event_date=2023-11-14").is_dir()
+
+
+def test_landed_messages_to_scores_and_alerts(spark, tmp_path):
+    folder = tmp_path / "landing" / "gw-1"
+    folder.mkdir(parents=True)
+    base = {"equipment_id": "gw-1", "node_id": "n1", "node_name": "N1", "product_type": "L", "air_temp_k": 300.0, "process_temp_k": 310.0, "rpm": 1500, "torque_nm": 40.0}
+
+    def land(numbers):
+        for i in numbers:
+            message = {**base, "reading_id": i, "tool_wear_min": 10 * i, "anomaly_score": 0.1, **{p: 0.1 for p in PROBABILITIES}}
+            (folder / f"{1700000000000 + i * 5000}.json").write_text(json.dumps(message))
+
+    def wear(rows):
+        level = F.aggregate("frame", F.lit(0.0), lambda s, r: s + F.get(r, F.lit(4))) / F.size("frame") / 250.0
+        scored = rows.withColumns({p: F.lit(0.0) for p in PROBABILITIES}).withColumn("prob_twf", level)
+        return scored.withColumn("anomaly_score", level).withColumn("predicted_failure", (level >= 0.5).cast("int"))
+
+    def run():
+        live_plan.score_landed(spark, str(tmp_path / "landing"), str(tmp_path / "lake"), str(tmp_path / "work"), wear, available_now=True).awaitTermination()
+        readings = spark.read.parquet(f"{tmp_path}/lake/scored_readings")
+        return readings, spark.read.parquet(f"{tmp_path}/lake/scored_alerts")
+
+    land(range(15))
+    readings, alerts = run()
+    assert readings.count() == 15 and alerts.count() == 0
+    land(range(15, 30))
+    readings, alerts = run()
+    assert readings.count() == 30
+    got = {r.reading_id: round(r.anomaly_score, 6) for r in readings.collect()}
+    assert got[18] == 0.1 and got[19] == round(95 / 250, 6) and got[29] == round(195 / 250, 6)
+    raised = {r.reading_id: (r.failure_mode, r.severity) for r in alerts.collect()}
+    assert raised == {i: ("TWF", "medium") for i in range(26, 30)}
