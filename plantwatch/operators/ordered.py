@@ -228,15 +228,6 @@ def with_past_rows(sliced: Sliced, depth: int) -> DataFrame:
     return rows.unionByName(copies.withColumn(CARRY, F.lit(True)))
 
 
-def previous(sliced: Sliced, columns: Mapping[str, str]) -> Sliced:
-    """Add, under a new name, the value a column had in the previous row of the key."""
-    padded = with_past_rows(sliced, 1)
-    ordered = Window.partitionBy(*sliced.keys, SLICE).orderBy(*sliced.order)
-    for name, column in columns.items():
-        padded = padded.withColumn(name, F.lag(column).over(ordered))
-    return replace(sliced, df=padded.filter(~F.col(CARRY)).drop(CARRY))
-
-
 def _frames(
     df: DataFrame,
     keys: Sequence[str],

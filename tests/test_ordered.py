@@ -67,12 +67,6 @@ def test_running(series):
     assert same(rounded(got), rounded(expected))
 
 
-def test_previous(series):
-    got = o.previous(o.slice_rows(series, ["k"], ORDER, 91), {"before": "x"}).rows()
-    expected = series.withColumn("before", F.lag("x").over(Window.partitionBy("k").orderBy(*ORDER)))
-    assert same(got, expected)
-
-
 def test_unknown_order_values(spark):
     rows = spark.range(400).selectExpr(
         "id", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN DOUBLE('NaN') ELSE CAST(id * 13 % 101 AS DOUBLE) END AS t"
