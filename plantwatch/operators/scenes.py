@@ -178,10 +178,12 @@ def label_mismatch(labelled: DataFrame) -> DataFrame:
 
 
 def label_rows(labelled: DataFrame) -> DataFrame:
-    """Scene id, category and label text, one row per scene."""
+    """Scene id, category, the picture paths there are, and label text, one row per scene."""
+    paths = {"rgb_path": "rgb_path", "thermal_path": "thermal_path", "tiff_path": "thermal_tiff_path"}
     return labelled.select(
         scene_id(F.col("category"), F.col("stem")).alias("scene_id"),
         "category",
+        *[F.col(c).alias(name) for c, name in paths.items() if c in labelled.columns],
         label_json(LABEL_FIELDS).alias("label_json"),
     )
 
@@ -199,7 +201,7 @@ def label_distribution(labelled: DataFrame) -> DataFrame:
 def build_chat_rows(rows: DataFrame, system_text: str, user_text: str) -> DataFrame:
     """Training rows: system text, a user turn with both pictures and a question, the label as answer.
 
-    `rows` has `scene_id` and `label_json`; other columns, such as `split`, are kept.
+    `rows` has `scene_id` and `label_json`; `scene_id` and `split` are kept.
     """
 
     def content(kind: str, value: Column) -> Column:
@@ -221,5 +223,5 @@ def build_chat_rows(rows: DataFrame, system_text: str, user_text: str) -> DataFr
         ),
         message("assistant", content("text", F.col("label_json"))),
     )
-    kept = [c for c in rows.columns if c not in ("category", "label_json")]
+    kept = [c for c in ("scene_id", "split") if c in rows.columns]
     return rows.select(*kept, messages.cast(CHAT_SCHEMA).alias("messages"))

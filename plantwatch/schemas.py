@@ -88,3 +88,19 @@ AI4I_NAMES = {
     "Tool wear [min]": "tool_wear_min",
     "Machine failure": "machine_failure",
 }
+
+# Predictions exported per row of the machine table; the score is that of the isolation forest.
+PREDICTIONS = _columns(
+    """UDI BIGINT, `Product ID` STRING, Type STRING, `Machine failure` INT, TWF INT, HDF INT, PWF INT, OSF INT,
+    RNF INT, anomaly_score DOUBLE, predicted_failure INT"""
+)
+PREDICTION_NAMES = {
+    "Type": "product_type",
+    "Machine failure": "machine_failure",
+    "anomaly_score": "iforest_score",
+}
+
+SCENE_TABLE = _columns(
+    """scene_id STRING, category STRING, rgb_path STRING, thermal_path STRING, thermal_tiff_path STRING,
+    label_json STRING, split STRING"""
+)

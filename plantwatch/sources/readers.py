@@ -8,7 +8,16 @@ from pyspark.sql import types as T
 
 from plantwatch.functions.rules import encode_product_type
 from plantwatch.operators.scenes import CHAT_SCHEMA, match_scenes
-from plantwatch.schemas import AI4I, AI4I_NAMES, EQUIPMENT, EVENT_TIME, PAYLOADS
+from plantwatch.schemas import (
+    AI4I,
+    AI4I_NAMES,
+    EQUIPMENT,
+    EVENT_TIME,
+    PAYLOADS,
+    PREDICTION_NAMES,
+    PREDICTIONS,
+    SCENE_TABLE,
+)
 
 CORRUPT = "_bad"
 LANDED_NAME = r"/([^/]+)/([0-9]+)\.json$"
@@ -109,6 +118,17 @@ def read_ai4i(spark: SparkSession, path: str) -> DataFrame:
     return table.withColumnsRenamed(AI4I_NAMES).withColumn("type_code", encode_product_type(F.col("product_type")))
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Exported predictions, under the names the operators use."""
+    return spark.read.schema(PREDICTIONS).option("header", True).csv(path).withColumnsRenamed(PREDICTION_NAMES)
+
+
+def read_scene_table(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
+    """Scene table with its label text; without `split` the table ends before that column."""
+    schema = SCENE_TABLE if split else T.StructType(SCENE_TABLE.fields[:-1])
+    return spark.read.schema(schema).options(header=True, escape='"').csv(path)
+
+
 def read_scene_files(spark: SparkSession, root: str) -> DataFrame:
     """Scenes with all three pictures, as (category, stem, tiff_path, rgb_path, thermal_path).
 

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plantwatch.schemas import EQUIPMENT, EVENT_DAY, EVENT_TIME, PAYLOADS, lake_schema
+from plantwatch.schemas import (
+    EQUIPMENT,
+    EVENT_DAY,
+    EVENT_TIME,
+    PAYLOADS,
+    PREDICTION_NAMES,
+    PREDICTIONS,
+    SCENE_TABLE,
+    lake_schema,
+)
 
 PARTITIONS = (EQUIPMENT, EVENT_DAY)
-PREDICTION_COLUMNS = (
-    "UDI", "Product ID", "product_type", "machine_failure", "TWF", "HDF", "PWF", "OSF", "RNF",
-    "iforest_score", "predicted_failure",
-)
 
 
 def with_day(df: DataFrame) -> DataFrame:
@@ -66,10 +71,17 @@ def create_tables(spark: SparkSession, root: str, database: str) -> None:
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """Identity, grade, truth, labels, score and flag of every row as delimited text with a header."""
-    kept = [F.col(f"`{c}`") for c in PREDICTION_COLUMNS if c in df.columns]
+    headers = [(PREDICTION_NAMES.get(name, name), name) for name in PREDICTIONS.names]
+    kept = [F.col(f"`{column}`").alias(header) for column, header in headers]
     df.select(*kept).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_scene_table(df: DataFrame, path: str) -> None:
+    """Scenes with paths, label text and, where present, split as delimited text with a header."""
+    kept = [c for c in SCENE_TABLE.names if c in df.columns]
+    df.select(*kept).write.mode("overwrite").options(header=True, escape='"').csv(path)
+
+
 def write_chat_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines, in one folder per split; parts of a message that are not set are left out."""
     writer = df.write.mode("overwrite").option("ignoreNullFields", True)

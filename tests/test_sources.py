@@ -1,12 +1,13 @@
 """Landed messages, tables, listings, chat rows and what is written back."""
 
+import csv
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from plantwatch.operators import process, scenes
-from plantwatch.schemas import ALERT_TABLE, READING_PAYLOAD
+from plantwatch.operators import metrics, process, scenes
+from plantwatch.schemas import ALERT_TABLE, PREDICTIONS, READING_PAYLOAD
 from plantwatch.sources import readers, sinks
 
 
@@ -91,7 +92,10 @@ def test_machine_table_and_predictions(spark, tmp_path):
     scored = table.withColumn("iforest_score", F.lit(0.1)).withColumn("predicted_failure", F.lit(1))
     sinks.write_predictions(scored, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
-    assert back.columns == list(sinks.PREDICTION_COLUMNS) and back.count() == 2
+    assert back.columns == PREDICTIONS.names and back.count() == 2
+    read = readers.read_predictions(spark, str(tmp_path / "out"))
+    joined = metrics.attach_predictions(table, read.select("UDI", "iforest_score", "predicted_failure"))
+    assert {(r.UDI, r.rpm, r.iforest_score) for r in joined.collect()} == {(1, 1551, 0.1), (2, 1408, 0.1)}
 
 
 def test_scene_files(spark, tmp_path):
@@ -131,6 +135,20 @@ def test_chat_round_trip(spark, tmp_path):
     assert back.exceptAll(chat).count() == 0 and back.count() == 2
 
 
+def test_scene_table_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("fire_1", "Fire", "a/b.JPG", "c.JPG", "d.TIFF", '{"fire_present": true, "fire_size": "x, \\"y\\""}', "test")],
+        "scene_id string, category string, rgb_path string, thermal_path string, thermal_tiff_path string, label_json string, split string",
+    )
+    sinks.write_scene_table(rows, str(tmp_path / "split"))
+    back = readers.read_scene_table(spark, str(tmp_path / "split"))
+    assert back.collect() == rows.collect()
+    with open(next((tmp_path / "split").glob("*.csv"))) as f:
+        assert next(csv.DictReader(f))["label_json"] == rows.first().label_json
+    sinks.write_scene_table(rows.drop("split"), str(tmp_path / "labels"))
+    assert readers.read_scene_table(spark, str(tmp_path / "labels"), split=False).first().label_json == rows.first().label_json
+
+
 def test_nominals(spark):
     schema = "tag string, variable string, nominal_value string"
     sheets = {
