@@ -140,7 +140,7 @@ def test_scene_table_round_trip(spark, tmp_path):
         [("fire_1", "Fire", "a/b.JPG", "c.JPG", "d.TIFF", '{"fire_present": true, "fire_size": "x, \\"y\\""}', "test")],
         "scene_id string, category string, rgb_path string, thermal_path string, thermal_tiff_path string, label_json string, split string",
     )
-    sinks.write_scene_table(rows, str(tmp_path / "split"))
+    sinks.write_scene_table(rows.coalesce(1), str(tmp_path / "split"))
     back = readers.read_scene_table(spark, str(tmp_path / "split"))
     assert back.collect() == rows.collect()
     with open(next((tmp_path / "split").glob("*.csv"))) as f:
