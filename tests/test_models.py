@@ -153,3 +153,17 @@ def test_scene_rows(spark):
     chat = training.scene_rows(scenes, "s", "u")
     assert {r.split: r["count"] for r in chat.groupBy("split").count().collect()} == {"test": 4, "train": 16}
     assert chat.columns == ["scene_id", "split", "messages"]
+
+
+def test_scores_equal_a_walk_by_hand(cloud, model):
+    rows = [(r.a, r.b, r.c) for r in cloud.orderBy("id").limit(20).collect()]
+
+    def path(row, at):
+        scaled = (np.array(row) - model.mean) / model.std
+        while model.threshold[at] != np.inf:
+            at = model.left[at] + int(scaled[model.feature[at]] > model.threshold[at])
+        return model.path[at]
+
+    mean_path = [np.mean([path(row, root) for root in model.roots]) for row in rows]
+    expected = 2.0 ** (-np.array(mean_path) / f.average_path(256))
+    assert np.allclose(model.raw_scores(np.array(rows)), expected)
