@@ -18,7 +18,6 @@ from plantwatch.functions.rules import FAILURE_PROBABILITY, anomaly_score, signa
 from plantwatch.operators.ordered import ROWS_PER_SLICE, running, slice_rows
 
 F1_EPSILON = 1e-8
-WIDE = "decimal(38,0)"
 
 
 def long_form(df: DataFrame, pairs: Mapping[str, tuple[str, str]], name: str = "mode") -> DataFrame:

@@ -130,9 +130,6 @@ def _scaled(readings):
     )
 
 
-_stats = ", ".join(
-    f"sum(weight * CAST({s} AS DOUBLE)) / sum(weight) AS m_{s}, sum(weight * CAST({s} AS DOUBLE)) AS t_{s}" for s in SENSORS
-)
 register("apply_zscore", ["readings"], f"""
 , c AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY event_ts, reading_id) AS pos,
     count(*) OVER (PARTITION BY node_id) AS n FROM readings),

@@ -24,7 +24,7 @@ FROM process_measured m JOIN nominals n ON m.tag = n.tag AND m.regime = n.regime
 )
 
 
-def _sheet(part, equipment, shift):
+def _sheet(part, shift):
     """Text table of one regime, with the blanks and non-numbers such tables have."""
     key = F.col("p_partkey")
     return part.select(
@@ -48,20 +48,17 @@ SHEETS = [(f"ug-{u}", regime) for u in (1, 2) for regime in ("MT", "BL1", "BL2")
 register("load_nominals", ["part"], f"""
 SELECT * FROM ({' UNION ALL '.join(_sheet_sql(e, r, i) for i, (e, r) in enumerate(SHEETS))})
 WHERE tag <> '' AND nominal_value IS NOT NULL
-""")(lambda part: process.load_nominals({key: _sheet(part, key[0], i) for i, key in enumerate(SHEETS)}))
+""")(lambda part: process.load_nominals({key: _sheet(part, i) for i, key in enumerate(SHEETS)}))
 
 register("union_sheets", ["part"], f"""
 SELECT equipment_id, regime, CAST(count(*) AS BIGINT) AS n FROM (
   {' UNION ALL '.join(_sheet_sql(e, r, i) for i, (e, r) in enumerate(SHEETS))}) GROUP BY equipment_id, regime
 """)(
-    lambda part: process.union_sheets({key: _sheet(part, key[0], i) for i, key in enumerate(SHEETS)})
+    lambda part: process.union_sheets({key: _sheet(part, i) for i, key in enumerate(SHEETS)})
     .groupBy("equipment_id", "regime")
     .agg(F.count(F.lit(1)).alias("n"))
 )
 
-_items = ", ".join(
-    [f"('{i}', CAST({i}_n AS BIGINT))" for i in ("total", "normal", "failures", *LABELS)]
-)
 register("dataset_summary", ["cases"], f"""
 , c AS (SELECT count(*) AS total_n, sum(CASE WHEN machine_failure = 0 THEN 1 ELSE 0 END) AS normal_n,
     sum(CASE WHEN machine_failure <> 0 THEN 1 ELSE 0 END) AS failures_n,
@@ -92,7 +89,6 @@ FROM wanted LEFT JOIN counts USING (field, category)
     )
 )
 
-_EDGE = "CASE WHEN {i} = bins THEN hi ELSE lo + ({i}) * step END"
 register("class_histogram", ["readings"], f"""
 , lim AS (SELECT machine_failure, CASE machine_failure WHEN 0 THEN 50 ELSE 30 END AS bins,
     min(torque_nm) AS lo, max(torque_nm) AS hi, count(*) AS n_all FROM readings GROUP BY machine_failure),

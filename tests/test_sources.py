@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantwatch.operators import metrics, process, scenes
-from plantwatch.schemas import ALERT_TABLE, PREDICTIONS, READING_PAYLOAD
+from plantwatch.schemas import ALERT_TABLE, PREDICTIONS, READING_PAYLOAD, READING_TABLE
 from plantwatch.sources import readers, sinks
 
 
@@ -180,3 +180,4 @@ def test_run_files(spark, tmp_path):
 
 def test_payload_schema_is_fixed():
     assert READING_PAYLOAD["reading_id"].dataType.simpleString() == "bigint"
+    assert READING_TABLE.names[:4] == ["reading_id", "equipment_id", "equipment_type", "timestamp"]

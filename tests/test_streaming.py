@@ -216,3 +216,13 @@ def test_landed_messages_to_scores_and_alerts(spark, tmp_path):
     assert got[18] == 0.1 and got[19] == round(95 / 250, 6) and got[29] == round(195 / 250, 6)
     raised = {r.reading_id: (r.failure_mode, r.severity) for r in alerts.collect()}
     assert raised == {i: ("TWF", "medium") for i in range(26, 30)}
+
+
+def test_all_topics_stream(spark, tmp_path):
+    for table, start in (("alerts", readers.stream_alerts), ("process_readings", readers.stream_process)):
+        folder = tmp_path / table / "gw-1"
+        folder.mkdir(parents=True)
+        (folder / "1700000000000.json").write_text(json.dumps({"equipment_id": "gw-1", "timestamp": "2024-05-01T10:00:00Z"}))
+        rows = drain(start(spark, str(tmp_path / table)), tmp_path / f"{table}-out").collect()
+        expected = "2024-05-01 10:00:00" if table == "process_readings" else "2023-11-14 22:13:20"
+        assert [(r.equipment_id, str(r.event_ts)) for r in rows] == [("gw-1", expected)]
