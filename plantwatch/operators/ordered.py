@@ -23,6 +23,7 @@ from math import ceil, inf
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -65,19 +66,50 @@ class Sliced:
         return self.df.drop(SLICE)
 
 
-def _large_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> tuple[DataFrame | None, int]:
-    """(large keys with the number of slices each needs, sum of those numbers)."""
+@dataclass(frozen=True)
+class LargeKeys:
+    """Keys that need more than one slice, each with the number it needs (SHARES) and the first and
+    last value of its axis. `rows` holds the table on the driver when it is small."""
+
+    df: DataFrame
+    rows: pa.Table | None
+    slices: int
+
+    def with_ends(self, cuts: Sequence[float]) -> DataFrame:
+        """The keys with the buckets of their first and last row instead of the values."""
+        ends = {"_from": "_first", "_to": "_last"}
+        if self.rows is None:
+            table = self.df
+            for name, column in ends.items():
+                table = _bucketed(table, column, name, cuts)
+            return table.drop(*ends.values())
+        table = self.rows
+        for name, column in ends.items():
+            values = np.searchsorted(cuts, table[column].to_numpy(zero_copy_only=False), side="right")
+            table = table.append_column(name, pa.array(values.astype(float))).drop_columns(column)
+        return self.df.sparkSession.createDataFrame(table)
+
+
+def _bucketed(table: DataFrame, column: str, name: str, cuts: Sequence[float]) -> DataFrame:
+    """Add the number of cuts at or below a value; NaN goes to a last bucket of its own."""
+    splits = [-inf, *cuts, inf]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(table)
+
+
+def _large_keys(narrow: DataFrame, keys: Sequence[str], rows_per_slice: int) -> LargeKeys:
     needed = F.ceil(F.col("_n") / rows_per_slice).cast("int").alias(SHARES)
+    value = F.when(~F.isnan(AXIS), F.col(AXIS))
     large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        narrow.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_first"), F.max(value).alias("_last"))
         .filter(F.col("_n") > rows_per_slice)
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], needed)
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], needed, "_first", "_last")
     )
     rows = small_rows(large)
     if rows is None:
-        return large, large.agg(F.sum(SHARES)).first()[0]
-    return df.sparkSession.createDataFrame(rows, large.schema), pc.sum(rows[SHARES]).as_py() or 0
+        return LargeKeys(large, None, large.agg(F.sum(SHARES)).first()[0])
+    local = narrow.sparkSession.createDataFrame(rows, large.schema)
+    return LargeKeys(local, rows, pc.sum(rows[SHARES]).as_py() or 0)
 
 
 def _same_key(keys: Sequence[str]) -> Column:
@@ -103,10 +135,10 @@ def slice_rows(
     narrow = df.select(*keys, axis.alias(AXIS))
     whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(keys), tuple(order), single=True)
     if keys:
-        large, slices = _large_keys(df, keys, rows_per_slice)
-        narrow = narrow.join(large, _same_key(keys))
+        large = _large_keys(narrow, keys, rows_per_slice)
+        slices, narrow = large.slices, narrow.join(large.df, _same_key(keys))
     else:
-        large, slices = None, ceil(df.count() / rows_per_slice)
+        slices = ceil(df.count() / rows_per_slice)
     if slices <= 1:
         return whole
     # Cut points only have to balance the slices, so a sample settles them. Which slice a row falls
@@ -121,18 +153,16 @@ def slice_rows(
     cuts = sorted({float(cut) for cut in np.quantile(values, steps, method="lower") if abs(cut) != inf})
     if not cuts:
         return whole
-    # Bucketizer keeps NaN in a last bucket of its own.
-    buckets = Bucketizer(splits=[-inf, *cuts, inf], inputCol=AXIS, outputCol=SLICE, handleInvalid="keep")
-    placed = buckets.transform(df.withColumn(AXIS, axis))
+    placed = _bucketed(df.withColumn(AXIS, axis), AXIS, SLICE, cuts)
     if keys:
-        placed = placed.join(large, _same_key(keys), "left")
-        shares = F.coalesce(SHARES, F.lit(1))
+        # A key spreads its slices over the buckets between its first and its last row.
+        placed = placed.join(large.with_ends(cuts), _same_key(keys), "left")
+        grouped = F.floor((F.col(SLICE) - F.col("_from")) * F.col(SHARES) / (F.col("_to") - F.col("_from") + 1))
     else:
-        shares = F.lit(slices)
-    # A key that needs fewer slices than there are buckets takes several buckets for each. NULL
-    # sorts first, so it gets the lowest number.
-    grouped = F.floor(F.col(SLICE) * shares / F.lit(len(cuts) + 1)).cast("int")
-    numbered = placed.withColumn(SLICE, F.when(axis.isNull(), -1).otherwise(grouped))
+        grouped = F.col(SLICE)
+    # NULL sorts first, so it gets the lowest number.
+    slice_no = F.when(axis.isNull(), -1).otherwise(F.coalesce(grouped.cast("int"), F.lit(0)))
+    numbered = placed.withColumn(SLICE, slice_no)
     return Sliced(numbered.select(*df.columns, SLICE), tuple(keys), tuple(order), single=False)
 
 

@@ -93,6 +93,13 @@ def test_no_task_holds_a_large_key(series):
     assert small and all(slices[r.k] == 1 for r in small)
 
 
+def test_large_keys_at_different_times_are_all_sliced(spark):
+    rows = spark.range(20_000).selectExpr("id", "id AS t", "concat('k', id DIV 1000) AS k")
+    sizes = o.slice_rows(rows, ["k"], ORDER, 100).df.groupBy("k", o.SLICE).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 300
+    assert sizes.groupBy("k").count().agg(F.min("count")).first()[0] >= 6
+
+
 def test_small_keys_are_not_sliced(series):
     sliced = o.slice_rows(series, ["k"], ORDER, 4000)
     assert sliced.single and sliced.df.select(o.SLICE).distinct().count() == 1
