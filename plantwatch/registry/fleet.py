@@ -131,29 +131,40 @@ STATS = f"""SELECT {NODE}, {COUNT} AS total_readings, {R('AVG(anomaly_score)', 4
 FROM readings"""
 register("node_stats", ["readings"], f"{STATS} GROUP BY {NODE}")(fleet.node_stats)
 
-RECENT = f"""SELECT node_id, {R('AVG(anomaly_score)', 4)} AS recent_avg_score, {FAILURES} AS recent_failures
-FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY reading_id DESC) AS rn FROM readings)
-WHERE rn <= 20 GROUP BY node_id"""
-register("recent_stats", ["readings"], RECENT)(fleet.recent_stats)
 
-BREAKDOWN = f"""SELECT node_id, failure_mode, severity, {COUNT} AS "count", {R('MAX(anomaly_score)', 4)} AS max_score
-  FROM alerts GROUP BY node_id, failure_mode, severity"""
-RANKED = f"""SELECT *, CAST(row_number() OVER (PARTITION BY node_id ORDER BY max_score DESC, failure_mode, severity)
-  AS INT) AS "rank" FROM ({BREAKDOWN})"""
-register("alert_breakdown", ["alerts"], f'SELECT * FROM ({RANKED}) WHERE "rank" <= 10')(fleet.alert_breakdown)
+def recent_sql(by: str) -> str:
+    return f"""SELECT {by}, {R('AVG(anomaly_score)', 4)} AS recent_avg_score, {FAILURES} AS recent_failures
+FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY reading_id DESC) AS rn FROM readings)
+WHERE rn <= 20 GROUP BY {by}"""
+
+
+def breakdown_sql(by: str) -> str:
+    groups = f"""SELECT {by}, failure_mode, severity, {COUNT} AS "count", {R('MAX(anomaly_score)', 4)} AS max_score
+  FROM alerts GROUP BY {by}, failure_mode, severity"""
+    return f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY max_score DESC, failure_mode, severity)
+  AS INT) AS "rank" FROM ({groups})) WHERE "rank" <= 10"""
+
 
 STATUS = """CASE WHEN avg_score >= 0.80 THEN 'CRÍTICO' WHEN avg_score >= 0.65 THEN 'ALERTA' ELSE 'NORMAL' END"""
-DIAGNOSTIC = f"""
-, stats AS ({STATS} WHERE node_id <> '' GROUP BY {NODE}),
-recent AS ({RECENT}),
-listed AS (SELECT node_id, string_agg(failure_mode || '/' || severity || '/' || CAST("count" AS STRING), ' '
-    ORDER BY "rank") AS recent_alerts FROM ({RANKED}) WHERE "rank" <= 10 GROUP BY node_id)
+
+
+def diagnostic_sql(by: str) -> str:
+    return f"""
+, stats AS ({STATS} WHERE {by} <> '' GROUP BY {NODE}),
+recent AS ({recent_sql(by)}),
+listed AS (SELECT {by}, string_agg(failure_mode || '/' || severity || '/' || CAST("count" AS STRING), ' '
+    ORDER BY "rank") AS recent_alerts FROM ({breakdown_sql(by)}) GROUP BY {by})
 SELECT s.*, {STATUS} AS status, {first_mode({m: f'avg_{p}' for m, p in zip(MODES, PROBABILITIES)})}
   AS dominant_failure_mode, recent_avg_score, recent_failures, coalesce(recent_alerts, '') AS recent_alerts
-FROM stats s LEFT JOIN recent USING (node_id) LEFT JOIN listed USING (node_id)
+FROM stats s LEFT JOIN recent USING ({by}) LEFT JOIN listed USING ({by})
 """
 
 
+register("recent_stats", ["readings"], recent_sql("node_id"))(fleet.recent_stats)
+
+register("alert_breakdown", ["alerts"], breakdown_sql("node_id"))(fleet.alert_breakdown)
+
+
 def alerts_as_text(diagnosed):
     shown = F.transform(
         "recent_alerts",
@@ -162,10 +173,14 @@ def alerts_as_text(diagnosed):
     return diagnosed.withColumn("recent_alerts", F.array_join(shown, " "))
 
 
-register("diagnostic", ["readings", "alerts"], DIAGNOSTIC)(
+register("diagnostic", ["readings", "alerts"], diagnostic_sql("node_id"))(
     lambda r, a: alerts_as_text(fleet.diagnostic(r, a))
 )
 
+register("diagnostic_by_equipment", ["readings", "alerts"], diagnostic_sql("equipment_id"))(
+    lambda r, a: alerts_as_text(fleet.diagnostic(r, a, by="equipment_id"))
+)
+
 register("process_readings", ["process_readings"], f"""
 SELECT {PROCESS_LIST} FROM process_readings
 ORDER BY timestamp DESC, equipment_id, tag, regime, reading_id, value LIMIT 100

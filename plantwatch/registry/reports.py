@@ -11,7 +11,7 @@ from plantwatch.functions.rules import MODES, PROBABILITIES, SENSOR_RANGES, SENS
 from plantwatch.operators import episodes, fleet, knowledge
 from plantwatch.plans import reports
 from plantwatch.registry.book import register, rounded
-from plantwatch.registry.fleet import ALERT_LIST, AVG_PROBS, COUNT, FAILURES, NODE, RECENT, STATS, STATUS, first_mode
+from plantwatch.registry.fleet import ALERT_LIST, AVG_PROBS, COUNT, FAILURES, NODE, STATS, STATUS, first_mode, recent_sql
 from plantwatch.registry.frames import BEST, SLOPE
 
 R = rounded
@@ -97,7 +97,7 @@ FROM likely JOIN steps USING (failure_mode)
 NAMES = "CASE {m} " + " ".join(f"WHEN '{m}' THEN '{n}'" for m, n in knowledge.MODE_NAMES.items()) + " END"
 DIAGNOSED = f"""
 , stats AS ({STATS} WHERE node_id <> '' GROUP BY {NODE}),
-recent AS ({RECENT}),
+recent AS ({recent_sql("node_id")}),
 dg AS (SELECT s.*, {STATUS} AS status, {LEADING} AS dominant_failure_mode, recent_avg_score, recent_failures
   FROM stats s LEFT JOIN recent USING (node_id))"""
 
