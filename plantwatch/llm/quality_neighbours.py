@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantwatch.llm.common import bounded_sample, held_out
-from plantwatch.llm.textblocks import LOWER, Block, blocks
+from plantwatch.llm.textblocks import Block, blocks
 
 WORD_TERMS, PAIR_TERMS = 1024, 2048
 TERMS = WORD_TERMS + PAIR_TERMS + 1

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plantwatch.llm.language_id import language_id
 from plantwatch.llm.quality_neighbours import quality_neighbours
 from plantwatch.llm.quality_rules import quality_rules
+from plantwatch.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +39,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_neighbours")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_neighbours(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
