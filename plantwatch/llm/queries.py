@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plantwatch.llm.language_id import language_id
+from plantwatch.llm.packing import pack
 from plantwatch.llm.quality_neighbours import quality_neighbours
 from plantwatch.llm.quality_rules import quality_rules
 from plantwatch.llm.toxicity import toxicity
 
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -49,3 +53,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

@@ -65,11 +65,17 @@ class Block:
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
-    def spans(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and documents of the maximal runs where `inside` holds; runs end with their document."""
+    def spans(self, inside: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and documents of the maximal runs where `inside` holds; runs end with their document.
+
+        A run is also cut in front of each position in `cuts`, which have to be inside with the position before them.
+        """
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]
+        if cuts is not None:
+            begin[cuts] = True
+            end[cuts - 1] = True
         full = self.offsets[1:] > self.offsets[:-1]
         first, last = self.offsets[:-1][full], self.offsets[1:][full] - 1
         begin[first] = inside[first]
@@ -120,6 +126,13 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, block_documents: int
         first = last
 
 
+def block_of(pieces: np.ndarray, lengths: np.ndarray) -> Block:
+    """A block of texts given by their concatenated bytes and their lengths."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return Block(0, len(lengths), pieces, offsets)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges [start, start + length)."""
     total = int(lengths.sum())
