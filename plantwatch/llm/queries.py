@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from plantwatch.llm.chunk_reuse import encode_and_decode
 from plantwatch.llm.language_id import language_id
 from plantwatch.llm.packing import pack
 from plantwatch.llm.quality_neighbours import quality_neighbours
@@ -58,3 +59,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op3_chunk_reuse")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
