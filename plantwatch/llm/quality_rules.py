@@ -140,7 +140,7 @@ def quality_rules(
     whole tables. Texts move once, packed, to meet their flag; the weights are a fixed `n_buckets` numbers.
     """
     flags = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
-    flagged = packed_texts(docs).join(flags, "doc_id", "left").select("packed", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    flagged = packed_texts(docs).join(flags.hint("merge"), "doc_id", "left").select("packed", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     weights = bucket_weights(bucket_counts(flagged, n_buckets), n_buckets, smoothing)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
