@@ -14,6 +14,7 @@ from plantwatch.llm.language_id import language_id
 from plantwatch.llm.packing import pack
 from plantwatch.llm.quality_neighbours import quality_neighbours
 from plantwatch.llm.quality_rules import quality_rules
+from plantwatch.llm.repeats import repeat_digests
 from plantwatch.llm.toxicity import toxicity
 
 VOCABULARY = "word_bpe_49k.json"
@@ -84,3 +85,8 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op9_suffix_groups")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
