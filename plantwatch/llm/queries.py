@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.llm.ball_tree import top_products
 from plantwatch.llm.chunk_reuse import encode_and_decode
+from plantwatch.llm.jaccard_regions import jaccard_components
 from plantwatch.llm.language_id import language_id
 from plantwatch.llm.packing import pack
 from plantwatch.llm.quality_neighbours import quality_neighbours
@@ -90,3 +91,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_groups")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op5_jaccard_regions")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
