@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.llm.common import bounded_sample, cut_lineage, unpacked
 from plantwatch.llm.components import components
+from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, paired
 
 SHINGLE, RADIUS_PERCENT = 5, 25
@@ -113,11 +114,12 @@ def common_shingles(docs: DataFrame, size: int, sample: int, common: int) -> np.
 
 
 def first_shingles(docs: DataFrame, common: np.ndarray, size: int, radius: int) -> DataFrame:
-    """(shingle, cls, n): the first shingles of each class, once per batch."""
+    """The first shingles of each class, once per batch, as rows of `recurring`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = np.zeros(0, np.int64)
+            shingles, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for block in blocks(batch.column("text")):
                 hashes, cut = shingle_sets(block, size)
                 cls, n = classes_of(hashes, cut), np.diff(cut)
@@ -137,21 +139,26 @@ def first_shingles(docs: DataFrame, common: np.ndarray, size: int, radius: int)
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 wanted = n - least_overlap(n, radius) + must_share(n)
                 near = place < wanted[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[near].view(np.int64)), pa.array(cls[owner[near]]), pa.array(n[owner[near]])], ["shingle", "cls", "n"]
-                )
+                shingles.append(hashes[near].view(np.int64))
+                classes.append(cls[owner[near]])
+            yield routed(np.concatenate(shingles), np.concatenate(classes))
 
-    return docs.select("text").mapInArrow(rows, "shingle bigint, cls bigint, n bigint")
+    return docs.select("text").mapInArrow(rows, SCHEMA)
 
 
-def regions_of_shingles(first: DataFrame, radius: int) -> DataFrame:
-    """(region, cls, n): classes that may have a partner, in the regions of their first shingles that other such classes hold."""
-    pairs = first.distinct()
-    shared = pairs.join(pairs.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1").select("shingle").hint("merge"), "shingle")
-    shared = cut_lineage(shared)
+def regions_of_shingles(first: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
+    """(region, cls, n): classes that may have a partner, in the regions of their first shingles that other such classes hold.
+
+    `sizes` has (cls, n). A class needs as many shared first shingles as it would share with its smallest partner.
+    """
+    shared = cut_lineage(recurring(first))
+    held = shared.distinct().groupBy("uid").agg(F.count("*").alias("held")).join(sizes.hint("merge"), F.col("uid") == F.col("cls"))
     enough = 1 + F.floor(F.ceil(F.col("n") * (100 - radius) / 100) / 16)
-    able = shared.groupBy("cls", "n").agg(F.count("*").alias("held")).where(F.col("held") >= enough).select("cls")
-    return shared.join(able, "cls").select(F.col("shingle").alias("region"), "cls", "n")
+    able = held.where(F.col("held") >= enough).select("uid", "n")
+    regions = shared.join(able.hint("merge"), "uid").select(F.col("gram").alias("region"), F.col("uid").alias("cls"), "n").distinct()
+    regions = cut_lineage(regions)
+    several = regions.groupBy("region").agg(F.count("*").alias("held")).where("held > 1").select("region")
+    return regions.join(several.hint("merge"), "region")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -282,7 +289,7 @@ def jaccard_components(
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = cut_lineage(class_table(rows, shingle))
     first = first_shingles(rows, common_shingles(rows, shingle, sample, common), shingle, radius)
-    regions = cut_lineage(regions_of_shingles(first, radius))
+    regions = cut_lineage(regions_of_shingles(first, classes.where("n > 0").select("cls", "n").distinct(), radius))
     texts = cut_lineage(class_texts(rows, regions.select("cls").distinct(), shingle))
 
     # Every member against the smallest class of its region.

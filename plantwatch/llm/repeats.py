@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantwatch.llm.common import bounded_sample, packed_texts, unpacked
+from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.suffix_groups import Strings, suffix_array
 from plantwatch.llm.textblocks import Block, blocks, ragged
 
@@ -82,66 +83,15 @@ def _gram_rows(length: int, gram: int) -> Callable:
                 owners.append(uids[block.first : block.last][found.slice_document])
             if not keys:
                 continue
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            distinct, first, count = np.unique(key, return_index=True, return_counts=True)
-            many = np.repeat(count > 1, count)
-            again = np.zeros(len(key), dtype=bool)
-            again[1:] = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
-            here = many & ~again
-            alone = ~many
-            told = distinct[count > 1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key[alone], told, owner[here]])),
-                    pa.array(np.concatenate([key[alone], told, key[here]])),
-                    pa.array(
-                        np.concatenate([owner[alone], np.zeros(len(told), np.int64), owner[here]]),
-                        mask=np.repeat([False, True, False], [alone.sum(), len(told), here.sum()]),
-                    ),
-                    pa.array(np.repeat([False, True, True], [alone.sum(), len(told), here.sum()])),
-                ],
-                ["route", "gram", "uid", "many"],
-            )
+            yield routed(np.concatenate(keys), np.concatenate(owners))
 
     return rows
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, gram) of the grams with more than one place, from rows sorted by gram."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def settled(last: bool) -> pa.RecordBatch:
-        gram, uid, told, many = (np.concatenate(x) for x in zip(*held, strict=True))
-        end = len(gram) if last else int(np.searchsorted(gram, gram[-1]))
-        held[:] = [] if last else [(gram[end:], uid[end:], told[end:], many[end:])]
-        gram, uid, told, many = gram[:end], uid[:end], told[:end], many[:end]
-        passing = many & ~told
-        counted = ~passing
-        _, which = np.unique(gram, return_inverse=True)
-        weight = np.bincount(which, weights=np.where(told, 2, 1) * counted)
-        out = passing | (counted & ~told & (weight[which] > 1)) if len(gram) else passing
-        return pa.RecordBatch.from_arrays([pa.array(uid[out]), pa.array(gram[out])], ["uid", "gram"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        uid = batch.column("uid")
-        told = uid.is_null().to_numpy(zero_copy_only=False)
-        held.append(
-            (batch.column("gram").to_numpy(), uid.fill_null(0).to_numpy(), told, batch.column("many").to_numpy(zero_copy_only=False).astype(bool))
-        )
-        yield settled(False)
-    if held:
-        yield settled(True)
-
-
 def recurring_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(uid, gram): the anchor grams of each document of (doc_id, text) that occur in more than one place."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text")
-    rows = rows.mapInArrow(_gram_rows(length, gram), "route bigint, gram bigint, uid bigint, many boolean")
-    return rows.repartition("route").sortWithinPartitions("gram").mapInArrow(_recurring, "uid bigint, gram bigint")
+    return recurring(rows.mapInArrow(_gram_rows(length, gram), SCHEMA))
 
 
 def wide_grams(docs: DataFrame, length: int, gram: int, sample: int, wide: int) -> np.ndarray:
