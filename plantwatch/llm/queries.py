@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantwatch.llm import chat_view
 from plantwatch.llm.ball_tree import top_products
 from plantwatch.llm.chunk_reuse import encode_and_decode
 from plantwatch.llm.jaccard_regions import jaccard_components
@@ -16,6 +17,7 @@ from plantwatch.llm.packing import pack
 from plantwatch.llm.quality_neighbours import quality_neighbours
 from plantwatch.llm.quality_rules import quality_rules
 from plantwatch.llm.repeats import repeat_digests
+from plantwatch.llm.tool_calls import link_tool_calls
 from plantwatch.llm.toxicity import toxicity
 
 VOCABULARY = "word_bpe_49k.json"
@@ -96,3 +98,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_regions")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op1_tool_calls", chat_view.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(chat_view.messages(table(spark, sf_dir, "conversations")), chat_view.tools(spark))
