@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,20 +12,19 @@ from pyspark.sql import functions as F
 
 from plantwatch.session import cut_lineage
 
-__all__ = ["bounded_sample", "cut_lineage", "held_out", "packed_texts", "unpacked"]
+__all__ = ["bounded_sample", "cut_lineage", "held_out", "others", "packed_texts", "unpacked"]
 
 
-def packed_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, uid, packed): the text as zstd bytes, about a third of its size, for joins that have to move it.
+def packed_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, uid, packed[, rest]): the text as zstd bytes, about a third of its size, for joins that have to move it.
 
-    `uid` tells rows with other texts under the same id apart; equal rows share it.
+    `uid` tells rows with other texts under the same id apart; equal rows share it. `rest` holds the columns to carry along.
     """
-    rows = docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"),
-        F.xxhash64(F.col(id_column).cast("bigint"), F.col(text_column)).alias("uid"),
-        F.col(text_column).cast("string").alias("text"),
-    )
-    return rows.mapInArrow(_pack, "doc_id bigint, uid bigint, packed binary")
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), text.alias("text"), *rest)
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields) if carry else ""
+    return rows.mapInArrow(_pack, "doc_id bigint, uid bigint, packed binary" + (f", rest struct<{kinds}>" if carry else ""))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +32,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
         packed = pa.array([press.compress(x.as_buffer()) for x in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), packed], ["doc_id", "uid", "packed"])
+        rest = [c for c in batch.schema.names if c == "rest"]
+        columns = [batch.column("doc_id"), batch.column("uid"), packed, *[batch.column(c) for c in rest]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "packed", *rest])
 
 
 def unpacked(packed: pa.Array) -> pa.Array:
@@ -50,3 +51,8 @@ def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
 def held_out(key: str, modulus: int, remainder: int):
     """Whether the CRC-32 of the key as text leaves this remainder; false for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def others(docs: DataFrame) -> list[str]:
+    """The columns of documents besides id and text."""
+    return [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, cut_lineage, unpacked
+from plantwatch.llm.common import bounded_sample, cut_lineage, others, packed_texts, unpacked
 from plantwatch.llm.components import components
 from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, paired
@@ -84,16 +84,17 @@ def least_overlap(n: np.ndarray, radius: int) -> np.ndarray:
 
 
 def class_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, cls, n) of every document of (doc_id, text)."""
+    """(doc_id, uid, cls, n) of every document of (doc_id, text); equal rows share their uid."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 hashes, cut = shingle_sets(block, size)
-                ids = batch.column("doc_id").slice(block.first, block.documents)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut))], ["doc_id", "cls", "n"])
+                ids, uids = (batch.column(c).slice(block.first, block.documents) for c in ("doc_id", "uid"))
+                yield pa.RecordBatch.from_arrays([ids, uids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut))], ["doc_id", "uid", "cls", "n"])
 
-    return docs.mapInArrow(rows, "doc_id bigint, cls bigint, n bigint")
+    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
+    return named.mapInArrow(rows, "doc_id bigint, uid bigint, cls bigint, n bigint")
 
 
 def common_shingles(docs: DataFrame, size: int, sample: int, common: int) -> np.ndarray:
@@ -277,15 +278,11 @@ def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: in
     return known.where(_near(radius)).select("a", "b"), cut_lineage(regions)
 
 
-def jaccard_components(
+def linked_classes(
     docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS_PERCENT, sample: int = SAMPLE_DOCUMENTS, common: int = COMMON,
     small: int = SMALL_REGION, pivots: int = PIVOTS,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): the smallest id that links lead to, for every document.
-
-    Two documents are linked when their Jaccard distance is at most `radius` percent. `n_links` counts the links that were
-    computed for the document's class; classes already known to be connected are not compared further.
-    """
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The class of every document (`class_table`), the links (a, b) between classes, and their components (node, comp)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = cut_lineage(class_table(rows, shingle))
     first = first_shingles(rows, common_shingles(rows, shingle, sample, common), shingle, radius)
@@ -314,6 +311,16 @@ def jaccard_components(
     links = cut_lineage(links.union(distances(pairs, texts, shingle).where(_near(radius)).select("a", "b")).distinct())
     comps = components(links)
 
+    return classes, links, comps
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): the smallest id that links lead to, for every document.
+
+    Two documents are linked when their Jaccard distance is at most `radius` percent. `n_links` counts the links that were
+    computed for the document's class; classes already known to be connected are not compared further.
+    """
+    classes, links, comps = linked_classes(docs, **options)
     degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))
     names = classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = names.join(comps.withColumnRenamed("node", "cls"), "cls").join(degree, "cls")
@@ -323,3 +330,28 @@ def jaccard_components(
     full = classes.where("n > 0").join(by_class.hint("merge"), "cls").select("doc_id", "n", "component", "n_links")
     empty = classes.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.lit(0).cast("bigint").alias("n_links"))
     return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id, rows without an id last.
+
+    Documents without words are linked with nothing and stay; of rows equal in id and text one stays.
+    """
+    classes, _, comps = linked_classes(docs, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
+    of_class = classes.where("n > 0").groupBy("cls").agg(F.min(place).alias("place"))
+    labelled = of_class.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    first = labelled.groupBy("comp").agg(F.min("place").alias("place")).select(F.col("place.uid").alias("uid"))
+    chosen = first.union(classes.where("n = 0").select("uid")).distinct()
+    carry, names = others(docs), docs.columns
+    packed = packed_texts(docs, carry).join(chosen.hint("merge"), "uid").dropDuplicates(["uid"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {"doc_id": batch.column("doc_id"), "text": unpacked(batch.column("packed")).cast(pa.large_string())}
+            if carry:
+                found |= dict(zip(carry, batch.column("rest").flatten(), strict=True))
+            yield pa.RecordBatch.from_arrays([found[c] for c in names], names)
+
+    kept = packed.select("doc_id", "packed", *(["rest"] if carry else []))
+    return kept.mapInArrow(unpack, docs.schema)

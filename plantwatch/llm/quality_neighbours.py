@@ -155,16 +155,32 @@ def neighbour_scores(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS
     return docs.mapInArrow(score, "doc_id bigint, score double")
 
 
+def learned_space(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> Space:
+    """The space of a bounded sample of labelled documents, out of those whose id has a CRC-32 that is not 1 modulo 3."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    learned = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna()
+    return fit_space(*labelled_counts(rows, learned.where(~held_out("doc_id", 3, 1)), sample), rank)
+
+
 def quality_neighbours(
     docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, rank: int = RANK, neighbours: int = NEIGHBOURS, threshold: float = 0.5
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document.
-
-    `labels` has doc_id and quality; only ids whose CRC-32 modulo 3 is not 1 are learned from.
-    """
+    """(doc_id, held_out, score, predicted) of every document; `labels` has doc_id and quality."""
+    space = learned_space(docs, labels, sample, rank)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learned = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna()
-    space = fit_space(*labelled_counts(rows, learned.where(~held_out("doc_id", 3, 1)), sample), rank)
     return neighbour_scores(rows, space, neighbours).select(
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def kept_by_neighbours(docs: DataFrame, labels: DataFrame, *, neighbours: int = NEIGHBOURS, threshold: float = 0.5, **fitting) -> DataFrame:
+    """The documents with a score of at least `threshold`, with all their columns; they are judged where they are read."""
+    space = learned_space(docs, labels, **fitting)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text"), block_documents=BLOCK_DOCUMENTS):
+                good = space.scores(term_counts(block), neighbours) >= threshold
+                yield batch.slice(block.first, block.documents).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)

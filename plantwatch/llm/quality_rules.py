@@ -131,26 +131,45 @@ def rule_columns(block: Block, weights: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def quality_rules(
-    docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, n_buckets: int = BUCKETS, smoothing: float = SMOOTHING
-) -> DataFrame:
-    """One row per document: its rule statistics, its ratio and whether it is kept.
+def fit_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
+    """Weights of the buckets from all documents and all trusted ones.
 
-    `trusted` has the ids (`doc_id`) of the trusted documents, any number of them; both multinomials are counted over
-    whole tables. Texts move once, packed, to meet their flag; the weights are a fixed `n_buckets` numbers.
+    `trusted` has the ids (`doc_id`) of the trusted documents, any number of them. Texts move once, packed, to meet their
+    flag; what comes back is a fixed `n_buckets` numbers.
     """
     flags = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
-    flagged = packed_texts(docs).join(flags.hint("merge"), "doc_id", "left").select("packed", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    weights = bucket_weights(bucket_counts(flagged, n_buckets), n_buckets, smoothing)
+    flagged = packed_texts(docs).join(flags.hint("merge"), "doc_id", "left")
+    return bucket_weights(bucket_counts(flagged.select("packed", F.coalesce("trusted", F.lit(False)).alias("trusted")), n_buckets), n_buckets, smoothing)
+
+
+def _judged(block: Block, weights: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    out = rule_columns(block, weights)
+    failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
+    return out | {"base_failed": failed, "kept": ~failed & (out["llr"] >= threshold)}
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, **fitting) -> DataFrame:
+    """One row per document: its rule statistics, its ratio and whether it is kept."""
+    weights = fit_weights(docs, trusted, **fitting)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                out = rule_columns(block, weights)
-                failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
-                out |= {"base_failed": failed, "kept": ~failed & (out["llr"] >= threshold)}
+                out = _judged(block, weights, threshold)
                 ids = batch.column("doc_id").slice(block.first, block.documents)
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out.values())], ["doc_id", *out])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, SCHEMA)
+
+
+def kept_by_rules(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, **fitting) -> DataFrame:
+    """The documents that the rules keep, with all their columns; they are judged where they are read."""
+    weights = fit_weights(docs, trusted, **fitting)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                yield batch.slice(block.first, block.documents).filter(pa.array(_judged(block, weights, threshold)["kept"]))
+
+    return docs.mapInArrow(keep, docs.schema)

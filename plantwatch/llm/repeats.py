@@ -21,14 +21,14 @@ are impossible otherwise. An empty table gives an empty result. Other columns ar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, packed_texts, unpacked
+from plantwatch.llm.common import bounded_sample, others, packed_texts, unpacked
 from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.suffix_groups import Strings, suffix_array
 from plantwatch.llm.textblocks import Block, blocks, ragged
@@ -288,22 +288,26 @@ def removed_spans(block: Block, found: Anchors, recurs: np.ndarray, wide: np.nda
 
 
 def without_repeats(
-    docs: DataFrame, schema: str, rows_of: Callable, *, length: int = LENGTH, gram: int = GRAM, sample: int = SAMPLE_DOCUMENTS, wide: int = WIDE
+    docs: DataFrame, schema: str, rows_of: Callable, *, carry: Sequence[str] = (), length: int = LENGTH, gram: int = GRAM, sample: int = SAMPLE_DOCUMENTS, wide: int = WIDE
 ) -> DataFrame:
-    """Run `rows_of(ids, whole texts, kept texts, removed bytes, spans)` over all documents; it returns the columns of `schema`.
+    """Run `rows_of(columns, sizes, kept texts, removed bytes, spans)` over all documents; it returns the columns of `schema`.
+
+    `columns` are the documents' own, without the text: doc_id and, if `carry` names any, the struct `rest`.
 
     Texts are moved once, packed, for both passes over them. What else moves are grams and slices that recur, and
     the first places of slices.
     """
+    whole = docs
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = ["rest"] if carry else []
     wide_keys = wide_grams(docs, length, gram, sample, wide)
     grams = recurring_grams(docs, length, gram).groupBy("uid").agg(F.collect_set("gram").alias("grams"))
-    placed = packed_texts(docs).join(grams.hint("merge"), "uid", "left").select("uid", "doc_id", "packed", "grams")
+    placed = packed_texts(whole, carry).join(grams.hint("merge"), "uid", "left").select("uid", "doc_id", "packed", "grams", *rest)
     slices = placed.mapInArrow(_slice_rows(length, gram, wide_keys), "route bigint, text binary, doc_id bigint, uid bigint, start bigint")
     dealt = slices.repartition("route").sortWithinPartitions("route")
     first = dealt.mapInArrow(_first_places(length), "uid bigint, start int, windows int, repeats binary")
     told = first.groupBy("uid").agg(F.collect_list(F.struct("start", "windows", "repeats")).alias("told"))
-    joined = placed.join(told.hint("merge"), "uid", "left").select("doc_id", "packed", "grams", "told")
+    joined = placed.join(told.hint("merge"), "uid", "left").select("doc_id", "packed", "grams", "told", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +326,7 @@ def without_repeats(
                 removed = block.per_document(gone)
                 cut = np.concatenate([[0], np.cumsum(np.diff(block.offsets) - removed)]).tolist()
                 texts = [kept[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-                yield rows_of(batch.column("doc_id").slice(block.first, block.documents), np.diff(block.offsets), texts, removed, spans)
+                yield rows_of(batch.select(["doc_id", *rest]).slice(block.first, block.documents), np.diff(block.offsets), texts, removed, spans)
 
     return joined.mapInArrow(run, schema)
 
@@ -330,10 +334,29 @@ def without_repeats(
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
 
-    def digests(ids: pa.Array, n_bytes: np.ndarray, kept: list[bytes], removed: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+    def digests(columns: pa.RecordBatch, n_bytes: np.ndarray, kept: list[bytes], removed: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n_bytes), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
+            [columns.column("doc_id"), pa.array(n_bytes), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
     return without_repeats(docs, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", digests, **options)
+
+
+def cleaned(docs: DataFrame, **options) -> DataFrame:
+    """The documents with their repeats removed, all columns kept; n_chars, where there is one, counts the new text.
+
+    Where a removed run begins or ends inside a character, what is left of that character goes too, so that texts stay UTF-8.
+    """
+    carry, names = others(docs), docs.columns
+
+    def rows(columns: pa.RecordBatch, n_bytes: np.ndarray, kept: list[bytes], removed: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+        texts = [x.decode("utf-8", "ignore") for x in kept]
+        found = {"doc_id": columns.column("doc_id"), "text": pa.array(texts, pa.string())}
+        if carry:
+            found |= dict(zip(carry, columns.column("rest").flatten(), strict=True))
+        if "n_chars" in found:
+            found["n_chars"] = pa.array([len(x) for x in texts], found["n_chars"].type)
+        return pa.RecordBatch.from_arrays([found[c] for c in names], names)
+
+    return without_repeats(docs, docs.schema, rows, carry=carry, **options)
