@@ -23,8 +23,8 @@ from plantwatch.llm.common import packed_texts, unpacked
 from plantwatch.llm.textblocks import IN_WORD, Block, blocks, mixed, paired
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.12
-SMOOTHING = 1.0
+THRESHOLD = -0.1
+SMOOTHING = 20.0
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -73,15 +73,19 @@ def bucket_counts(flagged: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
 
 
 def bucket_weights(counts: DataFrame, n_buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log(target share / raw share) per bucket; at most `n_buckets` rows reach the driver."""
+    """log(target share / raw share) per bucket; at most `n_buckets` rows reach the driver.
+
+    Each bucket's count in the target is held against the count that the raw corpus lets expect there, `smoothing` added
+    to both, so that a bucket seen a few times says little and a small corpus does not reject what it merely has not seen.
+    """
     table = counts.toArrow()
     target, raw = np.zeros(n_buckets), np.zeros(n_buckets)
     at = table["bucket"].to_numpy()
     target[at], raw[at] = table["target"].to_numpy(), table["raw"].to_numpy()
     if not target.sum():
         return np.zeros(n_buckets)
-    share = lambda x: (x + smoothing) / (x.sum() + smoothing * n_buckets)
-    return np.log(share(target)) - np.log(share(raw))
+    share = lambda x: (x + smoothing) / (x + smoothing).sum()
+    return np.log(share(target)) - np.log(share(raw * (target.sum() / raw.sum())))
 
 
 def _repeat_words(words: np.ndarray, document: np.ndarray, n_documents: int) -> np.ndarray:
