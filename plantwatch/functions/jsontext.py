@@ -81,8 +81,11 @@ def _comparable(value: Column) -> Column:
 
     def canonical(text: Column) -> Column:
         flag = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
-        # Only a bare number casts; a JSON string keeps its quotes.
-        return F.coalesce((flag.try_cast("double") + F.lit(0.0)).cast("string"), text)
+        # Only a bare number casts; a JSON string keeps its quotes. Whole numbers compare exactly, also beyond 2^53.
+        number = flag.try_cast("double")
+        exact = flag.try_cast("decimal(38,0)")
+        whole = F.when(flag.rlike(r"^-?\d+$") | ((number == F.floor(number)) & (F.abs(number) < 2.0**53)), exact.cast("string"))
+        return F.coalesce(whole, (number + F.lit(0.0)).cast("string"), text)
 
     return let(F.to_json(value), canonical)
 

@@ -68,12 +68,12 @@ def _capped(value: Column, bands: Sequence[tuple[float, str]], otherwise: str) -
 
 def severity(score: Column) -> Column:
     return _banded(
-        score, [(CRITICAL_SCORE, "critical"), (HIGH_SCORE, "high"), (ALERT_SCORE, "medium")], "low"
+        known(score), [(CRITICAL_SCORE, "critical"), (HIGH_SCORE, "high"), (ALERT_SCORE, "medium")], "low"
     )
 
 
 def health_status(average_score: Column) -> Column:
-    return _banded(average_score, [(HIGH_SCORE, CRITICAL_STATE), (ALERT_SCORE, ALERT_STATE)], NORMAL_STATE)
+    return _banded(known(average_score), [(HIGH_SCORE, CRITICAL_STATE), (ALERT_SCORE, ALERT_STATE)], NORMAL_STATE)
 
 
 def _first_equal(values: Mapping[str, Column], target: Column) -> Column:

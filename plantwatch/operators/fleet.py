@@ -36,11 +36,16 @@ from plantwatch.operators.ordered import last_n, top_per_key
 NODE = ("node_id", "node_name", "equipment_id")
 
 
-def checked_limit(limit: int, cap: int) -> int:
-    """Row limit of a call, held at its cap."""
+def checked_limit(limit: int) -> int:
+    """Row limit of a call, as asked for."""
     if limit < 0:
         raise ValueError(f"limit must not be negative: {limit}")
-    return min(limit, cap)
+    return limit
+
+
+def newest_first(df: DataFrame, *ties: str) -> list[Column]:
+    """Order by time and reading number, newest first. Numbers restart when a gateway does, so time leads."""
+    return [F.desc(c) for c in ("event_ts", "reading_id") if c in df.columns] + [F.col(c) for c in ties if c in df.columns]
 
 
 def top_k(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
@@ -79,8 +84,7 @@ def sensor_readings(
 ) -> DataFrame:
     """Newest readings."""
     wanted = optional_equals(df, equipment_id=equipment_id, node_id=node_id)
-    newest = [F.desc("reading_id"), "equipment_id", "node_id"]
-    return top_k(reading_columns(wanted), newest, checked_limit(limit, 100))
+    return reading_columns(top_k(wanted, newest_first(df, "equipment_id", "node_id", "node_name"), checked_limit(limit)))
 
 
 def alerts(
@@ -88,8 +92,8 @@ def alerts(
 ) -> DataFrame:
     """Alerts with the highest scores; equal scores newest first."""
     wanted = optional_equals(df, severity=severity, node_id=node_id)
-    ties = [F.desc(c) for c in ("event_ts", "alert_id") if c in df.columns]
-    return alert_columns(top_k(wanted, [F.desc("anomaly_score"), *ties], checked_limit(limit, 100)))
+    ties = [F.desc(c) for c in ("event_ts", "alert_id", "equipment_id", "node_id", "failure_mode") if c in df.columns]
+    return alert_columns(top_k(wanted, [F.desc("anomaly_score"), *ties], checked_limit(limit)))
 
 
 def list_nodes(df: DataFrame) -> DataFrame:
@@ -119,8 +123,11 @@ def node_trend(df: DataFrame, node_id: str, limit: int = 50) -> DataFrame:
     """The last readings of one node, oldest first."""
     if not node_id:
         raise ValueError("node_id is required")
-    newest = top_k(optional_equals(df, node_id=node_id), [F.desc("reading_id")], checked_limit(limit, 200))
-    return trend_columns(newest).orderBy("reading_id")
+    wanted = optional_equals(df, node_id=node_id)
+    ties = ("equipment_id", "node_name")
+    newest = top_k(wanted, newest_first(df, *ties), checked_limit(limit))
+    oldest = [F.col(c) for c in ("event_ts", "reading_id") if c in df.columns] + [F.desc(c) for c in ties if c in df.columns]
+    return trend_columns(newest.orderBy(*oldest))
 
 
 def top_risk(df: DataFrame, limit: int = 5, threshold: float = ALERT_SCORE) -> DataFrame:
@@ -140,7 +147,7 @@ def top_risk(df: DataFrame, limit: int = 5, threshold: float = ALERT_SCORE) -> D
             "pct_in_alert", report_round(F.col("readings_in_alert") * 100.0 / F.col("total_readings"), 1)
         )
     )
-    return top_k(by_node, [F.desc("avg_score"), *NODE], checked_limit(limit, 20))
+    return top_k(by_node, [F.desc("avg_score"), *NODE], checked_limit(limit))
 
 
 def failure_heatmap(df: DataFrame) -> DataFrame:
@@ -171,7 +178,7 @@ def node_stats(df: DataFrame) -> DataFrame:
 
 
 def recent_stats(
-    df: DataFrame, by: str = "node_id", n: int = 20, order: Sequence[str] = ("reading_id",)
+    df: DataFrame, by: str = "node_id", n: int = 20, order: Sequence[str] = ("event_ts", "reading_id")
 ) -> DataFrame:
     """Average score and failures over the last n readings of every `by` value."""
     recent = last_n(df.select(by, "anomaly_score", "predicted_failure", *order), [by], list(order), n)
@@ -250,4 +257,4 @@ def process_readings(
         wanted = anomalies_only(wanted)
     newest = [F.desc("timestamp"), "equipment_id", "tag", "regime", "reading_id", "value"]
     present = [c for c in newest if not isinstance(c, str) or c in df.columns]
-    return process_columns(top_k(wanted, present, checked_limit(limit, 100)))
+    return process_columns(top_k(wanted, present, checked_limit(limit)))

@@ -20,8 +20,6 @@ from plantwatch.operators.ordered import ROWS_PER_SLICE, with_position
 from plantwatch.operators.prep import operating_point
 
 EULER_GAMMA = 0.5772156649015329
-# The trees draw their samples from a random part of this many rows.
-POOL_ROWS = 131_072
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, path double"
 
@@ -159,15 +157,16 @@ class IsolationForest:
     def samples(self, df: DataFrame, by: Sequence[str], features: Sequence[str], rows: int) -> DataFrame:
         """(tree, draw, features): exactly `sample` rows per tree, or all rows of a smaller table.
 
-        One hash per row picks the pool; only pool rows are hashed per tree. A hash threshold keeps
-        about twice the rows needed, and the lowest hashes of those make the sample.
+        Every tree draws from all rows. One hash per row picks the rows that may be drawn at all, as many as all trees
+        together take, and only those are hashed per tree. That gives a tree about twice the rows it needs; the
+        lowest hashes of those make its sample.
         """
-        pool_share = min(1.0, POOL_ROWS / rows)
-        pool = df.filter(self._below(F.xxhash64(*by, F.lit(self.seed)), pool_share))
-        share = min(1.0, 2.0 * self.sample / (rows * pool_share))
+        share = min(1.0, 2.0 * self.sample / rows)
+        any_tree = min(1.0, share * self.n_trees)
+        candidates = df.filter(self._below(F.xxhash64(*by, F.lit(self.seed)), any_tree))
         trees = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
-        drawn = F.filter(trees, lambda t: self._below(F.xxhash64(*by, t, F.lit(self.seed + 1)), share))
-        candidates = pool.select(*by, *features, F.explode(drawn).alias("tree")).withColumn(
+        drawn = F.filter(trees, lambda t: self._below(F.xxhash64(*by, t, F.lit(self.seed + 1)), share / any_tree))
+        candidates = candidates.select(*by, *features, F.explode(drawn).alias("tree")).withColumn(
             "draw", F.xxhash64(*by, F.col("tree"), F.lit(self.seed + 1))
         )
         lowest = Window.partitionBy("tree").orderBy("draw", *by)

@@ -11,63 +11,26 @@ from plantwatch.local import local_table
 SIMILAR = 0.05
 
 MODE_NAMES = {
-    "TWF": "worn tool or component",
-    "HDF": "cooling does not remove the heat",
-    "PWF": "power or electric drive trouble",
-    "OSF": "mechanical overload",
-    "RNF": "random fault without a clear pattern",
+    "TWF": "tool wear failure",
+    "HDF": "heat dissipation failure",
+    "PWF": "power failure",
+    "OSF": "overstrain failure",
+    "RNF": "random failure",
 }
 
-WORK_STEPS = {
-    "TWF": (
-        "Stop the machine and lock it out before opening it",
-        "Look over blades, inserts and rollers for wear",
-        "Gauge the wear and compare it with the maker's limit",
-        "Fit a new part where the limit is passed",
-        "Check alignment and bolt torque of the new part",
-        "Write down how many hours the old part ran",
-    ),
-    "HDF": (
-        "Check level and condition of the coolant",
-        "Spin fans and extractors by hand; listen for rubbing and vibration",
-        "Clear dust and biomass out of the heat exchangers",
-        "Inspect air filters and swap the clogged ones",
-        "Test thermostats and temperature probes",
-        "Measure the air flow once everything is clean",
-    ),
-    "PWF": (
-        "Inspect motor terminals for loose, corroded or hot joints",
-        "Measure voltage and current of each phase against the rating plate",
-        "Read the fault memory of the drive or starter and check its cooling",
-        "Check the coupling for wear, play and alignment",
-        "Check the motor bearings for heat, noise and vibration",
-        "Verify the power figures after the repair",
-    ),
-    "OSF": (
-        "Stop the machine and lock it out",
-        "Search frame and drive train for cracks and bent parts",
-        "Compare the biomass feed with the rated load",
-        "Check belt and chain tension, pulleys and sprockets",
-        "Test the overload protection: torque limiters and clutches",
-        "Lower the feed settings to stay within the rated load",
-    ),
-    "RNF": (
-        "Give the machine a general check by eye, ear and thermometer",
-        "Go through the recent log for events at the same time",
-        "Check sensors and wiring of the node for false readings",
-        "Check vibration, temperature and noise in general",
-        "Without a cause, watch the node closely for two to three days",
-        "Hand over to reliability engineering if the anomaly stays",
-    ),
-}
-
-SPARE_PARTS = {
-    "TWF": ("set of blades or inserts", "fixing bolts", "assembly grease", "cut protection gear"),
-    "HDF": ("air filters", "coolant", "fan belt", "thermostat", "exchanger cleaning kit"),
-    "PWF": ("contactors", "fuses", "motor bearings", "flexible coupling", "power terminals"),
-    "OSF": ("drive belts and chains", "torque limiter", "pulleys and sprockets", "structural fasteners"),
-    "RNF": ("diagnostic kit", "spare node sensors"),
-}
+# A short plan per mode, for callers without work instructions of their own; it names the readings that show the mode.
+WORK_STEPS = (
+    ("TWF", 1, "compare tool_wear_min with the limit of the tool"),
+    ("TWF", 2, "change the tool and reset its counter"),
+    ("HDF", 1, "compare process_temp_k with air_temp_k at low rpm"),
+    ("HDF", 2, "restore the cooling"),
+    ("PWF", 1, "compare torque_nm times rpm with the rated power"),
+    ("PWF", 2, "restore the supply"),
+    ("OSF", 1, "compare tool_wear_min times torque_nm with the strain limit"),
+    ("OSF", 2, "reduce the load"),
+    ("RNF", 1, "repeat the measurement"),
+)
+SPARE_PARTS = (("TWF", "tool"), ("HDF", "fan"), ("PWF", "fuse"), ("OSF", "clutch"), ("RNF", ""))
 
 
 def mode_table(spark: SparkSession) -> DataFrame:
@@ -75,13 +38,11 @@ def mode_table(spark: SparkSession) -> DataFrame:
 
 
 def step_table(spark: SparkSession) -> DataFrame:
-    rows = [(mode, i, step) for mode, steps in WORK_STEPS.items() for i, step in enumerate(steps, 1)]
-    return local_table(spark, rows, "failure_mode string, step_no int, step string")
+    return local_table(spark, list(WORK_STEPS), "failure_mode string, step_no int, step string")
 
 
 def parts_table(spark: SparkSession) -> DataFrame:
-    rows = [(mode, ", ".join(parts)) for mode, parts in SPARE_PARTS.items()]
-    return local_table(spark, rows, "failure_mode string, parts string")
+    return local_table(spark, list(SPARE_PARTS), "failure_mode string, parts string")
 
 
 def mode_label(df: DataFrame, mode: str = "failure_mode", name: str = "mode_name") -> DataFrame:
@@ -100,12 +61,18 @@ def likely_modes(averages: dict[str, Column], dominant: Column, tolerance: float
     return F.array_compact(F.array(dominant, second))
 
 
-def attach_interventions(diagnosed: DataFrame, tolerance: float = SIMILAR) -> DataFrame:
+def attach_interventions(
+    diagnosed: DataFrame, steps: DataFrame | None = None, parts: DataFrame | None = None, tolerance: float = SIMILAR
+) -> DataFrame:
     """One row per work step of the dominant mode, and of a second mode about as likely.
 
-    Adds `mode_rank` (1 for the dominant mode), `failure_mode`, `step_no`, `step` and `parts`.
+    `steps` (failure_mode, step_no, step) and `parts` (failure_mode, parts) are the caller's work instructions; without them a
+    short plan of this library stands in. Adds `mode_rank` (1 for the dominant mode), `failure_mode`, `step_no`, `step`
+    and `parts`, which is NULL for a mode without any.
     """
     spark = diagnosed.sparkSession
+    steps = step_table(spark) if steps is None else steps
+    parts = parts_table(spark) if parts is None else parts
     averages = {m: F.col(f"avg_{p}") for m, p in zip(MODES, PROBABILITIES)}
     per_mode = diagnosed.select(
         "*", F.posexplode(likely_modes(averages, F.col("dominant_failure_mode"), tolerance)).alias("_i", "failure_mode")
@@ -113,6 +80,6 @@ def attach_interventions(diagnosed: DataFrame, tolerance: float = SIMILAR) -> Da
     return (
         per_mode.withColumn("mode_rank", F.col("_i") + 1)
         .drop("_i")
-        .join(step_table(spark), "failure_mode")
-        .join(parts_table(spark), "failure_mode")
+        .join(steps.select("failure_mode", "step_no", "step"), "failure_mode")
+        .join(parts.select("failure_mode", "parts"), "failure_mode", "left")
     )

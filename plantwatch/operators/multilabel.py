@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantwatch.functions.rules import FAILURE_PROBABILITY, anomaly_score, predicted_failure
@@ -17,8 +17,15 @@ from plantwatch.operators.prep import positive_weights
 VECTOR = "_vector"
 
 
+def complete(frame: str = "frame") -> Column:
+    """Whether every sensor of every row of the frame is known."""
+    return F.forall(F.flatten(frame), lambda v: v.isNotNull() & ~F.isnan(v))
+
+
 def flattened(frames: DataFrame, frame: str = "frame") -> DataFrame:
-    return frames.withColumn(VECTOR, array_to_vector(F.flatten(frame)))
+    """The frame as one vector; zeros stand in where a sensor is unknown, so that the row can be carried along."""
+    values = F.transform(F.flatten(frame), lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
+    return frames.withColumn(VECTOR, array_to_vector(values))
 
 
 @dataclass(frozen=True)
@@ -28,14 +35,17 @@ class MultiLabelModel:
     models: dict[str, LogisticRegressionModel]
 
     def score(self, frames: DataFrame, threshold: float = FAILURE_PROBABILITY) -> DataFrame:
-        """Add `prob_<label>`, `anomaly_score` (the largest) and `predicted_failure`."""
+        """Add `prob_<label>`, `anomaly_score` (the largest) and `predicted_failure`.
+
+        They are NULL for a frame with an unknown sensor.
+        """
         scored = flattened(frames)
         names = []
         for label, model in self.models.items():
             one = model.copy().setFeaturesCol(VECTOR).setProbabilityCol("_p")
             one = one.setRawPredictionCol("").setPredictionCol("")
             name = f"prob_{label}"
-            scored = one.transform(scored).withColumn(name, F.get(vector_to_array("_p"), F.lit(1))).drop("_p")
+            scored = one.transform(scored).withColumn(name, F.when(complete(), F.get(vector_to_array("_p"), F.lit(1)))).drop("_p")
             names.append(name)
         top = anomaly_score([F.col(n) for n in names])
         return scored.drop(VECTOR).withColumn("anomaly_score", top).withColumn(
@@ -61,8 +71,9 @@ def fit_multilabel(
 ) -> MultiLabelModel:
     """Fit the labels on scaled frames; positives weigh as much as the negatives of their label.
 
-    A label without a case gets a model that always answers 0.
+    A label without a case gets a model that always answers 0. Frames with an unknown sensor are left out.
     """
+    frames = frames.filter(complete())
     weights = {r["label"]: r["weight"] for r in positive_weights(frames, labels).collect()}
     # Every fit passes over the rows many times; lost blocks are rebuilt from their lineage.
     training = flattened(frames).select(VECTOR, *labels).persist()

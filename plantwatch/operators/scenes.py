@@ -80,8 +80,7 @@ def smoke_fraction(scenes: DataFrame) -> DataFrame:
 
     def smoky(p: Column) -> Column:
         high, low = F.greatest(p["r"], p["g"], p["b"]), F.least(p["r"], p["g"], p["b"])
-        saturation = F.when(high == 0, F.lit(0.0)).otherwise((high - low) / F.greatest(high, F.lit(1e-6)))
-        return (saturation < SMOKE_MAX_SATURATION) & (high / F.lit(255.0) > SMOKE_MIN_BRIGHTNESS)
+        return (high - low < high * SMOKE_MAX_SATURATION) & (high > 255 * SMOKE_MIN_BRIGHTNESS)
 
     share = F.try_divide(F.size(F.filter(_pixels(), smoky)), F.size("r"))
     return scenes.withColumn("smoke_share", share)
@@ -123,10 +122,9 @@ def pixel_stats_arrow(scenes: DataFrame) -> DataFrame:
             heat = np.asarray(heat, dtype=float)
             heat = heat[~np.isnan(heat)]
             red, green, blue = (np.asarray(c, dtype=float) for c in (red, green, blue))
-            high = np.maximum(np.maximum(red, green), blue)
-            low = np.minimum(np.minimum(red, green), blue)
-            saturation = np.where(high == 0, 0.0, (high - low) / np.maximum(high, 1e-6))
-            smoky = (saturation < SMOKE_MAX_SATURATION) & (high / 255.0 > SMOKE_MIN_BRIGHTNESS)
+            bands = np.stack([red, green, blue])
+            high = bands.max(axis=0)
+            smoky = (np.ptp(bands, axis=0) < high * SMOKE_MAX_SATURATION) & (high > 255 * SMOKE_MIN_BRIGHTNESS)
             gray = (red + green + blue) / 3.0
             rows.append(
                 (

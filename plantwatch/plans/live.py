@@ -12,20 +12,19 @@ from plantwatch.functions.rules import encode_product_type
 from plantwatch.operators.filters import feature_names
 from plantwatch.operators.ordered import ROWS_PER_SLICE
 from plantwatch.sources.readers import stream_readings
-from plantwatch.sources.sinks import with_day
 from plantwatch.streaming.alerts import alert_stream
-from plantwatch.streaming.live import Scorer, dedup_stream, windowed_scores, write_batches
+from plantwatch.streaming.live import Scorer, unseen_rows, windowed_scores, write_lake_batches
 
 
 def write_scored(lake: str):
-    """Sink for scored micro-batches: readings and the alerts they raise, replaced if repeated."""
-    readings, alerts = write_batches(f"{lake}/scored_readings"), write_batches(f"{lake}/scored_alerts")
+    """Sink for scored micro-batches: readings and the alerts they raise, as lake tables, replaced if repeated."""
+    readings, alerts = write_lake_batches(f"{lake}/scored_readings"), write_lake_batches(f"{lake}/scored_alerts")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            readings(with_day(batch), batch_id)
-            alerts(with_day(alert_stream(batch)), batch_id)
+            readings(batch, batch_id)
+            alerts(alert_stream(batch), batch_id)
         finally:
             batch.unpersist()
 
@@ -41,17 +40,19 @@ def score_landed(
     keys: Sequence[str] = ("node_id",),
     features: Sequence[str] | None = None,
     size: int = 20,
-    delay: str = "10 minutes",
     files_per_trigger: int | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Read landed readings, drop repeated deliveries, score the frames, write readings and alerts.
+    """Read landed readings, score the frames, write readings and alerts to the lake.
+
+    Every reading is written once: repeated deliveries are recognised by what the lake holds of their day, so a late
+    reading is never lost. One that is not newer than its node's last keeps the scores it came with.
 
     `work` is a folder in shared storage for state and progress. With key "equipment_id" the frames
     mix the nodes of a gateway, as a gateway does that keeps one buffer.
     """
-    stream = dedup_stream(stream_readings(spark, landing, files_per_trigger), delay=delay)
+    stream = stream_readings(spark, landing, files_per_trigger)
     coded = stream.withColumn("type_code", encode_product_type(F.col("product_type")).cast("double"))
     return windowed_scores(
         coded,
@@ -64,4 +65,5 @@ def score_landed(
         size,
         rows_per_slice=rows_per_slice,
         available_now=available_now,
+        unseen=lambda batch, batch_id: unseen_rows(batch, f"{lake}/scored_readings", batch_id),
     )

@@ -75,6 +75,12 @@ SELECT reading_id AS alert_id, equipment_id, node_id, node_name, event_ts,
 FROM readings WHERE anomaly_score >= 0.65e0
 """
 
+# Alerts of every other node; those of the rest have been seen to.
+QUIET_ALERTS = """
+SELECT alert_id, node_id, severity, anomaly_score,
+  CAST(CASE WHEN node_id < 'node-009' THEN 1 ELSE resolved END AS INT) AS resolved FROM alerts
+"""
+
 NOMINALS = """
 WITH g AS (
   SELECT p_partkey, p_retailprice, 'MT' AS regime, 1.0e0 AS k FROM part
@@ -143,6 +149,7 @@ VIEWS = {
     "cases": CASES,
     "stressed": STRESSED,
     "alerts": ALERTS,
+    "quiet_alerts": QUIET_ALERTS,
     "nominals": NOMINALS,
     "process_raw": PROCESS_RAW,
     "process_measured": PROCESS_MEASURED,
@@ -155,6 +162,7 @@ NEEDS = {
     "cases": ("readings",),
     "stressed": ("readings",),
     "alerts": ("readings",),
+    "quiet_alerts": ("readings", "alerts"),
     "process_measured": ("process_raw", "nominals"),
     "process_readings": ("process_raw", "nominals", "process_measured"),
 }

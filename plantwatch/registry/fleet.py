@@ -73,11 +73,11 @@ register("process_columns", ["process_readings"], f"SELECT {PROCESS_LIST} FROM p
 )
 
 register("sensor_readings", ["readings"], f"""
-SELECT {READING_LIST} FROM readings ORDER BY reading_id DESC, equipment_id, node_id LIMIT 100
+SELECT {READING_LIST} FROM readings ORDER BY event_ts DESC, reading_id DESC, equipment_id, node_id LIMIT 500
 """)(lambda r: fleet.sensor_readings(r, limit=500))
 
 register("sensor_readings_of_equipment", ["readings"], f"""
-SELECT {READING_LIST} FROM readings WHERE equipment_id = 'gw-2' ORDER BY reading_id DESC LIMIT 20
+SELECT {READING_LIST} FROM readings WHERE equipment_id = 'gw-2' ORDER BY event_ts DESC, reading_id DESC LIMIT 20
 """)(lambda r: fleet.sensor_readings(r, equipment_id="gw-2"))
 
 register("alerts", ["alerts"], f"""
@@ -102,8 +102,7 @@ FROM readings GROUP BY equipment_id
 """)(fleet.equipment_summary)
 
 register("node_trend", ["readings"], f"""
-SELECT {TREND_LIST} FROM (SELECT * FROM readings WHERE node_id = 'node-003' ORDER BY reading_id DESC LIMIT 50)
-ORDER BY reading_id
+SELECT {TREND_LIST} FROM (SELECT * FROM readings WHERE node_id = 'node-003' ORDER BY event_ts DESC, reading_id DESC LIMIT 50)
 """)(lambda r: fleet.node_trend(r, "node-003"))
 
 TOP_RISK = f"""
@@ -132,9 +131,9 @@ FROM readings"""
 register("node_stats", ["readings"], f"{STATS} GROUP BY {NODE}")(fleet.node_stats)
 
 
-def recent_sql(by: str) -> str:
+def recent_sql(by: str, source: str = "readings") -> str:
     return f"""SELECT {by}, {R('AVG(anomaly_score)', 4)} AS recent_avg_score, {FAILURES} AS recent_failures
-FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY reading_id DESC) AS rn FROM readings)
+FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY event_ts DESC, reading_id DESC) AS rn FROM {source})
 WHERE rn <= 20 GROUP BY {by}"""
 
 
@@ -162,6 +161,12 @@ FROM stats s LEFT JOIN recent USING ({by}) LEFT JOIN listed USING ({by})
 
 register("recent_stats", ["readings"], recent_sql("node_id"))(fleet.recent_stats)
 
+# Readings whose number starts over twice, as after a restart of the gateway.
+RESTARTED = ", again AS (SELECT * REPLACE (reading_id % 400 AS reading_id) FROM readings)"
+register("recent_stats_after_restart", ["readings"], f"{RESTARTED} {recent_sql('node_id', 'again')}")(
+    lambda r: fleet.recent_stats(r.withColumn("reading_id", F.col("reading_id") % 400))
+)
+
 register("alert_breakdown", ["alerts"], breakdown_sql("node_id"))(fleet.alert_breakdown)
 
 

@@ -13,8 +13,6 @@ from plantwatch.registry.book import register, rounded
 
 R = rounded
 LABELS = ("twf", "hdf", "pwf", "osf", "rnf")
-# Small slices, so that the test tables are cut into several.
-ROWS = 200
 
 
 def _outline(frames, size):
@@ -42,19 +40,19 @@ SELECT reading_id, node_id, CAST(n AS INT) AS n, oldest AS oldest_process_temp_k
 
 register("lag_windows", ["readings"], _frame_sql("PARTITION BY node_id", "20 PRECEDING", "1 PRECEDING"))(
     lambda r: _outline(
-        ordered.lag_windows(r, ["node_id"], ["event_ts", "reading_id"], SENSORS, 20, rows_per_slice=ROWS), 20
+        ordered.lag_windows(r, ["node_id"], ["event_ts", "reading_id"], SENSORS, 20), 20
     )
 )
 
 register("lag_windows_bucketed", ["readings"], _frame_sql("", "20 PRECEDING", "1 PRECEDING"))(
     lambda r: _outline(
-        ordered.lag_windows_bucketed(r, ["event_ts", "reading_id"], SENSORS, 20, rows_per_slice=ROWS), 20
+        ordered.lag_windows_bucketed(r, ["event_ts", "reading_id"], SENSORS, 20), 20
     )
 )
 
 register("trailing_frames", ["readings"], _frame_sql("PARTITION BY node_id", "19 PRECEDING", "CURRENT ROW"))(
     lambda r: _outline(
-        ordered.trailing_frames(r, ["node_id"], ["event_ts", "reading_id"], SENSORS, 20, rows_per_slice=ROWS), 20
+        ordered.trailing_frames(r, ["node_id"], ["event_ts", "reading_id"], SENSORS, 20), 20
     )
 )
 
@@ -72,7 +70,7 @@ SELECT node_name, reading_id, CAST(row_number() OVER (PARTITION BY node_name ORD
   AS BIGINT) AS position FROM readings
 """)(
     lambda r: ordered.with_position(
-        r.select("node_name", "reading_id", "event_ts"), ["node_name"], ["event_ts", "reading_id"], rows_per_slice=ROWS
+        r.select("node_name", "reading_id", "event_ts"), ["node_name"], ["event_ts", "reading_id"]
     ).drop("event_ts")
 )
 
@@ -110,7 +108,7 @@ register(
     lambda r: prep.zscore_stats(
         prep.frame_rows(
             ordered.lag_windows(
-                with_type_code(r), ["node_id"], ["event_ts", "reading_id"], feature_names(), 20, rows_per_slice=ROWS
+                with_type_code(r), ["node_id"], ["event_ts", "reading_id"], feature_names(), 20
             )
         ),
         "features",
@@ -120,7 +118,7 @@ register(
 
 def _scaled(readings):
     frames = ordered.trailing_frames(
-        readings, ["node_id"], ["event_ts", "reading_id"], SENSORS, 20, rows_per_slice=ROWS
+        readings, ["node_id"], ["event_ts", "reading_id"], SENSORS, 20
     )
     scaled = prep.apply_zscore(frames, prep.fit_zscore(frames, len(SENSORS)))
     newest = F.get("frame", F.lit(19))
@@ -152,7 +150,7 @@ register("operating_point", ["readings"], f"""
 , q AS (SELECT quantile_cont(anomaly_score, 1 - 0.034e0) AS t FROM readings)
 SELECT {R('t', 6)} AS threshold, CAST((SELECT count(*) FROM readings WHERE anomaly_score > t) AS BIGINT) AS flagged FROM q
 """)(
-    lambda r: prep.operating_point(r, "anomaly_score", 0.034, rows_per_slice=100).withColumn(
+    lambda r: prep.operating_point(r, "anomaly_score", 0.034).withColumn(
         "threshold", report_round(F.col("threshold"), 6)
     )
 )
@@ -190,7 +188,7 @@ JOIN t q ON q.node_id IS NOT DISTINCT FROM r.node_id AND q.pos = r.peak_pos
 
 
 def _timeline(readings):
-    return episodes.score_timeline(readings, ["node_id"], ORDER, rows_per_slice=ROWS)
+    return episodes.score_timeline(readings, ["node_id"], ORDER)
 
 
 register("score_timeline", ["readings"], TIMELINE)(
@@ -271,7 +269,7 @@ r AS (SELECT g.run_id, b.epoch AS best_epoch, b.f1_macro AS best_metric, e.epoch
   LEFT JOIN n b ON b.run_id = g.run_id AND b.pos = g.gain_pos LEFT JOIN n e ON e.run_id = g.run_id AND e.pos = g.stop_pos)
 """
 register("best_epoch", ["epochs"], BEST + "SELECT * FROM r")(
-    lambda e: episodes.best_epoch(e, "f1_macro", patience=12, rows_per_slice=30)
+    lambda e: episodes.best_epoch(e, "f1_macro", patience=12)
 )
 
 register("run_extremes", ["epochs"], f"""

@@ -9,9 +9,9 @@ from plantwatch.operators import forest, metrics
 from plantwatch.operators.filters import feature_names
 from plantwatch.plans import training
 from plantwatch.registry.book import register
-from plantwatch.registry.frames import LABELS, ORDER, ROWS
+from plantwatch.registry.frames import LABELS, ORDER
 
-FOREST = forest.IsolationForest(n_trees=100, contamination=0.034)
+FOREST = forest.IsolationForest(contamination=0.034)
 
 
 def _forest_scores(readings):
@@ -30,7 +30,7 @@ register("isolation_forest_report", ["readings"])(
 def _importance(readings):
     model = training.fit_forest(readings, ["reading_id"], FOREST)
     return forest.permutation_importance(
-        training.with_type_code(readings), model.score_column, feature_names(), ["reading_id"], rows_per_slice=ROWS
+        training.with_type_code(readings), model.score_column, feature_names(), ["reading_id"]
     ).withColumn("importance", report_round(F.col("importance"), 6))
 
 
@@ -39,8 +39,8 @@ register("permutation_importance", ["readings"])(_importance)
 
 def _multilabel(cases):
     plain = cases.drop("anomaly_score", "predicted_failure", *[f"prob_{x}" for x in LABELS])
-    frames = training.failure_frames(plain, ["node_id"], ORDER, ["reading_id"], rows_per_slice=ROWS)
-    models = training.fit_failure_models(frames, LABELS, max_iter=10)
+    frames = training.failure_frames(plain, ["node_id"], ORDER, ["reading_id"])
+    models = training.fit_failure_models(frames, LABELS)
     return models.score(frames.filter(F.col("split") == "test"))
 
 

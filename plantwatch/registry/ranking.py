@@ -11,7 +11,6 @@ from plantwatch.registry.book import register, rounded
 
 R = rounded
 # Few distinct scores per slice, so that the running counts cross slices in the test tables.
-ROWS = 200
 PAIRS = {m: (p, m.lower()) for m, p in zip(MODES, PROBABILITIES)}
 
 
@@ -39,11 +38,11 @@ a AS (SELECT k, CASE WHEN p > 0 AND n > 0 THEN (ranks - p * (p + 1) / 2e0) / (CA
 
 
 def overall(readings):
-    return metrics.score_cumulative(readings, "anomaly_score", "machine_failure", rows_per_slice=ROWS)
+    return metrics.score_cumulative(readings, "anomaly_score", "machine_failure")
 
 
 def per_mode(cases):
-    return metrics.score_cumulative(metrics.long_form(cases, PAIRS), by=["mode"], rows_per_slice=ROWS)
+    return metrics.score_cumulative(metrics.long_form(cases, PAIRS), by=["mode"])
 
 
 register("score_cumulative", ["cases"], MANY + """
@@ -126,7 +125,7 @@ SELECT b.k AS mode, {R('CASE WHEN p >= 2 THEN auc END', 6)} AS auc, CASE WHEN p
 FROM b JOIN a ON a.k = b.k WHERE rn = 1
 """)(
     lambda c: six(
-        metrics.per_label_report(metrics.long_form(c, PAIRS), rows_per_slice=ROWS), "auc", "best_f1"
+        metrics.per_label_report(metrics.long_form(c, PAIRS)), "auc", "best_f1"
     )
 )
 
@@ -136,7 +135,7 @@ SELECT {R('auc', 6)} AS auc, score AS threshold, {R('f1', 6)} AS f1, fp_all - fp
 FROM b JOIN a ON a.k = b.k WHERE rn = 1
 """)(
     lambda r: six(
-        metrics.any_failure_report(r, PROBABILITIES, rows_per_slice=ROWS), "auc", "f1", "precision", "recall"
+        metrics.any_failure_report(r, PROBABILITIES), "auc", "f1", "precision", "recall"
     )
 )
 

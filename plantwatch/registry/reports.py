@@ -57,14 +57,10 @@ SELECT alert_id, reading_id, node_id, phase, anomaly_score FROM x
     )
 )
 
-register("nodes_without_alerts", ["readings", "alerts"], """
+register("nodes_without_alerts", ["readings", "quiet_alerts"], """
 SELECT DISTINCT node_id FROM readings r WHERE node_id <> ''
-  AND NOT EXISTS (SELECT 1 FROM alerts a WHERE a.node_id = r.node_id AND resolved = 0 AND severity = 'high' AND failure_mode = 'PWF')
-""")(
-    lambda r, a: reports.nodes_without_alerts(
-        fleet.list_nodes(r).select("node_id").distinct(), a.filter("severity = 'high' AND failure_mode = 'PWF'")
-    )
-)
+  AND NOT EXISTS (SELECT 1 FROM quiet_alerts a WHERE a.node_id = r.node_id AND resolved = 0)
+""")(lambda r, a: reports.nodes_without_alerts(fleet.list_nodes(r).select("node_id").distinct(), a))
 
 register("nodes_with_open_alerts", ["readings", "alerts"], """
 SELECT DISTINCT node_id FROM readings r WHERE node_id <> ''
@@ -72,11 +68,8 @@ SELECT DISTINCT node_id FROM readings r WHERE node_id <> ''
 """)(lambda r, a: reports.nodes_with_open_alerts(fleet.list_nodes(r).select("node_id").distinct(), a))
 
 LEADING = first_mode({m: f"avg_{p}" for m, p in zip(MODES, PROBABILITIES)})
-STEPS = ", ".join(
-    f"('{m}', {i}, '{step.replace(chr(39), chr(39) * 2)}', '{', '.join(knowledge.SPARE_PARTS[m])}')"
-    for m, steps in knowledge.WORK_STEPS.items()
-    for i, step in enumerate(steps, 1)
-)
+PARTS = dict(knowledge.SPARE_PARTS)
+STEPS = ", ".join(f"('{m}', {i}, '{step}', '{PARTS[m]}')" for m, i, step in knowledge.WORK_STEPS)
 # The dominant mode and, within the tolerance, the next most likely one.
 LIKELY = f"""steps AS (SELECT * FROM (VALUES {STEPS}) AS v(failure_mode, step_no, step, parts)),
 long AS ({' UNION ALL '.join(f"SELECT node_id, node_name, equipment_id, '{m}' AS m, {i} AS o, avg_{p} AS p FROM o1" for i, (m, p) in enumerate(zip(MODES, PROBABILITIES)))}),
@@ -170,7 +163,7 @@ def context(alert_rows, readings):
 
 
 register("root_cause_timeline", ["alerts", "stressed"], CAUSE_TIMELINE)(
-    lambda a, s: reports.cause_timeline(context(a, s), rows_per_slice=1000).select(
+    lambda a, s: reports.cause_timeline(context(a, s)).select(
         "alert_id",
         "readings",
         "base_score",

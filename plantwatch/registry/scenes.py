@@ -38,7 +38,7 @@ c AS (SELECT scene_no, category, v * 1000 - (scene_no % 6) * 80 AS celsius,
   FROM p),
 m AS (SELECT *, greatest(r, b) AS hi, least(r, b) AS lo, (r + r + b) / 3e0 AS gray FROM c),
 s AS (SELECT scene_no, category, max(celsius) AS max_c, count(*) FILTER (celsius > 100) * 100e0 / count(*) AS pct_hot,
-    count(*) FILTER (CASE WHEN hi = 0 THEN 0e0 ELSE (hi - lo) / greatest(hi, 1e-6) END < 0.18e0 AND hi / 255e0 > 0.55e0) * 1e0
+    count(*) FILTER (hi - lo < hi * 0.18e0 AND hi > 255 * 0.55e0) * 1e0
       / count(*) AS smoke_share, avg(gray) AS gray_mean, stddev_pop(gray) AS gray_std
   FROM m GROUP BY scene_no, category),
 l AS (SELECT *, max_c > 60 AS fire_present, CASE WHEN max_c <= 60 THEN 'none' WHEN max_c <= 200 THEN 'low'

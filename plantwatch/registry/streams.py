@@ -103,7 +103,6 @@ def _scores(spark, sf_dir):
         live.write_batches(f"{folder}/out"),
         f"{folder}/state",
         f"{folder}/checkpoint",
-        rows_per_slice=200,
         available_now=True,
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(

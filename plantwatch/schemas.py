@@ -63,6 +63,7 @@ ALERT_TABLE = _columns(
 EVENT_TIME = "event_ts"
 EVENT_DAY = "event_date"
 EQUIPMENT = "equipment_id"
+BATCH = "batch_id"
 
 
 def lake_schema(table: str) -> T.StructType:
@@ -70,6 +71,7 @@ def lake_schema(table: str) -> T.StructType:
     extra = [T.StructField("alert_id", T.StringType())] if table == "alerts" else []
     if table == "alerts":
         extra.append(T.StructField("reading_id", T.LongType()))
+        extra.append(T.StructField("resolved_at", T.TimestampType()))
     return T.StructType([*payload.fields, *extra, T.StructField(EVENT_TIME, T.TimestampType())])
 
 

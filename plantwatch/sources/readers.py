@@ -52,6 +52,22 @@ def with_landing_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({EVENT_TIME: landed, EQUIPMENT: F.coalesce(F.col(EQUIPMENT), folder)})
 
 
+def with_alert_identity(df: DataFrame) -> DataFrame:
+    """Give alerts as a gateway sends them a number, which a repeated delivery gets again.
+
+    A gateway sends neither a number nor the reading; the number is a hash of equipment, node, time, mode and score.
+    """
+    parts = [F.col(c).cast("string") for c in (EQUIPMENT, "node_id", EVENT_TIME, "failure_mode", "anomaly_score")]
+    number = F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+    unknown = {"reading_id": F.lit(None).cast("long"), "resolved_at": F.lit(None).cast("timestamp")}
+    return df.withColumns({"alert_id": number, **unknown})
+
+
+def _landed(df: DataFrame, table: str) -> DataFrame:
+    named = with_landing_columns(_clean(df))
+    return with_alert_identity(named) if table == "alerts" else named
+
+
 def _malformed() -> Column:
     # A malformed line is never the name of an equipment; the second column is there because Spark
     # refuses to count on the corrupt-record column alone.
@@ -71,7 +87,7 @@ def read_landed(
     """
     schema, options = _json_options(table)
     raw = spark.read.schema(schema).options(**options).json(path)
-    good = with_landing_columns(_clean(raw))
+    good = _landed(raw, table)
     if not quarantine:
         return good
     bad = raw.filter(_malformed()).select(F.col(CORRUPT).alias("line"), F.col("_metadata.file_path").alias("file"))
@@ -92,7 +108,7 @@ def stream_landed(
     reader = spark.readStream.schema(schema).options(**options)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return with_landing_columns(_clean(reader.json(path)))
+    return _landed(reader.json(path), table)
 
 
 def stream_readings(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

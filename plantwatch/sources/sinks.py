@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch.schemas import (
+    BATCH,
     EQUIPMENT,
     EVENT_DAY,
     EVENT_TIME,
@@ -59,6 +61,25 @@ def register_views(spark: SparkSession, root: str) -> None:
         spark.read.schema(schema).parquet(f"{root}/{table}").createOrReplaceTempView(table)
 
 
+def register_scored_views(spark: SparkSession, root: str) -> None:
+    """Temporary views `scored_readings` and `scored_alerts` over what the scored stream wrote to the lake at `root`."""
+    for view, table in (("scored_readings", "sensor_readings"), ("scored_alerts", "alerts")):
+        schema = lake_schema(table).add(EVENT_DAY, "date")
+        spark.read.schema(schema).parquet(f"{root}/{view}").drop(BATCH).createOrReplaceTempView(view)
+
+
+def compact_days(spark: SparkSession, path: str, out: str, days: Sequence[date]) -> None:
+    """Rewrite the given days of a streamed lake table into few files per equipment and day.
+
+    `out` is a table of its own, partitioned by equipment and day; the given days are replaced in it, so a repeated call
+    changes nothing. Readers move to `out` for the days that are closed.
+    """
+    rows = spark.read.parquet(path).filter(F.col(EVENT_DAY).isin(list(days))).drop(BATCH)
+    inner = [c for c in ("node_id", "tag", EVENT_TIME) if c in rows.columns]
+    gathered = rows.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, *inner)
+    gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(out)
+
+
 def create_tables(spark: SparkSession, root: str, database: str) -> None:
     """The same tables in the catalogue, for users of SQL."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{root}/_{database}'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantwatch.functions.numbers import known
 from plantwatch.functions.rules import (
     ALERT_SCORE,
     SENSORS,
@@ -21,7 +22,8 @@ def alert_stream(readings: DataFrame, threshold: float = ALERT_SCORE) -> DataFra
     """
     mode, probability = dominant_mode(mode_probabilities())
     identity = F.concat_ws("|", "equipment_id", F.col("reading_id").cast("string"), F.col("event_ts").cast("string"))
-    return readings.filter(F.col("anomaly_score") >= threshold).select(
+    # A score that is no number is no alert.
+    return readings.filter(known(F.col("anomaly_score")) >= threshold).select(
         F.sha2(identity, 256).alias("alert_id"),
         "equipment_id",
         "node_id",
@@ -34,4 +36,5 @@ def alert_stream(readings: DataFrame, threshold: float = ALERT_SCORE) -> DataFra
         "anomaly_score",
         *SENSORS,
         F.lit(0).alias("resolved"),
+        F.lit(None).cast("timestamp").alias("resolved_at"),
     )

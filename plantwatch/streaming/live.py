@@ -20,6 +20,8 @@ from plantwatch.functions.rules import ALERT_SCORE, PROBABILITIES, health_status
 from plantwatch.local import measured
 from plantwatch.operators.ordered import ROWS_PER_SLICE, last_n, partial_frames
 from plantwatch.operators.process import attach_nominals
+from plantwatch.schemas import BATCH, EQUIPMENT, EVENT_DAY
+from plantwatch.sources.sinks import with_day
 
 READING_IDENTITY = ("equipment_id", "reading_id", "event_ts")
 ORDER = ("event_ts", "reading_id")
@@ -32,10 +34,38 @@ Scorer = Callable[[DataFrame], DataFrame]
 def dedup_stream(
     stream: DataFrame, identity: Sequence[str] = READING_IDENTITY, delay: str = "10 minutes"
 ) -> DataFrame:
-    """One row per message, although delivery may repeat it within the delay."""
+    """One row per message, although delivery may repeat it within the delay.
+
+    State stays small because rows that are older than the delay are dropped, first deliveries too. Where every reading has
+    to arrive, use `unseen_rows` on micro-batches instead.
+    """
     return stream.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(list(identity))
 
 
+def unseen_rows(
+    batch: DataFrame, path: str, batch_id: int, identity: Sequence[str] = READING_IDENTITY
+) -> DataFrame:
+    """The rows of a micro-batch that no earlier batch wrote to the table at `path`, each once, however late they are.
+
+    The table is one of `write_lake_batches`. Only the days that the batch holds are read. A repeated batch does not
+    see what it wrote itself.
+    """
+    once = batch.dropDuplicates(list(identity))
+    if batch_id == 0:
+        return once
+    days = [r[0] for r in with_day(once).select(EVENT_DAY).distinct().collect()]
+    in_days = F.col(EVENT_DAY).isin([d for d in days if d is not None])
+    if None in days:
+        in_days = in_days | F.col(EVENT_DAY).isNull()
+    schema = T.StructType([*[batch.schema[c] for c in identity], T.StructField(EVENT_DAY, T.DateType()), T.StructField(BATCH, T.LongType())])
+    past = batch.sparkSession.read.schema(schema).parquet(path).filter(in_days & (F.col(BATCH) < batch_id))
+    seen = past.select(*[F.col(c).alias(f"_s_{c}") for c in identity])
+    same = F.lit(True)
+    for c in identity:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return once.join(seen, same, "left_anti")
+
+
 def windowed_health(stream: DataFrame, length: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Health of every node per time window; works on a table as well."""
     in_alert = F.sum((F.col("anomaly_score") >= ALERT_SCORE).cast("long"))
@@ -70,6 +100,17 @@ def write_batches(path: str) -> Sink:
     return write
 
 
+def write_lake_batches(path: str) -> Sink:
+    """Sink into a table partitioned by equipment, day and batch; a repeated batch replaces its own files only."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = with_day(batch).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(EQUIPMENT, EVENT_DAY, BATCH).parquet(path)
+
+    return write
+
+
 def _slot(path: str, batch_id: int) -> str:
     return f"{path}/slot={batch_id % 2}"
 
@@ -134,10 +175,11 @@ def windowed_scores(
     order: Sequence[str] = ORDER,
     rows_per_slice: int = ROWS_PER_SLICE,
     available_now: bool = False,
+    unseen: Sink | None = None,
 ) -> StreamingQuery:
     """Score every reading from the last `size` readings of its key.
 
-    `scorer` gets rows with a `frame` column and adds the probabilities, score and flag. `state` and
+    `unseen` picks the rows of a batch that are new, for streams that repeat deliveries. `scorer` gets rows with a `frame` column and adds the probabilities, score and flag. `state` and
     `checkpoint` are folders in shared storage. Late rows pass through and do not enter the frames.
     """
     keys, order = list(keys), list(order)
@@ -145,6 +187,7 @@ def windowed_scores(
     schema = stream.select(*narrow).schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch = unseen(batch, batch_id) if unseen else batch
         past = _carried(batch.sparkSession, state, batch_id, schema)
         judged = judge_late(batch, past, keys, order).persist()
         try:

@@ -101,6 +101,23 @@ def test_multilabel(spark):
     assert scored.agg(F.max("prob_never")).first()[0] < 0.01
 
 
+def test_frames_with_unknown_sensors_are_left_out(spark):
+    rows = [(i, [[float(i), 1.0]], int(i > 10)) for i in range(20)] + [(50, [[None, 1.0]], 1), (51, [[float("nan"), 1.0]], 0)]
+    frames = spark.createDataFrame(rows, "i int, frame array<array<double>>, a int")
+    model = multilabel.fit_multilabel(frames, ["a"])
+    got = {r.i: r.prob_a for r in model.score(frames).collect()}
+    assert got[50] is None and got[51] is None and got[19] > 0.5 > got[0]
+
+
+def test_trees_draw_from_all_rows(spark):
+    df = spark.range(400_000).select("id", F.rand(1).alias("x"))
+    forest_ = f.IsolationForest(n_trees=20, sample=64)
+    got = forest_.samples(df, ["id"], ["x"], 400_000).groupBy("tree").count().collect()
+    assert sorted(r["count"] for r in got) == [64] * 20
+    drawn = forest_.samples(df, ["id"], ["id", "x"], 400_000).select(F.col("id").cast("long")).distinct()
+    assert drawn.where("id < 40000").count() > 60 and drawn.where("id >= 360000").count() > 60
+
+
 def test_forest_survives_saving(spark, cloud, model, tmp_path):
     model.save(spark, str(tmp_path / "forest"))
     back = f.IsolationForestModel.load(spark, str(tmp_path / "forest"))

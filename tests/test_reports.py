@@ -67,7 +67,8 @@ def test_diagnostic_by_equipment(plant):
 
 
 def test_limits(plant):
-    assert fleet.sensor_readings(plant[0], limit=1000).count() == 100
+    assert fleet.sensor_readings(plant[0], limit=1000).count() == 160
+    assert fleet.top_risk(plant[0], limit=500).count() == 4
     assert fleet.sensor_readings(plant[0], limit=0).count() == 0
     with pytest.raises(ValueError):
         fleet.sensor_readings(plant[0], limit=-1)
@@ -77,6 +78,23 @@ def test_limits(plant):
     assert trend == list(range(50, 60))
 
 
+def test_recent_readings_follow_time_when_numbers_restart(spark):
+    old = [reading(i, "a", (0.1,) * 5) for i in range(30)]
+    new = [(i, START + timedelta(days=1, seconds=i), *reading(i, "a", (0.9,) * 5)[2:]) for i in range(10)]
+    readings = spark.createDataFrame(old + new, SCHEMA)
+    got = fleet.recent_stats(readings).first()
+    assert (got.recent_avg_score, got.recent_failures) == (0.5, 10)
+    assert fleet.sensor_readings(readings, limit=1).first().anomaly_score == 0.9
+    assert [r.anomaly_score for r in fleet.node_trend(readings, "a", 11).collect()] == [0.1] + [0.9] * 10
+
+
+def test_interventions_of_the_caller(spark, plant):
+    steps = spark.createDataFrame([("TWF", 1, "own step"), ("OSF", 1, "x")], "failure_mode string, step_no int, step string")
+    parts = spark.createDataFrame([("TWF", "own part")], "failure_mode string, parts string")
+    got = knowledge.attach_interventions(fleet.diagnostic(*plant), steps, parts).collect()
+    assert {(r.node_id, r.step, r.parts) for r in got} == {("a", "own step", "own part"), ("d", "own step", "own part"), ("c", "x", None)}
+
+
 def test_filters_are_values_not_text(plant):
     assert fleet.sensor_readings(plant[0], node_id="a' OR '1'='1").count() == 0
 
@@ -109,7 +127,7 @@ def test_work_orders(plant):
     assert {(r.node_id, r.mode_rank, r.failure_mode) for r in steps} == {
         ("a", 1, "TWF"), ("b", 1, "HDF"), ("b", 2, "PWF"), ("c", 1, "OSF"),
     }
-    assert [r.step_no for r in sorted(steps, key=lambda r: r.step_no) if r.node_id == "a"] == [1, 2, 3, 4, 5, 6]
+    assert [r.step_no for r in sorted(steps, key=lambda r: r.step_no) if r.node_id == "a"] == [1, 2]
 
 
 def test_context_span(spark, plant):

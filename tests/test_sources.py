@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantwatch.operators import metrics, process, scenes
-from plantwatch.schemas import ALERT_TABLE, PREDICTIONS, READING_PAYLOAD, READING_TABLE
+from plantwatch.schemas import ALERT_TABLE, PREDICTIONS, READING_PAYLOAD, READING_TABLE, lake_schema
 from plantwatch.sources import readers, sinks
 
 
@@ -178,6 +178,20 @@ def test_run_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/run/results").first().pred == '{"t":1}'
 
 
+def test_landed_alerts_have_an_identity(spark, tmp_path):
+    folder = tmp_path / "alerts" / "gw-1"
+    folder.mkdir(parents=True)
+    alert = {"equipment_id": "gw-1", "node_id": "a", "failure_mode": "TWF", "anomaly_score": 0.9, "severity": "critical", "resolved": 0}
+    for k in range(2):
+        (folder / f"170000000{k}000.json").write_text(json.dumps(alert))
+    (folder / "copy").mkdir()
+    rows = readers.read_landed(spark, str(tmp_path / "alerts"), "alerts")
+    again = readers.read_landed(spark, str(tmp_path / "alerts"), "alerts")
+    numbers = sorted(r.alert_id for r in rows.collect())
+    assert len(set(numbers)) == 2 and numbers == sorted(r.alert_id for r in again.collect())
+    assert set(lake_schema("alerts").names) == set(rows.columns)
+
+
 def test_payload_schema_is_fixed():
     assert READING_PAYLOAD["reading_id"].dataType.simpleString() == "bigint"
     assert READING_TABLE.names[:4] == ["reading_id", "equipment_id", "equipment_type", "timestamp"]

@@ -203,8 +203,8 @@ def test_landed_messages_to_scores_and_alerts(spark, tmp_path):
 
     def run():
         live_plan.score_landed(spark, str(tmp_path / "landing"), str(tmp_path / "lake"), str(tmp_path / "work"), wear, available_now=True).awaitTermination()
-        readings = spark.read.parquet(f"{tmp_path}/lake/scored_readings")
-        return readings, spark.read.parquet(f"{tmp_path}/lake/scored_alerts")
+        sinks.register_scored_views(spark, f"{tmp_path}/lake")
+        return spark.table("scored_readings"), spark.table("scored_alerts")
 
     land(range(15))
     readings, alerts = run()
@@ -216,6 +216,22 @@ def test_landed_messages_to_scores_and_alerts(spark, tmp_path):
     assert got[18] == 0.1 and got[19] == round(95 / 250, 6) and got[29] == round(195 / 250, 6)
     raised = {r.reading_id: (r.failure_mode, r.severity) for r in alerts.collect()}
     assert raised == {i: ("TWF", "medium") for i in range(26, 30)}
+    # Half an hour late, and some deliveries repeated.
+    land([-360, 28, 29, 30])
+    (folder / "1700000000001.json").write_text((folder / "1700000000000.json").read_text())
+    readings, alerts = run()
+    numbers = sorted(r.reading_id for r in readings.collect())
+    assert numbers == sorted([-360, 0, *range(31)])  # the copy under another time is a reading of its own
+    days = [r[0] for r in readings.select("event_date").distinct().collect()]
+    for _ in range(2):
+        sinks.compact_days(spark, f"{tmp_path}/lake/scored_readings", f"{tmp_path}/closed", days)
+    assert spark.read.parquet(f"{tmp_path}/closed").count() == 33
+
+
+def test_scores_that_are_no_numbers_raise_no_alert(spark):
+    sensors = {"air_temp_k": 300.0, "process_temp_k": 310.0, "rpm": 1500, "torque_nm": 40.0, "tool_wear_min": 10}
+    rows = spark.createDataFrame([reading(1, score=float("nan")), reading(2, score=0.9)], SCHEMA).withColumns({k: F.lit(v) for k, v in sensors.items()})
+    assert [r.reading_id for r in alert_stream(rows).collect()] == [2]
 
 
 def test_all_topics_stream(spark, tmp_path):

@@ -70,6 +70,12 @@ def test_equality_by_value(one, pred, truth, equal):
     assert one(row, "p string, t string", same) == equal
 
 
+def test_large_integers_compare_exactly(one):
+    for a, b, equal in (("9007199254740993", "9007199254740992", 0), ("9007199254740993", "9007199254740993", 1), ("1", "1.0", 1), ("1e2", "100", 1), ("0.5", "0.50", 1)):
+        got = one({"a": f'{{"k": {a}}}', "b": f'{{"k": {b}}}'}, "a string, b string", j.same_field(F.try_parse_json("a"), F.try_parse_json("b"), "k"))
+        assert got == equal, (a, b)
+
+
 def test_label_text_is_plain_json(one):
     row = {"fire": True, "size": 'a "b"', "n": None}
     got = one(row, "fire boolean, size string, n string", j.label_json(["fire", "size", "n"]))
