@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantwatch.llm.textblocks import BLOCK_BYTES, Block, block_of
 from plantwatch.session import cut_lineage
 
-__all__ = ["bounded_sample", "cut_lineage", "held_out", "others", "packed_texts", "unpacked"]
+__all__ = ["bounded_sample", "cut_lineage", "held_out", "others", "packed_blocks", "packed_texts", "unpacked"]
 
 
 def packed_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -43,6 +45,19 @@ def unpacked(packed: pa.Array) -> pa.Array:
     return pa.array([press.decompress(x.as_buffer()) for x in packed], pa.large_binary())
 
 
+def packed_blocks(packed: pa.Array, block_bytes: int = BLOCK_BYTES, block_documents: int = 4096) -> Iterator[Block]:
+    """Packed texts as blocks, unpacked a block at a time. Null counts as empty."""
+    press = zstandard.ZstdDecompressor()
+    first, held, size = 0, [], 0
+    for k, text in enumerate(packed):
+        held.append(press.decompress(text.as_buffer()) if text.is_valid else b"")
+        size += len(held[-1])
+        if size >= block_bytes or len(held) == block_documents or k + 1 == len(packed):
+            block = block_of(np.frombuffer(b"".join(held), np.uint8), np.array([len(x) for x in held], np.int64))
+            yield Block(first, k + 1, block.data, block.offsets)
+            first, held, size = k + 1, [], 0
+
+
 def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """The `limit` distinct keys with the smallest hash: a bounded sample that does not depend on layout."""
     return rows.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit("sample")), key).limit(limit)

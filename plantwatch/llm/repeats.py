@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, others, packed_texts, unpacked
+from plantwatch.llm.common import bounded_sample, others, packed_blocks, packed_texts
 from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.suffix_groups import Strings, suffix_array
 from plantwatch.llm.textblocks import Block, blocks, ragged
@@ -36,6 +36,7 @@ from plantwatch.llm.textblocks import Block, blocks, ragged
 LENGTH, GRAM = 100, 24
 SAMPLE_DOCUMENTS, WIDE = 20_000, 100
 SORT_BYTES = 1 << 19
+SLICES = "route bigint, text binary, anchor int, doc_id bigint, uid bigint, start bigint"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -45,7 +46,7 @@ class Anchors:
     def __init__(self, block: Block, length: int, gram: int):
         data, n = block.data, len(block.data)
         self.starts = self.at = self.keys = self.document = np.zeros(0, np.int64)
-        self.first = self.last = self.slice_keys = self.slice_document = np.zeros(0, np.int64)
+        self.first = self.last = self.slice_keys = self.slice_document = self.slice_at = np.zeros(0, np.int64)
         if n < length:
             return
         grams = np.arange(n - gram + 1)
@@ -67,7 +68,7 @@ class Anchors:
         begins = np.flatnonzero(new)
         self.first = self.starts[begins]
         self.last = self.starts[np.concatenate([begins[1:] - 1, [len(new) - 1]])] if len(new) else begins
-        self.slice_keys, self.slice_document = self.keys[begins], self.document[begins]
+        self.slice_keys, self.slice_document, self.slice_at = self.keys[begins], self.document[begins], self.at[begins]
 
 
 def _gram_rows(length: int, gram: int) -> Callable:
@@ -147,15 +148,18 @@ def _units(found: Anchors, some: np.ndarray, wide: np.ndarray) -> tuple[np.ndarr
 
 
 def _slice_rows(length: int, gram: int, wide: np.ndarray) -> Callable:
-    """Rows (route, text, doc_id, uid, start): each recurring slice text of a batch once, at its first place in it."""
+    """Rows (route, text, anchor, doc_id, uid, start): each recurring slice text of a batch once, at its first place in it.
+
+    `anchor` is where the anchor gram stands in the text.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("grams").is_valid())
             ids, uids = batch.column("doc_id").fill_null(NO_ID).to_numpy(), batch.column("uid").to_numpy()
             lists = _lists(batch.column("grams"))
-            seen: dict[bytes, tuple[int, int, int, int]] = {}
-            for block in blocks(unpacked(batch.column("packed"))):
+            seen: dict[bytes, tuple[int, int, int, int, int]] = {}
+            for block in packed_blocks(batch.column("packed")):
                 found = Anchors(block, length, gram)
                 some = np.flatnonzero(_in_list(found, lists[block.first : block.last]))
                 first, last, of_slice = _units(found, some, wide)
@@ -165,19 +169,22 @@ def _slice_rows(length: int, gram: int, wide: np.ndarray) -> Callable:
                 route = np.where(split & _has(wide, route), own, route)
                 document = found.slice_document[of_slice]
                 place = first - block.offsets[document]
+                anchor = np.where(split & _has(wide, found.slice_keys[of_slice]), 0, found.slice_at[of_slice] - first)
                 raw = block.data.tobytes()
-                for a, b, r, d, p in zip(
-                    first.tolist(), (last + length).tolist(), route.tolist(), (document + block.first).tolist(), place.tolist(), strict=True
+                doc, uid = ids[document + block.first].tolist(), uids[document + block.first].tolist()
+                for a, b, *here in zip(
+                    first.tolist(), (last + length).tolist(), doc, uid, place.tolist(), route.tolist(), anchor.tolist(), strict=True
                 ):
-                    text, here = raw[a:b], (int(ids[d]), int(uids[d]), p, r)
+                    text, here = raw[a:b], tuple(here)
                     known = seen.get(text)
                     if known is None or here < known:
                         seen[text] = here
             if seen:
-                doc, uid, start, route = zip(*seen.values(), strict=True)
+                doc, uid, start, route, anchor = zip(*seen.values(), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(route, pa.int64()), pa.array(list(seen), pa.binary()), *(pa.array(x, pa.int64()) for x in (doc, uid, start))],
-                    ["route", "text", "doc_id", "uid", "start"],
+                    [pa.array(route, pa.int64()), pa.array(list(seen), pa.binary()), pa.array(anchor, pa.int32())]
+                    + [pa.array(x, pa.int64()) for x in (doc, uid, start)],
+                    ["route", "text", "anchor", "doc_id", "uid", "start"],
                 )
 
     return rows
@@ -189,79 +196,138 @@ def repeat_starts(texts: list[bytes], places: list[tuple[int, int, int]], length
     strings = Strings.of(np.frombuffer(b"".join(texts), np.uint8), lengths)
     order = suffix_array(strings)
     shares = strings.share(order[1:], order[:-1], length)
-    run = np.concatenate([[0], np.cumsum(~shares)])
-    size = np.bincount(run)
-    inside = np.flatnonzero(size[run] > 1)
+    run = np.cumsum(np.concatenate([np.zeros(min(len(order), 1), np.int64), ~shares]))
+    inside = np.flatnonzero(np.bincount(run, minlength=1)[run] > 1)
     firsts = np.cumsum(lengths + 1) - lengths - 1
     at, run = order[inside], run[inside]
     text = np.searchsorted(firsts, at, side="right") - 1
     offset = at - firsts[text]
     place = np.array(places, np.int64).reshape(-1, 3)[text]
     rank = np.lexsort((place[:, 2] + offset, place[:, 1], place[:, 0], run))
-    later = np.ones(len(rank), dtype=bool)
-    later[np.flatnonzero(np.concatenate([[True], run[rank][1:] != run[rank][:-1]]))] = False
-    repeats = rank[later]
+    first = np.ones(len(rank), dtype=bool)
+    first[1:] = run[rank][1:] != run[rank][:-1]
+    repeats = rank[~first]
     text, offset = text[repeats], offset[repeats]
     by_text = np.lexsort((offset, text))
     cut = np.searchsorted(text[by_text], np.arange(len(texts) + 1))
     return [offset[by_text[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def _first_places(length: int) -> Callable:
+def shared_ranges(texts: list[bytes], anchors: np.ndarray, group: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each text that can lie in a window of another text of its group: [from, to).
+
+    Windows with one anchor gram can only be equal where the texts agree from the gram outwards. So the part reaches to
+    the left and to the right as far as the longest agreement with any other text, found next to it in sorted order.
+    """
+    left = [x[:a][::-1] for x, a in zip(texts, anchors.tolist(), strict=True)]
+    right = [x[a + gram :] for x, a in zip(texts, anchors.tolist(), strict=True)]
+    return anchors - _longest_agreement(left, group), anchors + gram + _longest_agreement(right, group)
+
+
+def _longest_agreement(sides: list[bytes], group: np.ndarray) -> np.ndarray:
+    sizes = np.array([len(x) for x in sides], np.int64)
+    width = max(int(sizes.max(initial=0)), 1)
+    table = np.zeros((len(sides), width), np.int16)
+    table.ravel()[ragged(np.arange(len(sides)) * width, sizes)] = np.frombuffer(b"".join(sides), np.uint8).astype(np.int16) + 1
+    keys = np.ascontiguousarray(table.astype(">i2")).view(f"V{2 * width}").ravel()
+    order = np.argsort(keys, kind="stable")
+    order = order[np.argsort(group[order], kind="stable")]
+    rows = table[order]
+    agree = np.logical_and.accumulate((rows[1:] == rows[:-1]) & (rows[1:] > 0), axis=1).sum(axis=1)
+    agree[group[order][1:] != group[order][:-1]] = 0
+    out = np.zeros(len(sides), np.int64)
+    out[order[1:]] = agree
+    out[order[:-1]] = np.maximum(out[order[:-1]], agree)
+    return out
+
+
+def repeats_of_slices(texts: list[bytes], places: list[tuple[int, int, int]], anchors: np.ndarray, group: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    """For each distinct slice text of a group, at its first place, the starts in it whose window also starts earlier.
+
+    Slices are cut to what another slice of their group can share; equal cuts are one string, which starts at the earliest of
+    their places, and in all later ones each of its windows is a repeat. The suffix array is built over these strings.
+    """
+    out = [np.zeros(0, np.int64)] * len(texts)
+    low, high = shared_ranges(texts, anchors, group, gram)
+    some = np.flatnonzero(high - low >= length).tolist()
+    strings: dict[tuple[int, bytes], tuple[tuple[int, int, int], int]] = {}
+    for k in some:
+        doc, uid, start = places[k]
+        key, here = (int(group[k]), texts[k][low[k] : high[k]]), ((doc, uid, start + int(low[k])), k)
+        known = strings.get(key)
+        strings[key] = here if known is None else min(known, here)
+        later = k if known is None or here > known else known[1]
+        if known is not None:
+            out[later] = np.arange(low[later], high[later] - length + 1)
+    if strings:
+        found = repeat_starts([text for _, text in strings], [place for place, _ in strings.values()], length)
+        for (_, k), starts in zip(strings.values(), found, strict=True):
+            out[k] = starts + low[k]
+    return out
+
+
+def _first_places(length: int, gram: int) -> Callable:
     """Rows (uid, start, windows, repeats) for each distinct slice text, from rows sorted by route."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes: dict[bytes, tuple[int, int, int]] = {}
-        groups: list[tuple[int, int]] = []  # (classes before the group, route)
-        alone: list[tuple[bytes, tuple[int, int, int]]] = []
-        held = 0
+        texts: list[bytes] = []
+        places: list[tuple[int, int, int]] = []
+        anchors: list[int] = []
+        groups: list[int] = []
+        group: dict[bytes, tuple[int, int, int, int]] = {}
+        held, route, number = 0, None, 0
+
+        def close_group() -> None:
+            nonlocal held, number
+            number += 1
+            for text, (doc, uid, start, anchor) in group.items():
+                texts.append(text)
+                places.append((doc, uid, start))
+                anchors.append(anchor)
+                groups.append(number)
+                held += len(text)
+            group.clear()
 
         def flush() -> pa.RecordBatch:
             nonlocal held
-            texts = [t for t in classes]
-            places = [classes[t] for t in texts]
-            repeats = repeat_starts(texts, places, length) if texts else []
-            rows = [(p, t, r) for p, t, r in zip(places, texts, repeats, strict=True)]
-            rows += [(p, t, np.zeros(0, np.int64)) for t, p in alone]
-            classes.clear()
-            alone.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays(
+            number = np.array(groups, np.int64)
+            repeats = [np.zeros(0, np.int64)] * len(texts)
+            # A text alone in its group is a string that nothing else can share a window with.
+            several = np.flatnonzero(np.bincount(number)[number] > 1) if len(number) else number
+            if len(several):
+                found = repeats_of_slices(
+                    [texts[k] for k in several], [places[k] for k in several], np.array(anchors, np.int64)[several], number[several], length, gram
+                )
+                for k, starts in zip(several.tolist(), found, strict=True):
+                    repeats[k] = starts
+            out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([p[1] for p, _, _ in rows], pa.int64()),
-                    pa.array([p[2] for p, _, _ in rows], pa.int32()),
-                    pa.array([len(t) - length + 1 for _, t, _ in rows], pa.int32()),
-                    pa.array([r.astype(np.int16).tobytes() for _, _, r in rows], pa.binary()),
+                    pa.array([p[1] for p in places], pa.int64()),
+                    pa.array([p[2] for p in places], pa.int32()),
+                    pa.array([len(t) - length + 1 for t in texts], pa.int32()),
+                    pa.array([r.astype(np.int16).tobytes() for r in repeats], pa.binary()),
                 ],
                 ["uid", "start", "windows", "repeats"],
             )
-
-        route, group = None, {}
-
-        def close_group() -> None:
-            nonlocal held
-            if len(group) == 1:  # a lone string: nothing to order
-                alone.extend(group.items())
-                held += 32
-            else:
-                classes.update(group)
-                held += sum(map(len, group))
-            group.clear()
+            for held_list in (texts, places, anchors, groups):
+                held_list.clear()
+            held = 0
+            return out
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("route", "text", "doc_id", "uid", "start")]
-            for r, text, doc, uid, start in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("route", "text", "doc_id", "uid", "start", "anchor")]
+            for r, text, *here in zip(*columns, strict=True):
                 if r != route:
                     close_group()
                     route = r
                     if held >= SORT_BYTES:
                         yield flush()
-                here = (doc, uid, start)
+                here = tuple(here)
                 known = group.get(text)
                 if known is None or here < known:
                     group[text] = here
         close_group()
-        if classes or alone:
+        if texts:
             yield flush()
 
     return rows
@@ -303,16 +369,16 @@ def without_repeats(
     wide_keys = wide_grams(docs, length, gram, sample, wide)
     grams = recurring_grams(docs, length, gram).groupBy("uid").agg(F.collect_set("gram").alias("grams"))
     placed = packed_texts(whole, carry).join(grams.hint("merge"), "uid", "left").select("uid", "doc_id", "packed", "grams", *rest)
-    slices = placed.mapInArrow(_slice_rows(length, gram, wide_keys), "route bigint, text binary, doc_id bigint, uid bigint, start bigint")
+    slices = placed.mapInArrow(_slice_rows(length, gram, wide_keys), SLICES)
     dealt = slices.repartition("route").sortWithinPartitions("route")
-    first = dealt.mapInArrow(_first_places(length), "uid bigint, start int, windows int, repeats binary")
+    first = dealt.mapInArrow(_first_places(length, gram), "uid bigint, start int, windows int, repeats binary")
     told = first.groupBy("uid").agg(F.collect_list(F.struct("start", "windows", "repeats")).alias("told"))
     joined = placed.join(told.hint("merge"), "uid", "left").select("doc_id", "packed", "grams", "told", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, told = _lists(batch.column("grams")), batch.column("told").to_pylist()
-            for block in blocks(unpacked(batch.column("packed"))):
+            for block in packed_blocks(batch.column("packed")):
                 found = Anchors(block, length, gram)
                 messages = [
                     {(m["start"], m["windows"]): np.frombuffer(m["repeats"], np.int16).astype(np.int64) for m in x or ()} for x in told[block.first : block.last]
