@@ -28,8 +28,8 @@ from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed
 
 FIT_SAMPLE = 20_000
 MAX_FEATURES = 4096
-MIN_DOCUMENTS, MIN_Z = 5, 4.0
-PENALTY, RIDGE, STEPS = 1.0, 1e-4, 800
+MIN_DOCUMENTS, MIN_Z = 3, 3.0
+PENALTY, RIDGE, STEPS, MAX_WEIGHT = 1.0, 1e-4, 800, 2.0
 THRESHOLD = 0.3
 STEMS = (4, 5)
 
@@ -157,9 +157,11 @@ def fit_weights(
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise log loss + ridge + penalty * mean (score - score of the swapped text)^2.
 
-    The feature matrix is given by its non-zero cells. Gradient steps with momentum, a fixed number of them.
+    The feature matrix is given by its non-zero cells. Gradient steps with momentum, a fixed number of them. The log
+    loss of a toxic text weighs as much more as toxic texts are rarer, up to `MAX_WEIGHT`.
     """
     n = len(labels)
+    weight = np.where(labels > 0.5, np.clip((1 - labels.mean()) / labels.mean(), 1, MAX_WEIGHT), 1.0)
     pairs = []
     for a, b in swapped:
         named = np.unique(rows[columns == a])
@@ -167,11 +169,11 @@ def fit_weights(
     pairs = np.array(pairs, dtype=np.int64).reshape(-1, 3)
     weights, intercept = np.zeros(n_features), float(np.log(labels.mean() / (1 - labels.mean())))
     speed, speed_0 = np.zeros(n_features), 0.0
-    curvature = np.bincount(columns, minlength=n_features) / n * 0.25 + RIDGE + penalty / 8
+    curvature = np.bincount(columns, weight[rows], minlength=n_features) / n * 0.25 + RIDGE + penalty / 8
     for _ in range(STEPS):
         logit = intercept + np.bincount(rows, weights[columns], minlength=n)
         score = _sigmoid(logit)
-        error = score - labels
+        error = (score - labels) * weight
         gradient = np.bincount(columns, error[rows], minlength=n_features) / n + RIDGE * weights
         gradient_0 = error.mean()
         if len(pairs):
