@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantwatch.llm.bpe import Encoder, encoder
-from plantwatch.llm.common import packed_texts, unpacked
+from plantwatch.llm.common import packed_blocks, packed_texts
 from plantwatch.llm.textblocks import Block, block_of, blocks, ragged
 
 MASK_BITS = 10
@@ -218,7 +218,7 @@ def encoded_chunks(placed: DataFrame, refs: DataFrame, tokenizer: str) -> DataFr
         for batch in batches:
             batch = batch.filter(batch.column("keys").is_valid())
             wanted = [set(keys) for keys in batch.column("keys").to_pylist()]
-            for block in blocks(unpacked(batch.column("packed"))):
+            for block in packed_blocks(batch.column("packed")):
                 ends, document = chunk_ends(block)
                 has, begin, end = cores(block, ends)
                 keys = chunk_keys(block, ends)
@@ -256,7 +256,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, schema: str, rows_of) -> Data
         for batch in batches:
             keys, ids = batch.column("keys").to_pylist(), batch.column("ids").to_pylist()
             reused = [dict(zip(k, i, strict=True)) if k else {} for k, i in zip(keys, ids, strict=True)]
-            for block in blocks(unpacked(batch.column("packed"))):
+            for block in packed_blocks(batch.column("packed")):
                 found = encode_chunked(tokens, block, reused[block.first : block.last])
                 yield rows_of(batch.column("doc_id").slice(block.first, block.documents), found)
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, cut_lineage, others, packed_texts, unpacked
+from plantwatch.llm.common import bounded_sample, cut_lineage, others, packed_blocks, packed_texts, unpacked
 from plantwatch.llm.components import components
 from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, paired
@@ -36,6 +36,7 @@ from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, p
 SHINGLE, RADIUS_PERCENT = 5, 25
 SAMPLE_DOCUMENTS, COMMON = 4000, 4
 SMALL_REGION, PIVOTS = 64, 8
+ENOUGH = 1 << 40
 LOWER_CODES = BYTE_CODES[LOWER]
 
 
@@ -148,7 +149,8 @@ def first_shingles(docs: DataFrame, common: np.ndarray, size: int, radius: int)
 
 
 def regions_of_shingles(first: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
-    """(region, cls, n): classes that may have a partner, in the regions of their first shingles that other such classes hold.
+    """(region, cls, n, weight): classes that may have a partner, in the regions of their first shingles that other such classes
+    hold. `weight` says how many first shingles the region stands for.
 
     `sizes` has (cls, n). A class needs as many shared first shingles as it would share with its smallest partner.
     """
@@ -158,8 +160,11 @@ def regions_of_shingles(first: DataFrame, sizes: DataFrame, radius: int) -> Data
     able = held.where(F.col("held") >= enough).select("uid", "n")
     regions = shared.join(able.hint("merge"), "uid").select(F.col("gram").alias("region"), F.col("uid").alias("cls"), "n").distinct()
     regions = cut_lineage(regions)
-    several = regions.groupBy("region").agg(F.count("*").alias("held")).where("held > 1").select("region")
-    return regions.join(several.hint("merge"), "region")
+    # Shingles that stand side by side have the same members; one region of each set of members is enough.
+    named = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"name_{k}") for k in (0, 1)]
+    several = regions.groupBy("region").agg(F.count("*").alias("held"), *named).where("held > 1")
+    chosen = several.groupBy("held", "name_0", "name_1").agg(F.min("region").alias("region"), F.count("*").alias("weight")).select("region", "weight")
+    return regions.join(chosen.hint("merge"), "region")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -188,7 +193,7 @@ def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     def sets(packed: pa.Array) -> list[np.ndarray]:
         distinct = pc.dictionary_encode(packed)
         out: list[np.ndarray] = []
-        for block in blocks(unpacked(distinct.dictionary)):
+        for block in packed_blocks(distinct.dictionary):
             hashes, cut = shingle_sets(block, size)
             out += [hashes[x:y] for x, y in zip(cut, cut[1:], strict=False)]
         return [out[k] for k in distinct.indices.to_pylist()]
@@ -228,40 +233,56 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.where("c1 <> c2").select("region", "members").hint("merge"), "region")
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb) of different components in each region, from rows sorted by region; regions are small."""
+def crossing_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of different components that can be partners: by size, and by the first shingles that they share.
+
+    Regions are small here. A pair that is also in a large region has been there with the weight `ENOUGH`, so what is
+    summed for the others is all that they share.
+    """
+    dealt = rows.select("region", "cls", "n", "comp", "weight").repartition("region").sortWithinPartitions("region", "cls")
+    met = dealt.mapInArrow(lambda batches: _crossing(batches, radius), "a bigint, b bigint, weight bigint, need bigint")
+    shared = met.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
+    return shared.where("weight >= need").select("a", "b")
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def pairs(table: np.ndarray) -> pa.RecordBatch:
+        region, cls, n, comp, weight = table.T
         out: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
-        cut = np.flatnonzero(np.concatenate([[True], table[1:, 0] != table[:-1, 0], [True]])) if len(table) else np.zeros(1, np.int64)
-        for x, y in zip(cut, cut[1:], strict=False):
-            group = table[x:y]
-            group = group[np.argsort(group[:, 1], kind="stable")]
-            i, j = np.triu_indices(len(group), 1)
-            some = group[i, 3] != group[j, 3]
+        for step in range(1, len(table)):
+            same = np.flatnonzero(region[step:] == region[:-step])
+            if not len(same):
+                break
+            i, j = same, same + step
+            least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            some = (comp[i] != comp[j]) & (least * 100 >= most * (100 - radius))
             i, j = i[some], j[some]
-            out.append(np.stack([group[i, 1], group[j, 1], group[i, 2], group[j, 2]], axis=1))
+            out.append(np.stack([cls[i], cls[j], weight[i], must_share(least[some])], axis=1))
         found = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a", "b", "na", "nb"])
+        order = np.lexsort((found[:, 1], found[:, 0]))
+        found = found[order]
+        new = np.ones(len(found), dtype=bool)
+        new[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(found[:, 2], first) if len(first) else first
+        columns = [found[first, 0], found[first, 1], total, found[first, 3]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "weight", "need"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(np.stack([batch.column(c).to_numpy() for c in ("region", "cls", "n", "comp")], axis=1))
+        held.append(np.stack([batch.column(c).to_numpy() for c in ("region", "cls", "n", "comp", "weight")], axis=1))
         table = np.concatenate(held)
-        end = int(np.flatnonzero(table[:, 0] != table[-1, 0])[-1]) + 1 if (table[:, 0] != table[-1, 0]).any() else 0
+        other = np.flatnonzero(table[:, 0] != table[-1, 0])
+        end = int(other[-1]) + 1 if len(other) else 0
         held = [table[end:]]
         yield pairs(table[:end])
     if held:
         yield pairs(np.concatenate(held))
 
 
-def crossing_pairs(rows: DataFrame) -> DataFrame:
-    dealt = rows.select("region", "cls", "n", "comp").repartition("region").sortWithinPartitions("region")
-    return dealt.mapInArrow(_crossing, "a bigint, b bigint, na bigint, nb bigint")
-
-
 def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """One round on large regions: links to their pivots, and the regions (region, cls, n, parent) around them.
 
@@ -274,7 +295,7 @@ def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: in
     found = asked.join(known, ["a", "b"], "left").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("both") / F.col("either")))
     nearest = found.groupBy("region", "b").agg(F.min("d").alias("least"))
     inside = found.join(nearest, ["region", "b"]).where(F.col("d") <= F.col("least") + 2 * radius / 100 + 1e-9)
-    regions = inside.select(F.xxhash64("region", "a").alias("region"), F.col("b").alias("cls"), "n", F.col("members").alias("parent"))
+    regions = inside.select(F.xxhash64("region", "a").alias("region"), F.col("b").alias("cls"), "n", F.lit(ENOUGH).alias("weight"), F.col("members").alias("parent"))
     return known.where(_near(radius)).select("a", "b"), cut_lineage(regions)
 
 
@@ -307,7 +328,7 @@ def linked_classes(
         stuck = (F.col("members") > small) & (F.col("members") * 10 > F.col("parent") * 9)
         flat = flat.unionByName(now.where((F.col("members") <= small) | stuck).select(*flat.columns))
         large = now.where((F.col("members") > small) & ~stuck).select(*flat.columns)
-    pairs = crossing_pairs(_labelled(flat.drop("comp", "members"), comps)).where(_fits("na", "nb", radius)).select("a", "b").distinct()
+    pairs = crossing_pairs(_labelled(flat.drop("comp", "members"), comps), radius)
     links = cut_lineage(links.union(distances(pairs, texts, shingle).where(_near(radius)).select("a", "b")).distinct())
     comps = components(links)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import packed_texts, unpacked
+from plantwatch.llm.common import packed_blocks, packed_texts
 from plantwatch.llm.textblocks import IN_WORD, Block, blocks, mixed, paired
 
 BUCKETS = 1 << 16
@@ -56,7 +56,7 @@ def bucket_counts(flagged: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
         target, raw = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
         for batch in batches:
             trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-            for block in blocks(unpacked(batch.column("packed"))):
+            for block in packed_blocks(batch.column("packed")):
                 words, document, _, _ = _words(block)
                 one, two, of_two = _buckets(words, document, n_buckets)
                 good = trusted[block.first : block.last]
