@@ -122,7 +122,7 @@ def score_timeline(
     row = F.struct("_at", *order)
     climbed = linked.withColumn("_turn", F.max(F.when(turns, row)).over(ordered))
     # What a slice knows by itself; `_at` counts from its first row. No further shuffle is needed
-    # here, and at most MAX_SLICES rows per key go on.
+    # here, and one row per slice of a key goes on.
     per_slice = climbed.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.struct("_at", "_s")).alias("_base"),

@@ -8,8 +8,8 @@ slice), and what a slice must know of its past arrives as a few *carry rows* pla
 * for frames of the last n rows, the n rows that precede the slice.
 
 Slices depend on values only, so a recomputed task sees the same slices. The driver holds nothing
-but the cut points (at most MAX_SLICES numbers, from a sample of fixed size) and a list of large
-keys of checked length. A key that owns a third of the table is spread over as many tasks as it has
+but the cut points (one number per slice, from a sample of SAMPLES_PER_SLICE numbers each) and a list
+of large keys of checked length. A key that owns a third of the table is spread over as many tasks as it has
 slices. Only rows that tie in the first order column cannot be told apart; order by a time or a
 number that varies.
 """
@@ -34,7 +34,6 @@ from plantwatch.local import small_rows
 from plantwatch.session import cut_lineage
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 100_000
 SAMPLES_PER_SLICE = 20
 SALTS = 64
 
@@ -143,13 +142,13 @@ def slice_rows(
         return whole
     # Cut points only have to balance the slices, so a sample settles them. Which slice a row falls
     # into follows from its value alone, and every row falls into one.
-    share = SAMPLES_PER_SLICE * min(slices, MAX_SLICES) / (slices * rows_per_slice)
+    share = SAMPLES_PER_SLICE / rows_per_slice
     known = narrow.filter(F.col(AXIS).isNotNull() & ~F.isnan(AXIS)).select(AXIS)
     sample = known.sample(fraction=share, seed=1) if share < 0.5 else known
     values = sample.toArrow()[AXIS].to_numpy()
     if not len(values):
         return whole
-    steps = np.linspace(0, 1, min(slices, MAX_SLICES) + 1)[1:-1]
+    steps = np.linspace(0, 1, slices + 1)[1:-1]
     cuts = sorted({float(cut) for cut in np.quantile(values, steps, method="lower") if abs(cut) != inf})
     if not cuts:
         return whole
@@ -191,7 +190,7 @@ def running(
     if sliced.single:
         ordered = Window.partitionBy(*group).orderBy(*order)
     else:
-        # One row per (key, slice): at most MAX_SLICES rows for any key.
+        # One row per (key, slice): a key has a row for each `rows_per_slice` of its rows.
         per_slice = out.groupBy(*group).agg(
             *[functions[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in totals.items()]
         )

@@ -38,6 +38,7 @@ from plantwatch.operators.fleet import alerts as top_alerts
 from plantwatch.operators.fleet import diagnostic, equipment_summary, top_risk
 from plantwatch.operators.knowledge import attach_interventions, mode_label
 from plantwatch.operators.ordered import ROWS_PER_SLICE, with_position
+from plantwatch.session import cut_lineage
 
 READING_ORDER = ("event_ts", "reading_id")
 
@@ -229,7 +230,8 @@ def root_cause(
 ) -> dict[str, DataFrame]:
     """All tables of the root-cause analysis, for all given alerts at once. `together` lists the sets
     of variables out of range in the same reading."""
-    context = alerts_with_context(alert_rows, readings, before_s, after_s)
+    # Four tables use it; the range join runs once.
+    context = cut_lineage(alerts_with_context(alert_rows, readings, before_s, after_s))
     return {
         "timeline": cause_timeline(context, abrupt_rows, rows_per_slice),
         "deviations": cause_deviations(alert_rows, context),
