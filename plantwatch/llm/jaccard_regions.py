@@ -7,8 +7,8 @@ are those of its first shingles, as many as a partner within the radius must sha
 which it is replicated. A set whose shared shingles are too few to have any partner leaves here.
 
 Inside the regions pivots are sets. Every member's exact distance to its region's pivot is computed; members within the
-radius are linked. A region whose members are connected by now is done. A small one compares what is not connected yet; a large
-one takes several pivots, sends each member to its nearest pivot and to every other within 2 x radius more (a pair within
+radius are linked. A region whose members are connected by now is done. One of bounded size
+compares what is not connected yet, as far as sizes, counts per hash class and shared first shingles allow; a larger one takes several pivots, sends each member to its nearest pivot and to every other within 2 x radius more (a pair within
 the radius meets in the region of either's nearest pivot), and its regions are joined in the same way. Regions that
 the pivots cannot part are compared in full, but for pairs that share too few first shingles.
 
@@ -35,7 +35,7 @@ from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, p
 
 SHINGLE, RADIUS_PERCENT = 5, 25
 SAMPLE_DOCUMENTS, COMMON = 4000, 4
-SMALL_REGION, PIVOTS = 64, 8
+SMALL_REGION, PIVOTS, SKETCH = 4096, 8, 64
 ENOUGH = 1 << 40
 LOWER_CODES = BYTE_CODES[LOWER]
 
@@ -75,6 +75,17 @@ def classes_of(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches_of(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """How many members of each set fall into each of SKETCH hash classes, at most 255.
+
+    The counts of two sets differ in sum by no more than the sets do: a bound on their distance that needs no members.
+    """
+    n = len(cut) - 1
+    owner = np.repeat(np.arange(n), np.diff(cut))
+    cells = owner * SKETCH + (hashes % np.uint64(SKETCH)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
+
+
 def must_share(n: np.ndarray) -> np.ndarray:
     """How many of its first shingles a set of size n shares with a partner of at least its size."""
     return 1 + n // 16
@@ -85,17 +96,20 @@ def least_overlap(n: np.ndarray, radius: int) -> np.ndarray:
 
 
 def class_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, uid, cls, n) of every document of (doc_id, text); equal rows share their uid."""
+    """(doc_id, uid, cls, n, sketch) of every document of (doc_id, text); equal rows share their uid."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 hashes, cut = shingle_sets(block, size)
                 ids, uids = (batch.column(c).slice(block.first, block.documents) for c in ("doc_id", "uid"))
-                yield pa.RecordBatch.from_arrays([ids, uids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut))], ["doc_id", "uid", "cls", "n"])
+                sketches = pa.array([x.tobytes() for x in sketches_of(hashes, cut)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [ids, uids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut)), sketches], ["doc_id", "uid", "cls", "n", "sketch"]
+                )
 
     named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    return named.mapInArrow(rows, "doc_id bigint, uid bigint, cls bigint, n bigint")
+    return named.mapInArrow(rows, "doc_id bigint, uid bigint, cls bigint, n bigint, sketch binary")
 
 
 def common_shingles(docs: DataFrame, size: int, sample: int, common: int) -> np.ndarray:
@@ -233,13 +247,14 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.where("c1 <> c2").select("region", "members").hint("merge"), "region")
 
 
-def crossing_pairs(rows: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of different components that can be partners: by size, and by the first shingles that they share.
+def crossing_pairs(rows: DataFrame, sketches: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of different components that can be partners: by size, by sketch, and by the first shingles they share.
 
-    Regions are small here. A pair that is also in a large region has been there with the weight `ENOUGH`, so what is
-    summed for the others is all that they share.
+    Regions have a bounded size here. A pair that is also in a larger region has been there with the weight `ENOUGH`, so what
+    is summed for the others is all that they share.
     """
-    dealt = rows.select("region", "cls", "n", "comp", "weight").repartition("region").sortWithinPartitions("region", "cls")
+    named = rows.select("region", "cls", "n", "comp", "weight").join(sketches.hint("merge"), "cls")
+    dealt = named.repartition("region").sortWithinPartitions("region", "cls")
     met = dealt.mapInArrow(lambda batches: _crossing(batches, radius), "a bigint, b bigint, weight bigint, need bigint")
     shared = met.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
     return shared.where("weight >= need").select("a", "b")
@@ -247,22 +262,26 @@ def crossing_pairs(rows: DataFrame, radius: int) -> DataFrame:
 
 def _crossing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
 
-    def pairs(table: np.ndarray) -> pa.RecordBatch:
+    def pairs(table: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         region, cls, n, comp, weight = table.T
         out: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+        # Sets at most `radius` percent apart differ in no more members than this share of both sizes.
         for step in range(1, len(table)):
-            same = np.flatnonzero(region[step:] == region[:-step])
-            if not len(same):
+            i = np.flatnonzero(region[step:] == region[:-step])
+            if not len(i):
                 break
-            i, j = same, same + step
+            j = i + step
             least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             some = (comp[i] != comp[j]) & (least * 100 >= most * (100 - radius))
             i, j = i[some], j[some]
-            out.append(np.stack([cls[i], cls[j], weight[i], must_share(least[some])], axis=1))
+            differ = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1, dtype=np.int64)
+            near = differ * (200 - radius) <= radius * (n[i] + n[j])
+            i, j = i[near], j[near]
+            out.append(np.stack([cls[i], cls[j], weight[i], must_share(np.minimum(n[i], n[j]))], axis=1))
         found = np.concatenate(out)
-        order = np.lexsort((found[:, 1], found[:, 0]))
-        found = found[order]
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
         new = np.ones(len(found), dtype=bool)
         new[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
         first = np.flatnonzero(new)
@@ -274,13 +293,14 @@ def _crossing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         if not batch.num_rows:
             continue
         held.append(np.stack([batch.column(c).to_numpy() for c in ("region", "cls", "n", "comp", "weight")], axis=1))
-        table = np.concatenate(held)
+        marks.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+        table, sketch = np.concatenate(held), np.concatenate(marks)
         other = np.flatnonzero(table[:, 0] != table[-1, 0])
         end = int(other[-1]) + 1 if len(other) else 0
-        held = [table[end:]]
-        yield pairs(table[:end])
+        held, marks = [table[end:]], [sketch[end:]]
+        yield pairs(table[:end], sketch[:end])
     if held:
-        yield pairs(np.concatenate(held))
+        yield pairs(np.concatenate(held), np.concatenate(marks))
 
 
 def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -328,7 +348,8 @@ def linked_classes(
         stuck = (F.col("members") > small) & (F.col("members") * 10 > F.col("parent") * 9)
         flat = flat.unionByName(now.where((F.col("members") <= small) | stuck).select(*flat.columns))
         large = now.where((F.col("members") > small) & ~stuck).select(*flat.columns)
-    pairs = crossing_pairs(_labelled(flat.drop("comp", "members"), comps), radius)
+    sketches = classes.where("n > 0").dropDuplicates(["cls"]).select("cls", "sketch")
+    pairs = crossing_pairs(_labelled(flat.drop("comp", "members"), comps), sketches, radius)
     links = cut_lineage(links.union(distances(pairs, texts, shingle).where(_near(radius)).select("a", "b")).distinct())
     comps = components(links)
 
