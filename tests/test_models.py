@@ -102,9 +102,10 @@ def test_multilabel(spark):
 
 
 def test_frames_with_unknown_sensors_are_left_out(spark):
-    rows = [(i, [[float(i), 1.0]], int(i > 10)) for i in range(20)] + [(50, [[None, 1.0]], 1), (51, [[float("nan"), 1.0]], 0)]
-    frames = spark.createDataFrame(rows, "i int, frame array<array<double>>, a int")
-    model = multilabel.fit_multilabel(frames, ["a"])
+    rows = [(i, [[float(i), 1.0]], int(i > 10), i % 2) for i in range(20)]
+    rows += [(50, [[None, 1.0]], 1, 0), (51, [[float("nan"), 1.0]], 0, 1)]
+    frames = spark.createDataFrame(rows, "i int, frame array<array<double>>, a int, b int")
+    model = multilabel.fit_multilabel(frames, ["a", "b"])
     got = {r.i: r.prob_a for r in model.score(frames).collect()}
     assert got[50] is None and got[51] is None and got[19] > 0.5 > got[0]
 
