@@ -10,7 +10,8 @@ Inside the regions pivots are sets. Every member's exact distance to its region'
 radius are linked. A region whose members are connected by now is done. One of bounded size
 compares what is not connected yet, as far as sizes, counts per hash class and shared first shingles allow; a larger one takes several pivots, sends each member to its nearest pivot and to every other within 2 x radius more (a pair within
 the radius meets in the region of either's nearest pivot), and its regions are joined in the same way. Regions that
-the pivots cannot part are compared in full, but for pairs that share too few first shingles.
+the pivots cannot part are compared in full, but for pairs that share too few first shingles. That gives the components. Links
+never leave a component, so a second pass compares all pairs inside each, by pairs of blocks, and counts the partners of every class.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing. A null id never becomes a
 component's id; a component without any id has none. Equal rows are members of one class. Ties have no effect: the
@@ -37,6 +38,9 @@ SHINGLE, RADIUS_PERCENT = 5, 25
 SAMPLE_DOCUMENTS, COMMON = 4000, 4
 SMALL_REGION, PIVOTS, SKETCH = 4096, 8, 64
 ENOUGH = 1 << 40
+# Components are compared as pairs of blocks of so many classes, and of so many shingles.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
+FEW_PAIRS, COLUMNS = 64, 4096
 LOWER_CODES = BYTE_CODES[LOWER]
 
 
@@ -303,6 +307,166 @@ def _crossing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         yield pairs(np.concatenate(held), np.concatenate(marks))
 
 
+def _parts(members, shingles, block: int):
+    """Into how many blocks so many members with so many shingles are cut."""
+    return F.greatest(F.lit(1), F.ceil(members / block), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _block_of(parts):
+    return F.pmod(F.xxhash64("cls", F.lit("block")), F.col(parts)).cast("int")
+
+
+def component_groups(rows: DataFrame, block: int) -> DataFrame:
+    """(grp, role, cls, n, comp): all pairs inside the components of (cls, n, comp), each in one group of two blocks."""
+    sums = rows.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = sums.select("comp", _parts(F.col("c"), F.col("s"), block).alias("parts"))
+    known = rows.join(parts.hint("merge"), "comp").withColumn("own", _block_of("parts"))
+    dealt = known.select("cls", "n", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    role = F.when(F.col("own") == F.col("k"), 0).when(F.col("own") < F.col("k"), 1).otherwise(2)
+    return dealt.select(F.xxhash64("comp", F.least("own", "k"), F.greatest("own", "k")).alias("grp"), role.alias("role"), "cls", "n", "comp")
+
+
+def _in_groups(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """`solve` on tables that hold whole groups of `rows`, sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            end = int(np.searchsorted(batch.column("grp").to_numpy(), batch.column("grp")[-1].as_py()))
+            if end or held and held[-1].column("grp")[-1] != batch.column("grp")[0]:
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                held = []
+            held.append(batch.slice(end))
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return rows.repartition("grp").sortWithinPartitions("grp", "cls", "role").mapInArrow(run, schema)
+
+
+def _asked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether a group asks for the pairs of members with these roles."""
+    return (one + two == 0) | (one + two == 3)
+
+
+def _may_be_near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketch: np.ndarray, radius: int, some: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) that hold in `some` can be partners by their sizes and sketches.
+
+    Sets at most `radius` percent apart differ in no more members than this share of both sizes.
+    """
+    at = np.flatnonzero(some & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * (100 - radius)))
+    near = np.zeros(len(i), dtype=bool)
+    for k in range(0, len(at), 1 << 15):
+        a, b = i[at[k : k + (1 << 15)]], j[at[k : k + (1 << 15)]]
+        differ = np.abs(sketch[a].astype(np.int16) - sketch[b]).sum(axis=1, dtype=np.int64)
+        near[at[k : k + (1 << 15)]] = differ * (200 - radius) <= radius * (n[a] + n[b])
+    return near
+
+
+def near_inside(hashes: np.ndarray, cut: np.ndarray, role: np.ndarray, comp: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of the sets of one group that are within the radius; with `comp`, of different components only."""
+    n, sketch = np.diff(cut), sketches_of(hashes, cut)
+    i, j = np.triu_indices(len(n), 1)
+    some = _asked(role[i], role[j])
+    if comp is not None:
+        some &= comp[i] != comp[j]
+    near = _may_be_near(i, j, n, sketch, radius, some)
+    i, j = i[near], j[near]
+    if len(i) <= FEW_PAIRS:
+        both = np.array([len(np.intersect1d(hashes[cut[a] : cut[a + 1]], hashes[cut[b] : cut[b + 1]], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    else:
+        both = overlaps(hashes, cut, i, j)
+    linked = both * 100 >= (n[i] + n[j] - both) * (100 - radius)
+    return i[linked], j[linked]
+
+
+def overlaps(hashes: np.ndarray, cut: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many members the sets i and j share, from products of 0/1 matrices over the hashes that several sets hold."""
+    members, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    wanted = np.zeros(len(cut) - 1, dtype=bool)
+    wanted[members] = True
+    owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    keep = wanted[owner]
+    row = np.searchsorted(members, owner[keep])
+    _, column, count = np.unique(hashes[keep], return_inverse=True, return_counts=True)
+    several = count > 1
+    column, row = (np.cumsum(several) - 1)[column[several[column]]], row[several[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    total = np.zeros((len(members), len(members)), np.float64)
+    for start in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        cells = np.zeros((len(members), COLUMNS), np.float32)
+        cells[row[a:b], column[a:b] - start] = 1
+        total += cells @ cells.T
+    return total[place[: len(i)], place[len(i) :]].astype(np.int64)
+
+
+def compared(rows: DataFrame, texts: DataFrame, size: int, radius: int, counting: bool) -> DataFrame:
+    """The pairs asked for in groups, compared exactly where the texts meet.
+
+    With `counting` (cls, n_links): how many partners a class has in a group. Otherwise links (a, b) that join the components
+    of a group, no more than it takes to join them.
+    """
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        grp, role, cls, comp = (table[c].to_numpy() for c in ("grp", "role", "cls", "comp"))
+        packed = table["packed"].combine_chunks()
+        begins = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True]).tolist()
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(begins) > 1:
+            # Groups of a few thousand members at once, a group at least.
+            last = max(1, int(np.searchsorted(begins, begins[0] + 2 * BLOCK_CLASSES, side="right")) - 1)
+            first, hashes, cut = begins[0], [], [np.zeros(1, np.int64)]
+            for part in packed_blocks(packed.slice(first, begins[last] - first)):
+                found, at = shingle_sets(part, size)
+                hashes.append(found)
+                cut.append(at[1:] + cut[-1][-1])
+            sets, ends = np.concatenate(hashes), np.concatenate(cut)
+            for a, b in zip(begins[:last], begins[1 : last + 1], strict=True):
+                own = ends[a - first : b - first + 1]
+                i, j = near_inside(sets[own[0] : own[-1]], own - own[0], role[a:b], None if counting else comp[a:b], radius)
+                if not counting:
+                    i, j = _forest(i, j, comp[a:b])
+                one.append(cls[a:b][i])
+                two.append(cls[a:b][j])
+            begins = begins[last:]
+        a, b = np.concatenate(one), np.concatenate(two)
+        if counting:
+            a, b = np.unique(np.concatenate([a, b]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int64))], ["cls", "n_links"] if counting else ["a", "b"])
+
+    with_text = rows.join(texts.hint("merge"), "cls").select(*rows.columns, "packed")
+    return _in_groups(with_text, solve, "cls bigint, n_links bigint" if counting else "a bigint, b bigint")
+
+
+def _forest(i: np.ndarray, j: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that join components not joined by the pairs before them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x] = root.get(root[x], root[x])
+        return x
+
+    keep = np.zeros(len(i), dtype=bool)
+    for k, (x, y) in enumerate(zip(comp[i].tolist(), comp[j].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            keep[k] = True
+    return i[keep], j[keep]
+
+
+def n_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS_PERCENT, block: int = BLOCK_CLASSES) -> DataFrame:
+    """(cls, n_links): how many other classes are within the radius of each class that has any. They all share its component."""
+    sizes = classes.where("n > 0").select("cls", "n").distinct()
+    members = cut_lineage(comps.select(F.col("node").alias("cls"), "comp").join(sizes.hint("merge"), "cls").select("cls", "n", "comp"))
+    counts = compared(component_groups(members, block), texts, shingle, radius, True)
+    return counts.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+
 def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """One round on large regions: links to their pivots, and the regions (region, cls, n, parent) around them.
 
@@ -321,9 +485,9 @@ def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: in
 
 def linked_classes(
     docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS_PERCENT, sample: int = SAMPLE_DOCUMENTS, common: int = COMMON,
-    small: int = SMALL_REGION, pivots: int = PIVOTS,
+    small: int = SMALL_REGION, pivots: int = PIVOTS, block: int = BLOCK_CLASSES,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The class of every document (`class_table`), the links (a, b) between classes, and their components (node, comp)."""
+    """The class of every document (`class_table`), a text of each class that may have a partner, and the components (node, comp)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = cut_lineage(class_table(rows, shingle))
     first = first_shingles(rows, common_shingles(rows, shingle, sample, common), shingle, radius)
@@ -353,17 +517,17 @@ def linked_classes(
     links = cut_lineage(links.union(distances(pairs, texts, shingle).where(_near(radius)).select("a", "b")).distinct())
     comps = components(links)
 
-    return classes, links, comps
+    return classes, texts, comps
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): the smallest id that links lead to, for every document.
 
-    Two documents are linked when their Jaccard distance is at most `radius` percent. `n_links` counts the links that were
-    computed for the document's class; classes already known to be connected are not compared further.
+    Two documents are linked when their Jaccard distance is at most `radius` percent. `n_links` counts the
+    other classes (different sets) that the document's class is linked with.
     """
-    classes, links, comps = linked_classes(docs, **options)
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    classes, texts, comps = linked_classes(docs, **options)
+    degree = n_links(classes, comps, texts, **{k: v for k, v in options.items() if k in ("shingle", "radius", "block")})
     names = classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = names.join(comps.withColumnRenamed("node", "cls"), "cls").join(degree, "cls")
     smallest = named.groupBy("comp").agg(F.min("least").alias("of_comp"))

@@ -68,6 +68,35 @@ def test_components_match_brute_force(spark, options):
     assert sorted(tuple(r)[:3] for r in got) == sorted(plain_components(rows))
 
 
+def plain_links(rows):
+    """For each row the number of other sets at most a quarter apart from its own."""
+    sets = [shingles(t) for _, t in rows]
+    distinct = [s for s in set(sets) if s]
+    links = {s: sum(s is not o and 100 * len(s & o) >= 75 * len(s | o) for o in distinct) for s in distinct}
+    return [(i, links.get(s, 0)) for (i, _), s in zip(rows, sets, strict=True)]
+
+
+def group_of_near_copies(seed, n=150):
+    """Copies of one text with a few words changed: many are near, about as many are not."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(300)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 16}, {"block": 8, "small": 20, "pivots": 2, "sample": 50}])
+def test_all_links_are_counted(spark, options):
+    rows = near_copies(4) + [(1000 + i, t) for i, t in group_of_near_copies(1)]
+    got = jaccard_components(documents(spark, rows), **options).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(plain_links(rows))
+    assert sorted(tuple(r)[:3] for r in got) == sorted(plain_components(rows))
+
+
 def test_components_of_awkward_table(spark):
     rows = awkward()
     got = jaccard_components(documents(spark, rows)).collect()
