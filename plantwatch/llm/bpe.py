@@ -30,6 +30,8 @@ EXOTIC = np.zeros(256, dtype=bool)
 EXOTIC[0xC0:] = True
 EXOTIC[0xC3] = False
 
+SPECIAL = b"<|"
+
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SIGNS = re.compile(r"[!-&(-/:;=-@\[-`{}~]+")
 _LOWER_CODES = BYTE_CODES[LOWER]
@@ -78,6 +80,9 @@ class Encoder:
         starts, ends, document = block.spans(IN_WORD[data], cuts)
         keys = block.hashes(block.prefix(_LOWER_CODES), starts, ends)
         odd = EXOTIC[data]
+        # Special tokens match raw text, in one case only.
+        special = np.flatnonzero((data[:-1] == SPECIAL[0]) & (data[1:] == SPECIAL[1]))
+        odd[special] = True
         if odd.any():
             total = np.concatenate([[0], np.cumsum(odd)])
             some = np.flatnonzero(total[ends] > total[starts])

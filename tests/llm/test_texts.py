@@ -50,6 +50,18 @@ def test_units_encode_as_the_library(library):
             assert ids[cut[k] : cut[k + 1]].tolist() == expected.ids
 
 
+@pytest.mark.parametrize("shouted_first", [False, True])
+def test_special_tokens_in_other_cases_encode_as_the_library(library, shouted_first):
+    special = ["<|endoftext|>", "<|startoftext|>", "a<|endoftext|>b", "É<|startoftext|>", "<|endoftext|><|startoftext|>", "x|<|endoftext|>."]
+    texts = special + [x.upper() for x in special] + [x.title() for x in special] + ["".join(x) for x in zip(special, map(str.upper, special[::-1]), strict=True)]
+    encoder = Encoder(PATH)
+    for text in texts[::-1] if shouted_first else texts:
+        ids, _ = encoder.encode(next(blocks(pa.array([text]))))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    ids, counts = encoder.encode(next(blocks(pa.array(texts))))
+    assert ids.tolist() == [i for x in library.encode_batch(texts, add_special_tokens=False) for i in x.ids]
+
+
 @pytest.mark.parametrize("reuse", [False, True])
 def test_chunks_and_repaired_joins_encode_as_the_library(library, reuse):
     encoder = Encoder(PATH)
