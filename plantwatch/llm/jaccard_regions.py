@@ -7,11 +7,12 @@ are those of its first shingles, as many as a partner within the radius must sha
 which it is replicated. A set whose shared shingles are too few to have any partner leaves here.
 
 Inside the regions pivots are sets. Every member's exact distance to its region's pivot is computed; members within the
-radius are linked. A region whose members are connected by now is done. One of bounded size
-compares what is not connected yet, as far as sizes, counts per hash class and shared first shingles allow; a larger one takes several pivots, sends each member to its nearest pivot and to every other within 2 x radius more (a pair within
-the radius meets in the region of either's nearest pivot), and its regions are joined in the same way. Regions that
-the pivots cannot part are compared in full, but for pairs that share too few first shingles. That gives the components. Links
-never leave a component, so a second pass compares all pairs inside each, by pairs of blocks, and counts the partners of every class.
+radius are linked. A region whose members are connected by now is done. A region of more than `small` members takes several
+pivots, sends each member to its nearest pivot and to every other within 2 x radius more (a pair within the radius meets in the
+region of either's nearest pivot), and its regions are joined in the same way. What is left apart, and regions that the
+pivots cannot part, is dealt as pairs of blocks of bounded size; sizes and counts per hash class say which members may
+be near, and their sets are compared exactly where the blocks meet. That gives the components. Links never leave a component,
+so a second pass compares all pairs inside each, again by pairs of blocks, and counts the partners of every class.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing. A null id never becomes a
 component's id; a component without any id has none. Equal rows are members of one class. Ties have no effect: the
@@ -37,8 +38,7 @@ from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, p
 SHINGLE, RADIUS_PERCENT = 5, 25
 SAMPLE_DOCUMENTS, COMMON = 4000, 4
 SMALL_REGION, PIVOTS, SKETCH = 4096, 8, 64
-ENOUGH = 1 << 40
-# Components are compared as pairs of blocks of so many classes, and of so many shingles.
+# Regions and components are compared as pairs of blocks of so many classes, and of so many shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
 FEW_PAIRS, COLUMNS = 64, 4096
 LOWER_CODES = BYTE_CODES[LOWER]
@@ -167,8 +167,7 @@ def first_shingles(docs: DataFrame, common: np.ndarray, size: int, radius: int)
 
 
 def regions_of_shingles(first: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
-    """(region, cls, n, weight): classes that may have a partner, in the regions of their first shingles that other such classes
-    hold. `weight` says how many first shingles the region stands for.
+    """(region, cls, n): classes that may have a partner, in the regions of their first shingles that other such classes hold.
 
     `sizes` has (cls, n). A class needs as many shared first shingles as it would share with its smallest partner.
     """
@@ -181,7 +180,7 @@ def regions_of_shingles(first: DataFrame, sizes: DataFrame, radius: int) -> Data
     # Shingles that stand side by side have the same members; one region of each set of members is enough.
     named = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"name_{k}") for k in (0, 1)]
     several = regions.groupBy("region").agg(F.count("*").alias("held"), *named).where("held > 1")
-    chosen = several.groupBy("held", "name_0", "name_1").agg(F.min("region").alias("region"), F.count("*").alias("weight")).select("region", "weight")
+    chosen = several.groupBy("held", "name_0", "name_1").agg(F.min("region").alias("region")).select("region")
     return regions.join(chosen.hint("merge"), "region")
 
 
@@ -251,62 +250,6 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.where("c1 <> c2").select("region", "members").hint("merge"), "region")
 
 
-def crossing_pairs(rows: DataFrame, sketches: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of different components that can be partners: by size, by sketch, and by the first shingles they share.
-
-    Regions have a bounded size here. A pair that is also in a larger region has been there with the weight `ENOUGH`, so what
-    is summed for the others is all that they share.
-    """
-    named = rows.select("region", "cls", "n", "comp", "weight").join(sketches.hint("merge"), "cls")
-    dealt = named.repartition("region").sortWithinPartitions("region", "cls")
-    met = dealt.mapInArrow(lambda batches: _crossing(batches, radius), "a bigint, b bigint, weight bigint, need bigint")
-    shared = met.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
-    return shared.where("weight >= need").select("a", "b")
-
-
-def _crossing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    marks: list[np.ndarray] = []
-
-    def pairs(table: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-        region, cls, n, comp, weight = table.T
-        out: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
-        # Sets at most `radius` percent apart differ in no more members than this share of both sizes.
-        for step in range(1, len(table)):
-            i = np.flatnonzero(region[step:] == region[:-step])
-            if not len(i):
-                break
-            j = i + step
-            least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            some = (comp[i] != comp[j]) & (least * 100 >= most * (100 - radius))
-            i, j = i[some], j[some]
-            differ = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1, dtype=np.int64)
-            near = differ * (200 - radius) <= radius * (n[i] + n[j])
-            i, j = i[near], j[near]
-            out.append(np.stack([cls[i], cls[j], weight[i], must_share(np.minimum(n[i], n[j]))], axis=1))
-        found = np.concatenate(out)
-        found = found[np.lexsort((found[:, 1], found[:, 0]))]
-        new = np.ones(len(found), dtype=bool)
-        new[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(found[:, 2], first) if len(first) else first
-        columns = [found[first, 0], found[first, 1], total, found[first, 3]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "weight", "need"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(np.stack([batch.column(c).to_numpy() for c in ("region", "cls", "n", "comp", "weight")], axis=1))
-        marks.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
-        table, sketch = np.concatenate(held), np.concatenate(marks)
-        other = np.flatnonzero(table[:, 0] != table[-1, 0])
-        end = int(other[-1]) + 1 if len(other) else 0
-        held, marks = [table[end:]], [sketch[end:]]
-        yield pairs(table[:end], sketch[:end])
-    if held:
-        yield pairs(np.concatenate(held), np.concatenate(marks))
-
-
 def _parts(members, shingles, block: int):
     """Into how many blocks so many members with so many shingles are cut."""
     return F.greatest(F.lit(1), F.ceil(members / block), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
@@ -316,6 +259,27 @@ def _block_of(parts):
     return F.pmod(F.xxhash64("cls", F.lit("block")), F.col(parts)).cast("int")
 
 
+def crossing_groups(rows: DataFrame, block: int) -> DataFrame:
+    """(grp, role, cls, n, comp): regions (region, cls, n, comp) with several components, dealt as pairs of blocks.
+
+    A small region is one group, where all pairs are asked for (role 0). Of a larger one the members outside its largest
+    component (role 1) meet all members (role 2), a block with a block.
+    """
+    per = rows.groupBy("region", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sums = per.groupBy("region").agg(F.max(F.struct("c", "comp", "s")).alias("major"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("comps"))
+    parts = sums.where("comps > 1").select(
+        "region", F.col("major.comp").alias("major"), _parts(F.col("c"), F.col("s"), block).alias("parts"),
+        _parts(F.col("c") - F.col("major.c"), F.col("s") - F.col("major.s"), block).alias("few"),
+    )
+    known = rows.join(parts.hint("merge"), "region")
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(k.alias("i"), _block_of("parts").alias("j"), F.lit(2).alias("role")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(_block_of("few").alias("i"), k.alias("j"), F.lit(1).alias("role")))
+    places = F.when(F.col("parts") == 1, whole).when(F.col("comp") == F.col("major"), asked).otherwise(F.concat(asked, asking))
+    dealt = known.select("region", "cls", "n", "comp", F.explode(places).alias("at"))
+    return dealt.select(F.xxhash64("region", "at.i", "at.j").alias("grp"), "at.role", "cls", "n", "comp")
+
+
 def component_groups(rows: DataFrame, block: int) -> DataFrame:
     """(grp, role, cls, n, comp): all pairs inside the components of (cls, n, comp), each in one group of two blocks."""
     sums = rows.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
@@ -345,6 +309,27 @@ def _in_groups(rows: DataFrame, solve, schema: str) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp", "cls", "role").mapInArrow(run, schema)
 
 
+def possible(rows: DataFrame, sketches: DataFrame, radius: int) -> DataFrame:
+    """The members of groups that may be near a member of another component, by their sizes and sketches."""
+    names = rows.columns
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        grp, n, comp, role = (table[c].to_numpy() for c in ("grp", "n", "comp", "role"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        some = np.zeros(len(grp), dtype=bool)
+        for step in range(1, len(grp)):
+            i = np.flatnonzero(grp[step:] == grp[:-step])
+            if not len(i):
+                break
+            near = _may_be_near(i, i + step, n, sketch, radius, (comp[i] != comp[i + step]) & _asked(role[i], role[i + step]))
+            some[i[near]] = some[i[near] + step] = True
+        kept = table.filter(pa.array(some))
+        return pa.RecordBatch.from_arrays([kept[c].combine_chunks() for c in names], names)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return _in_groups(rows.join(sketches.hint("merge"), "cls").select(*names, "sketch"), solve, schema)
+
+
 def _asked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Whether a group asks for the pairs of members with these roles."""
     return (one + two == 0) | (one + two == 3)
@@ -468,9 +453,10 @@ def n_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, *, shingle:
 
 
 def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """One round on large regions: links to their pivots, and the regions (region, cls, n, parent) around them.
+    """One round on large regions: links to their pivots, and the regions (region, cls, n, parent, whole) around them.
 
-    A member goes to its nearest pivot, and to every pivot that is at most 2 x radius farther.
+    A member goes to its nearest pivot, and to every pivot that is at most 2 x radius farther. `parent` is the size of the
+    region that was parted, `whole` its name.
     """
     picked = rows.groupBy("region", F.pmod(F.xxhash64("cls", "region"), F.lit(pivots)).alias("k")).agg(F.min(F.struct("cls", "n")).alias("p"))
     asked = rows.join(picked.select("region", F.col("p.cls").alias("a")).hint("merge"), "region").select("region", "a", F.col("cls").alias("b"), "n", "members")
@@ -479,7 +465,7 @@ def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: in
     found = asked.join(known, ["a", "b"], "left").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("both") / F.col("either")))
     nearest = found.groupBy("region", "b").agg(F.min("d").alias("least"))
     inside = found.join(nearest, ["region", "b"]).where(F.col("d") <= F.col("least") + 2 * radius / 100 + 1e-9)
-    regions = inside.select(F.xxhash64("region", "a").alias("region"), F.col("b").alias("cls"), "n", F.lit(ENOUGH).alias("weight"), F.col("members").alias("parent"))
+    regions = inside.select(F.xxhash64("region", "a").alias("region"), F.col("b").alias("cls"), "n", F.col("members").alias("parent"), F.col("region").alias("whole"))
     return known.where(_near(radius)).select("a", "b"), cut_lineage(regions)
 
 
@@ -487,7 +473,10 @@ def linked_classes(
     docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS_PERCENT, sample: int = SAMPLE_DOCUMENTS, common: int = COMMON,
     small: int = SMALL_REGION, pivots: int = PIVOTS, block: int = BLOCK_CLASSES,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The class of every document (`class_table`), a text of each class that may have a partner, and the components (node, comp)."""
+    """The class of every document (`class_table`), a text of each class that may have a partner, and the components (node, comp).
+
+    For components not all links are needed; `n_links` compares all pairs.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = cut_lineage(class_table(rows, shingle))
     first = first_shingles(rows, common_shingles(rows, shingle, sample, common), shingle, radius)
@@ -500,8 +489,18 @@ def linked_classes(
     links = cut_lineage(distances(stars.select("a", F.col("cls").alias("b")).distinct(), texts, shingle).where(_near(radius)).select("a", "b"))
     comps = components(links)
 
-    # What is still apart inside a region.
+    # What is still apart in larger regions, against a pivot of each region's own.
     left = cut_lineage(_apart(_labelled(regions, comps)))
+    several = left.where(F.col("members") > block // 8)
+    if not several.isEmpty():
+        drawn = several.groupBy("region").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", "region")).alias("p"))
+        stars = several.join(drawn.select("region", F.col("p.cls").alias("a"), F.col("p.n").alias("na")).hint("merge"), "region")
+        stars = stars.where((F.col("a") != F.col("cls")) & _fits("na", "n", radius)).select("a", F.col("cls").alias("b")).distinct()
+        links = cut_lineage(links.union(distances(stars, texts, shingle).where(_near(radius)).select("a", "b")).distinct())
+        comps = components(links)
+        left = cut_lineage(_apart(_labelled(left.drop("comp", "members"), comps)))
+
+    # What is still apart inside a region.
     flat = left.where(F.col("members") <= small)
     large = left.where(F.col("members") > small)
     while not large.isEmpty():
@@ -509,12 +508,16 @@ def linked_classes(
         links = cut_lineage(links.union(more).distinct())
         comps = components(links)
         now = cut_lineage(_apart(_labelled(parts, comps)))
-        stuck = (F.col("members") > small) & (F.col("members") * 10 > F.col("parent") * 9)
-        flat = flat.unionByName(now.where((F.col("members") <= small) | stuck).select(*flat.columns))
-        large = now.where((F.col("members") > small) & ~stuck).select(*flat.columns)
+        # A region that pivots cannot part is compared once, as it was.
+        stuck = now.where((F.col("members") > small) & (F.col("members") * 10 > F.col("parent") * 9)).select("whole").distinct()
+        flat = flat.unionByName(large.join(stuck, F.col("region") == F.col("whole"), "left_semi"))
+        now = now.join(stuck, "whole", "left_anti").select(*flat.columns)
+        flat = flat.unionByName(now.where(F.col("members") <= small))
+        large = now.where(F.col("members") > small)
     sketches = classes.where("n > 0").dropDuplicates(["cls"]).select("cls", "sketch")
-    pairs = crossing_pairs(_labelled(flat.drop("comp", "members"), comps), sketches, radius)
-    links = cut_lineage(links.union(distances(pairs, texts, shingle).where(_near(radius)).select("a", "b")).distinct())
+    groups = crossing_groups(_labelled(flat.drop("comp", "members"), comps), block)
+    groups = cut_lineage(possible(groups, sketches, radius))
+    links = cut_lineage(links.union(compared(groups, texts, shingle, radius, False)).distinct())
     comps = components(links)
 
     return classes, texts, comps

@@ -8,7 +8,7 @@ import pytest
 
 from plantwatch.llm.ball_tree import top_products
 from plantwatch.llm.components import components
-from plantwatch.llm.jaccard_regions import jaccard_components, one_of_each
+from plantwatch.llm.jaccard_regions import crossing_groups, jaccard_components, one_of_each, possible
 from plantwatch.llm.tool_calls import levels, link_tool_calls
 from pyspark.sql import functions as F
 from tests.llm.helpers import awkward, documents, lowered, words_of
@@ -97,6 +97,31 @@ def test_all_links_are_counted(spark, options):
     assert sorted(tuple(r)[:3] for r in got) == sorted(plain_components(rows))
 
 
+def test_regions_are_dealt_as_bounded_blocks(spark):
+    """One region of 300 classes, a third of them in one component: no group holds it, and every crossing pair meets."""
+    rows = [(7, k, 50, 0 if k % 3 == 0 else k) for k in range(300)] + [(8, k, 50, k) for k in (1, 2)] + [(9, k, 50, 0) for k in (0, 3)]
+    table = spark.createDataFrame(rows, "region bigint, cls bigint, n bigint, comp bigint")
+    groups = {}
+    for r in crossing_groups(table, 20).collect():
+        groups.setdefault(r.grp, []).append(r)
+    assert max(map(len, groups.values())) <= 80
+    met = {(min(x.cls, y.cls), max(x.cls, y.cls)) for g in groups.values() for x in g for y in g if x.comp != y.comp and x.role + y.role in (0, 3)}
+    assert met == {(x, y) for x in range(300) for y in range(x + 1, 300) if x % 3 or y % 3}
+    none = spark.createDataFrame([(k, bytes([255 if j == k % 64 else 0 for j in range(64)])) for k in range(300)], "cls bigint, sketch binary")
+    assert possible(crossing_groups(table.where("region = 8"), 20), none, 25).collect() == []
+
+
+def test_texts_of_one_form_that_are_not_near(spark):
+    """More texts than a region may hold, alike but all beyond the radius: pivots cannot part them."""
+    rng = random.Random(6)
+    form = [f"f{k}" for k in range(200)]
+    rows = [(i, " ".join(w if k % 25 else f"x{rng.randrange(10**6)}" for k, w in enumerate(form))) for i in range(60)] + [(99, " ".join(form))]
+    rows += [(100 + i, rows[i][1].replace("f7 ", "y ")) for i in range(5)]
+    got = jaccard_components(documents(spark, rows), small=8, pivots=2, block=8).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(plain_components(rows))
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(plain_links(rows))
+
+
 def test_components_of_awkward_table(spark):
     rows = awkward()
     got = jaccard_components(documents(spark, rows)).collect()
