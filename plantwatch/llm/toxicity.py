@@ -2,8 +2,9 @@
 
 Logistic regression on the presence of words and of stems (the first four and five bytes of longer words). Those that
 separate the labels significantly on the training documents become features, and so does every identity term. Each
-labelled text that names an identity group is paired with the same text about another group of its kind, and the
-squared difference of the two scores is penalised, so that naming a group does not by itself raise a score.
+labelled text that names an identity group is paired with the same text about another group of its kind (its features
+without the word and the stems of the one, but for stems that another word gives too, and with those of the other), and
+the squared difference of the two scores is penalised, so that naming a group does not by itself raise a score.
 
 Words are runs of ASCII letters and bytes of other characters, ASCII letters lower-cased.
 
@@ -73,6 +74,38 @@ def hashes_of(words: Sequence[str]) -> np.ndarray:
     return out
 
 
+def stems_of(words: Sequence[str], features: np.ndarray) -> list[np.ndarray]:
+    """For each word the features that are stems of it."""
+    out = [np.zeros(0, np.int64)] * len(words)
+    for block in blocks(pa.array(list(words), pa.string())):
+        whole = len(word_hashes(block, stems=False)[0])
+        found, document = (x[whole:] for x in word_hashes(block))
+        known = np.isin(found, features)
+        at = np.searchsorted(features, found)
+        for k in range(block.documents):
+            out[block.first + k] = at[known & (document == k)]
+    return out
+
+
+def given_twice(block: Block, features: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) for each of these stems that several different words of a document give."""
+    starts, ends, document = block.spans(LETTER[block.data])
+    prefix = block.prefix(LOWER_CODES)
+    words = block.hashes(prefix, starts, ends)
+    cells, sources = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for size in STEMS:
+        long = np.flatnonzero(ends - starts > size)
+        stem = mixed(block.hashes(prefix, starts[long], starts[long] + size) + np.uint64(size))
+        known = np.isin(stem, features[stems])
+        cells.append(document[long[known]] * len(features) + np.searchsorted(features, stem[known]))
+        sources.append(words[long[known]])
+    cell, source = np.concatenate(cells), np.concatenate(sources)
+    order = np.lexsort((source, cell))
+    cell, source = cell[order], source[order]
+    other = np.unique(cell[1:][(cell[1:] == cell[:-1]) & (source[1:] != source[:-1])])
+    return other // len(features), other % len(features)
+
+
 @dataclass
 class Toxicity:
     """Sorted feature hashes, their weights, and the intercept."""
@@ -152,9 +185,33 @@ def swaps(kinds: Sequence[Sequence[str]], features: np.ndarray) -> list[tuple[in
     return out
 
 
+def changes(
+    rows: np.ndarray, columns: np.ndarray, swapped: Sequence[tuple[int, int]], stems: dict[int, Sequence[int]], twice: set[tuple[int, int]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text of each pair, and the cells in which its swapped text differs: pair, feature, and 1 or -1.
+
+    `stems` has the stems of each term; `twice` the cells (text, stem) that do not go with a single word.
+    """
+    order = np.argsort(rows, kind="stable")
+    begins = np.searchsorted(rows[order], np.arange(rows.max(initial=-1) + 2))
+    texts, pairs, features, signs = [], [], [], []
+    for a, b in swapped:
+        old, new = {a, *stems.get(a, ())}, {b, *stems.get(b, ())}
+        for x in np.unique(rows[columns == a]).tolist():
+            have = set(columns[order[begins[x] : begins[x + 1]]].tolist())
+            gone = {f for f in old & have if (x, f) not in twice} - new
+            came = new - have
+            pairs += [len(texts)] * (len(gone) + len(came))
+            features += [*sorted(gone), *sorted(came)]
+            signs += [-1.0] * len(gone) + [1.0] * len(came)
+            texts.append(x)
+    return np.array(texts, np.int64), np.array(pairs, np.int64), np.array(features, np.int64), np.array(signs, float)
+
+
 def fit_weights(
-    rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, n_features: int, swapped: Sequence[tuple[int, int]], penalty: float
-) -> tuple[np.ndarray, float]:
+    rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, n_features: int, swapped: Sequence[tuple[int, int]], penalty: float,
+    stems: dict[int, Sequence[int]] | None = None, twice: set[tuple[int, int]] | None = None,
+) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise log loss + ridge + penalty * mean (score - score of the swapped text)^2.
 
     The feature matrix is given by its non-zero cells. Gradient steps with momentum, a fixed number of them. The log
@@ -162,11 +219,7 @@ def fit_weights(
     """
     n = len(labels)
     weight = np.where(labels > 0.5, np.clip((1 - labels.mean()) / labels.mean(), 1, MAX_WEIGHT), 1.0)
-    pairs = []
-    for a, b in swapped:
-        named = np.unique(rows[columns == a])
-        pairs += [(int(x), a, b) for x in named]
-    pairs = np.array(pairs, dtype=np.int64).reshape(-1, 3)
+    x, pair, changed, sign = changes(rows, columns, swapped, stems or {}, twice or set())
     weights, intercept = np.zeros(n_features), float(np.log(labels.mean() / (1 - labels.mean())))
     speed, speed_0 = np.zeros(n_features), 0.0
     curvature = np.bincount(columns, weight[rows], minlength=n_features) / n * 0.25 + RIDGE + penalty / 8
@@ -176,16 +229,14 @@ def fit_weights(
         error = (score - labels) * weight
         gradient = np.bincount(columns, error[rows], minlength=n_features) / n + RIDGE * weights
         gradient_0 = error.mean()
-        if len(pairs):
-            x, a, b = pairs.T
-            other = _sigmoid(logit[x] - weights[a] + weights[b])
-            gap = 2 * penalty * (score[x] - other) / len(pairs)
+        if len(x):
+            other = _sigmoid(logit[x] + np.bincount(pair, sign * weights[changed], minlength=len(x)))
+            gap = 2 * penalty * (score[x] - other) / len(x)
             mine, theirs = gap * score[x] * (1 - score[x]), gap * other * (1 - other)
             push = np.zeros(n)
             np.add.at(push, x, mine - theirs)
             gradient += np.bincount(columns, push[rows], minlength=n_features)
-            np.add.at(gradient, a, theirs)
-            np.add.at(gradient, b, -theirs)
+            np.add.at(gradient, changed, -sign * theirs[pair])
             gradient_0 += (mine - theirs).sum()
         speed = 0.9 * speed - 0.2 * gradient / np.maximum(curvature, 0.002)
         speed_0 = 0.9 * speed_0 - 0.2 * gradient_0
@@ -205,24 +256,32 @@ def fit(
     if not n or n_toxic in (0, n):
         share = min(max(n_toxic / n if n else 0.5, 1e-6), 1 - 1e-6)
         return Toxicity(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    terms = hashes_of([word for kind in kinds for word in kind])
+    words = [word for kind in kinds for word in kind]
+    terms = hashes_of(words)
     features = np.unique(np.concatenate([separating_words(word_statistics(rows), n, n_toxic), terms]))
+    stems = {int(np.searchsorted(features, term)): found.tolist() for term, found in zip(terms, stems_of(words, features), strict=True)}
+    of_terms = np.unique(np.array([f for found in stems.values() for f in found], np.int64))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                document, feature = present(block, features)
-                cut = np.searchsorted(document, np.arange(block.documents + 1))
-                found = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
                 part = [batch.column(c).slice(block.first, block.documents) for c in ("doc_id", "label")]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(found, pa.binary())], ["doc_id", "label", "features"])
-
-    table = rows.select("doc_id", "label", "text").mapInArrow(cells, "doc_id bigint, label int, features binary").distinct().toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("features", "ascending")])
-    found = [np.frombuffer(x.as_buffer(), np.int32) for x in table["features"]]
-    at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    cell = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
-    return Toxicity(features, *fit_weights(at, cell, table["label"].to_numpy().astype(float), len(features), swaps(kinds, features), penalty))
+                for document, feature in (present(block, features), given_twice(block, features, of_terms)):
+                    cut = np.searchsorted(document, np.arange(block.documents + 1))
+                    part.append(pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(part, ["doc_id", "label", "features", "twice"])
+
+    table = rows.select("doc_id", "label", "text").mapInArrow(cells, "doc_id bigint, label int, features binary, twice binary").distinct().toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("features", "ascending"), ("twice", "ascending")])
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.frombuffer(x.as_buffer(), np.int32) for x in table[name]]
+        at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        return at, np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+
+    twice = set(zip(*(x.tolist() for x in flat("twice")), strict=True))
+    labels_seen = table["label"].to_numpy().astype(float)
+    return Toxicity(features, *fit_weights(*flat("features"), labels_seen, len(features), swaps(kinds, features), penalty, stems, twice))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **fitting) -> DataFrame:

@@ -12,7 +12,8 @@ from plantwatch.llm import quality_neighbours as neighbours
 from plantwatch.llm import quality_rules as rules
 from plantwatch.llm.language_id import frozen, language_id
 from plantwatch.llm.textblocks import blocks, paired
-from plantwatch.llm.toxicity import fit_weights, hashes_of, swaps, toxicity
+from plantwatch.llm.toxicity import changes, fit_weights, given_twice, hashes_of, present, stems_of, swaps, toxicity, word_hashes
+from plantwatch.llm.toxicity import fit as toxicity_model
 from tests.conftest import SMALL
 from tests.llm.helpers import awkward, documents, words_of
 
@@ -164,6 +165,56 @@ def test_penalty_evens_out_identity_terms():
     assert even[awful] > 1
 
 
+def named_texts(n=600):
+    """Texts on a group each; those that name muslims are toxic far more often, by a word of their own."""
+    rng = np.random.default_rng(4)
+    rows, toxic = [], []
+    for i in range(n):
+        group = ("muslim", "jewish", "hindu", "buddhist", "atheist", "christian")[i % 6]
+        bad = rng.random() < (0.8 if group == "muslim" else 0.05)
+        words = [f"w{rng.integers(80)}" for _ in range(12)]
+        rows.append((i, " ".join([*words[:6], group, *words[6:], *(["awful"] if bad and rng.random() < 0.5 else [])])))
+        toxic.append((i, int(bad)))
+    return rows, toxic
+
+
+def test_penalty_covers_the_stems_of_identity_terms(spark):
+    """With the parameters of the query the gap between groups shrinks, though the labels of this table ask for it."""
+    rows, toxic = named_texts()
+    docs, labels = documents(spark, rows).select("doc_id", "text"), spark.createDataFrame(toxic, "doc_id bigint, label int")
+    gaps = []
+    for model in (toxicity_model(docs, labels), toxicity_model(docs, labels, penalty=0.0)):
+        assert np.isin(stem_hashes("muslim"), model.features).all()
+        one, other = model.scores(next(blocks(pa.array(["w1 muslim w2", "w1 jewish w2"]))))
+        gaps.append(one - other)
+    assert 0 <= gaps[0] < 0.7 * gaps[1], gaps
+
+
+def stem_hashes(word):
+    found, _ = word_hashes(next(blocks(pa.array([word]))))
+    return found[1:]
+
+
+def test_swapped_cells_are_those_of_the_swapped_text():
+    words = ["muslim", "jewish", "muslims", "muslin", "awful"]
+    every = np.unique(np.concatenate([*map(stem_hashes, words), hashes_of(words)]))
+    kinds = [("muslim", "jewish")]
+    stems = {int(np.searchsorted(every, h)): s.tolist() for h, s in zip(hashes_of(kinds[0]), stems_of(kinds[0], every), strict=True)}
+    texts = ["a muslim", "muslim and MUSLIM", "muslim muslims", "the muslin of a muslim", "jewish, not muslim", "awful jewish x", "none"]
+    block = next(blocks(pa.array(texts)))
+    rows, columns = present(block, every)
+    twice = set(zip(*(x.tolist() for x in given_twice(block, every, np.unique(sum(stems.values(), [])))), strict=True))
+    pairs = swaps(kinds, every)
+    named, pair, feature, sign = changes(rows, columns, pairs, stems, twice)
+    expected = [(x, t.lower().replace(f"{a} ", f"{b} ").strip()) for a, b in (kinds[0], kinds[0][::-1]) for x, t in enumerate(f"{t.lower().replace(',', '')} " for t in texts) if f"{a} " in t]
+    assert named.tolist() == [x for x, _ in expected]
+    for k, (x, swapped) in enumerate(expected):
+        cells = set(columns[rows == x].tolist())
+        for f, s in zip(feature[pair == k].tolist(), sign[pair == k], strict=True):
+            (cells.add if s > 0 else cells.remove)(f)
+        assert cells == set(present(next(blocks(pa.array([swapped]))), every)[1].tolist())
+
+
 def test_code_lengths_match_plain_trees():
     """Costs from dictionaries of contexts, order 3 down to 0, with escapes."""
     texts = {"aa": ["abcabcabd", "abd cab"], "bb": ["xyzzy xyz", "zzz éa"]}
