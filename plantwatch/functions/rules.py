@@ -161,7 +161,8 @@ def mode_signature(osf_limit: float | Mapping[str, float] = OVERSTRAIN_LIMIT) ->
 
 
 def range_deviation(value: Column, low: Column, high: Column) -> Column:
-    """Signed percentage past the breached limit, 0 inside the range."""
+    """Signed percentage past the breached limit, 0 inside the range; NULL for a value that is no number."""
+    value = known(value)
     past_low = F.try_divide((value - low) * 100.0, F.abs(low))
     past_high = F.try_divide((value - high) * 100.0, F.abs(high))
     return (

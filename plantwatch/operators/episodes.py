@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantwatch.functions.numbers import known
 from plantwatch.functions.rules import (
     ALERT_SCORE,
     ALERT_STATE,
@@ -54,8 +55,13 @@ def sensor_values(
     )
 
 
+def outside(value: Column, low: Column | float, high: Column | float) -> Column:
+    """Whether a value lies outside its limits; NULL for one that is no number, which breaches nothing."""
+    return (known(value) < low) | (known(value) > high)
+
+
 def out_of_range() -> Column:
-    return (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
+    return outside(F.col("value"), F.col("low"), F.col("high"))
 
 
 def sensor_breaches(
@@ -86,7 +92,7 @@ def first_breach(
             value.alias("value"),
             range_deviation(value, F.lit(low), F.lit(high)).alias("deviation_pct"),
         )
-        details.append(F.when((value < low) | (value > high), detail))
+        details.append(F.when(outside(value, low, high), detail))
     found = first.withColumn("_b", F.coalesce(*details))
     return found.select(*keys, "_b.variable", *order, "_b.value", "_b.deviation_pct")
 
@@ -201,15 +207,13 @@ def urgency(slope: Column, status: Column, slow: float = SLOW_RISE, steep: float
 
 def any_breach(ranges: Mapping[str, tuple[float, float]] = SENSOR_RANGES) -> Column:
     """True for rows with a sensor out of range; unknown values are not."""
-    outside = [(F.col(s) < lo) | (F.col(s) > hi) for s, (lo, hi) in ranges.items()]
-    return F.coalesce(reduce(or_, outside), F.lit(False))
+    each = [F.coalesce(outside(F.col(s), lo, hi), F.lit(False)) for s, (lo, hi) in ranges.items()]
+    return reduce(or_, each)
 
 
 def breached_names(ranges: Mapping[str, tuple[float, float]] = SENSOR_RANGES) -> Column:
     """Sorted names of the sensors of a row that are out of range."""
-    names = [
-        F.when((F.col(s) < lo) | (F.col(s) > hi), F.lit(s)) for s, (lo, hi) in sorted(ranges.items())
-    ]
+    names = [F.when(outside(F.col(s), lo, hi), F.lit(s)) for s, (lo, hi) in sorted(ranges.items())]
     return F.array_compact(F.array(*names))
 
 

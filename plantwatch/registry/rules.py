@@ -14,6 +14,7 @@ from plantwatch.streaming.alerts import alert_stream
 
 R = rounded
 BY_MODE = dict(zip(MODES, PROBABILITIES))
+MODE_CASE = "CASE failure_mode " + " ".join(f"WHEN '{m}' THEN '{n}'" for m, n in knowledge.MODE_NAMES.items()) + " END"
 
 register("severity", ["readings"], """
 SELECT reading_id, CASE WHEN anomaly_score >= 0.9 THEN 'critical' WHEN anomaly_score >= 0.8 THEN 'high'
@@ -173,10 +174,8 @@ SELECT reading_id, air_temp_k AS f0, process_temp_k AS f1, CAST(rpm AS DOUBLE) A
     )
 )
 
-register("mode_label", ["alerts"], """
-SELECT alert_id, failure_mode, CASE failure_mode WHEN 'TWF' THEN 'worn tool or component'
-  WHEN 'HDF' THEN 'cooling does not remove the heat' WHEN 'PWF' THEN 'power or electric drive trouble'
-  WHEN 'OSF' THEN 'mechanical overload' WHEN 'RNF' THEN 'random fault without a clear pattern' END AS label FROM alerts
+register("mode_label", ["alerts"], f"""
+SELECT alert_id, failure_mode, {MODE_CASE} AS label FROM alerts
 """)(lambda a: knowledge.mode_label(a.select("alert_id", "failure_mode"), "failure_mode", "label"))
 
 register("signal_tag", ["readings"], """
@@ -189,5 +188,5 @@ SELECT equipment_id, node_id, node_name, reading_id, event_ts,
   CASE WHEN anomaly_score <= 0 THEN 'MULTIPLE' ELSE {first_mode(BY_MODE)} END AS failure_mode,
   anomaly_score AS probability, CASE WHEN anomaly_score >= 0.9 THEN 'critical' WHEN anomaly_score >= 0.8 THEN 'high'
   ELSE 'medium' END AS severity, anomaly_score, air_temp_k, process_temp_k, rpm, torque_nm, tool_wear_min,
-  CAST(0 AS INT) AS resolved FROM readings WHERE anomaly_score >= 0.65
+  CAST(0 AS INT) AS resolved, CAST(NULL AS TIMESTAMP) AS resolved_at FROM readings WHERE anomaly_score >= 0.65
 """)(lambda r: alert_stream(r).drop("alert_id"))

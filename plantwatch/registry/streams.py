@@ -37,7 +37,7 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
 
 
 @register_source("streamed_alerts", ["readings", "alerts"], f"""
-SELECT {ALERT_LIST.replace(', resolved', '')}, reading_id FROM (SELECT *, alert_id AS reading_id FROM alerts)
+SELECT {ALERT_LIST.replace(', resolved', '')}, reading_id, CAST(NULL AS TIMESTAMP) AS resolved_at FROM (SELECT *, alert_id AS reading_id FROM alerts)
 """)
 def _alerts(spark, sf_dir):
     stream = alert_stream(readings_stream(spark, sf_dir)).drop("alert_id", "event_ts", "resolved")

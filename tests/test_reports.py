@@ -195,3 +195,15 @@ def test_urgency(one):
     cases = [(0.0, "NORMAL", "planned"), (0.001, "NORMAL", "days"), (0.01, "NORMAL", "hours"), (0.0, "CRÍTICO", "hours"), (-0.1, "ALERTA", "days"), (None, "NORMAL", "planned")]
     for slope, status, expected in cases:
         assert one({"s": slope, "t": status}, "s double, t string", urgency(F.col("s"), F.col("t"))) == expected
+
+
+def test_a_value_that_is_no_number_breaches_nothing(spark):
+    rows = [reading(1, "n", (0.1,) * 5, air_temp_k=float("nan")), reading(2, "n", (0.1,) * 5, air_temp_k=float("nan"), tool_wear_min=400)]
+    readings = spark.createDataFrame(rows, SCHEMA)
+    found = episodes.sensor_breaches(readings, ["reading_id"]).select("reading_id", "variable").collect()
+    assert [tuple(r) for r in found] == [(2, "tool_wear_min")]
+    values = episodes.sensor_values(readings, ["reading_id"]).filter("variable = 'air_temp_k'")
+    assert [r.deviation_pct for r in values.collect()] == [None, None]
+    first = episodes.first_breach(readings, ["node_id"], ["event_ts", "reading_id"]).first()
+    assert (first.variable, first.reading_id) == ("tool_wear_min", 2)
+    assert episodes.co_moving(readings, ["node_id"]).count() == 0
