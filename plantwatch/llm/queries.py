@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwatch.llm import chat_view
+from plantwatch.llm import chat_view, sql_twins
 from plantwatch.llm.ball_tree import top_products
 from plantwatch.llm.chunk_reuse import encode_and_decode
 from plantwatch.llm.jaccard_regions import jaccard_components
 from plantwatch.llm.language_id import language_id
+from plantwatch.llm.merkle_manifest import merkle_manifest
 from plantwatch.llm.packing import pack
 from plantwatch.llm.quality_neighbours import quality_neighbours
 from plantwatch.llm.quality_rules import quality_rules
@@ -103,3 +104,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_tool_calls", chat_view.SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(chat_view.messages(table(spark, sf_dir, "conversations")), chat_view.tools(spark))
+
+
+def crc32(column: str):
+    """CRC-32 of a whole number as decimal text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+@query("op11_merkle_manifest", sql_twins.MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), crc32("doc_id") % 5 == 0)
