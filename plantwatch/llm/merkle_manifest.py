@@ -3,7 +3,8 @@
 A leaf is the hash of a row's columns. Per source, ordered by id, every 16 consecutive nodes become one until one is left
 (the subroot); subroots, ordered by source, become the root in the same way. The levels are stored as rows, one per run of
 up to 16 siblings, each with the address of its parent. A recursive query of Spark SQL climbs these rows from every leaf: a
-step joins the run that the node lies in, gives out the siblings, and folds the claimed hash with them into the parent's.
+step joins the run that the node lies in and folds the claimed hash with the siblings into the parent's. The siblings above
+the first run are the same for its 16 leaves, so the first of them appends them for all; those within are taken from the run.
 
 Scale. Ids are put in order by one range shuffle of the whole table, so a source that owns a third of the rows is spread
 like the rest; places within a source follow from counts per task. Near the root all leaves meet the same run: runs
@@ -135,41 +136,45 @@ def _salts(n_leaves: int, runs_per_level: list[int]) -> list[int]:
 def parent_linked(below: Levels, above: Levels, n_leaves: int) -> DataFrame:
     """All runs, (tree, level, run, salt, children, up_tree, up_level, up_place): the latter are the address of their parent.
 
-    A subroot's address is the place of its source in the tree above; the root has none.
+    A subroot's address is the place of its source in the tree above; the root has none, and a null `up_tree` leads there.
     """
+    subroots_are_nodes = F.lit(bool(above.runs_per_level))
 
-    def linked(levels: Levels, up_place: Column) -> DataFrame:
+    def linked(levels: Levels, up_tree: Column, up_place: Column) -> DataFrame:
         each = F.array(*[F.lit(n).cast("bigint") for n in _salts(n_leaves, levels.runs_per_level)])
         salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.get(each, F.col("level")) - 1))
-        up_tree = F.when(F.col("lone"), F.lit(TOP)).otherwise(F.col("tree")).cast("bigint")
+        tree = F.when(F.col("lone"), up_tree).otherwise(F.col("tree")).cast("bigint")
         up_level = F.when(F.col("lone"), F.lit(0)).otherwise(F.col("level") + 1)
         place = F.when(F.col("lone"), up_place).otherwise(F.col("run")).cast("bigint")
         return levels.runs.select(
-            "tree", "level", "run", salt.alias("salt"), "children", up_tree.alias("up_tree"), up_level.alias("up_level"), place.alias("up_place")
+            "tree", "level", "run", salt.alias("salt"), "children", tree.alias("up_tree"), up_level.alias("up_level"), place.alias("up_place")
         )
 
-    return cut_lineage(linked(below, F.col("tree")).unionByName(linked(above, F.lit(None))))
+    rising = linked(below, F.when(subroots_are_nodes, F.lit(TOP)), F.col("tree"))
+    return cut_lineage(rising.unionByName(linked(above, F.lit(None), F.lit(0))))
 
 
 # A step up: the run that the node lies in gives the siblings, and the parent's hash as the claimed one would make it.
 CLIMB = f"""
-WITH RECURSIVE climb(number, step, tree, level, place, folded, siblings) AS (
-  SELECT number, 0, tree, 0, place, claimed, CAST('' AS BINARY) FROM {{starts}}
+WITH RECURSIVE climb(number, step, tree, level, place, first, folded, siblings) AS (
+  SELECT number, 0, tree, 0, place, first, claimed, CAST('' AS BINARY) FROM {{starts}}
   UNION ALL
-  SELECT number, step + 1, up_tree, up_level, up_place,
-    unhex(sha2(CAST(lower(hex(concat(ahead, folded, behind))) AS BINARY), 256)), concat(ahead, behind)
+  SELECT number, step + 1, up_tree, up_level, up_place, first,
+    unhex(sha2(CAST(lower(hex(concat(ahead, folded, behind))) AS BINARY), 256)),
+    IF(first AND (step > 0 OR tree = {TOP}), concat(ahead, behind), CAST('' AS BINARY))
   FROM (
-    SELECT c.number, c.step, c.folded, r.up_tree, r.up_level, r.up_place,
+    SELECT c.number, c.step, c.tree, c.first, c.folded, r.up_tree, r.up_level, r.up_place,
       substring(r.children, 1, CAST(c.place % {FANOUT} * {DIGEST} AS INT)) AS ahead,
       substring(r.children, CAST((c.place % {FANOUT} + 1) * {DIGEST} + 1 AS INT)) AS behind
     FROM climb c JOIN {{runs}} r ON c.tree = r.tree AND c.level = r.level AND c.place DIV {FANOUT} = r.run
       AND c.number % get(IF(c.tree = {TOP}, {{salts_above}}, {{salts_below}}), c.level) = r.salt))
-SELECT number, step, folded, siblings FROM climb
+SELECT number, step, tree IS NULL AS arrived, folded, siblings FROM climb WHERE tree IS NULL OR length(siblings) > 0
 """
 
 
 def climbed(starts: DataFrame, runs: DataFrame, salts_below: Sequence[int], salts_above: Sequence[int]) -> DataFrame:
-    """(number, folded_root, proof_sha256) of every leaf, from the recursive query.
+    """(number, step, arrived, folded, siblings) from the recursive query: a row for each leaf that has arrived at the root, and
+    one for each step that appends siblings.
 
     Spark stops a recursive query at a number of rows. Here they are as many as leaves times levels, so the query runs, and
     what it gives is stored, with that limit off.
@@ -185,11 +190,7 @@ def climbed(starts: DataFrame, runs: DataFrame, salts_below: Sequence[int], salt
     try:
         for name, value in RECURSION.items():
             spark.conf.set(name, value)
-        steps = spark.sql(text, starts=starts, runs=runs)
-        # A handful of steps per leaf: one for each level.
-        way = F.transform(F.array_sort(F.collect_list(F.struct("step", "siblings"))), lambda s: _hex(s["siblings"]))
-        proof = F.sha2(F.array_join(way, "").cast("binary"), 256).alias("proof_sha256")
-        return cut_lineage(steps.groupBy("number").agg(_hex(F.max_by("folded", "step")).alias("folded_root"), proof))
+        return cut_lineage(spark.sql(text, starts=starts, runs=runs))
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
@@ -216,19 +217,32 @@ def merkle_manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     )
     top = above.last.select(_hex(F.col("digest"))).first()
     runs = parent_linked(below, above, n_leaves)
-    lone = F.col("size") == 1
+    # A lone leaf is its own subroot and starts in the tree above; a lone subroot is the root.
+    lone, first = F.col("size") == 1, F.col("place") % FANOUT == 0
+    start = F.when(~lone, F.col("tree")).when(F.lit(n_sources > 1), F.lit(TOP))
     starts = base.select(
-        "number", F.when(lone, F.lit(TOP)).otherwise(F.col("tree")).cast("bigint").alias("tree"),
-        F.when(lone, F.col("tree")).otherwise(F.col("place")).alias("place"), "claimed",
-    )
-    proofs = climbed(starts, runs, _salts(n_leaves, below.runs_per_level), _salts(n_leaves, above.runs_per_level))
+        "number", start.cast("bigint").alias("tree"), F.when(lone, F.col("tree")).otherwise(F.col("place")).alias("place"), first.alias("first"), "claimed"
+    )
+    steps = climbed(starts, runs, _salts(n_leaves, below.runs_per_level), _salts(n_leaves, above.runs_per_level))
+    arrived = steps.where("arrived").select("number", _hex(F.col("folded")).alias("folded_root"))
+    # A handful of steps per first leaf: one for each level.
+    way = F.transform(F.array_sort(F.collect_list(F.struct("step", "siblings"))), lambda s: _hex(s["siblings"]))
+    higher = steps.where(F.length("siblings") > 0).groupBy("number").agg(F.array_join(way, "").alias("higher"))
+    own_run = F.floor(F.col("place") / FANOUT).alias("run")
+    shared = base.where(first).select("number", "tree", own_run).join(higher, "number", "left").drop("number")
+    lowest = below.runs.where("level = 0").select("tree", "run", "children")
+    shared = shared.join(lowest, ["tree", "run"], "left").join(subroots.select("tree", _hex(F.col("digest")).alias("subroot")), "tree")
+    at = (F.col("place") % FANOUT * DIGEST).cast("int")
+    ahead, behind = F.col("children").substr(F.lit(1), at), F.substring("children", at + DIGEST + 1, F.lit(FANOUT * DIGEST))
+    within = F.coalesce(_hex(F.concat(ahead, behind)), F.lit(""))
     root = F.lit(top[0] if top else None).cast("string")
-    named = subroots.select("tree", _hex(F.col("digest")).alias("subroot"))
     return (
-        base.join(named, "tree")
-        .join(proofs, "number")
+        base.select("number", "doc_id", "tree", "place", "leaf", own_run)
+        .join(arrived, "number")
+        .join(shared, ["tree", "run"])
         .select(
-            "doc_id", _hex(F.col("leaf")).alias("leaf"), "subroot", root.alias("root"), "proof_sha256", "folded_root",
-            (F.col("folded_root") == root).alias("verified"),
+            "doc_id", _hex(F.col("leaf")).alias("leaf"), "subroot", root.alias("root"),
+            F.sha2(F.concat(within, F.coalesce("higher", F.lit(""))).cast("binary"), 256).alias("proof_sha256"),
+            "folded_root", (F.col("folded_root") == root).alias("verified"),
         )
     )
