@@ -14,7 +14,9 @@ from plantwatch.llm.chunk_reuse import encode_and_decode
 from plantwatch.llm.jaccard_regions import jaccard_components
 from plantwatch.llm.language_id import language_id
 from plantwatch.llm.merkle_manifest import merkle_manifest
+from plantwatch.llm.near_vectors import near_vectors
 from plantwatch.llm.packing import pack
+from plantwatch.llm.prefix_trie import prefix_trie
 from plantwatch.llm.quality_neighbours import quality_neighbours
 from plantwatch.llm.quality_rules import quality_rules
 from plantwatch.llm.repeats import repeat_digests
@@ -114,3 +116,14 @@ def crc32(column: str):
 @query("op11_merkle_manifest", sql_twins.MANIFEST)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), crc32("doc_id") % 5 == 0)
+
+
+@query("op13_prefix_trie", sql_twins.TRIE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return prefix_trie(conversations, lambda c: c - c % 5, lambda c: F.crc32(c.cast("string").cast("binary")) % 9, 8, 5)
+
+
+@query("op12_small_world")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -56,3 +56,30 @@ ends AS (SELECT rn, max_by(folded, step) AS folded_root, sha256(max_by(sibs, ste
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
 FROM leaves JOIN subroots USING (tree) JOIN ends USING (rn) CROSS JOIN (SELECT h AS root FROM high WHERE n = 1)
 """
+
+TRIE = f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {crc32("c")} % 9 AS h FROM (SELECT DISTINCT c FROM turns), crc),
+rebuilt AS (
+  SELECT v.c, 0 AS part, place, role, text FROM convs v JOIN turns t ON t.c = v.c - v.c % 5 AND place < h
+  UNION ALL SELECT v.c, 1, place, role, text FROM convs v JOIN turns t ON t.c = v.c AND place >= h),
+paths AS (
+  SELECT c, coalesce(p, []) AS p FROM convs LEFT JOIN (
+    SELECT c, list({{'role': role, 'text': text}} ORDER BY part, place) AS p FROM rebuilt GROUP BY c) USING (c)),
+prefixes AS (
+  SELECT c, d, len(p) = d AS ends, md5(CAST(to_json(p[:d]) AS VARCHAR)) AS k, md5(CAST(to_json(p[:d - 1]) AS VARCHAR)) AS up,
+    CASE WHEN d > 0 THEN strlen(p[d].text) ELSE 0 END AS bytes FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN up END) AS up, (count(*) - 1) * any_value(bytes) AS own,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM prefixes GROUP BY d, k),
+children AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT a.k, sum(own) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN children USING (k) JOIN prefixes a ON a.c = n.conv_id AND a.d <= n.d GROUP BY a.k)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.k = n.k LEFT JOIN children ch ON ch.k = n.k LEFT JOIN nodes p ON p.k = n.up
+"""
