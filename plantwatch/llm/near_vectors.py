@@ -32,12 +32,13 @@ from plantwatch.llm.common import cut_lineage
 from plantwatch.llm.components import components
 from plantwatch.llm.small_world import SmallWorld
 
-SHARD_ROWS, BLOCK_ROWS = 16_384, 16_384
+SHARD_ROWS, BLOCK_ROWS = 65_536, 16_384
 CHUNK = 256
 BEAM = 32
 AUDIT_ROWS = 128
 RECALL = 0.995
 PAIRS = 1 << 17
+CELLS = 1 << 22  # of a product of queries and a whole shard
 BATCH_ROWS = 20_000
 
 
@@ -93,8 +94,13 @@ class Links:
 
     def all_rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same by comparing these queries with the whole shard: the widest beam there is."""
-        at, place = np.nonzero(self.queries[which] @ self.rows.T >= self.least - 1e-9)
-        return self._verified(which[at], place)
+        of, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, CELLS // max(1, len(self.rows)))
+        for k in range(0, len(which), step):
+            at, place = np.nonzero(self.queries[which[k : k + step]] @ self.rows.T >= self.least - 1e-9)
+            of.append(which[k : k + step][at])
+            places.append(place)
+        return self._verified(np.concatenate(of), np.concatenate(places))
 
     def take(self, which: np.ndarray, of: np.ndarray, place: np.ndarray) -> None:
         """Note the links of these queries, in place of what was noted before."""
@@ -110,7 +116,8 @@ class Links:
         """Beams that widen until the audit passes."""
         everyone = np.arange(len(self.queries))
         audited = everyone[:: max(1, len(everyone) // audit_rows)]
-        whole = max(BEAM + 1, len(self.rows) // 8)
+        # Beams of some hundredths of a shard already meet more rows than a product of matrices compares in that time.
+        whole = max(2 * BEAM, len(self.rows) // 256)
         true = np.bincount(self.all_rows(audited)[0], minlength=len(everyone))[audited]
         start = BEAM
         while True:
@@ -163,18 +170,22 @@ def _built(rows: pa.Table) -> pa.Table:
 
 
 def _world(rows: pa.Table, vectors: np.ndarray) -> SmallWorld:
-    links = rows["links"].to_pylist()
-    depth = max(map(len, links))
-    sizes, lists = [], []
-    for level in range(depth - 1, -1, -1):
-        here = [x[level] for x in links if len(x) > level]
-        width = max(2, max(map(len, here)))
-        table = np.full((len(here), width + width % 2), -1, dtype=np.int64)
-        for k, x in enumerate(here):
-            table[k, : len(x)] = x
-        sizes.append(len(here))
-        lists.append(table)
-    return SmallWorld.of(vectors.astype(np.float32), np.arange(len(vectors)), sizes, lists)
+    lists = rows["links"].combine_chunks()
+    inner = lists.flatten()
+    values, cuts = inner.flatten().to_numpy(), inner.offsets.to_numpy() - inner.offsets[0].as_py()
+    first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    depth = np.diff(first)
+    sizes, tables = [], []
+    for level in range(int(depth.max()) - 1, -1, -1):
+        at = first[:-1][depth > level] + level
+        count = cuts[at + 1] - cuts[at]
+        table = np.full((len(at), max(2, int(count.max()) + int(count.max()) % 2)), -1, dtype=np.int64)
+        row = np.repeat(np.arange(len(at)), count)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        table[row, column] = values[cuts[at][row] + column]
+        sizes.append(len(at))
+        tables.append(table)
+    return SmallWorld.of(vectors.astype(np.float32), np.arange(len(vectors)), sizes, tables)
 
 
 def near_vectors(

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 DEGREE = 12
-BUILD_BEAM = 48
+BUILD_BEAM = 32
 FIRST = 64
 BATCH = 1024
 STEP = 4  # rows of the beam that are expanded at a time
