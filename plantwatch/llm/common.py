@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantwatch.llm.textblocks import BLOCK_BYTES, Block, block_of
 from plantwatch.session import cut_lineage
 
-__all__ = ["bounded_sample", "cut_lineage", "held_out", "others", "packed_blocks", "packed_texts", "unpacked"]
+__all__ = ["bounded_sample", "cut_lineage", "held_out", "labelled_sample", "others", "packed_blocks", "packed_texts", "small_batches", "unpacked"]
 
 
 def packed_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -58,11 +59,36 @@ def packed_blocks(packed: pa.Array, block_bytes: int = BLOCK_BYTES, block_docume
             first, held, size = k + 1, [], 0
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs that run inside send Python batches of at most `size`, whatever the rows' texts; the setting is put back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """The `limit` distinct keys with the smallest hash: a bounded sample that does not depend on layout."""
     return rows.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit("sample")), key).limit(limit)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, text, label) of at most `limit` different rows of (doc_id, text) with a label, those with the smallest hash.
+
+    The bound is on rows: an id with many texts takes part with as many as the hash draws. Of several labels of one id the mean counts,
+    rounded.
+    """
+    known = labels.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label")).dropna()
+    named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")).join(known, "doc_id").distinct()
+    drawn = named.orderBy(F.xxhash64("doc_id", "_text", F.lit("sample")), "doc_id", "_text").limit(limit)
+    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(drawn), ["doc_id", "_text"])
+    return rows.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text", "label")
+
+
 def held_out(key: str, modulus: int, remainder: int):
     """Whether the CRC-32 of the key as text leaves this remainder; false for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

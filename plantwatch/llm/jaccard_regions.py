@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, cut_lineage, others, packed_blocks, packed_texts, unpacked
+from plantwatch.llm.common import bounded_sample, cut_lineage, others, packed_blocks, packed_texts, small_batches, unpacked
 from plantwatch.llm.components import components
 from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, paired
@@ -39,7 +39,8 @@ SHINGLE, RADIUS_PERCENT = 5, 25
 SAMPLE_DOCUMENTS, COMMON = 4000, 4
 SMALL_REGION, PIVOTS, SKETCH = 4096, 8, 64
 # Regions and components are compared as pairs of blocks of so many classes, and of so many shingles.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 18
+GROUP_PAIRS = 512
 FEW_PAIRS, COLUMNS = 64, 4096
 LOWER_CODES = BYTE_CODES[LOWER]
 
@@ -202,31 +203,48 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b, ...) with `both` and `either`, the sizes of their sets' intersection and union."""
-    names = [c for c in pairs.columns]
-    with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("packed").alias("text_a")).hint("merge"), "a")
-    rows = with_a.join(texts.select(F.col("cls").alias("b"), F.col("packed").alias("text_b")).hint("merge"), "b").select(*names, "text_a", "text_b")
-
-    def sets(packed: pa.Array) -> list[np.ndarray]:
-        distinct = pc.dictionary_encode(packed)
-        out: list[np.ndarray] = []
-        for block in packed_blocks(distinct.dictionary):
-            hashes, cut = shingle_sets(block, size)
-            out += [hashes[x:y] for x, y in zip(cut, cut[1:], strict=False)]
-        return [out[k] for k in distinct.indices.to_pylist()]
+    """The pairs (a, b) with `both` and `either`, the sizes of their sets' intersection and union.
+
+    Pairs with the same `a` go in groups of about GROUP_PAIRS; the text of `a` moves once per group, in front of the others.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("groups"))
+    dealt = pairs.join(counts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b", F.lit("group")), F.col("groups")).cast("int"))
+    dealt = cut_lineage(dealt.select("a", "part", "b"))
+    members = dealt.select("a", "part", F.col("b").alias("cls"), F.lit(1).alias("role"))
+    heads = dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("cls"), F.lit(0).alias("role"))
+    rows = members.unionByName(heads).join(texts.hint("merge"), "cls").select("a", "part", "role", "cls", "packed")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, head_set = None, np.zeros(0, np.uint64)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                one, two = sets(batch.column("text_a")), sets(batch.column("text_b"))
-                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)]
-                either = [len(x) + len(y) - k for x, y, k in zip(one, two, both, strict=True)]
-                columns = [batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(both, pa.int64()), pa.array(either, pa.int64())], [*names, "both", "either"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return rows.mapInArrow(count, f"{schema}, both bigint, either bigint")
+            for batch in _byte_slices(whole, "packed"):
+                a, part, role, cls = (batch.column(c).to_numpy() for c in ("a", "part", "role", "cls"))
+                out: list[tuple[int, int, int, int]] = []
+                for block in packed_blocks(batch.column("packed")):
+                    hashes, cut = shingle_sets(block, size)
+                    for k, (x, y) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False), block.first):
+                        if role[k] == 0:
+                            head, head_set = (a[k], part[k]), hashes[x:y].copy()
+                            continue
+                        assert head == (a[k], part[k])
+                        both = len(np.intersect1d(head_set, hashes[x:y], assume_unique=True))
+                        out.append((int(a[k]), int(cls[k]), both, len(head_set) + y - x - both))
+                columns = zip(*out, strict=True) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "both", "either"])
+
+    ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    return ordered.mapInArrow(count, "a bigint, b bigint, both bigint, either bigint")
+
+
+def _byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of a binary column, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(sizes[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def _near(radius: int):
@@ -293,16 +311,20 @@ def component_groups(rows: DataFrame, block: int) -> DataFrame:
 def _in_groups(rows: DataFrame, solve, schema: str) -> DataFrame:
     """`solve` on tables that hold whole groups of `rows`, sorted by group."""
 
+    packed = "packed" in rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            end = int(np.searchsorted(batch.column("grp").to_numpy(), batch.column("grp")[-1].as_py()))
-            if end or held and held[-1].column("grp")[-1] != batch.column("grp")[0]:
-                yield solve(pa.Table.from_batches([*held, batch.slice(0, end)]))
-                held = []
-            held.append(batch.slice(end))
+        for whole in batches:
+            # Parts of a batch, so that what is copied and unpacked at a time does not depend on how Spark cuts batches.
+            for batch in _byte_slices(whole, "packed", 4 << 20) if packed else [whole]:
+                if not batch.num_rows:
+                    continue
+                end = int(np.searchsorted(batch.column("grp").to_numpy(), batch.column("grp")[-1].as_py()))
+                if end or held and held[-1].column("grp")[-1] != batch.column("grp")[0]:
+                    yield solve(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                    held = []
+                held.append(batch.slice(end))
         if held:
             yield solve(pa.Table.from_batches(held))
 
@@ -399,10 +421,12 @@ def compared(rows: DataFrame, texts: DataFrame, size: int, radius: int, counting
         grp, role, cls, comp = (table[c].to_numpy() for c in ("grp", "role", "cls", "comp"))
         packed = table["packed"].combine_chunks()
         begins = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True]).tolist()
+        upto = np.concatenate([[0], np.cumsum(table["n"].to_numpy() + 16)])
         one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(begins) > 1:
-            # Groups of a few thousand members at once, a group at least.
-            last = max(1, int(np.searchsorted(begins, begins[0] + 2 * BLOCK_CLASSES, side="right")) - 1)
+            # Groups with about as many shingles as one may have, a group at least.
+            weight = upto[begins] - upto[begins[0]]
+            last = max(1, int(np.searchsorted(weight, BLOCK_SHINGLES, side="right")) - 1)
             first, hashes, cut = begins[0], [], [np.zeros(1, np.int64)]
             for part in packed_blocks(packed.slice(first, begins[last] - first)):
                 found, at = shingle_sets(part, size)
@@ -448,8 +472,9 @@ def n_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, *, shingle:
     """(cls, n_links): how many other classes are within the radius of each class that has any. They all share its component."""
     sizes = classes.where("n > 0").select("cls", "n").distinct()
     members = cut_lineage(comps.select(F.col("node").alias("cls"), "comp").join(sizes.hint("merge"), "cls").select("cls", "n", "comp"))
-    counts = compared(component_groups(members, block), texts, shingle, radius, True)
-    return counts.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    with small_batches(texts.sparkSession):
+        counts = compared(component_groups(members, block), texts, shingle, radius, True)
+        return cut_lineage(counts.groupBy("cls").agg(F.sum("n_links").alias("n_links")))
 
 
 def parted(rows: DataFrame, texts: DataFrame, size: int, radius: int, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -477,6 +502,13 @@ def linked_classes(
 
     For components not all links are needed; `n_links` compares all pairs.
     """
+    with small_batches(docs.sparkSession):
+        return _linked_classes(docs, shingle, radius, sample, common, small, pivots, block)
+
+
+def _linked_classes(
+    docs: DataFrame, shingle: int, radius: int, sample: int, common: int, small: int, pivots: int, block: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = cut_lineage(class_table(rows, shingle))
     first = first_shingles(rows, common_shingles(rows, shingle, sample, common), shingle, radius)
