@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.llm.common import held_out
+from plantwatch.operators.ordered import top_per_key
 from plantwatch.llm.textblocks import Block, blocks
 
 FIT_DOCUMENTS = 400
@@ -137,10 +138,15 @@ def _refined(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 
 
 def sample_per_language(rows: DataFrame, limit: int) -> DataFrame:
-    """(lang, text) of at most `limit` documents of each language, those with the smallest hash of the id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("lang")), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("lang", "doc_id").distinct()
-    return rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "doc_id", "text").distinct()
+    """(lang, doc_id, text) of at most `limit` different rows of each language, those with the smallest hash of id and text.
+
+    A language that owns most rows is cut in every task, then per salt, before its rows meet.
+    """
+    named = rows.select("lang", "doc_id", F.xxhash64("text").alias("_text")).distinct()
+    drawn = named.withColumn("_draw", F.xxhash64("doc_id", "_text", F.lit("lang")))
+    ids = top_per_key(drawn, ["lang"], ["_draw", "doc_id", "_text"], limit).select("lang", "doc_id", "_text")
+    chosen = rows.withColumn("_text", F.xxhash64("text")).join(ids, ["lang", "doc_id", "_text"])
+    return chosen.dropDuplicates(["lang", "doc_id", "_text"]).select("lang", "doc_id", "text")
 
 
 def _has_letter(block: Block) -> np.ndarray:

@@ -15,19 +15,20 @@ an empty result. Only id and text of the documents are read; labels, language an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, held_out
+from plantwatch.llm.common import held_out, labelled_sample
 from plantwatch.llm.textblocks import Block, blocks
 
 WORD_TERMS, PAIR_TERMS = 1024, 2048
 TERMS = WORD_TERMS + PAIR_TERMS + 1
 SAMPLE, RANK, NEIGHBOURS = 4000, 32, 25
+FINE, UNIT = 1 << 18, 1 << 19
 BLOCK_DOCUMENTS = 512
 
 
@@ -71,18 +72,28 @@ class Space:
         return float(self.labels.mean()) if len(self.labels) else 0.5
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        """Unit latent vectors of term counts; zero where there are none."""
-        return _unit(_weighted(counts, self.idf) @ self.axes)
+        """Latent vectors of term counts, of length UNIT and rounded to whole numbers; zero where there are none.
+
+        Weights and axes are whole numbers too, so that sums are exact, whatever their order: a document's vector does
+        not depend on the block it is in.
+        """
+        rows = np.rint(_weighted(counts, self.idf) * FINE) @ np.rint(self.axes.astype(np.float64) * FINE)
+        return np.rint(_unit(rows) * UNIT)
 
     def scores(self, counts: np.ndarray, neighbours: int) -> np.ndarray:
         out = np.full(len(counts), self.prior)
         if not len(self.labels) or not len(counts):
             return out
-        latent = self.project(counts)
+        latent, n = self.project(counts), len(self.labels)
         cosines = latent @ self.vectors.T
-        k = min(neighbours, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** 8
+        # One number for cosine and position: of equal cosines the earlier one is nearer.
+        key = cosines * n - np.arange(n)
+        k = min(neighbours, n)
+        near = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(key, near, axis=1), axis=1), axis=1)
+        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) / UNIT**2
+        for _ in range(3):
+            weight = weight * weight  # to the eighth power, by products alone
         total = weight.sum(axis=1)
         some = (total > 0) & latent.any(axis=1)
         out[some] = ((weight * self.labels[near]).sum(axis=1)[some] / total[some]).clip(0, 1)
@@ -90,7 +101,7 @@ class Space:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    rows = counts.astype(np.float32)
+    rows = counts.astype(np.float64)
     size = np.maximum(rows.sum(axis=1, keepdims=True), 1)
     return np.sqrt(rows / size) * idf
 
@@ -105,20 +116,19 @@ def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Space
     if not len(counts):
         return Space(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    rows = _weighted(counts, idf)
+    rows = _weighted(counts, idf).astype(np.float32)
     basis = np.random.default_rng(7).standard_normal((TERMS, min(rank + 8, TERMS))).astype(np.float32)
     for _ in range(5):
         basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
     _, _, right = np.linalg.svd(rows @ basis, full_matrices=False)
     axes = (basis @ right.T)[:, :rank].astype(np.float32)
-    return Space(idf, axes, _unit(rows @ axes), labels)
+    space = Space(idf, axes, np.zeros((0, axes.shape[1])), labels)
+    return replace(space, vectors=space.project(counts))
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Term counts and labels of a bounded sample of (doc_id, label); the driver receives non-zero terms only."""
-    known = labels.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label")).dropna()
-    chosen = known.join(F.broadcast(bounded_sample(known.join(docs.select("doc_id").distinct(), "doc_id"), "doc_id", limit)), "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = labelled_sample(docs, labels, limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,8 +145,8 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.
                     ["doc_id", "label", "terms", "counts"],
                 )
 
-    found = rows.mapInArrow(count, "doc_id bigint, label int, terms binary, counts binary").dropDuplicates(["doc_id", "terms", "counts"])
-    sample = found.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")]).slice(0, 2 * limit)
+    found = rows.select("doc_id", "label", "text").mapInArrow(count, "doc_id bigint, label int, terms binary, counts binary")
+    sample = found.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending"), ("counts", "ascending")])
     out = np.zeros((sample.num_rows, TERMS), np.int32)
     for k, (terms, counts) in enumerate(zip(sample["terms"], sample["counts"], strict=True)):
         out[k, np.frombuffer(terms.as_buffer(), np.int32)] = np.frombuffer(counts.as_buffer(), np.int32)
@@ -173,9 +183,14 @@ def quality_neighbours(
     )
 
 
-def kept_by_neighbours(docs: DataFrame, labels: DataFrame, *, neighbours: int = NEIGHBOURS, threshold: float = 0.5, **fitting) -> DataFrame:
-    """The documents with a score of at least `threshold`, with all their columns; they are judged where they are read."""
-    space = learned_space(docs, labels, **fitting)
+def kept_by_neighbours(
+    docs: DataFrame, labels: DataFrame, *, learn_from: DataFrame | None = None, neighbours: int = NEIGHBOURS, threshold: float = 0.5, **fitting
+) -> DataFrame:
+    """The documents with a score of at least `threshold`, with all their columns; they are judged where they are read.
+
+    `learn_from` holds the documents to learn from; give it where `docs` have been sifted, as sifted ones may lack a label.
+    """
+    space = learned_space(docs if learn_from is None else learn_from, labels, **fitting)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

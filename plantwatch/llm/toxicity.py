@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, held_out
+from plantwatch.llm.common import cut_lineage, held_out, labelled_sample
 from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed
 
 FIT_SAMPLE = 20_000
@@ -245,20 +245,21 @@ def fit_weights(
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, sample: int = FIT_SAMPLE, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = PENALTY
-) -> Toxicity:
-    """Fit on (doc_id, text) and (doc_id, label): at most `sample` documents, and of them feature cells only on the driver."""
-    known = labels.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label")).dropna()
-    ids = bounded_sample(known.join(docs.select("doc_id").distinct(), "doc_id"), "doc_id", sample)
-    chosen = known.join(F.broadcast(ids), "doc_id")
-    rows = docs.join(F.broadcast(chosen), "doc_id")
+    docs: DataFrame, labels: DataFrame, *, sample: int = FIT_SAMPLE, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = PENALTY,
+    max_features: int = MAX_FEATURES,
+) -> Toxicity:
+    """Fit on (doc_id, text) and (doc_id, label): at most `sample` rows, and of them feature cells only on the driver.
+
+    Of the words that separate the labels, the `max_features` with the highest z are learned; that bounds the model.
+    """
+    rows = cut_lineage(labelled_sample(docs, labels, sample))
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n or n_toxic in (0, n):
         share = min(max(n_toxic / n if n else 0.5, 1e-6), 1 - 1e-6)
         return Toxicity(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     words = [word for kind in kinds for word in kind]
     terms = hashes_of(words)
-    features = np.unique(np.concatenate([separating_words(word_statistics(rows), n, n_toxic), terms]))
+    features = np.unique(np.concatenate([separating_words(word_statistics(rows), n, n_toxic, max_features), terms]))
     stems = {int(np.searchsorted(features, term)): found.tolist() for term, found in zip(terms, stems_of(words, features), strict=True)}
     of_terms = np.unique(np.array([f for found in stems.values() for f in found], np.int64))
 
