@@ -12,7 +12,7 @@ pivots, sends each member to its nearest pivot and to every other within 2 x rad
 region of either's nearest pivot), and its regions are joined in the same way. What is left apart, and regions that the
 pivots cannot part, is dealt as pairs of blocks of bounded size; sizes and counts per hash class say which members may
 be near, and their sets are compared exactly where the blocks meet. That gives the components. Links never leave a component,
-so a second pass compares all pairs inside each, again by pairs of blocks, and counts the partners of every class.
+so where their number is asked for, a second pass compares all pairs inside each, again by pairs of blocks.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing. A null id never becomes a
 component's id; a component without any id has none. Equal rows are members of one class. Ties have no effect: the
@@ -555,22 +555,31 @@ def _linked_classes(
     return classes, texts, comps
 
 
-def jaccard_components(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): the smallest id that links lead to, for every document.
+def _named(classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(cls, component) of every class: the smallest id of all documents in its component, null if none has an id."""
+    names = classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    labelled = names.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+    smallest = labelled.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("of_comp"))
+    return labelled.join(smallest, "comp", "left").select("cls", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("of_comp")).alias("component"))
+
 
-    Two documents are linked when their Jaccard distance is at most `radius` percent. `n_links` counts the
-    other classes (different sets) that the document's class is linked with.
+def jaccard_components(docs: DataFrame, *, links: bool = False, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest id that links lead to, for every document.
+
+    Two documents are linked when their Jaccard distance is at most `radius` percent. With `links` there is also `n_links`, how many
+    other classes (different sets) the document's class is linked with; that compares all pairs inside every component.
     """
     classes, texts, comps = linked_classes(docs, **options)
-    degree = n_links(classes, comps, texts, **{k: v for k, v in options.items() if k in ("shingle", "radius", "block")})
-    names = classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = names.join(comps.withColumnRenamed("node", "cls"), "cls").join(degree, "cls")
-    smallest = named.groupBy("comp").agg(F.min("least").alias("of_comp"))
-    linked = named.join(smallest, "comp").select("cls", "of_comp", "n_links")
-    by_class = names.join(linked, "cls", "left").select("cls", F.coalesce("of_comp", "least").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = classes.where("n > 0").join(by_class.hint("merge"), "cls").select("doc_id", "n", "component", "n_links")
-    empty = classes.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.lit(0).cast("bigint").alias("n_links"))
-    return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+    by_class = _named(classes, comps)
+    empty = classes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = []
+    if links:
+        degree = n_links(classes, comps, texts, **{k: v for k, v in options.items() if k in ("shingle", "radius", "block")})
+        by_class = by_class.join(degree, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("bigint"))
+        empty = empty.withColumn("n_links", F.lit(0).cast("bigint"))
+        found = ["n_links"]
+    full = classes.where("n > 0").join(by_class.hint("merge"), "cls")
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), *found).union(empty)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

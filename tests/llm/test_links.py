@@ -92,7 +92,7 @@ def group_of_near_copies(seed, n=150):
 @pytest.mark.parametrize("options", [{}, {"block": 16}, {"block": 8, "small": 20, "pivots": 2, "sample": 50}])
 def test_all_links_are_counted(spark, options):
     rows = near_copies(4) + [(1000 + i, t) for i, t in group_of_near_copies(1)]
-    got = jaccard_components(documents(spark, rows), **options).collect()
+    got = jaccard_components(documents(spark, rows), links=True, **options).collect()
     assert sorted((r.doc_id, r.n_links) for r in got) == sorted(plain_links(rows))
     assert sorted(tuple(r)[:3] for r in got) == sorted(plain_components(rows))
 
@@ -117,7 +117,7 @@ def test_texts_of_one_form_that_are_not_near(spark):
     form = [f"f{k}" for k in range(200)]
     rows = [(i, " ".join(w if k % 25 else f"x{rng.randrange(10**6)}" for k, w in enumerate(form))) for i in range(60)] + [(99, " ".join(form))]
     rows += [(100 + i, rows[i][1].replace("f7 ", "y ")) for i in range(5)]
-    got = jaccard_components(documents(spark, rows), small=8, pivots=2, block=8).collect()
+    got = jaccard_components(documents(spark, rows), small=8, pivots=2, block=8, links=True).collect()
     assert sorted(tuple(r)[:3] for r in got) == sorted(plain_components(rows))
     assert sorted((r.doc_id, r.n_links) for r in got) == sorted(plain_links(rows))
 
