@@ -1,55 +1,33 @@
 """Ordered work that never puts a large key, or one global series, into one task.
 
-Keys that fit one task are left whole. A key with more than `rows_per_slice` rows is cut into
-*slices*: ranges of the first order column, about that many rows each. A window then runs per (key,
-slice), and what a slice must know of its past arrives as a few *carry rows* placed in front of it:
+Keys that fit one task are left whole. Where a key has more than `rows_per_slice` rows, the table is cut into *slices* of about
+that many rows by a sample sort: splitters are whole tuples of key and order columns, drawn by Spark's range
+partitioner, NULL and NaN included, so rows that share a time are parted by their number. A window then runs per (key, slice), and
+what a slice must know of its past arrives as a few *carry rows* placed in front of it:
 
 * for running totals, one row with the total of the earlier slices;
 * for frames of the last n rows, the n rows that precede the slice.
 
-Slices depend on values only, so a recomputed task sees the same slices. The driver holds nothing
-but the cut points (one number per slice, from a sample of SAMPLES_PER_SLICE numbers each) and a list
-of large keys of checked length. A key that owns a third of the table is spread over as many tasks as it has
-slices. Only rows that tie in the first order column cannot be told apart; order by a time or a
-number that varies.
+The cut table is written to shared storage, since splitters come from a sample and both passes over the rows must see the same
+ones; a lost executor reads it again. The driver holds two counts. A key that owns a third of the table is spread over as many tasks as
+it has slices. Only rows that agree in the key and in every order column stay together; an order that identifies a row has none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
-from math import ceil, inf
-from operator import and_
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plantwatch.local import small_rows
 from plantwatch.session import cut_lineage
 
 ROWS_PER_SLICE = 1_000_000
-SAMPLES_PER_SLICE = 20
 SALTS = 64
 
-SLICE, CARRY, AXIS, SHARES = "_slice", "_carry", "_axis", "_shares"
-
-
-def _axis(df: DataFrame, column: str) -> Column:
-    """The order column as a double that never decreases when the column increases."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    raise TypeError(f"the first order column must be a number, a date or a timestamp: {column}")
+SLICE, CARRY = "_slice", "_carry"
 
 
 @dataclass(frozen=True)
@@ -65,56 +43,6 @@ class Sliced:
         return self.df.drop(SLICE)
 
 
-@dataclass(frozen=True)
-class LargeKeys:
-    """Keys that need more than one slice, each with the number it needs (SHARES) and the first and
-    last value of its axis. `rows` holds the table on the driver when it is small."""
-
-    df: DataFrame
-    rows: pa.Table | None
-    slices: int
-
-    def with_ends(self, cuts: Sequence[float]) -> DataFrame:
-        """The keys with the buckets of their first and last row instead of the values."""
-        ends = {"_from": "_first", "_to": "_last"}
-        if self.rows is None:
-            table = self.df
-            for name, column in ends.items():
-                table = _bucketed(table, column, name, cuts)
-            return table.drop(*ends.values())
-        table = self.rows
-        for name, column in ends.items():
-            values = np.searchsorted(cuts, table[column].to_numpy(zero_copy_only=False), side="right")
-            table = table.append_column(name, pa.array(values.astype(float))).drop_columns(column)
-        return self.df.sparkSession.createDataFrame(table)
-
-
-def _bucketed(table: DataFrame, column: str, name: str, cuts: Sequence[float]) -> DataFrame:
-    """Add the number of cuts at or below a value; NaN goes to a last bucket of its own."""
-    splits = [-inf, *cuts, inf]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(table)
-
-
-def _large_keys(narrow: DataFrame, keys: Sequence[str], rows_per_slice: int) -> LargeKeys:
-    needed = F.ceil(F.col("_n") / rows_per_slice).cast("int").alias(SHARES)
-    value = F.when(~F.isnan(AXIS), F.col(AXIS))
-    large = (
-        narrow.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_first"), F.max(value).alias("_last"))
-        .filter(F.col("_n") > rows_per_slice)
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], needed, "_first", "_last")
-    )
-    rows = small_rows(large)
-    if rows is None:
-        return LargeKeys(large, None, large.agg(F.sum(SHARES)).first()[0])
-    local = narrow.sparkSession.createDataFrame(rows, large.schema)
-    return LargeKeys(local, rows, pc.sum(rows[SHARES]).as_py() or 0)
-
-
-def _same_key(keys: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-
-
 def slice_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -122,47 +50,19 @@ def slice_rows(
     rows_per_slice: int = ROWS_PER_SLICE,
     checkpoint: bool = False,
 ) -> Sliced:
-    """Add the slice number of every row.
+    """Add the slice number of every row; within a key it never decreases along the order.
 
-    Counts the rows per key and, when a key exceeds one slice, takes quantiles of a sample of the
-    first order column of such keys. `checkpoint=True` stores the input first; use it when the input
-    is more than a scan.
+    Counts the rows per key and, when a key exceeds one slice, sorts the table into slices and stores it. `checkpoint=True` stores
+    the input first; use it when the input is more than a scan, which is read to count, to draw splitters and to deal.
     """
     if checkpoint:
         df = cut_lineage(df)
-    axis = _axis(df, order[0])
-    narrow = df.select(*keys, axis.alias(AXIS))
-    whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(keys), tuple(order), single=True)
-    if keys:
-        large = _large_keys(narrow, keys, rows_per_slice)
-        slices, narrow = large.slices, narrow.join(large.df, _same_key(keys))
-    else:
-        slices = ceil(df.count() / rows_per_slice)
-    if slices <= 1:
-        return whole
-    # Cut points only have to balance the slices, so a sample settles them. Which slice a row falls
-    # into follows from its value alone, and every row falls into one.
-    share = SAMPLES_PER_SLICE / rows_per_slice
-    known = narrow.filter(F.col(AXIS).isNotNull() & ~F.isnan(AXIS)).select(AXIS)
-    sample = known.sample(fraction=share, seed=1) if share < 0.5 else known
-    values = sample.toArrow()[AXIS].to_numpy()
-    if not len(values):
-        return whole
-    steps = np.linspace(0, 1, slices + 1)[1:-1]
-    cuts = sorted({float(cut) for cut in np.quantile(values, steps, method="lower") if abs(cut) != inf})
-    if not cuts:
-        return whole
-    placed = _bucketed(df.withColumn(AXIS, axis), AXIS, SLICE, cuts)
-    if keys:
-        # A key spreads its slices over the buckets between its first and its last row.
-        placed = placed.join(large.with_ends(cuts), _same_key(keys), "left")
-        grouped = F.floor((F.col(SLICE) - F.col("_from")) * F.col(SHARES) / (F.col("_to") - F.col("_from") + 1))
-    else:
-        grouped = F.col(SLICE)
-    # NULL sorts first, so it gets the lowest number.
-    slice_no = F.when(axis.isNull(), -1).otherwise(F.coalesce(grouped.cast("int"), F.lit(0)))
-    numbered = placed.withColumn(SLICE, slice_no)
-    return Sliced(numbered.select(*df.columns, SLICE), tuple(keys), tuple(order), single=False)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) <= rows_per_slice:
+        return Sliced(df.withColumn(SLICE, F.lit(0)), tuple(keys), tuple(order), single=True)
+    dealt = df.repartitionByRange(ceil(total / rows_per_slice), *keys, *order)
+    return Sliced(cut_lineage(dealt.withColumn(SLICE, F.spark_partition_id())), tuple(keys), tuple(order), single=False)
 
 
 def stored(sliced: Sliced) -> Sliced:

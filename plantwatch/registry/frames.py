@@ -100,19 +100,32 @@ def _moments(column, position):
     FROM w, (SELECT {mean} AS m FROM w)"""
 
 
+def _moments_rounded(stats):
+    return stats.select("feature", report_round(F.col("mean"), 6).alias("mean"), report_round(F.col("std"), 6).alias("std"))
+
+
 register(
     "zscore_stats",
     ["readings"],
     _coverage + " UNION ALL ".join(_moments(c, i) for i, c in enumerate([*SENSORS, "type_code"])),
 )(
-    lambda r: prep.zscore_stats(
-        prep.frame_rows(
-            ordered.lag_windows(
-                with_type_code(r), ["node_id"], ["event_ts", "reading_id"], feature_names(), 20
-            )
-        ),
-        "features",
-    ).select("feature", report_round(F.col("mean"), 6).alias("mean"), report_round(F.col("std"), 6).alias("std"))
+    lambda r: _moments_rounded(
+        prep.weighted_stats(
+            prep.frame_weights(with_type_code(r), ["node_id"], ["event_ts", "reading_id"], 20), feature_names()
+        )
+    )
+)
+
+register(
+    "zscore_of_frames",
+    ["readings"],
+    _coverage + " UNION ALL ".join(_moments(c, i) for i, c in enumerate([*SENSORS, "type_code"])),
+)(
+    lambda r: _moments_rounded(
+        prep.zscore_stats(
+            ordered.lag_windows(with_type_code(r), ["node_id"], ["event_ts", "reading_id"], feature_names(), 20)
+        )
+    )
 )
 
 

@@ -106,13 +106,23 @@ def test_small_keys_are_not_sliced(series):
     assert not o.slice_rows(series, [], ORDER, 4000).single
 
 
-def test_many_large_keys(series, monkeypatch):
-    monkeypatch.setattr(o, "small_rows", lambda df: None)
+def test_many_large_keys(series):
     got = o.with_position(series, ["k"], ORDER, rows_per_slice=50)
     place = F.row_number().over(Window.partitionBy("k").orderBy(*ORDER)) - 1
     assert same(got, series.withColumn("position", place.cast("long")))
 
 
+@pytest.mark.parametrize("time", ["TIMESTAMP'2024-01-01'", "CAST(NULL AS TIMESTAMP)", "IF(id % 2 = 0, NULL, DOUBLE('NaN'))", "'same'"])
+def test_rows_of_one_time_are_parted_by_their_number(spark, time):
+    """One repeated time, or none at all: the splitters are whole tuples."""
+    rows = spark.range(3000).selectExpr("id", f"{time} AS t", "CAST(id AS DOUBLE) AS x")
+    sliced = o.slice_rows(rows, [], ORDER, 250)
+    assert sliced.df.groupBy(o.SLICE).count().agg(F.max("count")).first()[0] <= 500
+    got = o.lag_windows(rows, [], ORDER, ["x"], 20, rows_per_slice=250)
+    plain = rows.withColumn("frame", F.collect_list(F.array("x")).over(Window.orderBy(*ORDER).rowsBetween(-20, -1))).filter("size(frame) = 20")
+    assert same(got.drop("t"), plain.drop("t"))
+
+
 def test_order_without_variety_stays_whole(spark):
     rows = spark.range(100).selectExpr("id", "0 AS t")
     got = o.with_position(rows, [], ORDER, rows_per_slice=10)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plantwatch.operators import prep
+from plantwatch.operators import ordered, prep
 
 
 def strata(spark, **sizes):
@@ -54,6 +54,45 @@ def test_split_with_unknown_stratum(spark):
     assert got[("a", "test")] == 10 and got[(None, "test")] == 10
 
 
+@pytest.mark.parametrize("rows_per_slice", [1, 40, 10**6])
+def test_split_descends_into_crowded_bands(spark, monkeypatch, rows_per_slice):
+    """Hashes that share their first 48 bits: the band is counted again by the next 16, down to single hashes."""
+    df = strata(spark, hot=900, cold=70)
+    crowded = lambda *c: F.shiftright(inner(*c), 58)
+    inner = F.xxhash64
+    monkeypatch.setattr(prep.F, "xxhash64", crowded)
+    split = prep.stratified_split(df, "category", ["id"], rows_per_slice=rows_per_slice)
+    monkeypatch.undo()
+    assert counts(split) == {("hot", "test"): 180, ("hot", "train"): 720, ("cold", "test"): 14, ("cold", "train"): 56}
+    key = F.struct(F.shiftright(inner("id", F.lit(42)), 58).alias("h"), "id")
+    edges = split.withColumn("k", key).groupBy("category").agg(F.max(F.when(F.col("split") == "test", F.col("k"))).alias("hi"), F.min(F.when(F.col("split") == "train", F.col("k"))).alias("lo"))
+    assert all(tuple(r.hi) < tuple(r.lo) for r in edges.collect())
+
+
+@pytest.mark.parametrize("trailing", [False, True])
+@pytest.mark.parametrize("rows_per_slice", [30, 10**6])
+def test_weights_count_the_frames_of_a_row(spark, trailing, rows_per_slice):
+    """Weighted moments equal those over all rows of all frames."""
+    rows = spark.range(200).selectExpr("id", "id % 3 + IF(id < 90, 0, 3) AS k", "IF(id % 11 = 0, NULL, CAST(id * 37 % 101 AS DOUBLE) + 1e6) AS x", "CAST(id AS DOUBLE) AS y")
+    cut = ordered.trailing_frames if trailing else ordered.lag_windows
+    frames = cut(rows, ["k"], ["id"], ["x", "y"], 7)
+    flat = [r for f in frames.collect() for r in f.frame]
+    weighted = prep.frame_weights(rows, ["k"], ["id"], 7, rows_per_slice, trailing)
+    assert weighted.count() == 200 and weighted.agg(F.sum("weight")).first()[0] == len(flat)
+    for stats in (prep.weighted_stats(weighted.repartition(5), ["x", "y"]), prep.zscore_stats(frames.repartition(3))):
+        got = {r.feature: (r["mean"], r["std"]) for r in stats.collect()}
+        for i in (0, 1):
+            values = [r[i] for r in flat if r[i] is not None]
+            assert math.isclose(got[i][0], np.mean(values), rel_tol=1e-12)
+            assert math.isclose(got[i][1], np.std(values) + 1e-8, rel_tol=1e-9)
+
+
+def test_weights_need_no_explode(spark):
+    rows = spark.range(200).selectExpr("id", "CAST(id AS DOUBLE) AS x")
+    plan = prep.weighted_stats(prep.frame_weights(rows, [], ["id"], 7), ["x"])._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+
+
 def test_zscore(spark):
     frames = spark.createDataFrame([([[1.0, 10.0], [3.0, 10.0]],), ([[5.0, 10.0], [7.0, 10.0]],)], "frame array<array<double>>")
     scaling = prep.fit_zscore(frames, 2)
