@@ -10,10 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch.functions.rules import encode_product_type
 from plantwatch.operators.filters import feature_names
-from plantwatch.operators.ordered import ROWS_PER_SLICE
 from plantwatch.sources.readers import stream_readings
 from plantwatch.streaming.alerts import alert_stream
-from plantwatch.streaming.live import Scorer, unseen_rows, windowed_scores, write_lake_batches
+from plantwatch.streaming.live import READING_IDENTITY, Scorer, unseen_rows, windowed_scores, write_lake_batches
 
 
 def write_scored(lake: str):
@@ -41,7 +40,6 @@ def score_landed(
     features: Sequence[str] | None = None,
     size: int = 20,
     files_per_trigger: int | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Read landed readings, score the frames, write readings and alerts to the lake.
@@ -60,10 +58,9 @@ def score_landed(
         list(features or feature_names()),
         scorer,
         write_scored(lake),
-        f"{work}/state",
         f"{work}/checkpoint",
         size,
-        rows_per_slice=rows_per_slice,
+        identity=READING_IDENTITY,
         available_now=available_now,
         unseen=lambda batch, batch_id: unseen_rows(batch, f"{lake}/scored_readings", batch_id),
     )

@@ -131,6 +131,50 @@ def _streamed_health(spark, sf_dir):
     return drained(closed, shared_folder(spark, "storage"))
 
 
+def batches_of(readings, parts: int, copies: int = 1):
+    """A stream of the readings in `parts` micro-batches that overlap in time, each reading in `copies` of them."""
+    folder = folder_of(readings)
+    part = F.pmod(F.col("reading_id") * 7 + F.col("_copy"), F.lit(parts))
+    dealt = readings.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("_part", part).drop("_copy")
+    for k in range(parts):
+        dealt.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = readings.sparkSession.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return stream, folder
+
+
+def finished(query) -> None:
+    query.awaitTermination()
+
+
+@register("health_table", ["readings"], HEALTH)
+def _health_table(readings):
+    """Every batch is late for the windows of the one before it."""
+    stream, folder = batches_of(readings.withColumn("event_ts", F.col("event_ts").cast("timestamp")), 3)
+    finished(live.health_table(stream, f"{folder}/health", f"{folder}/checkpoint", "6 hours", available_now=True))
+    return live.read_health(readings.sparkSession, f"{folder}/health").drop("window_end")
+
+
+@register("dedup_to_lake", ["readings"], f"SELECT {LAKE} FROM readings")
+def _dedup_to_lake(readings):
+    """Every reading is delivered twice, in different batches."""
+    stream, folder = batches_of(readings.withColumn("event_ts", F.col("event_ts").cast("timestamp")), 3, copies=2)
+    finished(live.dedup_to_lake(stream, f"{folder}/lake", f"{folder}/checkpoint", f"{folder}/late", available_now=True))
+    return sinks.read_batches(readings.sparkSession, f"{folder}/lake").select(*LAKE_COLUMNS)
+
+
+@register("compacted_lake", ["readings"], f"SELECT {LAKE} FROM readings")
+def _compacted_lake(readings):
+    """Two compactions in place, the second after more batches of the same days."""
+    spark, folder = readings.sparkSession, folder_of(readings)
+    write = live.write_lake_batches(f"{folder}/lake")
+    days = [r[0] for r in readings.select(F.to_date("event_ts")).distinct().collect()]
+    for k in range(4):
+        write(readings.filter(F.col("reading_id") % 4 == k), k)
+        if k % 2:
+            sinks.compact_days(spark, f"{folder}/lake", days)
+    return sinks.read_batches(spark, f"{folder}/lake").select(*LAKE_COLUMNS)
+
+
 @register("chat_files", ["scenes"], "SELECT 'scene_' || CAST(scene_no AS VARCHAR) AS scene_id, CAST(2 AS INT) AS messages, category AS said FROM scenes")
 def _chat(scenes):
     path = folder_of(scenes)

@@ -101,7 +101,6 @@ def _scores(spark, sf_dir):
         ["tool_wear_min"],
         wear_scorer,
         live.write_batches(f"{folder}/out"),
-        f"{folder}/state",
         f"{folder}/checkpoint",
         available_now=True,
     ).awaitTermination()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch.schemas import (
@@ -20,6 +21,7 @@ from plantwatch.schemas import (
     SCENE_TABLE,
     lake_schema,
 )
+from plantwatch.sources import versions
 
 PARTITIONS = (EQUIPMENT, EVENT_DAY)
 
@@ -65,19 +67,69 @@ def register_scored_views(spark: SparkSession, root: str) -> None:
     """Temporary views `scored_readings` and `scored_alerts` over what the scored stream wrote to the lake at `root`."""
     for view, table in (("scored_readings", "sensor_readings"), ("scored_alerts", "alerts")):
         schema = lake_schema(table).add(EVENT_DAY, "date")
-        spark.read.schema(schema).parquet(f"{root}/{view}").drop(BATCH).createOrReplaceTempView(view)
+        read_batches(spark, f"{root}/{view}", schema).createOrReplaceTempView(view)
 
 
-def compact_days(spark: SparkSession, path: str, out: str, days: Sequence[date]) -> None:
-    """Rewrite the given days of a streamed lake table into few files per equipment and day.
+def compact_days(spark: SparkSession, path: str, days: Sequence[date | None], running: bool = True, keep: int = 1) -> None:
+    """Rewrite the given days of a table of `write_lake_batches` into few files per equipment and day, in place.
 
-    `out` is a table of its own, partitioned by equipment and day; the given days are replaced in it, so a repeated call
-    changes nothing. Readers move to `out` for the days that are closed.
+    The new files lie beside the old ones and count from the moment a version names them; `read_batches` follows it. Readers that
+    began before go on with the old files, which are deleted when `keep` more compactions have been made. While the stream is
+    `running`, its newest batch may be half written and stays as it is. A repeated call changes nothing that can be read.
     """
-    rows = spark.read.parquet(path).filter(F.col(EVENT_DAY).isin(list(days))).drop(BATCH)
+    known = versions.newest(spark, path)
+    before = known[1] if known else {"days": {}, "dropped": []}
+    number = versions.next_number(spark, path)
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max(BATCH)).first()[0]
+    if last is None:
+        return
+    upto = last - 1 if running else last
+    chosen = _in_days(list(days)) & (F.col(BATCH) <= upto) & _counted(before["days"])
+    old = rows.filter(chosen)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    superseded = [r[0] for r in old.select(folder.alias("_folder")).distinct().collect()]
     inner = [c for c in ("node_id", "tag", EVENT_TIME) if c in rows.columns]
-    gathered = rows.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, *inner)
-    gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(out)
+    gathered = old.withColumn(BATCH, F.lit(-number).cast("long")).hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, *inner)
+    writer = gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*PARTITIONS, BATCH).parquet(path)
+    expired = [d for n, d in before["dropped"] if n <= number - 1 - keep]
+    content = {
+        "days": {**before["days"], **{str(d): [upto, -number] for d in days}},
+        "dropped": [[n, d] for n, d in before["dropped"] if d not in expired] + [[number, d] for d in superseded],
+    }
+    if not versions.publish(spark, path, number, content):
+        raise RuntimeError(f"another compaction of {path} was first")
+    for place in expired:
+        versions.remove(spark, place)
+    versions.forget(spark, path, number - 1 - keep)
+
+
+def _in_days(days: Sequence[date | None]) -> Column:
+    """Whether a row is of one of these days; None stands for rows without a day."""
+    found = F.col(EVENT_DAY).isin([d for d in days if d is not None])
+    return found | F.col(EVENT_DAY).isNull() if None in days else found
+
+
+def _counted(days: Mapping[str, Sequence[int]]) -> Column:
+    """Whether a version counts a row: what was compacted, and batches after that; elsewhere what the stream wrote."""
+    by_version: dict[tuple[int, int], list[date | None]] = {}
+    for day, (upto, compact) in days.items():
+        by_version.setdefault((upto, compact), []).append(None if day == "None" else date.fromisoformat(day))
+    counted = F.lit(False)
+    touched = F.lit(False)
+    for (upto, compact), group in by_version.items():
+        here = F.coalesce(_in_days(group), F.lit(False))
+        counted = counted | (here & ((F.col(BATCH) == compact) | (F.col(BATCH) > upto)))
+        touched = touched | here
+    return counted | (~touched & (F.col(BATCH) >= 0))
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table of `write_lake_batches` as of its newest compaction, without the batch numbers."""
+    known = versions.newest(spark, path)
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())]))
+    return reader.parquet(path).filter(_counted(known[1]["days"] if known else {})).drop(BATCH)
 
 
 def create_tables(spark: SparkSession, root: str, database: str) -> None:

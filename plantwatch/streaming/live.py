@@ -1,9 +1,7 @@
 """Streams: duplicates, windows over event time, scored frames, latest state.
 
-Operators that need the order of a key's rows work per micro-batch with the batch operators, so a
-hot key is sliced like any other series. What they carry from batch to batch is a small table in
-two alternating folders: batch n reads the folder batch n-1 wrote, and a repeated batch n reads and
-writes the same again.
+The last rows of every key are keyed state of the stream. Tables that a stream keeps up to date, the newest row per key or the health
+per window, are `Upserts`: a batch writes the buckets of its own keys, and readers see one version.
 """
 
 from __future__ import annotations
@@ -12,20 +10,22 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plantwatch.functions.numbers import report_round
 from plantwatch.functions.rules import ALERT_SCORE, PROBABILITIES, health_status
-from plantwatch.local import measured
-from plantwatch.operators.ordered import ROWS_PER_SLICE, last_n, partial_frames
 from plantwatch.operators.process import attach_nominals
 from plantwatch.schemas import BATCH, EQUIPMENT, EVENT_DAY
+from plantwatch.sources import versions
 from plantwatch.sources.sinks import with_day
+from plantwatch.streaming import seen
+from plantwatch.streaming.keyed import PROVIDER, ROCKSDB, keyed_frames
+from plantwatch.streaming.upserts import Upserts, newest_rows, totals
 
 READING_IDENTITY = ("equipment_id", "reading_id", "event_ts")
 ORDER = ("event_ts", "reading_id")
 SCORES = (*PROBABILITIES, "anomaly_score", "predicted_failure")
+IDLE_MS = 30 * 24 * 3600 * 1000
 
 Sink = Callable[[DataFrame, int], None]
 Scorer = Callable[[DataFrame], DataFrame]
@@ -45,25 +45,47 @@ def dedup_stream(
 def unseen_rows(
     batch: DataFrame, path: str, batch_id: int, identity: Sequence[str] = READING_IDENTITY
 ) -> DataFrame:
-    """The rows of a micro-batch that no earlier batch wrote to the table at `path`, each once, however late they are.
+    """The rows of a micro-batch that no earlier batch wrote to the table at `path`; see `seen.unseen_rows`."""
+    return seen.unseen_rows(batch, path, batch_id, identity)
 
-    The table is one of `write_lake_batches`. Only the days that the batch holds are read. A repeated batch does not
-    see what it wrote itself.
+
+def dedup_to_lake(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    late_path: str | None = None,
+    delay: str = "10 minutes",
+    identity: Sequence[str] = READING_IDENTITY,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Every reading once into the lake table at `path`, whatever the delay of its delivery or of a copy.
+
+    Readings older than the newest event time of earlier batches by more than `delay` also go to `late_path`, a side output with the
+    same layout, for what has closed its windows meanwhile.
     """
-    once = batch.dropDuplicates(list(identity))
-    if batch_id == 0:
-        return once
-    days = [r[0] for r in with_day(once).select(EVENT_DAY).distinct().collect()]
-    in_days = F.col(EVENT_DAY).isin([d for d in days if d is not None])
-    if None in days:
-        in_days = in_days | F.col(EVENT_DAY).isNull()
-    schema = T.StructType([*[batch.schema[c] for c in identity], T.StructField(EVENT_DAY, T.DateType()), T.StructField(BATCH, T.LongType())])
-    past = batch.sparkSession.read.schema(schema).parquet(path).filter(in_days & (F.col(BATCH) < batch_id))
-    seen = past.select(*[F.col(c).alias(f"_s_{c}") for c in identity])
-    same = F.lit(True)
-    for c in identity:
-        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    return once.join(seen, same, "left_anti")
+    write, late = write_lake_batches(path), write_lake_batches(late_path) if late_path else None
+    times_path = f"{checkpoint}_newest"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = _stored(unseen_rows(_stored(batch, f"{checkpoint}_batch"), path, batch_id, identity), f"{checkpoint}_fresh")
+        if late:
+            known = versions.newest(spark, times_path)
+            # The newest time of the batches before this one, also when this one is repeated.
+            times = {int(k): v for k, v in known[1]["newest"].items() if int(k) < batch_id} if known else {}
+            if times:
+                cut = F.timestamp_micros(F.lit(max(times.values()))) - F.expr(f"INTERVAL {delay}")
+                late(rows.where(F.col("event_ts") < cut), batch_id)
+            top = rows.agg(F.max(F.unix_micros("event_ts"))).first()[0]
+            latest = max([*times.values(), *([top] if top is not None else [])], default=None)
+            if latest is not None:
+                number = versions.next_number(spark, times_path)
+                earlier = {str(k): v for k, v in times.items() if k == max(times)}
+                versions.publish(spark, times_path, number, {"newest": {**earlier, str(batch_id): latest}})
+                versions.forget(spark, times_path, number - 8)
+        write(rows, batch_id)
+
+    return _each_batch(stream, step, checkpoint, available_now)
 
 
 def windowed_health(stream: DataFrame, length: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -86,6 +108,54 @@ def windowed_health(stream: DataFrame, length: str = "5 minutes", delay: str = "
     )
 
 
+WINDOW_KEYS = ("window_start", "window_end", "node_id", "node_name", "equipment_id")
+
+
+def _health_parts(rows: DataFrame, length: str) -> DataFrame:
+    """Sums, counts and maxima per window and node, which add up over batches."""
+    in_alert = F.sum((F.col("anomaly_score") >= ALERT_SCORE).cast("long"))
+    return (
+        rows.filter(F.col("node_id") != "")
+        .groupBy(F.window("event_ts", length).alias("_w"), "node_id", "node_name", "equipment_id")
+        .agg(
+            F.count(F.lit(1)).alias("total_readings"),
+            F.sum("anomaly_score").alias("score_sum"),
+            F.count("anomaly_score").alias("scores"),
+            F.sum(F.col("predicted_failure").cast("long")).alias("total_failures"),
+            in_alert.alias("readings_in_alert"),
+            F.max("anomaly_score").alias("max_score"),
+        )
+        .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *WINDOW_KEYS[2:],
+                "total_readings", "score_sum", "scores", "total_failures", "readings_in_alert", "max_score")
+    )
+
+
+def _health_table(path: str) -> Upserts:
+    sums = ("total_readings", "score_sum", "scores", "total_failures", "readings_in_alert")
+    return Upserts(path, WINDOW_KEYS, totals(WINDOW_KEYS, sums, ("max_score",)))
+
+
+def health_table(
+    stream: DataFrame, path: str, checkpoint: str, length: str = "5 minutes", available_now: bool = False
+) -> StreamingQuery:
+    """Keep the health of every node and window in a table; read it with `read_health`.
+
+    A late reading changes the row of its window, however late it is: batches add partial sums, and nothing is ever closed.
+    """
+    table = _health_table(path)
+    return _each_batch(stream, lambda batch, batch_id: table.write(_health_parts(batch, length), batch_id), checkpoint, available_now)
+
+
+def read_health(spark: SparkSession, path: str) -> DataFrame:
+    """The table of `health_table` as of its last finished batch, with the columns of `windowed_health`."""
+    parts = _health_table(path).read(spark)
+    return parts.select(
+        "window_start", "window_end", "node_id", "node_name", "equipment_id", "total_readings",
+        report_round(F.try_divide("score_sum", "scores"), 4).alias("avg_score"),
+        report_round(F.col("max_score"), 4).alias("max_score"), "total_failures", "readings_in_alert",
+    ).withColumn("status", health_status(F.col("avg_score")))
+
+
 def process_stream(stream: DataFrame, nominals: DataFrame) -> DataFrame:
     """Process readings with their nominal value and deviation, joined with the static table."""
     return attach_nominals(stream, nominals)
@@ -111,56 +181,10 @@ def write_lake_batches(path: str) -> Sink:
     return write
 
 
-def _slot(path: str, batch_id: int) -> str:
-    return f"{path}/slot={batch_id % 2}"
-
-
-def _carried(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """What the batch before this one left; nothing for the first batch."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_slot(path, batch_id - 1))
-
-
-def judge_late(batch: DataFrame, past: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add `_late`: true for rows not newer than the newest past row of their key."""
-    newest = measured(
-        past.groupBy(*keys)
-        .agg(F.max(F.struct(*order)).alias("_n"))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_n.{c}").alias(f"_n_{c}") for c in order])
-    )
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    last = F.struct(*[F.col(f"_n_{c}").alias(c) for c in order])
-    late = F.col(f"_n_{order[0]}").isNotNull() & (F.struct(*order) <= last)
-    return batch.join(newest, same, "left").select(*batch.columns, late.alias("_late"))
-
-
-def score_batch(
-    judged: DataFrame,
-    past: DataFrame,
-    keys: Sequence[str],
-    features: Sequence[str],
-    scorer: Scorer,
-    size: int = 20,
-    order: Sequence[str] = ORDER,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Score the rows of a batch, marked by `judge_late`, from the last `size` rows of their key.
-
-    `past` holds the last rows of every key before the batch. Rows without a full frame, and late
-    rows, keep the scores they came with.
-    """
-    keys, order = list(keys), list(order)
-    columns = [c for c in judged.columns if c != "_late"]
-    fresh = judged.filter(~F.col("_late")).drop("_late").withColumn("_old", F.lit(False))
-    series = fresh.unionByName(past.withColumn("_old", F.lit(True)), allowMissingColumns=True)
-    framed = partial_frames(series, keys, order, features, size, rows_per_slice).filter(~F.col("_old")).drop("_old")
-    full = F.size("frame") == size
-    scored = scorer(framed.filter(full).drop(*SCORES)).select(*columns)
-    warming = framed.filter(~full).select(*columns)
-    return scored.unionByName(warming).unionByName(judged.filter("_late").select(*columns))
+def _stored(batch: DataFrame, folder: str) -> DataFrame:
+    """The batch as written to a folder that the next one replaces, so that its plan, with its state, runs once."""
+    batch.write.mode("overwrite").parquet(folder)
+    return batch.sparkSession.read.schema(batch.schema).parquet(folder)
 
 
 def windowed_scores(
@@ -169,36 +193,44 @@ def windowed_scores(
     features: Sequence[str],
     scorer: Scorer,
     sink: Sink,
-    state: str,
     checkpoint: str,
     size: int = 20,
     order: Sequence[str] = ORDER,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    identity: Sequence[str] | None = None,
+    idle_ms: int | None = IDLE_MS,
     available_now: bool = False,
-    unseen: Sink | None = None,
+    unseen: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Score every reading from the last `size` readings of its key.
 
-    `unseen` picks the rows of a batch that are new, for streams that repeat deliveries. `scorer` gets rows with a `frame` column and adds the probabilities, score and flag. `state` and
-    `checkpoint` are folders in shared storage. Late rows pass through and do not enter the frames.
+    The last readings are keyed state: a batch touches its own keys, and a key that is silent for `idle_ms` starts anew. Rows of a
+    batch that agree in `identity` (key and order if it is not given) count once. `scorer` gets rows with a `frame` column and adds the
+    probabilities, score and flag. Rows without a full frame, and late rows, keep the scores they came with; late ones do not enter
+    the frames. `unseen` picks the rows of a batch that are new, for streams that repeat deliveries. `checkpoint` is a folder
+    in shared storage.
     """
-    keys, order = list(keys), list(order)
-    narrow = [*keys, *order, *[f for f in features if f not in (*keys, *order)]]
-    schema = stream.select(*narrow).schema
+    columns = stream.columns
+    framed = keyed_frames(stream, keys, order, features, size, identity or [*keys, *order], idle_ms)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = unseen(batch, batch_id) if unseen else batch
-        past = _carried(batch.sparkSession, state, batch_id, schema)
-        judged = judge_late(batch, past, keys, order).persist()
-        try:
-            sink(score_batch(judged, past, keys, features, scorer, size, order, rows_per_slice), batch_id)
-            fresh = judged.filter(~F.col("_late")).select(*narrow)
-            kept = last_n(past.unionByName(fresh), keys, order, size - 1).select(*narrow)
-            kept.write.mode("overwrite").parquet(_slot(state, batch_id))
-        finally:
-            judged.unpersist()
-
-    return _each_batch(stream, step, checkpoint, available_now)
+        rows = _stored(batch, f"{checkpoint}_batch")
+        if unseen:
+            rows = _stored(unseen(rows, batch_id), f"{checkpoint}_unseen")
+        full = ~F.col("_late") & (F.size("frame") == size)
+        scored = scorer(rows.filter(full).drop(*SCORES, "_late")).select(*columns)
+        sink(scored.unionByName(rows.filter(~full).select(*columns)), batch_id)
+
+    # What keyed state needs. Without the second, state with a time to live asks for batches without data for ever.
+    settings = {PROVIDER: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    spark = stream.sparkSession
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        return _each_batch(framed, step, checkpoint, available_now)  # a stream keeps the settings it starts with
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _each_batch(
@@ -218,22 +250,17 @@ def last_status(
     order: Sequence[str] = ORDER,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Keep the newest row per key in a small table; read it with `read_last_status`."""
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
-    row = [c for c in stream.columns if c not in keys]
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        known = _carried(batch.sparkSession, path, batch_id, schema).drop("batch_id")
-        newest = F.max_by(F.struct(*row), F.struct(*order))
-        latest = known.unionByName(batch).groupBy(*keys).agg(newest.alias("_row"))
-        flat = latest.select(*keys, "_row.*").select(*stream.columns, F.lit(batch_id).cast("long").alias("batch_id"))
-        flat.write.mode("overwrite").parquet(_slot(path, batch_id))
-
-    return _each_batch(stream, step, checkpoint, available_now)
+    """Keep the newest row per key in a table; read it with `read_last_status`, also while the stream runs."""
+    table = Upserts(path, tuple(keys), newest_rows(keys, order))
+    return _each_batch(
+        stream, lambda batch, batch_id: table.write(batch, batch_id, {"order": list(order)}), checkpoint, available_now
+    )
 
 
 def read_last_status(spark: SparkSession, path: str) -> DataFrame:
     """The table of `last_status` as of its last finished batch."""
-    slots = spark.read.parquet(path).drop("slot")
-    newest = slots.agg(F.max("batch_id")).first()[0]
-    return slots.filter(F.col("batch_id") == newest).drop("batch_id")
+    known = versions.newest(spark, path)
+    if known is None:
+        raise FileNotFoundError(f"no version of {path}")
+    keys = known[1]["keys"]
+    return Upserts(path, tuple(keys), newest_rows(keys, known[1]["about"]["order"])).read(spark)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from plantwatch.functions.rules import PROBABILITIES
 from plantwatch.operators import ordered
 from plantwatch.plans import live as live_plan
-from plantwatch.sources import readers, sinks
-from plantwatch.streaming import live
+from plantwatch.sources import readers, sinks, versions
+from plantwatch.streaming import live, seen
 from plantwatch.streaming.alerts import alert_stream
+from plantwatch.streaming.upserts import Upserts, newest_rows
 
 START = datetime(2024, 1, 1)
 SCHEMA = "reading_id long, equipment_id string, node_id string, node_name string, event_ts timestamp, x double, " + ", ".join(
@@ -42,11 +43,13 @@ class Feed:
     def stream(self):
         return self.spark.readStream.schema(SCHEMA).parquet(self.path)
 
-    def score(self):
-        live.windowed_scores(
-            self.stream(), ["node_id"], ["x"], scorer, live.write_batches(f"{self.work}/out"),
-            f"{self.work}/state", f"{self.work}/checkpoint", rows_per_slice=7, available_now=True,
-        ).awaitTermination()
+    def score(self, sink=None, **options):
+        query = live.windowed_scores(
+            self.stream(), ["node_id"], ["x"], scorer, sink or live.write_batches(f"{self.work}/out"),
+            f"{self.work}/checkpoint", available_now=True, **options,
+        )
+        query.awaitTermination()
+        return query
 
     def scores(self):
         rows = self.spark.read.parquet(f"{self.work}/out").collect()
@@ -92,18 +95,69 @@ def test_late_reading_passes_through(feed):
     assert got["n1", 25] == round(sum(i % 13 for i in range(6, 26)) / 100, 6)
 
 
-def test_repeated_batch_changes_nothing(spark, feed):
+def test_a_batch_that_failed_is_scored_again_from_the_same_state(feed):
     feed.add([reading(i) for i in range(30)])
     feed.score()
     feed.add([reading(i) for i in range(30, 40)])
+
+    def broken(batch, batch_id):
+        batch.count()
+        raise OSError("the sink is gone")
+
+    with pytest.raises(Exception, match="the sink is gone"):
+        feed.score(broken)
     feed.score()
-    first = feed.scores()
-    past = spark.read.schema("node_id string, event_ts timestamp, reading_id long, x double").parquet(f"{feed.work}/state/slot=0")
-    batch = spark.createDataFrame([reading(i) for i in range(30, 40)], SCHEMA)
-    judged = live.judge_late(batch, past, ["node_id"], live.ORDER)
-    again = live.score_batch(judged, past, ["node_id"], ["x"], scorer)
-    assert all(first[r.node_id, r.reading_id] == round(r.anomaly_score, 6) for r in again.collect())
-    assert again.count() == 10
+    got = feed.scores()
+    assert len(got) == 40
+    assert got["n1", 35] == round(sum(i % 13 for i in range(16, 36)) / 100, 6)
+
+
+def test_values_pass_the_state_as_they_are(spark, feed):
+    """Large numbers, nulls and NaN: nothing goes through a float."""
+    big = 2**60 + 1
+    rows = [(big + i, "gw", "n", None, START + timedelta(microseconds=i), [None, float("nan"), 1e-310][i % 3], *[None] * 5, float("nan"), None) for i in range(25)]
+    feed.add(rows)
+    seen = []
+
+    def scoring(batch):
+        seen.append([r.frame for r in batch.orderBy("reading_id").collect()])
+        return scorer(batch)
+
+    live.windowed_scores(
+        feed.stream(), ["node_id"], ["x"], scoring, live.write_batches(f"{feed.work}/out"), f"{feed.work}/checkpoint", available_now=True
+    ).awaitTermination()
+    back = spark.read.parquet(f"{feed.work}/out").orderBy("reading_id").collect()
+    assert [r.reading_id for r in back] == [big + i for i in range(25)]
+    assert [r.event_ts for r in back] == [r[4] for r in rows]
+    assert back[0].x is None and back[1].x != back[1].x and back[2].x == 1e-310 and back[0].node_name is None
+    first = [x for (x,) in seen[0][0]]
+    assert first[0] is None and first[1] != first[1] and first[2] == 1e-310 and len(first) == 20
+
+
+def test_a_batch_touches_the_state_of_its_own_keys(feed):
+    feed.add([reading(i, f"n{i % 40}") for i in range(400)])
+    first = feed.score().recentProgress
+    feed.add([reading(1000, "n7")])
+    second = feed.score().recentProgress
+    updated = lambda progress: max(p["stateOperators"][0]["numRowsUpdated"] for p in progress if p["stateOperators"])
+    # The list of one key is at most 19 rows; forty keys hold ten each.
+    assert updated(first) >= 400 and updated(second) <= 20
+
+
+def test_idle_keys_expire(feed):
+    feed.add([reading(i) for i in range(25)])
+    feed.score(idle_ms=1)
+    feed.add([reading(i) for i in range(25, 30)])
+    feed.score(idle_ms=1)
+    got = feed.scores()
+    assert got["n1", 24] != 0.1 and all(got["n1", i] == 0.1 for i in range(25, 30))
+
+
+def test_repeats_inside_a_batch_count_once(feed):
+    feed.add([reading(i) for i in range(25)] + [reading(i) for i in range(25)])
+    feed.score()
+    got = feed.scores()
+    assert len(got) == 25 and got["n1", 24] == round(sum(i % 13 for i in range(5, 25)) / 100, 6)
 
 
 def drain(stream, folder):
@@ -167,6 +221,135 @@ def test_last_status(spark, feed):
     assert run() == {"n1": 3, "n2": 1, "n3": 9}
 
 
+def test_status_is_read_while_it_is_written(spark, tmp_path):
+    """A reader beside the writer sees whole batches only: every key of a version is of the same batch."""
+    import threading
+
+    table = Upserts(str(tmp_path / "t"), ("k",), newest_rows(["k"], ["v"]), buckets=4, deltas=2, keep=3)
+    batch = lambda v: spark.range(12).select(F.col("id").alias("k"), F.lit(v).alias("v"))
+    table.write(batch(0), 0)
+    seen, failures, done = [], [], threading.Event()
+
+    def read():
+        try:
+            while not done.is_set():
+                rows = table.read(spark).collect()
+                seen.append((len(rows), {r.v for r in rows}))
+        except Exception as error:
+            failures.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for v in range(1, 9):
+        table.write(batch(v), v)
+    done.set()
+    reader.join()
+    assert not failures and seen and all(n == 12 and len(v) == 1 for n, v in seen)
+    assert {r.v for r in table.read(spark).collect()} == {8}
+
+
+def test_upserts_write_the_buckets_of_a_batch_only(spark, tmp_path):
+    table = Upserts(str(tmp_path / "t"), ("k",), newest_rows(["k"], ["v"]), buckets=8, deltas=3)
+    table.write(spark.range(100).selectExpr("id AS k", "0 AS v"), 0)
+    before = versions.newest(spark, table.path)[1]["files"]
+    for v in range(1, 8):
+        table.write(spark.range(5, 6).selectExpr("id AS k", f"{v} AS v"), v)
+        table.write(spark.range(5, 6).selectExpr("id AS k", "99 AS v"), v)  # a repeated batch is not taken twice
+    after = versions.newest(spark, table.path)[1]["files"]
+    assert sum(before[b] != after[b] for b in before) == 1 and max(map(len, after.values())) <= 3
+    got = {r.k: r.v for r in table.read(spark).collect()}
+    assert got == {k: 7 if k == 5 else 0 for k in range(100)}
+
+
+def test_a_version_that_is_half_written_does_not_count(spark, tmp_path):
+    table = Upserts(str(tmp_path / "t"), ("k",), newest_rows(["k"], ["v"]))
+    table.write(spark.range(3).selectExpr("id AS k", "0 AS v"), 0)
+    (tmp_path / "t" / "_versions" / "2.json").write_text('{"batch": 1, "fil')
+    assert table.read(spark).count() == 3
+    table.write(spark.range(4).selectExpr("id AS k", "1 AS v"), 1)
+    assert {r.k: r.v for r in table.read(spark).collect()} == {k: 1 for k in range(4)}
+    assert not versions.publish(spark, table.path, 3, {})
+
+
+def test_late_readings_change_their_window(spark, feed):
+    rows = [reading(i, f"n{i % 2}", seconds=i * 60, score=0.1 + i % 7 / 10) for i in range(40)]
+
+    def run():
+        live.health_table(feed.stream(), f"{feed.work}/health", f"{feed.work}/hc", available_now=True).awaitTermination()
+        return live.read_health(spark, f"{feed.work}/health")
+
+    feed.add(rows[10:])
+    run()
+    feed.add(rows[:10] + [reading(100, "n1", seconds=7200, score=0.95)])
+    run()
+    feed.add([reading(101, "n0", seconds=5, score=0.99)])
+    everything = spark.createDataFrame([*rows, reading(100, "n1", seconds=7200, score=0.95), reading(101, "n0", seconds=5, score=0.99)], SCHEMA)
+    expected, got = live.windowed_health(everything), run()
+    assert got.columns == expected.columns
+    assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+
+
+def test_days_that_the_filters_rule_out_are_not_read(spark, tmp_path, monkeypatch):
+    asked = []
+    inner = seen.past_identities
+    monkeypatch.setattr(seen, "past_identities", lambda *a: asked.append(sorted(map(str, a[4]))) or inner(*a))
+    lake = str(tmp_path / "lake")
+    write = live.write_lake_batches(lake)
+
+    def run(batch_id, rows):
+        fresh = live.unseen_rows(spark.createDataFrame(rows, SCHEMA).coalesce(1), lake, batch_id)
+        got = sorted(r.reading_id for r in fresh.collect())
+        write(fresh, batch_id)
+        return got
+
+    day = 86400
+    assert run(0, [reading(i, seconds=i * day) for i in range(5)]) == [0, 1, 2, 3, 4]
+    assert run(1, [reading(i, seconds=(i - 10) * day) for i in range(10, 15)]) == [10, 11, 12, 13, 14]
+    assert asked == []  # the same days, but nothing that was there
+    assert run(2, [reading(3, seconds=3 * day), reading(12, seconds=2 * day), reading(20), reading(20), reading(21, seconds=-40 * day)]) == [20, 21]
+    assert asked == [["2024-01-03", "2024-01-04"]]
+    assert run(2, [reading(20), reading(3, seconds=3 * day)]) == [20]  # the batch again: it does not see itself
+
+
+def test_dedup_to_lake_keeps_late_readings_and_names_them(spark, feed):
+    def run():
+        live.dedup_to_lake(
+            feed.stream(), f"{feed.work}/lake", f"{feed.work}/dc", f"{feed.work}/late", available_now=True
+        ).awaitTermination()
+        rows = lambda name: sorted(r.reading_id for r in sinks.read_batches(spark, f"{feed.work}/{name}").collect())
+        return rows("lake"), rows("late") if (feed.path and len(list(__import__("pathlib").Path(f"{feed.work}/late").glob("equipment*")))) else []
+
+    feed.add([reading(i, seconds=i * 60) for i in range(30)])
+    assert run() == (list(range(30)), [])
+    feed.add([reading(3, seconds=180), reading(40, seconds=60), reading(41, seconds=1700)])
+    assert run() == ([*range(30), 40, 41], [40])
+
+
+def test_compaction_in_place(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    write = live.write_lake_batches(path)
+    rows = [reading(i, seconds=i * 3000) for i in range(60)]
+    for k in range(5):
+        write(spark.createDataFrame(rows[k::5], SCHEMA).repartition(4), k)
+    files = lambda df: len(df.inputFiles())
+    before = sinks.read_batches(spark, path)
+    days = [r[0] for r in before.select("event_date").distinct().collect()]
+    numbers = sorted(r.reading_id for r in before.collect())
+    sinks.compact_days(spark, path, days)
+    after = sinks.read_batches(spark, path)
+    # A reader that began before goes on; one that begins now reads the batch that may be half written, and few files besides.
+    assert sorted(r.reading_id for r in before.collect()) == sorted(r.reading_id for r in after.collect()) == numbers
+    read = lambda df: df.select(F.input_file_name().alias("f")).distinct().count()
+    assert read(after) < read(before) / 2
+    write(spark.createDataFrame([reading(500, seconds=0)], SCHEMA), 5)
+    assert sinks.read_batches(spark, path).count() == 61
+    for _ in range(3):
+        sinks.compact_days(spark, path, days, running=False)
+    assert sorted(r.reading_id for r in sinks.read_batches(spark, path).collect()) == [*numbers, 500]
+    left = {p.name for p in (tmp_path / "lake").rglob("_batch=*")} | {p.name for p in (tmp_path / "lake").rglob("batch_id=*")}
+    assert all(int(name.split("=")[1]) < 0 for name in left)
+
+
 def test_landing_to_lake(spark, tmp_path):
     folder = tmp_path / "landing" / "gw-1"
     folder.mkdir(parents=True)
@@ -224,8 +407,8 @@ def test_landed_messages_to_scores_and_alerts(spark, tmp_path):
     assert numbers == sorted([-360, 0, *range(31)])  # the copy under another time is a reading of its own
     days = [r[0] for r in readings.select("event_date").distinct().collect()]
     for _ in range(2):
-        sinks.compact_days(spark, f"{tmp_path}/lake/scored_readings", f"{tmp_path}/closed", days)
-    assert spark.read.parquet(f"{tmp_path}/closed").count() == 33
+        sinks.compact_days(spark, f"{tmp_path}/lake/scored_readings", days)
+    assert sinks.read_batches(spark, f"{tmp_path}/lake/scored_readings").count() == 33
 
 
 def test_scores_that_are_no_numbers_raise_no_alert(spark):
