@@ -248,13 +248,13 @@ def alerts_with_context(
     before_s: int,
     after_s: int,
     keys: Sequence[str] = ("node_id",),
-    salts: int = 8,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Readings of the same node from `before_s` seconds before to `after_s` seconds after an alert.
 
-    Both sides meet in time buckets as wide as the span, so an alert falls into two buckets at most
-    and nothing is compared across the whole series. Readings are salted by their number, so that a
-    burst in one bucket is shared by several tasks; the few alerts are repeated per salt.
+    Both sides meet in time buckets as wide as the span, so an alert falls into two buckets at most and nothing is compared across the
+    whole series. A node with more than `rows_per_slice` readings is cut into slices in order of time and number, so that a burst in one
+    bucket is shared by several tasks; an alert goes to the slices that its span reaches into, and is repeated nowhere else.
     """
     width = (before_s + after_s) * 1_000_000
     if width <= 0:
@@ -264,24 +264,23 @@ def alerts_with_context(
         return F.floor(moment / F.lit(width)).cast("long")
 
     at = F.unix_micros(F.col("event_ts").cast("timestamp"))
-    around = alerts.select(
-        *keys,
-        "alert_id",
-        at.alias("_at"),
-        F.explode(
-            F.sequence(bucket(at - before_s * 1_000_000), bucket(at + after_s * 1_000_000))
-        ).alias("_bucket"),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = readings.withColumn("_bucket", bucket(at)).withColumn(
-        "_salt", F.pmod(F.xxhash64("reading_id"), F.lit(salts)).cast("int")
-    )
+    begin, end = F.col("_at") - before_s * 1_000_000, F.col("_at") + after_s * 1_000_000
+    around = alerts.select(*keys, "alert_id", at.alias("_at"))
+    sliced = slice_rows(readings, keys, ["event_ts", "reading_id"], rows_per_slice)
+    if sliced.single:
+        around = around.withColumn(SLICE, F.lit(0))
+    else:
+        spans = sliced.df.groupBy(*keys, SLICE).agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+        around = around.join(spans, list(keys)).filter((begin <= F.col("_to")) & (end >= F.col("_from"))).drop("_from", "_to")
+    around = around.withColumn("_bucket", F.explode(F.sequence(bucket(begin), bucket(end))))
+    placed = sliced.df.withColumn("_bucket", bucket(at))
     offset = at - F.col("_at")
     phase = F.when(offset < 0, "before").when(offset > 0, "after").otherwise("during")
     return (
-        placed.join(around, [*keys, "_bucket", "_salt"])
+        placed.join(around, [*keys, SLICE, "_bucket"])
         .filter(offset.between(-before_s * 1_000_000, after_s * 1_000_000))
         .withColumn("phase", phase)
-        .drop("_bucket", "_salt", "_at")
+        .drop("_bucket", SLICE, "_at")
     )
 
 

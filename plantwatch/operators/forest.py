@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from plantwatch.local import local_table
 from plantwatch.operators.ordered import ROWS_PER_SLICE, with_position
 from plantwatch.operators.prep import operating_point
+from plantwatch.session import cut_lineage
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -236,6 +237,35 @@ class IsolationForest:
         return IsolationForestModel(**{**model.__dict__, "cut": float(cut)})
 
 
+def shuffled(place: Column, n: int, seed: int, rounds: int = 6) -> Column:
+    """A place in 0..n-1 for every place in 0..n-1, each taken once, and none remembered.
+
+    A Feistel network on a rectangle of places: a row's column moves by a hash of its row, then its row by a hash of its column, and so on.
+    Every round can be undone, so no two places meet. The rectangle is a little larger than n; a place that lands
+    outside goes on until it is inside, which keeps the map one to one.
+    """
+    wide = max(1, ceil(n**0.5))
+    high = max(1, ceil(n / wide))
+
+    def hashed(value: Column, k: Column, limit: int) -> Column:
+        return F.pmod(F.xxhash64(value, k, F.lit(seed)), F.lit(limit).cast("bigint"))
+
+    def turn(at: Column, k: Column) -> Column:
+        x, y = at["x"], at["y"]
+        return F.when(k % 2 == 0, F.struct(F.pmod(x + hashed(y, k, wide), F.lit(wide)).alias("x"), y.alias("y"))).otherwise(
+            F.struct(x.alias("x"), F.pmod(y + hashed(x, k, high), F.lit(high)).alias("y"))
+        )
+
+    def once(at: Column) -> Column:
+        start = F.struct((at % wide).cast("bigint").alias("x"), F.floor(at / wide).cast("bigint").alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn, lambda s: s["y"] * wide + s["x"])
+
+    # Outside lies less than a row of the rectangle; a walk of 64 steps that never comes inside does not happen.
+    steps = F.sequence(F.lit(0), F.lit(63))
+    walked = F.aggregate(steps, once(place.cast("bigint")), lambda at, _: F.when(at < n, at).otherwise(once(at)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("no place inside")).cast("bigint"))
+
+
 def permutation_importance(
     df: DataFrame,
     score: Callable[[Sequence[Column]], Column],
@@ -246,17 +276,17 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance): mean change of the score when one feature is shuffled, largest first.
 
-    One shuffle serves all features. Rows and donors are numbered by two different hashes and meet
-    by number, so every value is given away exactly once.
+    One shuffle serves all features. Rows are numbered once, in order of a hash, and a row's donor is the row that a bijection of the numbers
+    sends there, so every value is given away exactly once.
     """
     columns = list(features)
     rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     numbered = with_position(
         rows.withColumn("_draw", F.xxhash64(*by, F.lit(seed))), [], ["_draw", *by], "_place", rows_per_slice
     )
-    donors = with_position(
-        rows.withColumn("_draw", F.xxhash64(*by, F.lit(seed + 1))), [], ["_draw", *by], "_place", rows_per_slice
-    ).select("_place", *[F.col(c).alias(f"_other_{c}") for c in columns])
+    numbered = cut_lineage(numbered)
+    given_to = shuffled(F.col("_place"), numbered.count(), seed)
+    donors = numbered.select(given_to.alias("_place"), *[F.col(c).alias(f"_other_{c}") for c in columns])
     paired = numbered.join(donors, "_place")
     variants = [score([F.col(c) for c in columns]).alias("_base")]
     for changed in columns:

@@ -131,5 +131,6 @@ def elementwise_mean(df: DataFrame, group: Sequence[str], column: str) -> DataFr
 
 
 def random_sample(df: DataFrame, n: int, by: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows drawn by a hash of the identifying columns: the same rows on every run."""
-    return df.orderBy(F.xxhash64(*by, F.lit(seed)), *by).limit(n)
+    """n rows drawn by an MD5 of the identifying columns and the seed: the same rows on every run, and in any engine."""
+    draw = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.lit(str(seed))).cast("binary"))
+    return df.orderBy(draw, *by).limit(n)

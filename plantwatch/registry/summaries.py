@@ -125,7 +125,9 @@ SELECT label, CAST(pos - 1 AS INT) AS position, {R('avg(CAST(x AS DOUBLE))', 6)}
     .withColumn("mean", report_round(F.col("mean"), 6))
 )
 
-register("random_sample", ["alerts"])(
+register("random_sample", ["alerts"], """
+SELECT alert_id, node_id, anomaly_score FROM alerts ORDER BY md5(CAST(alert_id AS VARCHAR) || '|42'), alert_id LIMIT 10
+""")(
     lambda a: summaries.random_sample(a.select("alert_id", "node_id", "anomaly_score"), 10, ["alert_id"])
 )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantwatch.functions.rules import encode_product_type
-from plantwatch.operators.scenes import CHAT_SCHEMA, match_scenes
+from plantwatch.operators.scenes import CHAT_SCHEMA
 from plantwatch.schemas import (
     AI4I,
     AI4I_NAMES,
@@ -18,6 +18,7 @@ from plantwatch.schemas import (
     PREDICTIONS,
     SCENE_TABLE,
 )
+from plantwatch.sources.listing import picture_files
 
 CORRUPT = "_bad"
 LANDED_NAME = r"/([^/]+)/([0-9]+)\.json$"
@@ -148,27 +149,11 @@ def read_scene_table(spark: SparkSession, path: str, split: bool = True) -> Data
 def read_scene_files(spark: SparkSession, root: str) -> DataFrame:
     """Scenes with all three pictures, as (category, stem, tiff_path, rgb_path, thermal_path).
 
-    Only names are read, no picture content.
+    Folders are listed once, each by a task; only names are read, no picture content.
     """
-
-    def listing(kind: str) -> DataFrame:
-        folder, suffix = PICTURES[kind]
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", f"*.{suffix}")
-            .load(root)
-            .select("path")
-        )
-        place = rf"/([^/]+)/{folder}/([^/]+)\.{suffix}$"
-        named = files.select(
-            F.regexp_extract("path", place, 1).alias("category"),
-            F.regexp_extract("path", place, 2).alias("stem"),
-            F.col("path").alias(f"{kind}_path"),
-        )
-        return named.filter(F.col("stem") != "")
-
-    return match_scenes(listing("rgb"), listing("thermal"), listing("tiff"))
+    files = picture_files(spark, root, PICTURES)
+    by_scene = files.groupBy("category", "stem").agg(*[F.min(F.when(F.col("kind") == k, F.col("path"))).alias(f"{k}_path") for k in PICTURES])
+    return by_scene.dropna().select("category", "stem", "tiff_path", "rgb_path", "thermal_path")
 
 
 def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:

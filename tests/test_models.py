@@ -185,3 +185,12 @@ def test_scores_equal_a_walk_by_hand(cloud, model):
     mean_path = [np.mean([path(row, root) for root in model.roots]) for row in rows]
     expected = 2.0 ** (-np.array(mean_path) / f.average_path(256))
     assert np.allclose(model.raw_scores(np.array(rows)), expected)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 1009, 20_000])
+def test_a_shuffle_uses_every_place_once(spark, n):
+    places = spark.range(n).select("id", f.shuffled(F.col("id"), n, 42).alias("to"), f.shuffled(F.col("id"), n, 43).alias("other"))
+    got = places.agg(F.countDistinct("to"), F.min("to"), F.max("to"), F.sum((F.col("to") == F.col("id")).cast("int")), F.sum((F.col("to") == F.col("other")).cast("int"))).first()
+    assert tuple(got[:3]) == (n, 0, n - 1)
+    if n >= 1009:
+        assert got[3] < 20 and got[4] < 20

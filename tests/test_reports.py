@@ -142,12 +142,22 @@ def test_context_span(spark, plant):
 def test_context_equals_brute_force(spark):
     rows = [reading(i * 7 % 400, "hot" if i % 3 else "cold", (0.1,) * 5) for i in range(400)]
     alerts = [alert(i, "hot", "TWF", 0.9) for i in range(0, 400, 17)]
-    got = episodes.alerts_with_context(spark.createDataFrame(alerts, ALERTS), spark.createDataFrame(rows, SCHEMA), 100, 35)
+    sides = spark.createDataFrame(alerts, ALERTS), spark.createDataFrame(rows, SCHEMA)
+    got = episodes.alerts_with_context(*sides, 100, 35)
     expected = sorted(
         (a[0], r[0]) for a in alerts for r in rows
         if r[3] == a[3] and timedelta(seconds=-100) <= r[1] - a[1] <= timedelta(seconds=35)
     )
     assert sorted((r.alert_id, r.reading_id) for r in got.collect()) == expected
+    sliced = episodes.alerts_with_context(*sides, 100, 35, rows_per_slice=23)
+    assert sorted((r.alert_id, r.reading_id) for r in sliced.collect()) == expected and sliced.columns == got.columns
+
+
+def test_alerts_are_not_repeated_for_quiet_nodes(spark):
+    rows = [reading(i, "n", (0.1,) * 5) for i in range(50)]
+    got = episodes.alerts_with_context(spark.createDataFrame([alert(20, "n", "TWF", 0.9)], ALERTS), spark.createDataFrame(rows, SCHEMA), 30, 30)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "sequence" in plan and "salt" not in plan
 
 
 def test_root_cause(spark):
