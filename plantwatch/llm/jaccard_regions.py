@@ -205,8 +205,9 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) with `both` and `either`, the sizes of their sets' intersection and union.
 
-    Pairs with the same `a` go in groups of about GROUP_PAIRS; the text of `a` moves once per group, in front of the others.
+    The pairs are stored first, as they are counted and dealt. Pairs with the same `a` go in groups of about GROUP_PAIRS; the text of `a` moves once per group, in front of the others.
     """
+    pairs = cut_lineage(pairs)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("groups"))
     dealt = pairs.join(counts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b", F.lit("group")), F.col("groups")).cast("int"))
     dealt = cut_lineage(dealt.select("a", "part", "b"))
@@ -236,6 +237,24 @@ def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return ordered.mapInArrow(count, "a bigint, b bigint, both bigint, either bigint")
 
 
+def likely(pairs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """The pairs (a, b) that can be within the radius by their sizes and sketches, so that no text moves for the others."""
+    known = classes.where("n > 0").dropDuplicates(["cls"]).select("cls", F.struct("n", "sketch").alias("s"))
+    with_a = pairs.join(known.select(F.col("cls").alias("a"), F.col("s").alias("s_a")).hint("merge"), "a")
+    rows = with_a.join(known.select(F.col("cls").alias("b"), F.col("s").alias("s_b")).hint("merge"), "b").select("a", "b", "s_a", "s_b")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.num_rows
+            n = np.concatenate([batch.column(c).field("n").to_numpy() for c in ("s_a", "s_b")])
+            sketch = np.concatenate([np.frombuffer(b"".join(batch.column(c).field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("s_a", "s_b")])
+            at = np.arange(half)
+            near = _may_be_near(at, at + half, n, sketch, radius, np.ones(half, dtype=bool))
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return rows.mapInArrow(keep, "a bigint, b bigint")
+
+
 def _byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about `most` bytes of a binary column, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -518,7 +537,8 @@ def _linked_classes(
     # Every member against the smallest class of its region.
     pivot = regions.groupBy("region").agg(F.min(F.struct("cls", "n")).alias("p")).select("region", F.col("p.cls").alias("a"), F.col("p.n").alias("na"))
     stars = regions.join(pivot.hint("merge"), "region").where((F.col("a") != F.col("cls")) & _fits("na", "n", radius))
-    links = cut_lineage(distances(stars.select("a", F.col("cls").alias("b")).distinct(), texts, shingle).where(_near(radius)).select("a", "b"))
+    near = likely(stars.select("a", F.col("cls").alias("b")).distinct(), classes, radius)
+    links = cut_lineage(distances(near, texts, shingle).where(_near(radius)).select("a", "b"))
     comps = components(links)
 
     # What is still apart in larger regions, against a pivot of each region's own.
@@ -528,7 +548,8 @@ def _linked_classes(
         drawn = several.groupBy("region").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", "region")).alias("p"))
         stars = several.join(drawn.select("region", F.col("p.cls").alias("a"), F.col("p.n").alias("na")).hint("merge"), "region")
         stars = stars.where((F.col("a") != F.col("cls")) & _fits("na", "n", radius)).select("a", F.col("cls").alias("b")).distinct()
-        links = cut_lineage(links.union(distances(stars, texts, shingle).where(_near(radius)).select("a", "b")).distinct())
+        near = distances(likely(stars, classes, radius), texts, shingle)
+        links = cut_lineage(links.union(near.where(_near(radius)).select("a", "b")).distinct())
         comps = components(links)
         left = cut_lineage(_apart(_labelled(left.drop("comp", "members"), comps)))
 
