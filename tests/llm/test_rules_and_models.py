@@ -10,6 +10,7 @@ import pytest
 
 from plantwatch.llm import quality_neighbours as neighbours
 from plantwatch.llm import quality_rules as rules
+from plantwatch.llm.common import labelled_sample
 from plantwatch.llm.language_id import frozen, language_id
 from plantwatch.llm.textblocks import blocks, paired
 from plantwatch.llm.toxicity import changes, fit_weights, given_twice, hashes_of, present, stems_of, swaps, toxicity, word_hashes
@@ -91,6 +92,37 @@ def test_kept_documents_are_those_of_the_query(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in verdicts)
 
 
+def test_scores_do_not_depend_on_the_block():
+    texts = [t or "" for _, t in awkward(4)]
+    counts = np.concatenate([neighbours.term_counts(b) for b in blocks(pa.array(texts), block_documents=7)])
+    space = neighbours.fit_space(counts[:40], np.array([len(t) % 2 for t in texts[:40]], float), rank=8)
+    whole = space.scores(counts, 5)
+    for size in (1, 3, 16):
+        assert [x for k in range(0, len(counts), size) for x in space.scores(counts[k : k + size], 5)] == whole.tolist()
+
+
+def test_latent_space_is_that_of_a_full_decomposition():
+    texts = [t or "" for _, t in awkward(4) if t is None or len(t) < 5000]
+    counts = np.concatenate([neighbours.term_counts(b) for b in blocks(pa.array(texts), block_documents=7)])
+    space = neighbours.fit_space(counts, np.ones(len(texts)), rank=4)
+    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    rows = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)) * idf
+    assert np.allclose(space.idf, idf, atol=1e-5)
+    right = np.linalg.svd(rows, full_matrices=False)[2][:4].T
+    # The same subspace: what one basis leaves of the other has length one.
+    assert np.allclose(np.linalg.svd(right.T @ space.axes)[1], 1, atol=1e-2)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """One id with very many texts does not push the others out, nor beyond the bound."""
+    rows = [(1, f"text {k} " * 5) for k in range(300)] + [(i, f"other {i} " * 5) for i in range(2, 100)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 100)], "doc_id bigint, label int")
+    drawn = labelled_sample(documents(spark, rows), labels, 150).collect()
+    assert len(drawn) == 150 and len({r.doc_id for r in drawn}) > 20
+    again = labelled_sample(documents(spark, rows[::-1]).repartition(7), labels, 150).collect()
+    assert sorted(map(tuple, drawn)) == sorted(map(tuple, again))
+
+
 def test_cosine_votes_match_plain_version():
     texts = [t or "" for _, t in awkward(4) if t is None or len(t) < 5000]
     counts = np.concatenate([neighbours.term_counts(b) for b in blocks(pa.array(texts), block_documents=7)])
@@ -102,7 +134,7 @@ def test_cosine_votes_match_plain_version():
         if not x.any():
             assert got[k] == space.prior
             continue
-        cosine = space.vectors @ (x / np.linalg.norm(x))
+        cosine = space.vectors / neighbours.UNIT @ (x / np.linalg.norm(x))
         near = np.argsort(-cosine, kind="stable")[:5]
         weight = np.maximum(cosine[near], 0) ** 8
         # Equal vectors tie; any choice among them has the same weights, so compare where labels of ties agree.
