@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from plantwatch.llm.textblocks import BLOCK_BYTES, Block, block_of
 from plantwatch.session import cut_lineage
 
-__all__ = ["bounded_sample", "cut_lineage", "held_out", "labelled_sample", "others", "packed_blocks", "packed_texts", "small_batches", "unpacked"]
+__all__ = ["bounded_sample", "cut_lineage", "held_out", "labelled_sample", "others", "packed_blocks", "packed_texts", "picked", "small_batches", "unpacked"]
+
+
+def picked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns as `0`, `1` and so on, found by place: other columns may have dots in their names, or differ by case only."""
+    every = rows.columns
+    at = [every.index(n) if n in every else [c.lower() for c in every].index(n.lower()) for n in names]
+    return rows.toDF(*[f"_p{k}" for k in range(len(every))]).select(*[F.col(f"_p{k}").alias(str(i)) for i, k in enumerate(at)])
 
 
 def packed_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -23,10 +30,12 @@ def packed_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
     `uid` tells rows with other texts under the same id apart; equal rows share it. `rest` holds the columns to carry along.
     """
-    rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
-    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), text.alias("text"), *rest)
-    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields) if carry else ""
+    kept = picked(docs, ["doc_id", "text", *carry])
+    places = [F.col(f"`{k}`") for k in range(len(carry) + 2)]
+    rest = [F.struct(*[c.alias(name) for c, name in zip(places[2:], carry, strict=True)]).alias("rest")] if carry else []
+    doc_id, text = places[0].cast("bigint"), places[1].cast("string")
+    rows = kept.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), text.alias("text"), *rest)
+    kinds = ", ".join(f"`{name}`: {kind.simpleString()}" for name, kind in zip(carry, (f.dataType for f in kept.schema.fields[2:]), strict=True))
     return rows.mapInArrow(_pack, "doc_id bigint, uid bigint, packed binary" + (f", rest struct<{kinds}>" if carry else ""))
 
 

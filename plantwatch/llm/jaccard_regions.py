@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import bounded_sample, cut_lineage, others, packed_blocks, packed_texts, small_batches, unpacked
+from plantwatch.llm.common import bounded_sample, cut_lineage, others, packed_blocks, packed_texts, picked, small_batches, unpacked
 from plantwatch.llm.components import components
 from plantwatch.llm.recurring import SCHEMA, recurring, routed
 from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, paired
@@ -528,7 +528,7 @@ def linked_classes(
 def _linked_classes(
     docs: DataFrame, shingle: int, radius: int, sample: int, common: int, small: int, pivots: int, block: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = picked(docs, ["doc_id", "text"]).select(F.col("0").cast("bigint").alias("doc_id"), F.col("1").cast("string").alias("text"))
     classes = cut_lineage(class_table(rows, shingle))
     first = first_shingles(rows, common_shingles(rows, shingle, sample, common), shingle, radius)
     regions = cut_lineage(regions_of_shingles(first, classes.where("n > 0").select("cls", "n").distinct(), radius))

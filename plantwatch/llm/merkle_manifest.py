@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import cut_lineage
+from plantwatch.llm.common import cut_lineage, picked
 
 FANOUT = 16
 DIGEST = 32
@@ -62,8 +62,8 @@ def lower_ascii(text: Column) -> Column:
 
 def leaves(docs: DataFrame, tampered: Column) -> DataFrame:
     """(doc_id, source, leaf, claimed): `claimed` is the hash of the row as it is presented, altered where `tampered` says so."""
-    own = {c: F.col(f"`{next(x for x in (c, *docs.columns) if x in docs.columns and x.lower() == c)}`") for c in FIELDS}
-    rows = docs.select(*[own[c].cast("bigint" if c in ("doc_id", "n_chars") else "string").alias(c) for c in FIELDS])
+    kinds = {c: "bigint" if c in ("doc_id", "n_chars") else "string" for c in FIELDS}
+    rows = picked(docs, FIELDS).select(*[F.col(str(k)).cast(kinds[c]).alias(c) for k, c in enumerate(FIELDS)])
     fields = {c: F.col(c) for c in FIELDS}
     leaf = leaf_hash(fields)
     altered = F.when(tampered, leaf_hash({**fields, "text": lower_ascii(F.col("text"))}))

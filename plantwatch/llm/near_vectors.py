@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import cut_lineage
+from plantwatch.llm.common import cut_lineage, picked
 from plantwatch.llm.components import components
 from plantwatch.llm.small_world import SmallWorld
 
@@ -197,12 +197,11 @@ def near_vectors(
     for each shard.
     """
     spark = embeddings.sparkSession
-    own = {c: F.col(f"`{next(x for x in (c, *embeddings.columns) if x in embeddings.columns and x.lower() == c)}`") for c in ("vec_id", "embedding")}
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     vector = F.col("embedding")
     sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
     # Two hashes name a vector.
-    rows = embeddings.select(own["vec_id"].cast("bigint").alias("vec_id"), own["embedding"].alias("embedding")).select(
+    rows = picked(embeddings, ["vec_id", "embedding"]).select(F.col("0").cast("bigint").alias("vec_id"), F.col("1").alias("embedding")).select(
         "vec_id", "embedding", F.xxhash64(vector).alias("h"), F.xxhash64(F.lit(1), F.reverse(vector)).alias("g"), F.coalesce(sound, F.lit(False)).alias("sound")
     )
     grouped = rows.where("sound").groupBy("h", "g").agg(F.count(F.lit(1)).alias("rows"), F.min("vec_id").alias("first"), F.any_value("embedding").alias("embedding"))

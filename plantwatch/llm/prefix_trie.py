@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantwatch.llm.common import cut_lineage
+from plantwatch.llm.common import cut_lineage, picked
 from plantwatch.llm.parentheses import Parentheses
 from plantwatch.operators.ordered import with_position
 
@@ -65,11 +65,11 @@ ARROW = pa.schema(
 
 def turn_rows(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, a, b, n): the turns with two hashes of role and text, and the text's bytes."""
-    own = {c: F.col(f"`{next(x for x in (c, *conversations.columns) if x in conversations.columns and x.lower() == c)}`") for c in ("conv_id", "turn", "role", "text")}
-    role, text = (F.coalesce(own[c].cast("string"), F.lit("")) for c in ("role", "text"))
-    return conversations.select(
-        own["conv_id"].cast("bigint").alias("conv_id"),
-        own["turn"].cast("bigint").alias("turn"),
+    own = picked(conversations, ["conv_id", "turn", "role", "text"])
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("2", "3"))
+    return own.select(
+        F.col("0").cast("bigint").alias("conv_id"),
+        F.col("1").cast("bigint").alias("turn"),
         F.xxhash64(role, text).alias("a"),
         F.xxhash64(F.lit(1), text, F.octet_length(role), role).alias("b"),
         F.octet_length(text).cast("bigint").alias("n"),

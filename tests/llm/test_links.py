@@ -231,3 +231,11 @@ def test_levels_match_brute_force(spark):
                 known[c, n] = max(deps, default=-1) + 1
     got = levels(spark.createDataFrame(nodes, "conv_id bigint, call_id string"), spark.createDataFrame(sorted(edges), "conv_id bigint, call_id string, dep string"))
     assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == known
+
+
+def test_one_of_each_carries_any_column(spark):
+    """Names with dots, and names that differ from others by case only."""
+    docs = documents(spark, awkward()).select("*", F.lit(1).alias("a.b"), F.lit("t").alias("Text"))
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == one_of_each(documents(spark, awkward())).count()
+    assert {r[-2:] for r in map(tuple, kept.collect())} == {(1, "t")}

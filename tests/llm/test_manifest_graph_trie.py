@@ -102,8 +102,9 @@ def test_manifest_with_many_copies_of_the_upper_runs(spark, monkeypatch):
 
 
 def test_manifest_of_awkward_documents(spark):
-    docs = documents(spark, awkward()).withColumn("Text", F.lit(1)).drop("Text")
-    got = manifest.merkle_manifest(documents(spark, awkward()), F.col("doc_id") % 2 == 0)
+    docs = documents(spark, awkward())
+    clashing = docs.select("*", F.lit(1).alias("Text"), F.lit(2).alias("a.b"), F.lit("x").alias("SOURCE"))
+    got = manifest.merkle_manifest(clashing, F.col("doc_id") % 2 == 0)
     assert got.count() == docs.count()
     wrong = {r.doc_id for r in got.where("NOT verified").collect()}
     changed = {i for i, t in awkward() if i is not None and i % 2 == 0 and t is not None and lowered(t) != t}
@@ -177,6 +178,8 @@ def test_near_vectors_on_awkward_rows(spark):
     got = near_vectors(vectors(spark, rows))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(plain_near(rows), key=repr)
     assert near_vectors(vectors(spark, rows).limit(0)).count() == 0
+    clashing = vectors(spark, rows).select("*", F.lit(1).alias("Vec_ID"), F.lit(2).alias("a.b"), F.lit(3).alias("EMBEDDING"))
+    assert sorted(map(tuple, near_vectors(clashing).collect()), key=repr) == sorted(plain_near(rows), key=repr)
     assert near_vectors(vectors(spark, rows[:6])).where("n_links > 0 OR NOT kept").count() == 0
 
 
@@ -288,6 +291,8 @@ def test_trie_of_few_and_of_awkward_conversations(spark):
     assert trie_of(spark, [(None, 1, "a", "b")]).count() == 0
     for rows in ([(1, 1, "a", "b")], [(3, None, None, None)], [(10, t, "r", "x" * 70_000) for t in range(30)] + [(12, 0, "r", "x")]):
         assert sorted(map(tuple, trie_of(spark, rows, segment=8).collect()), key=repr) == sorted(plain_trie(rows), key=repr)
+    clashing = spark.createDataFrame([(1, 1, "a", "b", 5, 6)], "conv_id bigint, turn int, role string, text string, Text int, `a.b` int")
+    assert prefix_trie(clashing, lambda c: c, lambda c: F.lit(0), 8, 5).count() == 2
     tied = [(20, 1, "a", "b"), (20, 1, "a", "b"), (20, 1, "c", ""), (21, 1, "c", ""), (21, 1, "a", "b"), (21, 1, "a", "b")]
     got = [r.n_convs for r in trie_of(spark, tied).where("depth <= 3").orderBy("depth").collect()]
     assert got and trie_of(spark, tied).count() == trie_of(spark, tied[::-1]).count()
