@@ -124,6 +124,6 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(conversations, lambda c: c - c % 5, lambda c: F.crc32(c.cast("string").cast("binary")) % 9, 8, 5)
 
 
-@query("op12_small_world")
+@query("op12_small_world", sql_twins.NEAR_VECTORS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

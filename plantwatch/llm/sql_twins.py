@@ -1,4 +1,4 @@
-"""SQL twins of the manifest and of the prefix trie, for another engine to run on small tables."""
+"""SQL twins of the manifest, the near vectors and the prefix trie, for another engine to run on small tables."""
 
 from __future__ import annotations
 
@@ -83,3 +83,18 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n
   n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM nodes n JOIN below b ON b.k = n.k LEFT JOIN children ch ON ch.k = n.k LEFT JOIN nodes p ON p.k = n.up
 """
+
+# All pairs and all that each vector reaches: for tables of some thousand vectors.
+NEAR_VECTORS = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+sound AS (
+  SELECT * FROM rows WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(r, s) AS (SELECT r, r FROM rows UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.s),
+parts AS (SELECT reached.r, min(rows.vec_id) AS component_id FROM reached JOIN rows ON rows.r = reached.s GROUP BY reached.r),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN parts USING (r) LEFT JOIN counts USING (r)
+"""
