@@ -25,7 +25,7 @@ def same(a, b):
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-@pytest.mark.parametrize("rows", [37, 500, 10**6])
+@pytest.mark.parametrize("rows", [150, 500, 10**6])
 def test_positions(series, keys, rows):
     got = o.with_position(series, keys, ORDER, rows_per_slice=rows)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) - 1
@@ -33,7 +33,7 @@ def test_positions(series, keys, rows):
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-@pytest.mark.parametrize("rows", [11, 300])
+@pytest.mark.parametrize("rows", [60, 300])
 def test_frames(series, keys, rows):
     span = Window.partitionBy(*keys).orderBy(*ORDER)
     row = F.array("x")
