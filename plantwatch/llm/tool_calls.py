@@ -11,6 +11,9 @@ index and content is the call, the others are `duplicate`; of several results th
 linked and `n_results` counts them. Results without a call are rows of status `orphan_result`. Calls on or behind a
 dependency cycle have status `cycle`, no level and no position. Ties in the order go by turn, index and id.
 Empty tables give an empty result. Other columns are ignored. JSON with a repeated key is not an object.
+
+Schemas are read at the top level of the arguments: type, minimum, maximum and enum of each property, required and
+additionalProperties. What else a schema says (nested properties, items, patterns, lengths, a list of types) is not checked.
 """
 
 from __future__ import annotations
