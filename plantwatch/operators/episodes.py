@@ -249,9 +249,13 @@ def alerts_with_context(
     after_s: int,
     keys: Sequence[str] = ("node_id",),
     rows_per_slice: int = ROWS_PER_SLICE,
+    first: Column | None = None,
 ) -> DataFrame:
     """Readings of the same node from `before_s` seconds before to `after_s` seconds after an alert.
 
+    With `first`, a condition on a reading, an alert gets the earliest reading of its span that meets it and no other. These are found by
+    one running minimum over readings and alerts in order of time, so the work does not grow with the readings in a span.
+
     Both sides meet in time buckets as wide as the span, so an alert falls into two buckets at most and nothing is compared across the
     whole series. A node with more than `rows_per_slice` readings is cut into slices in order of time and number, so that a burst in one
     bucket is shared by several tasks; an alert goes to the slices that its span reaches into, and is repeated nowhere else.
@@ -259,6 +263,8 @@ def alerts_with_context(
     width = (before_s + after_s) * 1_000_000
     if width <= 0:
         raise ValueError("the span must be positive")
+    if first is not None:
+        return _earliest_in_context(alerts, readings.filter(first), before_s, after_s, keys, rows_per_slice)
 
     def bucket(moment: Column) -> Column:
         return F.floor(moment / F.lit(width)).cast("long")
@@ -275,15 +281,43 @@ def alerts_with_context(
     around = around.withColumn("_bucket", F.explode(F.sequence(bucket(begin), bucket(end))))
     placed = sliced.df.withColumn("_bucket", bucket(at))
     offset = at - F.col("_at")
-    phase = F.when(offset < 0, "before").when(offset > 0, "after").otherwise("during")
     return (
         placed.join(around, [*keys, SLICE, "_bucket"])
         .filter(offset.between(-before_s * 1_000_000, after_s * 1_000_000))
-        .withColumn("phase", phase)
+        .withColumn("phase", _phase(offset))
         .drop("_bucket", SLICE, "_at")
     )
 
 
+def _phase(offset: Column) -> Column:
+    return F.when(offset < 0, "before").when(offset > 0, "after").otherwise("during")
+
+
+def _earliest_in_context(
+    alerts: DataFrame, readings: DataFrame, before_s: int, after_s: int, keys: Sequence[str], rows_per_slice: int
+) -> DataFrame:
+    """Per alert the earliest of the readings in its span, in order of time and number.
+
+    Rows run from the newest to the oldest, an alert where its span begins: the least reading so far is the first one from there on.
+    """
+    at = F.unix_micros(F.col("event_ts").cast("timestamp"))
+    rest = [c for c in readings.columns if c not in keys]
+    rows = readings.select(
+        *keys, (-at).alias("_back"), F.lit(0).alias("_kind"), F.col("reading_id").alias("_reading"),
+        F.struct(at.alias("_at"), "reading_id", F.struct(*rest).alias("_row")).alias("_found"),
+    )
+    marks = alerts.select(
+        *keys, (-at + before_s * 1_000_000).alias("_back"), F.lit(1).alias("_kind"), F.col("alert_id"), at.alias("_alert")
+    )
+    both = rows.unionByName(marks, allowMissingColumns=True).dropna(subset=[*keys, "_back"])
+    order = ["_back", "_kind", "_reading", "alert_id"]
+    seen = running(slice_rows(both, keys, order, rows_per_slice), {"_next": ("min", F.col("_found"))}).rows()
+    offset = F.col("_next._at") - F.col("_alert")
+    return seen.filter((F.col("_kind") == 1) & (offset <= after_s * 1_000_000)).select(
+        *keys, *[F.col("_next._row")[c].alias(c) for c in rest], "alert_id", _phase(offset).alias("phase")
+    )
+
+
 def best_epoch(
     log: DataFrame,
     metric: str,

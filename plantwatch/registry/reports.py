@@ -158,8 +158,13 @@ FROM g LEFT JOIN c USING (alert_id) LEFT JOIN t y ON y.alert_id = c.alert_id AND
 """
 
 
-def context(alert_rows, readings):
-    return episodes.alerts_with_context(alert_rows, readings, BEFORE_S, AFTER_S)
+def context(alert_rows, readings, first=None):
+    return episodes.alerts_with_context(alert_rows, readings, BEFORE_S, AFTER_S, first=first)
+
+
+def first_breaches(alert_rows, readings):
+    """The context as far as the trigger goes: the first reading with a breach around each alert."""
+    return context(alert_rows, readings.select("node_id", *reports.READING_ORDER, *SENSOR_RANGES), episodes.any_breach())
 
 
 register("root_cause_timeline", ["alerts", "stressed"], CAUSE_TIMELINE)(
@@ -205,7 +210,7 @@ SELECT q.alert_id, node_id, failure_mode, severity, trim(shown) AS shown_modes,
     WHEN NOT breached AND trigger_variable IS NULL THEN 'no sensor out of range: sensor noise'
     ELSE 'out of range without a signature' END AS verdict
 FROM q LEFT JOIN fb ON fb.alert_id = q.alert_id
-""")(lambda a, s: reports.cause_verdict(a, context(a, s)).withColumn("shown_modes", F.array_join("shown_modes", " ")))
+""")(lambda a, s: reports.cause_verdict(a, first_breaches(a, s)).withColumn("shown_modes", F.array_join("shown_modes", " ")))
 
 register("training_report", ["epochs"], BEST + f"""
 , x AS (SELECT run_id, min(grad_norm) FILTER (loss IS NOT NULL) AS min_grad_norm, max(grad_norm) FILTER (loss IS NOT NULL) AS max_grad_norm,

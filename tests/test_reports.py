@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plantwatch.operators import episodes, fleet, knowledge
 from plantwatch.plans import reports
+from plantwatch.registry import QUERIES
 
+SMOKE_DIR = "/root/testdata/sf0.001"
 START = datetime(2024, 1, 1)
 NORMAL = dict(air_temp_k=300.0, process_temp_k=310.0, rpm=1500, torque_nm=40.0, tool_wear_min=50)
 SCHEMA = (
@@ -153,6 +155,31 @@ def test_context_equals_brute_force(spark):
     assert sorted((r.alert_id, r.reading_id) for r in sliced.collect()) == expected and sliced.columns == got.columns
 
 
+def test_first_of_context_equals_brute_force_and_makes_no_pairs(spark):
+    rows = [reading(i * 7 % 400, "hot" if i % 3 else "cold", (0.1,) * 5, tool_wear_min=300 if i % 5 == 0 else 50) for i in range(400)]
+    rows += [reading(i, None, (0.1,) * 5, tool_wear_min=300) for i in range(0, 400, 9)] + rows[:40]
+    alerts = [alert(i, node, "TWF", 0.9) for i in range(0, 400, 17) for node in ("hot", None)] + [alert(390, "cold", "TWF", 0.9)] * 2
+    sides = spark.createDataFrame(alerts, ALERTS), spark.createDataFrame(rows, SCHEMA)
+    pairs = sorted(
+        (a[0], r[1], r[0], "before" if r[1] < a[1] else "after" if r[1] > a[1] else "during") for a in alerts for r in rows
+        if r[3] == a[3] and r[3] and r[9] == 300 and timedelta(seconds=-100) <= r[1] - a[1] <= timedelta(seconds=35)
+    )
+    expected = {}
+    for a, _, r, phase in pairs:
+        expected.setdefault(a, (r, phase))
+    whole = episodes.alerts_with_context(*sides, 100, 35)
+    for size in (23, 1_000_000):
+        got = episodes.alerts_with_context(*sides, 100, 35, rows_per_slice=size, first=episodes.any_breach())
+        assert {r.alert_id: (r.reading_id, r.phase) for r in got.collect()} == expected and got.count() == len(expected) + (390 in expected)
+        assert got.dtypes == whole.dtypes and "Join" not in got._jdf.queryExecution().optimizedPlan().toString().replace("JoinKeys", "")
+
+
+def test_queries_for_the_trigger_make_no_pairs(spark):
+    for name in ("root_cause_verdict",):
+        plan = QUERIES[name](spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(sequence" not in plan
+
+
 def test_alerts_are_not_repeated_for_quiet_nodes(spark):
     rows = [reading(i, "n", (0.1,) * 5) for i in range(50)]
     got = episodes.alerts_with_context(spark.createDataFrame([alert(20, "n", "TWF", 0.9)], ALERTS), spark.createDataFrame(rows, SCHEMA), 30, 30)
