@@ -188,7 +188,7 @@ register("root_cause_deviations", ["alerts", "stressed"], CONTEXT + FIRST + f"""
 , av AS ({values_sql('alerts', 'alert_id')})
 SELECT av.alert_id, CAST(ordinal AS INT) AS ordinal, variable, value, low, high, {R(DEVIATION, 6)} AS deviation_pct,
   coalesce(variable = trigger_variable, false) AS "trigger" FROM av LEFT JOIN fb USING (alert_id)
-""")(lambda a, s: six(reports.cause_deviations(a, context(a, s)), "deviation_pct"))
+""")(lambda a, s: six(reports.cause_deviations(a, first_breaches(a, s)), "deviation_pct"))
 
 _names = " || ".join(
     f"CASE WHEN {s} < {lo}e0 OR {s} > {hi}e0 THEN '{s} ' ELSE '' END" for s, (lo, hi) in sorted(SENSOR_RANGES.items())

@@ -175,7 +175,7 @@ def test_first_of_context_equals_brute_force_and_makes_no_pairs(spark):
 
 
 def test_queries_for_the_trigger_make_no_pairs(spark):
-    for name in ("root_cause_verdict",):
+    for name in ("root_cause_deviations", "root_cause_verdict"):
         plan = QUERIES[name](spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate explode(sequence" not in plan
 
