@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plantwatch.operators import episodes
 from plantwatch.plans import reports
 from plantwatch.registry.book import ORACLES, register
-from plantwatch.registry.reports import AFTER_S, BEFORE_S, context
+from plantwatch.registry.reports import AFTER_S, BEFORE_S, first_breaches
 from plantwatch.registry.storage import finished
 from plantwatch.schemas import EQUIPMENT, PAYLOADS
 from plantwatch.session import shared_folder
@@ -110,7 +110,7 @@ def _landed_context(alerts, stressed):
 @register("root_cause_of_landed_alerts", ["alerts", "stressed"])
 def _landed_cause(alerts, stressed):
     landed = landed_alerts(alerts)
-    verdicts = reports.cause_verdict(landed, context(landed, stressed)).drop("alert_id")
+    verdicts = reports.cause_verdict(landed, first_breaches(landed, stressed)).drop("alert_id")
     return verdicts.withColumn("shown_modes", F.array_join("shown_modes", " "))
 
 
