@@ -131,13 +131,18 @@ def _streamed_health(spark, sf_dir):
     return drained(closed, shared_folder(spark, "storage"))
 
 
+ROW_GROUP = 4 << 20
+
+
 def batches_of(readings, parts: int, copies: int = 1):
     """A stream of the readings in `parts` micro-batches that overlap in time, each reading in `copies` of them."""
     folder = folder_of(readings)
     part = F.pmod(F.col("reading_id") * 7 + F.col("_copy"), F.lit(parts))
     dealt = readings.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("_part", part).drop("_copy")
     for k in range(parts):
-        dealt.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        # One file is one micro-batch; rows are dealt by many tasks, and row groups are small enough for many to read it.
+        rows = dealt.filter(F.col("_part") == k).drop("_part").repartition(1)
+        rows.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/in")
     stream = readings.sparkSession.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return stream, folder
 

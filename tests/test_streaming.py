@@ -1,8 +1,10 @@
 """Streams against the batch operators, over several micro-batches and restarts."""
 
+import glob
 import json
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,3 +427,15 @@ def test_all_topics_stream(spark, tmp_path):
         rows = drain(start(spark, str(tmp_path / table)), tmp_path / f"{table}-out").collect()
         expected = "2024-05-01 10:00:00" if table == "process_readings" else "2023-11-14 22:13:20"
         assert [(r.equipment_id, str(r.event_ts)) for r in rows] == [("gw-1", expected)]
+
+
+def test_a_batch_can_be_read_by_several_tasks(spark):
+    from plantwatch.registry.storage import batches_of
+
+    rows = spark.range(400_000).select(F.col("id").alias("reading_id"), F.sha2(F.col("id").cast("string"), 256).alias("node_id"))
+    _, folder = batches_of(rows, 2, copies=2)
+    files = glob.glob(f"{folder.removeprefix('file:')}/in/*.parquet")
+    assert len(files) == 2
+    for file in files:
+        found = pq.ParquetFile(file).metadata
+        assert found.num_rows == 400_000 and found.num_row_groups > 2
