@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from plantwatch.operators.ordered import (
     top_per_key,
     with_past_rows,
 )
+from plantwatch.session import cut_lineage
 
 # Rise of the score per reading that calls for action within days, or within hours.
 SLOW_RISE = 0.0005
@@ -97,8 +99,24 @@ def first_breach(
     return found.select(*keys, "_b.variable", *order, "_b.value", "_b.deviation_pct")
 
 
+@dataclass(frozen=True)
+class Spans:
+    """Alerts and readings whose context is not paired: what belongs to an alert is told by the span of time around it."""
+
+    alerts: DataFrame
+    readings: DataFrame
+    before_s: int
+    after_s: int
+    keys: tuple[str, ...]
+    rows_per_slice: int
+
+    def pairs(self, alerts: DataFrame) -> DataFrame:
+        """The context of some alerts, a row per alert and reading."""
+        return alerts_with_context(alerts, self.readings, self.before_s, self.after_s, self.keys, self.rows_per_slice)
+
+
 def score_timeline(
-    readings: DataFrame,
+    readings: DataFrame | Spans,
     keys: Sequence[str],
     order: Sequence[str],
     score: str = "anomaly_score",
@@ -112,8 +130,13 @@ def score_timeline(
     predecessor was below it (or missing). `rise_start` is the low point from which the score
     climbed without a break to the crossing, `rise_rows` the number of rows in between. `peak` is
     the first row with the highest score. Rows are given as structs of the order columns.
-    `checkpoint` stores the input first; use it when the input is more than a scan.
+    `checkpoint` stores the input first; use it when the input is more than a scan. Of `Spans`, a key is
+    an alert and its series the readings of its span; they are not paired.
     """
+    if isinstance(readings, Spans):
+        if list(keys) != ["alert_id"]:
+            raise ValueError("spans are those of alerts")
+        return _span_timelines(readings, order, score, threshold, rows_per_slice)
     series = readings.select(*keys, *order, F.col(score).alias("_s")).filter(F.col("_s").isNotNull())
     padded = with_past_rows(slice_rows(series, keys, order, rows_per_slice, checkpoint), 1)
     group = [*keys, SLICE]
@@ -175,6 +198,113 @@ def score_timeline(
     )
 
 
+def _span_timelines(
+    spans: Spans, order: Sequence[str], score: str, threshold: float, rows_per_slice: int
+) -> DataFrame:
+    """`score_timeline` of every alert, from running values over the readings of a node and the ends of its alerts' spans.
+
+    Going back in time, the begin of a span meets its first reading and the next crossing. Time is cut into blocks as long as a span, so a
+    span is the end of one block and the start of the next, and its peak is the larger one of a running maximum from either side. The work
+    grows with readings and alerts, not with the readings in a span.
+    """
+    node = list(spans.keys)
+    width = (spans.before_s + spans.after_s) * 1_000_000
+    at = F.unix_micros(F.col("event_ts").cast("timestamp"))
+    known_place = reduce(and_, [F.col(c).isNotNull() for c in [*node, "_at"]])
+    of = F.struct(*node, "_at")
+    alerts = spans.alerts.withColumn("_at", at).filter(known_place)
+    ids = cut_lineage(
+        alerts.groupBy("alert_id").agg(F.count(F.lit(1)).alias("_times"), F.min(of).alias("_of"), F.max(of).alias("_to"))
+    )
+    # Several alerts of one number are one series. If they have one span, each reading is in it that many times; if not, they are paired.
+    several = F.col("_of") != F.col("_to")
+    ends = [((F.col("_of._at") - spans.before_s * 1_000_000), 0), ((F.col("_of._at") + spans.after_s * 1_000_000), 2)]
+    marks = ids.filter(~several).select(
+        *[F.col(f"_of.{c}").alias(c) for c in node],
+        "alert_id",
+        "_times",
+        F.inline(F.array(*[F.struct(end.alias("_at"), F.lit(kind).alias("_kind")) for end, kind in ends])),
+    )
+    rows = spans.readings.select(
+        *node, at.alias("_at"), F.lit(1).alias("_kind"), F.struct(*order).alias("_row"), F.col(score).alias("_s")
+    ).filter(known_place & F.col("_s").isNotNull())
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    reading, n, s = F.col("_kind") == 1, F.col("_n"), F.col("_s")
+    sliced = slice_rows(both, node, ["_at", "_kind", "_row", "_s"], rows_per_slice)
+    counted = running(
+        sliced,
+        {"_n": ("sum", reading.cast("long")), "_prev": ("max", F.when(reading, F.struct("_at", "_row", "_s")))},
+        before=["_prev"],
+    )
+    # Readings alike in everything are told apart by their place from here on.
+    counted = replace(counted, order=("_at", "_kind", "_n"))
+    prev = F.col("_prev._s")
+    block = F.col("_at") - F.pmod("_at", F.lit(width).cast("long"))
+    turned = running(
+        stored(counted),
+        {
+            "_turn": ("max", F.when(reading & (prev.isNull() | (s <= prev)), F.struct("_n", "_row"))),
+            "_so_far": ("max", F.when(reading, F.struct(block.alias("_block"), "_s", (-n).alias("_neg"), "_row"))),
+        },
+    )
+    crosses = reading & (s >= threshold) & (prev.isNull() | (prev < threshold))
+    is_copy = F.struct("_at", "_row", "_s").eqNullSafe(F.col("_prev"))
+    ahead = running(
+        stored(turned),
+        {
+            "_first": ("min", F.when(reading, F.struct("_n", "_row", "_s"))),
+            "_cross": ("min", F.when(crosses, F.struct("_n", "_row", "_turn"))),
+            "_copy": ("min", F.when(reading & (s >= threshold) & is_copy, n)),
+            "_to_come": ("max", F.when(reading, F.struct((-block).alias("_back"), "_s", (-n).alias("_neg"), "_row"))),
+        },
+        backward=True,
+    ).rows()
+
+    def peak(struct: str, in_block: Column) -> Column:
+        return F.when(in_block, F.struct(*[f"{struct}.{c}" for c in ("_s", "_neg", "_row")])).alias("_peak")
+
+    begin = F.struct("_n", "_first", "_cross", "_copy", peak("_to_come", F.col("_to_come._back") == -block))
+    end = F.struct("_n", peak("_so_far", F.col("_so_far._block") == block))
+    found = (
+        ahead.filter(~reading)
+        .groupBy("alert_id")
+        .agg(F.max("_times").alias("_times"), F.max(F.when(F.col("_kind") == 0, begin)).alias("_begin"), F.max(F.when(F.col("_kind") == 2, end)).alias("_end"))
+        .withColumn("_count", F.col("_end._n") - F.col("_begin._n"))
+        .filter(F.col("_count") > 0)
+        .withColumn("_first", F.col("_begin._first"))
+    )
+    # The first reading of a span has none before it: it crosses if it is high, and is a low point.
+    at_once = F.col("_first._s") >= threshold
+    crossing = F.when(at_once, F.struct("_first._n", "_first._row")).when(
+        F.col("_begin._cross._n") <= F.col("_end._n"), F.struct("_begin._cross._n", "_begin._cross._row")
+    )
+    low = F.greatest(F.struct("_first._n", "_first._row"), F.col("_begin._cross._turn"))
+    # Readings of one place in the order count together: one that is there several times is its own low point. No reading before the
+    # crossing is as high, so a copy of it is the first high copy.
+    repeated = (F.col("_times") > 1) | F.coalesce(F.col("_begin._copy") == F.col("_crossing._n") + 1, F.lit(False))
+    rise = F.when(at_once | repeated, F.col("_crossing")).when(F.col("_crossing").isNotNull(), low)
+    timelines = (
+        found.withColumn("_crossing", crossing)
+        .withColumn("_rise", rise)
+        .withColumn("_peak", F.greatest("_begin._peak", "_end._peak"))
+        .select(
+            "alert_id",
+            (F.col("_count") * F.col("_times")).alias("readings"),
+            F.col("_first._s").alias("base_score"),
+            F.col("_rise._row").alias("rise_start"),
+            F.col("_crossing._row").alias("crossing"),
+            (F.col("_crossing._n") - F.col("_rise._n")).alias("rise_rows"),
+            F.col("_peak._s").alias("peak_score"),
+            F.col("_peak._row").alias("peak"),
+        )
+    )
+    mixed = ids.filter(several).select(F.col("alert_id").alias("_id"))
+    if mixed.isEmpty():
+        return timelines
+    paired = spans.pairs(alerts.drop("_at").join(mixed, F.col("alert_id").eqNullSafe(F.col("_id")), "left_semi"))
+    return timelines.unionByName(score_timeline(paired, ["alert_id"], order, score, threshold, rows_per_slice, True))
+
+
 def rise_kind(timeline: DataFrame, abrupt_rows: int = ABRUPT_ROWS) -> DataFrame:
     """Add `rise`: "abrupt" when the climb took at most `abrupt_rows` rows, else "gradual"."""
     return timeline.withColumn(
@@ -250,11 +380,13 @@ def alerts_with_context(
     keys: Sequence[str] = ("node_id",),
     rows_per_slice: int = ROWS_PER_SLICE,
     first: Column | None = None,
-) -> DataFrame:
+    paired: bool = True,
+) -> DataFrame | Spans:
     """Readings of the same node from `before_s` seconds before to `after_s` seconds after an alert.
 
     With `first`, a condition on a reading, an alert gets the earliest reading of its span that meets it and no other. These are found by
     one running minimum over readings and alerts in order of time, so the work does not grow with the readings in a span.
+    Without `paired` nothing is joined: `score_timeline` takes the context in that form.
 
     Both sides meet in time buckets as wide as the span, so an alert falls into two buckets at most and nothing is compared across the
     whole series. A node with more than `rows_per_slice` readings is cut into slices in order of time and number, so that a burst in one
@@ -263,6 +395,8 @@ def alerts_with_context(
     width = (before_s + after_s) * 1_000_000
     if width <= 0:
         raise ValueError("the span must be positive")
+    if not paired:
+        return Spans(alerts, readings, before_s, after_s, tuple(keys), rows_per_slice)
     if first is not None:
         return _earliest_in_context(alerts, readings.filter(first), before_s, after_s, keys, rows_per_slice)
 

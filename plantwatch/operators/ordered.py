@@ -75,12 +75,15 @@ def running(
     totals: Mapping[str, tuple[str, Column]],
     whole: Sequence[str] = (),
     before: Sequence[str] = (),
+    backward: bool = False,
 ) -> Sliced:
     """Running totals per key in ascending order, which must identify a row within its key.
 
     `totals` maps an output name to ("sum" | "max" | "min", value). Names in `before` leave out the
     current row. For a name in `whole` a column `<name>_all` holds the total of the entire key.
+    `backward` runs from the last row of a key to its first.
     """
+    along = F.desc if backward else F.asc
     functions = {"sum": F.sum, "max": F.max, "min": F.min}
     keys, order = list(sliced.keys), sliced.order
     group = [*keys, SLICE]
@@ -88,13 +91,13 @@ def running(
     out = sliced.df.select("*", *[value.alias(f"_v_{name}") for name, (_, value) in totals.items()])
 
     if sliced.single:
-        ordered = Window.partitionBy(*group).orderBy(*order)
+        ordered = Window.partitionBy(*group).orderBy(*[along(c) for c in order])
     else:
         # One row per (key, slice): a key has a row for each `rows_per_slice` of its rows.
         per_slice = out.groupBy(*group).agg(
             *[functions[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in totals.items()]
         )
-        past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        past = Window.partitionBy(*keys).orderBy(along(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
         entire = Window.partitionBy(*keys)
         carry = per_slice.select(
             *group,
@@ -103,7 +106,7 @@ def running(
             *[functions[totals[name][0]](f"_t_{name}").over(entire).alias(f"{name}_all") for name in whole],
         )
         out = out.withColumn(CARRY, F.lit(False)).unionByName(carry, allowMissingColumns=True)
-        ordered = Window.partitionBy(*group).orderBy(F.desc(CARRY), *order)
+        ordered = Window.partitionBy(*group).orderBy(F.desc(CARRY), *[along(c) for c in order])
 
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)

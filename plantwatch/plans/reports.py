@@ -20,6 +20,7 @@ from plantwatch.functions.rules import (
 )
 from plantwatch.operators.episodes import (
     ABRUPT_ROWS,
+    Spans,
     alerts_with_context,
     any_breach,
     best_epoch,
@@ -170,7 +171,7 @@ def work_orders(
 
 
 def cause_timeline(
-    context: DataFrame, abrupt_rows: int = ABRUPT_ROWS, rows_per_slice: int = ROWS_PER_SLICE
+    context: DataFrame | Spans, abrupt_rows: int = ABRUPT_ROWS, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """How the score developed around each alert, and whether the rise was abrupt."""
     timeline = score_timeline(

@@ -158,8 +158,8 @@ FROM g LEFT JOIN c USING (alert_id) LEFT JOIN t y ON y.alert_id = c.alert_id AND
 """
 
 
-def context(alert_rows, readings, first=None):
-    return episodes.alerts_with_context(alert_rows, readings, BEFORE_S, AFTER_S, first=first)
+def context(alert_rows, readings, first=None, paired=True):
+    return episodes.alerts_with_context(alert_rows, readings, BEFORE_S, AFTER_S, first=first, paired=paired)
 
 
 def first_breaches(alert_rows, readings):
@@ -168,7 +168,7 @@ def first_breaches(alert_rows, readings):
 
 
 register("root_cause_timeline", ["alerts", "stressed"], CAUSE_TIMELINE)(
-    lambda a, s: reports.cause_timeline(context(a, s)).select(
+    lambda a, s: reports.cause_timeline(context(a, s, paired=False)).select(
         "alert_id",
         "readings",
         "base_score",

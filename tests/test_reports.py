@@ -174,12 +174,40 @@ def test_first_of_context_equals_brute_force_and_makes_no_pairs(spark):
         assert got.dtypes == whole.dtypes and "Join" not in got._jdf.queryExecution().optimizedPlan().toString().replace("JoinKeys", "")
 
 
+def test_timeline_of_spans_equals_that_of_pairs(spark):
+    def probs(i):
+        return (0.1,) * 4 + ([0.2, 0.5, 0.7, 0.9, 0.65, 0.9, 0.3][(i * i + i // 3) % 7],)
+
+    rows = [reading(i * 7 % 400, "hot" if i % 3 else "cold", probs(i)) for i in range(400)] + [reading(500, "far", probs(2))]
+    rows = [(*r[:-2], None, r[-1]) if r[0] % 31 == 0 else r for r in rows] + [reading(i, None, probs(i)) for i in range(9)]
+    rows += rows[:40]
+    alerts = [alert(i, "hot", "TWF", 0.9) for i in range(0, 480, 17)] + [alert(390, "cold", "TWF", 0.9)] * 3 + [alert(1, None, "TWF", 0.9)]
+    # One number for several spans or nodes, no number, no time, a span without readings.
+    alerts += [alert(203, "cold", "TWF", 0.9), (52, START, *alert(52, "hot", "TWF", 0.9)[2:]), (53, None, *alert(53, "hot", "TWF", 0.9)[2:])]
+    alerts += [(None, *alert(i, "hot", "TWF", 0.9)[1:]) for i in (60, 90)] + [alert(52, "hot", "TWF", 0.9), alert(900, "hot", "TWF", 0.9)]
+    sides = spark.createDataFrame(alerts, ALERTS), spark.createDataFrame(rows, SCHEMA)
+    pairs = reports.cause_timeline(episodes.alerts_with_context(*sides, 100, 35))
+    expected = sorted(pairs.collect(), key=str)
+    assert len(expected) > 25 and {r.rise_rows for r in expected} >= {0, 1}
+    for size in (23, 1_000_000):
+        spans = episodes.alerts_with_context(*sides, 100, 35, rows_per_slice=size, paired=False)
+        got = reports.cause_timeline(spans, rows_per_slice=size)
+        assert sorted(got.collect(), key=str) == expected and got.dtypes == pairs.dtypes
+
+
 def test_queries_for_the_trigger_make_no_pairs(spark):
     for name in ("root_cause_deviations", "root_cause_verdict"):
         plan = QUERIES[name](spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate explode(sequence" not in plan
 
 
+def test_the_timeline_query_makes_no_pairs(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(episodes.Spans, "pairs", lambda self, alerts: made.append(alerts))
+    plan = QUERIES["root_cause_timeline"](spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert not made and "Join" not in plan.replace("JoinKeys", "")
+
+
 def test_alerts_are_not_repeated_for_quiet_nodes(spark):
     rows = [reading(i, "n", (0.1,) * 5) for i in range(50)]
     got = episodes.alerts_with_context(spark.createDataFrame([alert(20, "n", "TWF", 0.9)], ALERTS), spark.createDataFrame(rows, SCHEMA), 30, 30)
