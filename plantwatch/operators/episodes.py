@@ -36,6 +36,8 @@ from plantwatch.session import cut_lineage
 # Rise of the score per reading that calls for action within days, or within hours.
 SLOW_RISE = 0.0005
 STEEP_RISE = 0.005
+# Time buckets per span in the join of readings and alerts: more of them, more copies of an alert and fewer pairs beyond its span.
+BUCKETS = 4
 # Readings from the low point to the threshold that still count as a jump.
 ABRUPT_ROWS = 3
 
@@ -388,8 +390,8 @@ def alerts_with_context(
     one running minimum over readings and alerts in order of time, so the work does not grow with the readings in a span.
     Without `paired` nothing is joined: `score_timeline` takes the context in that form.
 
-    Both sides meet in time buckets as wide as the span, so an alert falls into two buckets at most and nothing is compared across the
-    whole series. A node with more than `rows_per_slice` readings is cut into slices in order of time and number, so that a burst in one
+    Both sides meet in time buckets of a `BUCKETS`th of the span, so nothing is compared across the whole series, and a reading meets few
+    alerts whose span does not hold it. A node with more than `rows_per_slice` readings is cut into slices in order of time and number, so that a burst in one
     bucket is shared by several tasks; an alert goes to the slices that its span reaches into, and is repeated nowhere else.
     """
     width = (before_s + after_s) * 1_000_000
@@ -401,7 +403,7 @@ def alerts_with_context(
         return _earliest_in_context(alerts, readings.filter(first), before_s, after_s, keys, rows_per_slice)
 
     def bucket(moment: Column) -> Column:
-        return F.floor(moment / F.lit(width)).cast("long")
+        return F.floor(moment / F.lit(max(1, width // BUCKETS))).cast("long")
 
     at = F.unix_micros(F.col("event_ts").cast("timestamp"))
     begin, end = F.col("_at") - before_s * 1_000_000, F.col("_at") + after_s * 1_000_000

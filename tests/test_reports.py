@@ -155,6 +155,16 @@ def test_context_equals_brute_force(spark):
     assert sorted((r.alert_id, r.reading_id) for r in sliced.collect()) == expected and sliced.columns == got.columns
 
 
+def test_context_is_the_same_for_any_number_of_buckets(spark, monkeypatch):
+    rows = [reading(i, "hot", (0.1,) * 5) for i in range(90)]
+    sides = spark.createDataFrame([alert(i, "hot", "TWF", 0.9) for i in range(0, 90, 11)], ALERTS), spark.createDataFrame(rows, SCHEMA)
+    found = []
+    for buckets in (1, episodes.BUCKETS, 50):
+        monkeypatch.setattr(episodes, "BUCKETS", buckets)
+        found.append(sorted((r.alert_id, r.reading_id) for r in episodes.alerts_with_context(*sides, 40, 25).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 90
+
+
 def test_first_of_context_equals_brute_force_and_makes_no_pairs(spark):
     rows = [reading(i * 7 % 400, "hot" if i % 3 else "cold", (0.1,) * 5, tool_wear_min=300 if i % 5 == 0 else 50) for i in range(400)]
     rows += [reading(i, None, (0.1,) * 5, tool_wear_min=300) for i in range(0, 400, 9)] + rows[:40]
