@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from plantwatch.functions.rules import FAILURE_PROBABILITY, anomaly_score, predicted_failure
 from plantwatch.local import local_table
 from plantwatch.operators.prep import positive_weights
+from plantwatch.session import cut_lineage
 
 VECTOR = "_vector"
+ROW_GROUP = 8 << 20
 
 
 def complete(frame: str = "frame") -> Column:
@@ -73,10 +75,10 @@ def fit_multilabel(
 
     A label without a case gets a model that always answers 0. Frames with an unknown sensor are left out.
     """
-    frames = frames.filter(complete())
-    weights = {r["label"]: r["weight"] for r in positive_weights(frames, labels).collect()}
-    # Every fit passes over the rows many times; lost blocks are rebuilt from their lineage.
-    training = flattened(frames).select(VECTOR, *labels).persist()
+    # Every fit reads the vectors twice and then holds its own blocks of them, so the vectors are stored and not held a second time.
+    # Small row groups are shared out evenly, however the frames were.
+    training = cut_lineage(flattened(frames.filter(complete())).select(VECTOR, *labels), **{"parquet.block.size": str(ROW_GROUP)})
+    weights = {r["label"]: r["weight"] for r in positive_weights(training, labels).collect()}
     models = {}
     for label in labels:
         weighted = training.select(
@@ -88,5 +90,4 @@ def fit_multilabel(
             featuresCol=VECTOR, labelCol="label", weightCol="weight", family="binomial", maxIter=max_iter, regParam=reg
         )
         models[label] = estimator.fit(weighted)
-    training.unpersist()
     return MultiLabelModel(models)

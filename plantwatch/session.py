@@ -50,11 +50,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to shared storage and go on from there.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Write the rows to shared storage and go on from there; `options` are those of the files.
 
     They survive the loss of any executor, are computed once, and come back with known statistics.
     """
     folder = shared_folder(df.sparkSession, "table")
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -101,6 +101,34 @@ def test_multilabel(spark):
     assert scored.agg(F.max("prob_never")).first()[0] < 0.01
 
 
+def test_fits_hold_one_copy_of_the_vectors(spark, monkeypatch):
+    held = []
+    frames = spark.createDataFrame([(i, [[float(i), 1.0]], int(i > 10)) for i in range(20)], "i int, frame array<array<double>>, a int")
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(type(frames), name, lambda self, *level: held.append(level) or self)
+    multilabel.fit_multilabel(frames, ["a"])
+    assert not held
+
+
+def test_forest_scores_equal_a_plain_walk():
+    rng = np.random.default_rng(1)
+    nodes = [f.grow_tree(rng.normal(size=(256, 6)), 8, rng) for _ in range(8)]
+    roots = np.cumsum([0, *map(len, nodes)])[:-1]
+    columns = list(zip(*[(n, c, t, left + r, p) for r, tree in zip(roots, nodes) for n, c, t, left, p in tree]))
+    arrays = dict(zip(("feature", "threshold", "left", "path"), map(np.array, columns[1:])))
+    model = f.IsolationForestModel(tuple("abcdef"), np.zeros(6), np.ones(6), **arrays, roots=roots, height=8, normal_path=10.0)
+    values = rng.normal(size=(20_000, 6))
+    plain = []
+    for row in values[:50]:
+        ends = []
+        for at in roots:
+            for _ in range(8):
+                at = model.left[at] + (row[model.feature[at]] > model.threshold[at])
+            ends.append(model.path[at])
+        plain.append(2 ** (-sum(ends) / 80))
+    assert np.allclose(model.raw_scores(values)[:50], plain, rtol=1e-14) and len(model.raw_scores(values[:0])) == 0
+
+
 def test_frames_with_unknown_sensors_are_left_out(spark):
     rows = [(i, [[float(i), 1.0]], int(i > 10), i % 2) for i in range(20)]
     rows += [(50, [[None, 1.0]], 1, 0), (51, [[float("nan"), 1.0]], 0, 1)]
