@@ -20,6 +20,7 @@ from plantwatch.operators.ordered import ROWS_PER_SLICE, with_position
 from plantwatch.operators.prep import operating_point
 from plantwatch.session import cut_lineage
 
+ROW_GROUP = 4 << 20
 EULER_GAMMA = 0.5772156649015329
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, path double"
@@ -77,15 +78,25 @@ class IsolationForestModel:
     def raw_scores(self, values: np.ndarray) -> np.ndarray:
         """2^(-mean path / normal path): near 1 for rows that are easy to isolate."""
         scaled = ((values - self.mean) / self.std).ravel()
-        starts = np.arange(len(values)) * len(self.features)
-        total = np.zeros(len(values))
+        n = len(values)
+        starts = np.arange(n) * len(self.features)
+        total = np.zeros(n)
+        # Every step writes into the same few arrays. All places are inside, so nothing is clipped; numpy would check and copy them otherwise.
+        at, after, place = np.empty(n, self.left.dtype), np.empty(n, self.left.dtype), np.empty(n, self.feature.dtype)
+        value, limit, right, path = np.empty(n), np.empty(n), np.empty(n, bool), np.empty(n)
         for root in self.roots:
-            at = np.full(len(values), root)
+            at.fill(root)
             for _ in range(self.height):
-                value = scaled.take(starts + self.feature.take(at))
+                self.feature.take(at, out=place, mode="clip")
+                place += starts
+                scaled.take(place, out=value, mode="clip")
+                self.threshold.take(at, out=limit, mode="clip")
+                np.greater(value, limit, out=right)
                 # The right child follows the left one; nothing exceeds the threshold of a leaf.
-                at = self.left.take(at) + (value > self.threshold.take(at))
-            total += self.path.take(at)
+                self.left.take(at, out=after, mode="clip")
+                after += right
+                at, after = after, at
+            total += self.path.take(at, out=path, mode="clip")
         return np.exp2(-total / (len(self.roots) * self.normal_path))
 
     def score_column(self, columns: Sequence[Column]) -> Column:
@@ -262,8 +273,14 @@ def shuffled(place: Column, n: int, seed: int, rounds: int = 6) -> Column:
 
     # Outside lies less than a row of the rectangle; a walk of 64 steps that never comes inside does not happen.
     steps = F.sequence(F.lit(0), F.lit(63))
-    walked = F.aggregate(steps, once(place.cast("bigint")), lambda at, _: F.when(at < n, at).otherwise(once(at)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("no place inside")).cast("bigint"))
+
+    def walked(at: Column) -> Column:
+        inside = lambda at: F.when(at < n, at).otherwise(F.raise_error(F.lit("no place inside")).cast("bigint"))
+        return F.aggregate(steps, at, lambda at, _: F.when(at < n, at).otherwise(once(at)), inside)
+
+    # The first step is taken once and named; few rows go on from there.
+    first = F.transform(F.array(once(place.cast("bigint"))), lambda at: F.when(at < n, at).otherwise(walked(at)))
+    return F.get(first, F.lit(0))
 
 
 def permutation_importance(
@@ -284,7 +301,8 @@ def permutation_importance(
     numbered = with_position(
         rows.withColumn("_draw", F.xxhash64(*by, F.lit(seed))), [], ["_draw", *by], "_place", rows_per_slice
     )
-    numbered = cut_lineage(numbered)
+    # A slice is one file; small row groups let many tasks read it.
+    numbered = cut_lineage(numbered, **{"parquet.block.size": str(ROW_GROUP)})
     given_to = shuffled(F.col("_place"), numbered.count(), seed)
     donors = numbered.select(given_to.alias("_place"), *[F.col(c).alias(f"_other_{c}") for c in columns])
     paired = numbered.join(donors, "_place")

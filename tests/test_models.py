@@ -110,6 +110,15 @@ def test_fits_hold_one_copy_of_the_vectors(spark, monkeypatch):
     assert not held
 
 
+def test_numbered_rows_are_read_in_small_groups(spark, monkeypatch):
+    stored = []
+    keep = f.cut_lineage
+    monkeypatch.setattr(f, "cut_lineage", lambda df, **options: stored.append(options) or keep(df, **options))
+    df = spark.range(50).selectExpr("id", "CAST(id AS DOUBLE) AS x")
+    got = f.permutation_importance(df, lambda c: c[0], ["x"], ["id"]).first()
+    assert got.importance > 0 and [int(o["parquet.block.size"]) for o in stored] == [f.ROW_GROUP]
+
+
 def test_forest_scores_equal_a_plain_walk():
     rng = np.random.default_rng(1)
     nodes = [f.grow_tree(rng.normal(size=(256, 6)), 8, rng) for _ in range(8)]
