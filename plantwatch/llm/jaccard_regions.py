@@ -10,9 +10,11 @@ Inside the regions pivots are sets. Every member's exact distance to its region'
 radius are linked. A region whose members are connected by now is done. A region of more than `small` members takes several
 pivots, sends each member to its nearest pivot and to every other within 2 x radius more (a pair within the radius meets in the
 region of either's nearest pivot), and its regions are joined in the same way. What is left apart, and regions that the
-pivots cannot part, is dealt as pairs of blocks of bounded size; sizes and counts per hash class say which members may
-be near, and their sets are compared exactly where the blocks meet. That gives the components. Links never leave a component,
-so where their number is asked for, a second pass compares all pairs inside each, again by pairs of blocks.
+pivots cannot part, is dealt as pairs of blocks of bounded size; sizes and counts per hash class say which members of
+different components may be near. Regions have most members in common, so their pairs are named there, kept once, held against
+finer counts and only then compared by their texts. Where a block has more pairs than it pays to name (`NAMED_PAIRS` per member),
+its texts meet in it instead. That gives the components. Links never leave a component, so where their number is asked for, a
+second pass compares all pairs inside each, again by pairs of blocks.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing. A null id never becomes a
 component's id; a component without any id has none. Equal rows are members of one class. Ties have no effect: the
@@ -37,10 +39,12 @@ from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, p
 
 SHINGLE, RADIUS_PERCENT = 5, 25
 SAMPLE_DOCUMENTS, COMMON = 4000, 4
-SMALL_REGION, PIVOTS, SKETCH = 4096, 8, 64
+SMALL_REGION, PIVOTS, SKETCH, FINE = 4096, 8, 64, 256
 # Regions and components are compared as pairs of blocks of so many classes, and of so many shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 18
 GROUP_PAIRS = 512
+# So many pairs per member of a block are named; so many pairs are held at a time.
+NAMED_PAIRS, HELD_PAIRS = 64, 1 << 21
 FEW_PAIRS, COLUMNS = 64, 4096
 LOWER_CODES = BYTE_CODES[LOWER]
 
@@ -80,15 +84,15 @@ def classes_of(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches_of(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """How many members of each set fall into each of SKETCH hash classes, at most 255.
+def sketches_of(hashes: np.ndarray, cut: np.ndarray, cells: int = SKETCH) -> np.ndarray:
+    """How many members of each set fall into each of `cells` hash classes, at most 255.
 
     The counts of two sets differ in sum by no more than the sets do: a bound on their distance that needs no members.
     """
     n = len(cut) - 1
     owner = np.repeat(np.arange(n), np.diff(cut))
-    cells = owner * SKETCH + (hashes % np.uint64(SKETCH)).astype(np.int64)
-    return np.minimum(np.bincount(cells, minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
+    at = owner * cells + (hashes % np.uint64(cells)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * cells), 255).astype(np.uint8).reshape(n, cells)
 
 
 def must_share(n: np.ndarray) -> np.ndarray:
@@ -101,20 +105,20 @@ def least_overlap(n: np.ndarray, radius: int) -> np.ndarray:
 
 
 def class_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, uid, cls, n, sketch) of every document of (doc_id, text); equal rows share their uid."""
+    """(doc_id, uid, cls, n, sketch, fine) of every document of (doc_id, text); equal rows share their uid."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 hashes, cut = shingle_sets(block, size)
                 ids, uids = (batch.column(c).slice(block.first, block.documents) for c in ("doc_id", "uid"))
-                sketches = pa.array([x.tobytes() for x in sketches_of(hashes, cut)], pa.binary())
+                sketches = [pa.array([x.tobytes() for x in sketches_of(hashes, cut, cells)], pa.binary()) for cells in (SKETCH, FINE)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, uids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut)), sketches], ["doc_id", "uid", "cls", "n", "sketch"]
+                    [ids, uids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut)), *sketches], ["doc_id", "uid", "cls", "n", "sketch", "fine"]
                 )
 
     named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    return named.mapInArrow(rows, "doc_id bigint, uid bigint, cls bigint, n bigint, sketch binary")
+    return named.mapInArrow(rows, "doc_id bigint, uid bigint, cls bigint, n bigint, sketch binary, fine binary")
 
 
 def common_shingles(docs: DataFrame, size: int, sample: int, common: int) -> np.ndarray:
@@ -237,9 +241,9 @@ def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return ordered.mapInArrow(count, "a bigint, b bigint, both bigint, either bigint")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, radius: int, sketch: str = "sketch") -> DataFrame:
     """The pairs (a, b) that can be within the radius by their sizes and sketches, so that no text moves for the others."""
-    known = classes.where("n > 0").dropDuplicates(["cls"]).select("cls", F.struct("n", "sketch").alias("s"))
+    known = classes.where("n > 0").dropDuplicates(["cls"]).select("cls", F.struct("n", F.col(sketch).alias("sketch")).alias("s"))
     with_a = pairs.join(known.select(F.col("cls").alias("a"), F.col("s").alias("s_a")).hint("merge"), "a")
     rows = with_a.join(known.select(F.col("cls").alias("b"), F.col("s").alias("s_b")).hint("merge"), "b").select("a", "b", "s_a", "s_b")
 
@@ -247,9 +251,9 @@ def likely(pairs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             half = batch.num_rows
             n = np.concatenate([batch.column(c).field("n").to_numpy() for c in ("s_a", "s_b")])
-            sketch = np.concatenate([np.frombuffer(b"".join(batch.column(c).field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("s_a", "s_b")])
+            counts = np.frombuffer(b"".join(x for c in ("s_a", "s_b") for x in batch.column(c).field("sketch").to_pylist()), np.uint8)
             at = np.arange(half)
-            near = _may_be_near(at, at + half, n, sketch, radius, np.ones(half, dtype=bool))
+            near = _may_be_near(at, at + half, n, counts.reshape(2 * half, -1) if half else counts, radius, np.ones(half, dtype=bool))
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return rows.mapInArrow(keep, "a bigint, b bigint")
@@ -281,6 +285,19 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
+def still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of different components one for each `b` and component of `a`."""
+    for side in ("a", "b"):
+        labels = comps.select(F.col("node").alias(side), F.col("comp").alias(f"c_{side}"))
+        pairs = pairs.join(labels.hint("merge"), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    return pairs.where("c_a <> c_b").groupBy("b", "c_a").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) with more links (a, b); of the links before, one per node is enough."""
+    return components(cut_lineage(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links.select("a", "b"))))
+
+
 def _apart(rows: DataFrame) -> DataFrame:
     """The rows of regions with several components, with the size of the region."""
     sizes = rows.groupBy("region").agg(F.count("*").alias("members"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
@@ -351,24 +368,56 @@ def _in_groups(rows: DataFrame, solve, schema: str) -> DataFrame:
 
 
 def possible(rows: DataFrame, sketches: DataFrame, radius: int) -> DataFrame:
-    """The members of groups that may be near a member of another component, by their sizes and sketches."""
-    names = rows.columns
+    """What of the groups may be near by sizes and sketches, with one more column: pairs (`cls`, `other`) of different components.
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        grp, n, comp, role = (table[c].to_numpy() for c in ("grp", "n", "comp", "role"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        some = np.zeros(len(grp), dtype=bool)
+    Of a group with more than NAMED_PAIRS such pairs per member the members stay instead, with a null `other`. The same pair may
+    come from several groups.
+    """
+    columns = rows.columns
+    names = [*columns, "other"]
+
+    def named(table: pa.Table, sketch: np.ndarray) -> pa.RecordBatch:
+        grp, n, comp, role, cls = (table[c].to_numpy() for c in ("grp", "n", "comp", "role", "cls"))
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for step in range(1, len(grp)):
             i = np.flatnonzero(grp[step:] == grp[:-step])
             if not len(i):
                 break
             near = _may_be_near(i, i + step, n, sketch, radius, (comp[i] != comp[i + step]) & _asked(role[i], role[i + step]))
-            some[i[near]] = some[i[near] + step] = True
-        kept = table.filter(pa.array(some))
-        return pa.RecordBatch.from_arrays([kept[c].combine_chunks() for c in names], names)
+            one.append(i[near])
+            two.append(i[near] + step)
+        i, j = np.concatenate(one), np.concatenate(two)
+        which = np.cumsum(np.r_[False, grp[1:] != grp[:-1]])
+        many = np.bincount(which[i], minlength=which[-1] + 1) > NAMED_PAIRS * np.bincount(which)
+        stays = np.zeros(len(grp), dtype=bool)
+        dense = many[which[i]]
+        stays[i[dense]] = stays[j[dense]] = True
+        kept = table.filter(pa.array(stays))
+        members, place = np.unique(cls, return_inverse=True)
+        x, y = place[i[~dense]], place[j[~dense]]
+        pair = np.unique(np.minimum(x, y) * len(members) + np.maximum(x, y))
+        x, y = members[pair // len(members)], members[pair % len(members)]
+        found = {"cls": pa.array(x), "other": pa.array(y)}
+        held = {c: kept[c].combine_chunks() for c in columns} | {"other": pa.nulls(kept.num_rows, pa.int64())}
+        blank = {c: pa.array(np.zeros(len(x), np.int64)).cast(held[c].type) for c in names}
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([held[c], found.get(c, blank[c])]) for c in names], names)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return _in_groups(rows.join(sketches.hint("merge"), "cls").select(*names, "sketch"), solve, schema)
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        grp = table["grp"].to_numpy()
+        begins = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True])
+        upto = np.concatenate([[0], np.cumsum(np.diff(begins) ** 2)])
+        out, first = [], 0
+        while first + 1 < len(begins):
+            # Groups with about so many pairs as are held at a time, a group at least.
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] + HELD_PAIRS, side="right")) - 1)
+            a, b = int(begins[first]), int(begins[last])
+            out.append(named(table.slice(a, b - a), sketch[a:b]))
+            first = last
+        return pa.concat_batches(out)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", other bigint"
+    return _in_groups(rows.join(sketches.hint("merge"), "cls").select(*columns, "sketch"), solve, schema)
 
 
 def _asked(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -534,12 +583,14 @@ def _linked_classes(
     regions = cut_lineage(regions_of_shingles(first, classes.where("n > 0").select("cls", "n").distinct(), radius))
     texts = cut_lineage(class_texts(rows, regions.select("cls").distinct(), shingle))
 
-    # Every member against the smallest class of its region.
+    # Every member against the smallest class of its region: first one such class per member, then those it is still apart from.
     pivot = regions.groupBy("region").agg(F.min(F.struct("cls", "n")).alias("p")).select("region", F.col("p.cls").alias("a"), F.col("p.n").alias("na"))
     stars = regions.join(pivot.hint("merge"), "region").where((F.col("a") != F.col("cls")) & _fits("na", "n", radius))
-    near = likely(stars.select("a", F.col("cls").alias("b")).distinct(), classes, radius)
-    links = cut_lineage(distances(near, texts, shingle).where(_near(radius)).select("a", "b"))
-    comps = components(links)
+    near = cut_lineage(likely(stars.select("a", F.col("cls").alias("b")).distinct(), classes, radius))
+    one = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    comps = components(cut_lineage(distances(one, texts, shingle).where(_near(radius)).select("a", "b")))
+    rest = still_apart(near.join(one.hint("merge"), ["a", "b"], "left_anti"), comps)
+    comps = joined(comps, distances(rest, texts, shingle).where(_near(radius)))
 
     # What is still apart in larger regions, against a pivot of each region's own.
     left = cut_lineage(_apart(_labelled(regions, comps)))
@@ -548,9 +599,8 @@ def _linked_classes(
         drawn = several.groupBy("region").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", "region")).alias("p"))
         stars = several.join(drawn.select("region", F.col("p.cls").alias("a"), F.col("p.n").alias("na")).hint("merge"), "region")
         stars = stars.where((F.col("a") != F.col("cls")) & _fits("na", "n", radius)).select("a", F.col("cls").alias("b")).distinct()
-        near = distances(likely(stars, classes, radius), texts, shingle)
-        links = cut_lineage(links.union(near.where(_near(radius)).select("a", "b")).distinct())
-        comps = components(links)
+        near = distances(likely(still_apart(stars, comps), classes, radius, "fine"), texts, shingle)
+        comps = joined(comps, near.where(_near(radius)))
         left = cut_lineage(_apart(_labelled(left.drop("comp", "members"), comps)))
 
     # What is still apart inside a region.
@@ -558,8 +608,7 @@ def _linked_classes(
     large = left.where(F.col("members") > small)
     while not large.isEmpty():
         more, parts = parted(large, texts, shingle, radius, pivots)
-        links = cut_lineage(links.union(more).distinct())
-        comps = components(links)
+        comps = joined(comps, more)
         now = cut_lineage(_apart(_labelled(parts, comps)))
         # A region that pivots cannot part is compared once, as it was.
         stuck = now.where((F.col("members") > small) & (F.col("members") * 10 > F.col("parent") * 9)).select("whole").distinct()
@@ -570,10 +619,10 @@ def _linked_classes(
     sketches = classes.where("n > 0").dropDuplicates(["cls"]).select("cls", "sketch")
     groups = crossing_groups(_labelled(flat.drop("comp", "members"), comps), block)
     groups = cut_lineage(possible(groups, sketches, radius))
-    links = cut_lineage(links.union(compared(groups, texts, shingle, radius, False)).distinct())
-    comps = components(links)
-
-    return classes, texts, comps
+    pairs = groups.where("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
+    links = distances(likely(pairs, classes, radius, "fine"), texts, shingle).where(_near(radius)).select("a", "b")
+    links = links.union(compared(groups.where("other IS NULL").drop("other"), texts, shingle, radius, False))
+    return classes, texts, joined(comps, links)
 
 
 def _named(classes: DataFrame, comps: DataFrame) -> DataFrame:

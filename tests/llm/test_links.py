@@ -122,6 +122,24 @@ def test_texts_of_one_form_that_are_not_near(spark):
     assert sorted((r.doc_id, r.n_links) for r in got) == sorted(plain_links(rows))
 
 
+def test_a_pair_that_meets_in_many_regions_is_named_once(spark):
+    """Thirty regions with the same ten classes: their pairs are named, each once, and no member is to be moved for them."""
+    rows = [(region, cls, 50, cls) for region in range(30) for cls in range(10)]
+    table = spark.createDataFrame(rows, "region bigint, cls bigint, n bigint, comp bigint")
+    alike = spark.createDataFrame([(k, bytes([1] * 64)) for k in range(10)], "cls bigint, sketch binary")
+    found = possible(crossing_groups(table, 20), alike, 25).where("other IS NOT NULL").select("cls", "other").distinct().collect()
+    assert sorted(map(tuple, found)) == [(x, y) for x in range(10) for y in range(x + 1, 10)]
+    assert possible(crossing_groups(table, 20), alike, 25).where("other IS NULL").isEmpty()
+
+
+def test_a_block_with_too_many_pairs_keeps_its_members(spark):
+    """A region of 300 classes that may all be near: naming 44,850 pairs costs more than its members do."""
+    table = spark.createDataFrame([(1, k, 50, k) for k in range(300)], "region bigint, cls bigint, n bigint, comp bigint")
+    alike = spark.createDataFrame([(k, bytes([1] * 64)) for k in range(300)], "cls bigint, sketch binary")
+    found = possible(crossing_groups(table, 512), alike, 25).collect()
+    assert sorted(r.cls for r in found) == list(range(300)) and all(r.other is None for r in found)
+
+
 def test_components_of_awkward_table(spark):
     rows = awkward()
     got = jaccard_components(documents(spark, rows)).collect()
