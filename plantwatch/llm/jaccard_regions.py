@@ -39,7 +39,9 @@ from plantwatch.llm.textblocks import BYTE_CODES, LOWER, Block, blocks, mixed, p
 
 SHINGLE, RADIUS_PERCENT = 5, 25
 SAMPLE_DOCUMENTS, COMMON = 4000, 4
-SMALL_REGION, PIVOTS, SKETCH, FINE = 4096, 8, 64, 256
+SMALL_REGION, PIVOTS, SKETCH = 4096, 8, 64
+# Finer counts, for the classes of regions.
+FINE, FINEST = 256, 1024
 # Regions and components are compared as pairs of blocks of so many classes, and of so many shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 18
 GROUP_PAIRS = 512
@@ -105,20 +107,20 @@ def least_overlap(n: np.ndarray, radius: int) -> np.ndarray:
 
 
 def class_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, uid, cls, n, sketch, fine) of every document of (doc_id, text); equal rows share their uid."""
+    """(doc_id, uid, cls, n, sketch) of every document of (doc_id, text); equal rows share their uid."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 hashes, cut = shingle_sets(block, size)
                 ids, uids = (batch.column(c).slice(block.first, block.documents) for c in ("doc_id", "uid"))
-                sketches = [pa.array([x.tobytes() for x in sketches_of(hashes, cut, cells)], pa.binary()) for cells in (SKETCH, FINE)]
+                sketches = pa.array([x.tobytes() for x in sketches_of(hashes, cut)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, uids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut)), *sketches], ["doc_id", "uid", "cls", "n", "sketch", "fine"]
+                    [ids, uids, pa.array(classes_of(hashes, cut)), pa.array(np.diff(cut)), sketches], ["doc_id", "uid", "cls", "n", "sketch"]
                 )
 
     named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    return named.mapInArrow(rows, "doc_id bigint, uid bigint, cls bigint, n bigint, sketch binary, fine binary")
+    return named.mapInArrow(rows, "doc_id bigint, uid bigint, cls bigint, n bigint, sketch binary")
 
 
 def common_shingles(docs: DataFrame, size: int, sample: int, common: int) -> np.ndarray:
@@ -206,6 +208,21 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return packed.join(wanted.hint("merge"), "cls").groupBy("cls").agg(F.first("packed").alias("packed"))
 
 
+def fine_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(cls, n, fine, finest) of the classes of (cls, packed)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _byte_slices(whole, "packed"):
+                for block in packed_blocks(batch.column("packed")):
+                    hashes, cut = shingle_sets(block, size)
+                    sketches = [pa.array([x.tobytes() for x in sketches_of(hashes, cut, cells)], pa.binary()) for cells in (FINE, FINEST)]
+                    cls = batch.column("cls").slice(block.first, block.documents)
+                    yield pa.RecordBatch.from_arrays([cls, pa.array(np.diff(cut)), *sketches], ["cls", "n", "fine", "finest"])
+
+    return texts.select("cls", "packed").mapInArrow(rows, "cls bigint, n bigint, fine binary, finest binary")
+
+
 def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) with `both` and `either`, the sizes of their sets' intersection and union.
 
@@ -253,7 +270,7 @@ def likely(pairs: DataFrame, classes: DataFrame, radius: int, sketch: str = "ske
             n = np.concatenate([batch.column(c).field("n").to_numpy() for c in ("s_a", "s_b")])
             counts = np.frombuffer(b"".join(x for c in ("s_a", "s_b") for x in batch.column(c).field("sketch").to_pylist()), np.uint8)
             at = np.arange(half)
-            near = _may_be_near(at, at + half, n, counts.reshape(2 * half, -1) if half else counts, radius, np.ones(half, dtype=bool))
+            near = _may_be_near(at, at + half, n, counts.reshape(2 * half, -1) if half else counts.reshape(0, 1), radius, np.ones(half, dtype=bool))
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return rows.mapInArrow(keep, "a bigint, b bigint")
@@ -432,10 +449,11 @@ def _may_be_near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketch: np.ndarray
     """
     at = np.flatnonzero(some & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * (100 - radius)))
     near = np.zeros(len(i), dtype=bool)
-    for k in range(0, len(at), 1 << 15):
-        a, b = i[at[k : k + (1 << 15)]], j[at[k : k + (1 << 15)]]
+    width = (1 << 21) // sketch.shape[1]
+    for k in range(0, len(at), width):
+        a, b = i[at[k : k + width]], j[at[k : k + width]]
         differ = np.abs(sketch[a].astype(np.int16) - sketch[b]).sum(axis=1, dtype=np.int64)
-        near[at[k : k + (1 << 15)]] = differ * (200 - radius) <= radius * (n[a] + n[b])
+        near[at[k : k + width]] = differ * (200 - radius) <= radius * (n[a] + n[b])
     return near
 
 
@@ -582,6 +600,7 @@ def _linked_classes(
     first = first_shingles(rows, common_shingles(rows, shingle, sample, common), shingle, radius)
     regions = cut_lineage(regions_of_shingles(first, classes.where("n > 0").select("cls", "n").distinct(), radius))
     texts = cut_lineage(class_texts(rows, regions.select("cls").distinct(), shingle))
+    finer = cut_lineage(fine_sketches(texts, shingle))
 
     # Every member against the smallest class of its region: first one such class per member, then those it is still apart from.
     pivot = regions.groupBy("region").agg(F.min(F.struct("cls", "n")).alias("p")).select("region", F.col("p.cls").alias("a"), F.col("p.n").alias("na"))
@@ -599,7 +618,7 @@ def _linked_classes(
         drawn = several.groupBy("region").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", "region")).alias("p"))
         stars = several.join(drawn.select("region", F.col("p.cls").alias("a"), F.col("p.n").alias("na")).hint("merge"), "region")
         stars = stars.where((F.col("a") != F.col("cls")) & _fits("na", "n", radius)).select("a", F.col("cls").alias("b")).distinct()
-        near = distances(likely(still_apart(stars, comps), classes, radius, "fine"), texts, shingle)
+        near = distances(likely(still_apart(stars, comps), finer, radius, "fine"), texts, shingle)
         comps = joined(comps, near.where(_near(radius)))
         left = cut_lineage(_apart(_labelled(left.drop("comp", "members"), comps)))
 
@@ -620,7 +639,9 @@ def _linked_classes(
     groups = crossing_groups(_labelled(flat.drop("comp", "members"), comps), block)
     groups = cut_lineage(possible(groups, sketches, radius))
     pairs = groups.where("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
-    links = distances(likely(pairs, classes, radius, "fine"), texts, shingle).where(_near(radius)).select("a", "b")
+    for counts in ("fine", "finest"):
+        pairs = likely(pairs, finer, radius, counts)
+    links = distances(pairs, texts, shingle).where(_near(radius)).select("a", "b")
     links = links.union(compared(groups.where("other IS NULL").drop("other"), texts, shingle, radius, False))
     return classes, texts, joined(comps, links)
 
