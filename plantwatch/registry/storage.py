@@ -28,6 +28,10 @@ def landed(readings) -> str:
     return path
 
 
+# Messages in a compressed file, which only one task can read; they are about 30 MB of text.
+MESSAGES = 100_000
+
+
 register("landed_readings", ["readings"], f"SELECT {SENT_LIST} FROM readings")(
     lambda r: readers.read_readings(r.sparkSession, landed(r)).select(*SENT)
 )
@@ -44,8 +48,9 @@ SELECT reading_id, equipment_id, tag, regime, {R('value', 6)} AS value, is_anoma
   CAST(replace(replace(timestamp, 'T', ' '), 'Z', '') AS TIMESTAMP) AS event_ts FROM process_readings
 """)
 def _landed_process(process):
+    """Messages repeat their field names and the texts of their instrument; compressed, they take a thirteenth of the disk."""
     path = folder_of(process)
-    process.write.json(path)
+    process.write.options(compression="gzip", maxRecordsPerFile=MESSAGES).json(path)
     back = readers.read_landed(process.sparkSession, path, "process_readings")
     value = report_round(F.col("value"), 6).alias("value")
     return back.select("reading_id", "equipment_id", "tag", "regime", value, "is_anomaly", "timestamp", "event_ts")

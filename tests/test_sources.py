@@ -1,13 +1,15 @@
 """Landed messages, tables, listings, chat rows and what is written back."""
 
 import csv
+import gzip
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from plantwatch.operators import metrics, process, scenes
-from plantwatch.schemas import ALERT_TABLE, PREDICTIONS, READING_PAYLOAD, READING_TABLE, lake_schema
+from plantwatch.registry import storage
+from plantwatch.schemas import ALERT_TABLE, PREDICTIONS, PROCESS_PAYLOAD, READING_PAYLOAD, READING_TABLE, lake_schema
 from plantwatch.sources import readers, sinks
 
 
@@ -47,6 +49,27 @@ def test_process_message_keeps_its_own_time(spark, tmp_path):
     assert got == {"a": "2024-05-01 10:00:00", "b": "2023-11-14 22:13:20.124000"}
 
 
+def test_landed_process_is_compressed_and_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "folder_of", lambda df: str(tmp_path / "landed"))
+    monkeypatch.setattr(storage, "MESSAGES", 300)
+    rows = [
+        (f"{i % 900}-{i % 7}", f"ug-{i % 2}", f"T-{i // 50}", "Fluid é", "Flow", i / 7, "m3/h", "MT", 900.0, i / 3, i % 2, "Well", "Tank", "2024-05-01T10:00:00Z")
+        for i in range(1000)
+    ]
+    rows += [(None,) * len(PROCESS_PAYLOAD), rows[3], ("a\nb", *rows[4][1:5], None, *rows[4][6:-1], "soon")]
+    sent = spark.createDataFrame(rows, PROCESS_PAYLOAD).coalesce(1)
+    got = storage._landed_process(sent).collect()
+    names = ["reading_id", "equipment_id", "tag", "regime", "value", "is_anomaly", "timestamp"]
+    expected = [(r["reading_id"], r["equipment_id"], r["tag"], r["regime"], r["value"] and round(r["value"], 6), r["is_anomaly"], r["timestamp"]) for r in sent.collect()]
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in got))) == sorted(map(repr, expected))
+    assert {str(r.event_ts) for r in got} == {"2024-05-01 10:00:00", "None"}
+    files = list((tmp_path / "landed").glob("part-*"))
+    texts = [gzip.decompress(f.read_bytes()) for f in files]
+    assert sorted(text.count(b"\n") for text in texts) == [103, 300, 300, 300]
+    assert sum(f.stat().st_size for f in files) * 4 < sum(map(len, texts))
+    assert set(json.loads(max(texts, key=len).splitlines()[0])) == set(PROCESS_PAYLOAD.names)
+
+
 def test_lake_and_views(spark, landed, tmp_path):
     lake = tmp_path / "lake"
     readings = readers.read_readings(spark, str(landed / "sensor_readings"))
